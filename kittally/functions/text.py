@@ -270,15 +270,11 @@ def part_header_hit(c: Column | str) -> Column:
 def part_header_rank(c: Column | str) -> Column:
     """Position in the word list of the first part word contained; null without one."""
     v = _col(c)
-    return F.coalesce(
-        *[
-            F.when(
-                F.contains(v, F.lit(w)) & (~false_part_header(v) if w == K.FALSE_PART_WORD else F.lit(True)),
-                F.lit(i),
-            )
-            for i, w in enumerate(K.PART_NO)
-        ]
+    words = F.array(*[F.lit(w) for w in K.PART_NO])
+    usable = F.filter(
+        words, lambda w: F.contains(v, w) & ((w != K.FALSE_PART_WORD) | ~false_part_header(v))
     )
+    return F.nullif(F.array_position(words, F.try_element_at(usable, F.lit(1))), F.lit(0))
 
 
 def safe_filename(c: Column | str) -> Column:

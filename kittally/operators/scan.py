@@ -16,20 +16,17 @@ SHEET = ["file_id", "sheet_idx"]
 
 
 def _directional(df: DataFrame, marks: dict[str, Column], keys: list[str], row: str, ahead: bool) -> DataFrame:
-    inner = Window.partitionBy(*keys, "_block").orderBy(row)
-    outer = Window.partitionBy(*keys).orderBy("_block")
-    if ahead:
-        inner = inner.rowsBetween(1, Window.unboundedFollowing)
-        outer = outer.rowsBetween(1, Window.unboundedFollowing)
-        pick = F.min
-    else:
-        inner = inner.rowsBetween(Window.unboundedPreceding, -1)
-        outer = outer.rowsBetween(Window.unboundedPreceding, -1)
-        pick = F.max
+    # frames that grow from one end cost one step per row; looking ahead is looking back downwards
+    way = F.desc if ahead else F.asc
+    inner = Window.partitionBy(*keys, "_block").orderBy(way(row)).rangeBetween(Window.unboundedPreceding, -1)
+    outer = Window.partitionBy(*keys).orderBy(way("_block")).rowsBetween(Window.unboundedPreceding, -1)
+    pick = F.min if ahead else F.max
     flagged = df.withColumns(
         {"_block": F.floor(F.col(row) / BLOCK)}
         | {f"_at_{n}": F.when(c, F.col(row)) for n, c in marks.items()}
     )
+    # one exchange serves both the windows and the block table
+    flagged = flagged.repartition(*keys, "_block")
     blocks = flagged.groupBy(*keys, "_block").agg(*[pick(f"_at_{n}").alias(f"_b_{n}") for n in marks])
     beyond = blocks.select(
         *keys, "_block", *[pick(f"_b_{n}").over(outer).alias(f"_o_{n}") for n in marks]

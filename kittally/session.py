@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(master: str | None = None, app: str = "kittally", **conf) -> SparkSession:
@@ -32,3 +33,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
         folder = tempfile.mkdtemp(prefix="kittally-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows read back from a table in the shared folder.
+
+    For results used several times downstream: they are computed once, survive lost executors
+    and keep plans short.
+    """
+    path = f"{checkpoint_dir(df.sparkSession)}/kittally-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
