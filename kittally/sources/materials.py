@@ -11,15 +11,16 @@ MATERIAL_SCHEMA = (
 )
 
 
-def read_materials(spark: SparkSession, path: str) -> DataFrame:
+def read_materials(spark: SparkSession, path: str, arrays: bool = True) -> DataFrame:
     """Part lines of all material files below ``path``.
 
-    Error files, unreadable records and empty files give no lines. ``ord`` is the path and row,
+    ``arrays`` reads one array of records per file; otherwise one record per line, as written by
+    :func:`write_materials`. Error files, unreadable records and empty files give no lines. ``ord`` is the path and row,
     the order in which first and last are meant.
     """
     rows = (
         spark.read.schema(MATERIAL_SCHEMA)
-        .option("multiLine", "true")
+        .option("multiLine", arrays)
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", "_corrupt")
         .option("recursiveFileLookup", "true")
