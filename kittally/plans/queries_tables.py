@@ -584,7 +584,7 @@ def quarantine(spark, sf):
 
 # --- progress ----------------------------------------------------------------
 
-LAST = f"""{O.EVENTS}, last AS (SELECT job_id, card, coalesce(arg_max(status, epoch_us(ts) * 100000 + event_id % 100000) FILTER (status <> 'pending'), 'pending') AS status FROM card_events GROUP BY 1, 2),
+LAST = f"""{O.EVENTS}, last AS (SELECT job_id, card, coalesce(arg_max(status, epoch_us(ts)::HUGEINT * 1000000000000 + event_id) FILTER (status <> 'pending'), 'pending') AS status FROM card_events GROUP BY 1, 2),
   counters AS (SELECT job_id, count(*) FILTER (status = 'success') AS processed, count(*) FILTER (status = 'failed') AS failed, count(*) AS total FROM last GROUP BY 1)"""
 
 
@@ -666,7 +666,7 @@ def _scratch(spark):
 def progress_stream(spark, sf):
     """The same counters from a stream of the events, through per-card state."""
     schema = B.table(spark, sf, "events").schema
-    raw = spark.readStream.schema(schema).parquet(f"{sf}/events.parquet")
+    raw = spark.readStream.schema(schema).parquet(f"{sf}/events.parque[t]")
     status = (
         F.when(F.col("event_type") == "error", "failed").when(F.col("event_type").isin("purchase", "signup"), "success").otherwise("pending")
     )
@@ -681,7 +681,7 @@ def progress_stream(spark, sf):
 def streaming_totals(spark, sf):
     """Card totals kept by a stream over the line items."""
     schema = B.table(spark, sf, "lineitem").schema
-    raw = spark.readStream.schema(schema).parquet(f"{sf}/lineitem.parquet").filter("l_linestatus = 'F'")
+    raw = spark.readStream.schema(schema).parquet(f"{sf}/lineitem.parque[t]").filter("l_linestatus = 'F'")
     number = F.concat(F.lit("P"), F.lpad(F.col("l_partkey").cast("string"), 8, "0"), F.col("l_linenumber").cast("string"))
     totals = S.streaming_totals(raw.select(X.part_key(number).alias("part_key"), F.col("l_quantity").alias("qty")))
     scratch = _scratch(spark)
