@@ -9,9 +9,15 @@ Row numbers are positions inside a workbook, so workbooks grow in number, not in
 
 from __future__ import annotations
 
+import io
+import zipfile
+from xml.sax.saxutils import escape
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import keywords as K
 from .bindings import table
 
 TYPES = ["ECONOMY", "MEDIUM", "PROMO", "LARGE", "SMALL", "STANDARD"]
@@ -151,7 +157,7 @@ def order_cells(spark: SparkSession, sf: str) -> DataFrame:
             _cell(
                 1,
                 F.when(k == "p1", "零件号").when(k == "p3", F.concat(F.lit("鑫源汽车 "), key))
-                .when(k == "part", F.concat(F.lit(" F-"), key, F.lit("-X")))
+                .when(k == "part", F.concat(F.lit(" P-"), F.lpad(F.col("o_custkey").cast("string"), 6, "0"), F.lit("-A")))
                 .when((k == "loose") & (rank == "1"), "  ").when(k == "loose", F.concat(F.lit("O"), key)),
                 strike=(k == "part") & (rank == "5") & (F.col("o_totalprice") > 300000),
             ),
@@ -160,7 +166,9 @@ def order_cells(spark: SparkSession, sf: str) -> DataFrame:
                 F.when(k == "p1", "零件名称").when(k == "p2", F.concat(F.lit("焊接总成 "), key)).when(k == "p3", "签字")
                 .when(k == "p5", "检验项目").when(k == "part", F.concat(F.lit("опора "), rank)),
             ),
-            _cell(3, F.when(k == "p1", "数量").when(k == "loose", F.concat(rank, F.lit(",5")))),
+            F.when(k == "part", _number(3, rank.cast("int"))).otherwise(
+                _cell(3, F.when(k == "p1", "数量").when(k == "loose", F.concat(rank, F.lit(",5"))))
+            ),
             _cell(4, F.when(k == "p5", F.concat(F.lit("检验作业 "), key)).when(k == "p2", "作业指导书")),
             F.when(k == "part", _number(5, F.col("o_custkey"))).otherwise(_number(5, F.lit(None).cast("long"))),
         ],
@@ -185,6 +193,69 @@ def merges(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+MAIN_NS = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+REL_NS = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+
+
+def _ref(row: int, col: int) -> str:
+    letters = ""
+    while col:
+        col, rest = divmod(col - 1, 26)
+        letters = chr(65 + rest) + letters
+    return f"{letters}{row}"
+
+
+def package(sheets: list[tuple[str, pd.DataFrame, list[tuple[int, int, int, int]]]]) -> bytes:
+    """Workbook bytes from (name, cells, merged rectangles) per sheet."""
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as book:
+        book.writestr(K.REQUIRED_ENTRY[0], "<Types/>")
+        book.writestr(K.REQUIRED_ENTRY[3], "<Relationships/>")
+        tags = "".join(
+            f'<sheet name="{escape(name)}" sheetId="{i}" r:id="r{i}"/>' for i, (name, _, _) in enumerate(sheets, 1)
+        )
+        book.writestr(K.REQUIRED_ENTRY[1], f'<workbook xmlns="{MAIN_NS}" xmlns:r="{REL_NS}"><sheets>{tags}</sheets></workbook>')
+        rels = "".join(f'<Relationship Id="r{i}" Target="worksheets/sheet{i}.xml"/>' for i in range(1, len(sheets) + 1))
+        book.writestr(K.REQUIRED_ENTRY[2], f"<Relationships>{rels}</Relationships>")
+        book.writestr(
+            "xl/styles.xml",
+            f'<styleSheet xmlns="{MAIN_NS}"><fonts><font/><font><strike/></font></fonts>'
+            '<cellXfs><xf fontId="0"/><xf fontId="1"/><xf numFmtId="14"/></cellXfs></styleSheet>',
+        )
+        for i, (_, cells, merged) in enumerate(sheets, 1):
+            rows = []
+            for row, group in cells.sort_values(["row", "col"]).groupby("row"):
+                rows.append(f'<row r="{row}">')
+                for c in group.itertuples():
+                    style = ' s="1"' if c.strike else ""
+                    if c.kind == "n":
+                        rows.append(f'<c r="{_ref(row, c.col)}"{style}><v>{c.value}</v></c>')
+                    else:
+                        rows.append(
+                            f'<c r="{_ref(row, c.col)}"{style} t="inlineStr"><is><t xml:space="preserve">{escape(c.value)}</t></is></c>'
+                        )
+                rows.append("</row>")
+            merges = "".join(f'<mergeCell ref="{_ref(a, c)}:{_ref(b, d)}"/>' for a, b, c, d in merged)
+            tail = f"<mergeCells>{merges}</mergeCells>" if merged else ""
+            body = "".join(rows)
+            book.writestr(
+                f"xl/worksheets/sheet{i}.xml",
+                f'<worksheet xmlns="{MAIN_NS}"><sheetData>{body}</sheetData>{tail}</worksheet>',
+            )
+    return out.getvalue()
+
+
+def _pack(file: pd.DataFrame) -> pd.DataFrame:
+    name = f"{file['file_id'].iloc[0]}.xlsx"
+    sheets = [(n, part, []) for (_, n), part in file.groupby(["sheet_idx", "sheet"])]
+    return pd.DataFrame({"path": [name], "content": [package(sheets)]})
+
+
+def packages(spark: SparkSession, sf: str) -> DataFrame:
+    """The workbooks as files: (path, content). One workbook holds a fixed number of rows."""
+    return cells(spark, sf).groupBy("file_id").applyInPandas(_pack, "path string, content binary")
+
+
 def _sql_rows(src: str, key: str, size: int, first: int, prefix: str, sheet: str, name: str, extra: str = "") -> str:
     return (
         f"{name} AS (SELECT *, '{prefix}' || ({key} // {size})::VARCHAR || '{extra}' AS file_id, "
@@ -248,7 +319,7 @@ def sql() -> str:
         _sql_head("sr", {1: [(1, "第一"), (2, "Ref"), (3, "第三 норма"), (4, "Text"), (6, "Qty")]}),
         _sql_cell(
             "ok", 1,
-            f"CASE WHEN k = 'p1' THEN '零件号' WHEN k = 'p3' THEN '鑫源汽车 ' || {key} WHEN k = 'part' THEN ' F-' || {key} || '-X' "
+            f"CASE WHEN k = 'p1' THEN '零件号' WHEN k = 'p3' THEN '鑫源汽车 ' || {key} WHEN k = 'part' THEN ' P-' || lpad(o_custkey::VARCHAR, 6, '0') || '-A' "
             f"WHEN k = 'loose' AND {rank} = '1' THEN '  ' WHEN k = 'loose' THEN 'O' || {key} END",
             strike=f"k = 'part' AND {rank} = '5' AND o_totalprice > 300000",
         ),
@@ -258,6 +329,7 @@ def sql() -> str:
             f"WHEN 'part' THEN 'опора ' || {rank} END",
         ),
         _sql_cell("ok", 3, f"CASE k WHEN 'p1' THEN '数量' WHEN 'loose' THEN {rank} || ',5' END"),
+        _sql_cell("ok", 3, f"CASE k WHEN 'part' THEN {rank} END", "n", f"CASE k WHEN 'part' THEN {rank}::INT END"),
         _sql_cell("ok", 4, f"CASE k WHEN 'p5' THEN '检验作业 ' || {key} WHEN 'p2' THEN '作业指导书' END"),
         _sql_cell("ok", 5, "CASE WHEN k = 'part' THEN o_custkey END", "n", "CASE WHEN k = 'part' THEN o_custkey END"),
     ]

@@ -15,7 +15,7 @@ import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree as ET
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,7 +26,8 @@ CELL_SCHEMA = (
     "kind string, strike boolean, max_row int, max_col int, name string, size long, crc_ok boolean, "
     "has_data boolean, rel_name string, error string"
 )
-COLUMNS = [c.split()[0] for c in CELL_SCHEMA.split(", ")]
+ARROW_TYPE = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
+ARROW = pa.schema([(name, ARROW_TYPE[kind]) for name, kind in (c.split() for c in CELL_SCHEMA.split(", "))])
 REF = re.compile(r"^([A-Z]+)([0-9]+)$")
 DATE_FORMATS = {14, 15, 16, 17, 18, 19, 20, 21, 22, 45, 46, 47}
 MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -176,26 +177,17 @@ def explode(path: str, content: bytes) -> Iterator[dict]:
         yield {"entity": "error", "file_id": path, "error": f"{type(exc).__name__}: {exc}"}
 
 
-def _explode_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _explode_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     chunk: list[dict] = []
     for batch in batches:
-        for path, content in zip(batch["path"], batch["content"]):
-            for row in explode(path, bytes(content)):
+        for file in batch.to_pylist():
+            for row in explode(file["path"], file["content"]):
                 chunk.append(row)
                 if len(chunk) >= 20_000:
-                    yield _frame(chunk)
+                    yield pa.RecordBatch.from_pylist(chunk, schema=ARROW)
                     chunk = []
     if chunk:
-        yield _frame(chunk)
-
-
-def _frame(rows: list[dict]) -> pd.DataFrame:
-    frame = pd.DataFrame(rows).reindex(columns=COLUMNS)
-    for name in ("sheet_idx", "row", "col", "max_row", "max_col", "size"):
-        frame[name] = frame[name].astype("Int64")
-    for name in ("strike", "crc_ok", "has_data"):
-        frame[name] = frame[name].astype("boolean")
-    return frame.astype({"num": "float64"}).where(frame.notna(), None)
+        yield pa.RecordBatch.from_pylist(chunk, schema=ARROW)
 
 
 def ingest(spark: SparkSession, path: str) -> DataFrame:
@@ -204,7 +196,12 @@ def ingest(spark: SparkSession, path: str) -> DataFrame:
     Write it out partitioned by entity before use; see :func:`write_ingest`.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return list_cards(files).select("path", "content").mapInPandas(_explode_batches, CELL_SCHEMA)
+    return explode_files(list_cards(files))
+
+
+def explode_files(files: DataFrame) -> DataFrame:
+    """Facts of workbooks given as (path, content)."""
+    return files.select("path", "content").mapInArrow(_explode_batches, CELL_SCHEMA)
 
 
 def write_ingest(spark: SparkSession, path: str, out: str) -> None:
