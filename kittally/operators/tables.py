@@ -38,14 +38,8 @@ def table_candidates(cells: DataFrame, width: int = 200) -> DataFrame:
         cells.filter(F.col("col") <= width)
         .withColumn("_v", _lower())
         .filter(v != "")
-        .withColumns(
-            {
-                "_hit": X.part_header_hit(v),
-                "_rank": F.when(F.length(v) < 50, X.part_header_rank(v)),
-                "_qty": X.has_any(v, K.QTY),
-                "_name": X.has_any(v, K.NAME),
-            }
-        )
+        .withColumns({"_hit": X.part_header_hit(v), "_qty": X.has_any(v, K.QTY), "_name": X.has_any(v, K.NAME)})
+        .withColumn("_rank", F.when(F.col("_hit") & (F.length(v) < 50), X.part_header_rank(v)))
         .groupBy(*SHEET, "row")
         .agg(
             F.count(F.lit(1)).alias("filled"),

@@ -9,6 +9,7 @@ from ..functions import text as X
 from ..operators import reconcile as R
 from ..operators import report as P
 from ..operators import totals as A
+from ..session import cut
 from . import bindings as B
 from . import oracle as O
 from .registry import query
@@ -288,7 +289,8 @@ CORE = f"WITH {O.RAW}, {O.outcomes()}, {O.DISC}, {O.SUMMARY}"
 
 
 def _raw(spark, sf):
-    return B.raw_bom_qty(spark, sf), B.raw_cards(spark, sf)
+    """Both sides as tables: a comparison reads them several times."""
+    return cut(B.raw_bom_qty(spark, sf)), cut(B.raw_cards(spark, sf))
 
 
 def _outcomes(spark, sf, **kw):
@@ -305,7 +307,7 @@ def _of(spark, sf, kind):
 
 def _detailed(spark, sf):
     bom, cards = _raw(spark, sf)
-    return R.with_details(R.reconcile(bom, cards), B.raw_names(spark, sf), cards)
+    return cut(R.with_details(R.reconcile(bom, cards), B.raw_names(spark, sf), cards))
 
 
 def _numbered(spark, sf):
@@ -365,7 +367,7 @@ def reconcile_keys(spark, sf):
         F.count(F.lit(1)).cast("double").alias("qty")
     )
     cards = B.card_lines(spark, sf).groupBy(F.col("part_key").alias("part")).agg(F.sum("qty").alias("qty"))
-    return R.reconcile(bom, cards).drop("valid")
+    return R.reconcile(cut(bom), cut(cards)).drop("valid")
 
 
 @query("config_summary", f"{CORE} SELECT * FROM summary")

@@ -152,7 +152,7 @@ CONFIGS = f"""{_sample(50, 'sample50')},
 
 
 def _headers(spark, sf):
-    cells = W.cells(spark, sf)
+    cells = W.stored_cells(spark, sf)
     return cells, G.pick_headers(G.score_headers(cells))
 
 
@@ -171,12 +171,12 @@ def cells(spark, sf):
     SELECT file_id, sheet_idx, sheet, row, col, value, num, kind, strike FROM cells UNION ALL SELECT * FROM filled""",
 )
 def fill_merged(spark, sf):
-    return G.fill_merged(W.cells(spark, sf), W.merges(spark, sf))
+    return G.fill_merged(W.stored_cells(spark, sf), W.merges(spark, sf))
 
 
 @query("row_spine", f"WITH {CELLS} SELECT {S}, max_row, unnest(range(1, max_row + 1))::INT AS row FROM extent")
 def row_spine(spark, sf):
-    return G.row_spine(W.cells(spark, sf))
+    return G.row_spine(W.stored_cells(spark, sf))
 
 
 @query(
@@ -186,13 +186,13 @@ def row_spine(spark, sf):
     SELECT {S}, row, string_agg(coalesce(value, '~'), '|' ORDER BY col) AS values FROM d LEFT JOIN cells USING (file_id, sheet_idx, row, col) GROUP BY ALL""",
 )
 def snapshot(spark, sf):
-    rows = G.snapshot(W.cells(spark, sf))
+    rows = G.snapshot(W.stored_cells(spark, sf))
     return rows.withColumn("values", F.array_join("values", "|", "~"))
 
 
 @query("score_headers", f"WITH {CELLS}, {SCORES} SELECT * FROM scores")
 def score_headers(spark, sf):
-    return G.score_headers(W.cells(spark, sf))
+    return G.score_headers(W.stored_cells(spark, sf))
 
 
 @query("pick_headers", f"WITH {CELLS}, {HEADERS} SELECT {S}, row, pos, score FROM headers")
@@ -301,7 +301,7 @@ _cleaned = O.strip("replace(replace(regexp_replace(value, '_x[0-9a-fA-F]{4}_', '
     SELECT {S}, coalesce(hit, {O.card_number('file_id')}) AS card_no FROM extent LEFT JOIN f USING (file_id, sheet_idx)""",
 )
 def sheet_card_number(spark, sf):
-    return G.sheet_card_number(W.cells(spark, sf))
+    return G.sheet_card_number(W.stored_cells(spark, sf))
 
 
 @query(
@@ -314,7 +314,7 @@ def sheet_card_number(spark, sf):
       AND (coalesce(configs, 0) >= 2 OR (qty IS NOT NULL AND (name_cn IS NOT NULL OR name_en IS NOT NULL OR part_no IS NOT NULL)))""",
 )
 def bom_candidates(spark, sf):
-    return G.bom_candidates(W.cells(spark, sf))
+    return G.bom_candidates(W.stored_cells(spark, sf))
 
 
 _elem = f"contains(t, '{K.OPERATION_ELEMENT}')"
@@ -369,7 +369,7 @@ _w = K.AUTO_BOM
     GROUP BY {S}, header_row HAVING part_col IS NOT NULL AND qty_col IS NOT NULL""",
 )
 def auto_bom_sheets(spark, sf):
-    return G.auto_bom_sheets(W.cells(spark, sf))
+    return G.auto_bom_sheets(W.stored_cells(spark, sf))
 
 
 _a = K.AUTO_CARD
@@ -382,7 +382,7 @@ AUTO_CARD = f"""ac AS (SELECT file_id, row, col, CASE WHEN {O.any_of(_low, _a['p
 
 @query("auto_card_cols", f"WITH {CELLS}, {AUTO_CARD} SELECT * FROM auto_card")
 def auto_card_cols(spark, sf):
-    return G.auto_card_cols(W.cells(spark, sf))
+    return G.auto_card_cols(W.stored_cells(spark, sf))
 
 
 @query(
@@ -391,7 +391,7 @@ def auto_card_cols(spark, sf):
     SELECT DISTINCT file_id FROM extent WHERE max_row >= 2 AND NOT EXISTS (SELECT 1 FROM shown s WHERE s.file_id = extent.file_id AND row BETWEEN 2 AND 3 + 7 AND col <= 20 AND kind = 'n')""",
 )
 def flag_uncached(spark, sf):
-    cells = W.cells(spark, sf)
+    cells = W.stored_cells(spark, sf)
     shown = cells.filter("NOT (row > 1 AND col = 2) AND NOT (row > 1 AND file_id LIKE 'ord-%' AND row < 6) AND kind = 'n'")
     return G.flag_uncached(shown, G.sheet_extent(cells))
 
@@ -401,7 +401,7 @@ def flag_uncached(spark, sf):
     f"""WITH {CELLS} SELECT file_id, string_agg({O.strip('value')}, ' ' ORDER BY row, col) AS content FROM cells WHERE sheet_idx = 0 AND row <= 30 AND col <= 39 GROUP BY 1""",
 )
 def content_digest(spark, sf):
-    return C.content_digest(W.cells(spark, sf))
+    return C.content_digest(W.stored_cells(spark, sf))
 
 
 @query(
@@ -410,7 +410,7 @@ def content_digest(spark, sf):
       SELECT 1 FROM cells s WHERE s.strike AND s.file_id = c.file_id AND s.sheet_idx = c.sheet_idx AND s.row = c.row AND s.col IN (2, 7, 1))""",
 )
 def drop_struck(spark, sf):
-    cells = W.cells(spark, sf)
+    cells = W.stored_cells(spark, sf)
     rows = cells.filter("col = 2").select(
         "file_id", "sheet_idx", "row", F.col("value").alias("raw"), F.lit(2).alias("part_col"), F.lit(7).alias("config_col"), F.lit(1).alias("first_col")
     )

@@ -51,7 +51,7 @@ CANDIDATES = f"""tv AS (SELECT *, {_v} AS v FROM cells WHERE col <= 200),
 
 @query("table_candidates", f"WITH {CELLS}, {CANDIDATES} SELECT * FROM candidates")
 def table_candidates(spark, sf):
-    return T.table_candidates(W.cells(spark, sf))
+    return T.table_candidates(W.stored_cells(spark, sf))
 
 
 @query(
@@ -59,7 +59,7 @@ def table_candidates(spark, sf):
     f"WITH {CELLS}, {CANDIDATES} SELECT * FROM candidates c WHERE header_row = (SELECT min(header_row) FROM candidates d WHERE d.file_id = c.file_id AND d.sheet_idx = c.sheet_idx)",
 )
 def locate_table(spark, sf):
-    return T.locate_table(W.cells(spark, sf))
+    return T.locate_table(W.stored_cells(spark, sf))
 
 
 # --- plain card sheets -------------------------------------------------------
@@ -85,7 +85,7 @@ EXTRACT = f"""{GUARDED}, g AS (SELECT * FROM guarded WHERE NOT skipped),
 
 
 def _layout(spark, sf):
-    cells = W.cells(spark, sf)
+    cells = W.stored_cells(spark, sf)
     return cells, G.auto_card_cols(cells).withColumn("end_markers", F.array(F.lit("签字")))
 
 
@@ -246,29 +246,29 @@ BLOCKS = f"""bm AS (SELECT {SH}, row, max_row, bool_or(col <= 3 AND {O.rx('value
 
 @query("marker_bounds", f"WITH {CELLS}, {MARKER} SELECT * FROM marker")
 def marker_bounds(spark, sf):
-    return T.marker_bounds(W.cells(spark, sf))
+    return T.marker_bounds(W.stored_cells(spark, sf))
 
 
 @query("inspection_bounds", f"WITH {CELLS}, {INSPECTION} SELECT * FROM inspection")
 def inspection_bounds(spark, sf):
-    return T.inspection_bounds(W.cells(spark, sf))
+    return T.inspection_bounds(W.stored_cells(spark, sf))
 
 
 @query("table_end", f"WITH {CELLS}, {CANDIDATES}, {TABLE_END} SELECT * FROM ended_t")
 def table_end(spark, sf):
-    cells = W.cells(spark, sf)
+    cells = W.stored_cells(spark, sf)
     return T.table_end(cells, T.table_candidates(cells))
 
 
 @query("bound_confidence", f"WITH {CELLS}, {CANDIDATES}, {TABLE_END}, {CONFIDENCE} SELECT * FROM confident")
 def bound_confidence(spark, sf):
-    cells = W.cells(spark, sf)
+    cells = W.stored_cells(spark, sf)
     return T.bound_confidence(cells, cut(T.table_end(cells, T.table_candidates(cells))))
 
 
 @query("block_bounds", f"WITH {CELLS}, {BLOCKS} SELECT * FROM blocks")
 def block_bounds(spark, sf):
-    return T.block_bounds(W.cells(spark, sf))
+    return T.block_bounds(W.stored_cells(spark, sf))
 
 
 @query(
@@ -277,7 +277,7 @@ def block_bounds(spark, sf):
     AND n.header_row > b.header_row), data_end)) AS data_end, operation_name FROM blocks b""",
 )
 def snap_bounds(spark, sf):
-    return T.snap_bounds(T.block_bounds(W.cells(spark, sf)))
+    return T.snap_bounds(T.block_bounds(W.stored_cells(spark, sf)))
 
 
 UNSTABLE = f"""bmk AS (SELECT {SH}, header_row AS row, lead(header_row) OVER (PARTITION BY {SH} ORDER BY header_row) AS following FROM blocks),
@@ -290,7 +290,7 @@ UNSTABLE = f"""bmk AS (SELECT {SH}, header_row AS row, lead(header_row) OVER (PA
     OR (SELECT count(*) FROM blocks n WHERE n.file_id = b.file_id AND n.sheet_idx = b.sheet_idx) < 3""",
 )
 def reject_unstable(spark, sf):
-    return T.reject_unstable(T.block_bounds(W.cells(spark, sf)))
+    return T.reject_unstable(T.block_bounds(W.stored_cells(spark, sf)))
 
 
 CHAIN = f"""fit AS (SELECT * FROM confident WHERE confidence >= 0.35),
@@ -304,7 +304,7 @@ CHAIN = f"""fit AS (SELECT * FROM confident WHERE confidence >= 0.35),
     f"WITH RECURSIVE {CELLS}, {CANDIDATES}, {TABLE_END}, {CONFIDENCE}, {CHAIN} SELECT DISTINCT * FROM rchain",
 )
 def table_chain(spark, sf):
-    cells = W.cells(spark, sf)
+    cells = W.stored_cells(spark, sf)
     tables = T.bound_confidence(cells, cut(T.table_end(cells, T.table_candidates(cells))))
     return T.table_chain(tables, G.sheet_extent(cells).filter("max_row >= 3"))
 
@@ -328,7 +328,7 @@ def table_chain(spark, sf):
     UNION ALL SELECT {SH}, header_row, data_start, data_end, 'marker' FROM marker""",
 )
 def find_bounds(spark, sf):
-    return T.find_bounds(W.cells(spark, sf))
+    return T.find_bounds(W.stored_cells(spark, sf))
 
 
 # --- classification ----------------------------------------------------------
@@ -544,7 +544,7 @@ def check_content(spark, sf):
     FROM extent e WHERE NOT EXISTS (SELECT 1 FROM shown c WHERE c.file_id = e.file_id AND c.sheet_idx = e.sheet_idx AND row <= 10 AND col <= 10)""",
 )
 def check_semantic(spark, sf):
-    cells = W.cells(spark, sf)
+    cells = W.stored_cells(spark, sf)
     return Q.check_semantic(G.sheet_extent(cells), cells.filter("row > 8"))
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import keywords as K
+from ..session import cut
 from .bindings import table
 
 TYPES = ["ECONOMY", "MEDIUM", "PROMO", "LARGE", "SMALL", "STANDARD"]
@@ -184,6 +185,11 @@ def cells(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def stored_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """The cells as ingested: written once, read by every pass of an operator."""
+    return cut(cells(spark, sf))
+
+
 def merges(spark: SparkSession, sf: str) -> DataFrame:
     """Rectangles to the right of column 14 where it is filled."""
     rows = _place(table(spark, sf, "part"), "p_partkey", 500, 4, "part-", "总装BOM").filter("p_size > 25")
