@@ -47,6 +47,21 @@ def with_card_fields(lines: DataFrame, card_no: DataFrame, dictionary: DataFrame
     return numbered.select(*CARD_FIELDS)
 
 
+def lines_from_materials(records: DataFrame) -> DataFrame:
+    """Card lines of material records as read back from disk."""
+    return records.select(
+        "card_no",
+        F.col("sheet_name").alias("sheet"),
+        F.col("row_index").alias("row"),
+        F.col("part_no").alias("raw"),
+        X.part_key("part_no").alias("part_key"),
+        "name_cn",
+        "name_ru",
+        "qty",
+        "ord",
+    )
+
+
 def cards_by_mapping(cells: DataFrame, mapping: DataFrame, rules: dict, dictionary: DataFrame | None = None) -> DataFrame:
     """Card lines of operational files by their format's layout; detection where that fails.
 
