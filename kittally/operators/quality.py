@@ -59,7 +59,7 @@ def check_structural(files: DataFrame, entries: DataFrame, max_mb: float = 50.0)
                 files.filter(mb > max_mb),
                 "structural",
                 "warning",
-                F.format_string(f"File too large: %.1f MB > {max_mb} MB", mb),
+                F.format_string(f"File too large: %.1f MB > {max_mb} MB", F.bround(mb, 1)),
             )
         )
         .unionByName(

@@ -153,12 +153,16 @@ def files(spark: SparkSession, sf: str) -> DataFrame:
 
 def card_events(spark: SparkSession, sf: str) -> DataFrame:
     """Status changes of cards: job = user, card = property value."""
+    return as_card_events(table(spark, sf, "events"))
+
+
+def as_card_events(events: DataFrame) -> DataFrame:
     status = (
         F.when(F.col("event_type") == "error", "failed")
         .when(F.col("event_type").isin("purchase", "signup"), "success")
         .otherwise("pending")
     )
-    return table(spark, sf, "events").select(
+    return events.select(
         F.col("user_id").alias("job_id"),
         F.floor(F.get_json_object("props", "$.k").cast("int") / 10).alias("card"),
         status.alias("status"),

@@ -662,19 +662,30 @@ def _scratch(spark):
     return f"{checkpoint_dir(spark)}/kittally-{uuid.uuid4().hex}"
 
 
-@query("progress_stream", f"WITH {LAST} SELECT * FROM counters")
-def progress_stream(spark, sf):
-    """The same counters from a stream of the events, through per-card state."""
+def _event_stream(spark, sf):
     schema = B.table(spark, sf, "events").schema
     raw = spark.readStream.schema(schema).parquet(f"{sf}/events.parque[t]")
-    status = (
-        F.when(F.col("event_type") == "error", "failed").when(F.col("event_type").isin("purchase", "signup"), "success").otherwise("pending")
-    )
-    events = raw.select(
-        F.col("user_id").alias("job_id"), F.floor(F.get_json_object("props", "$.k").cast("int") / 10).alias("card"), status.alias("status"), "ts", "event_id"
-    )
+    return B.as_card_events(raw)
+
+
+@query("progress_stream", f"WITH {LAST} SELECT * FROM counters")
+def progress_stream(spark, sf):
+    """The same counters from a stream of the events, by a native aggregate per card."""
+    scratch = _scratch(spark)
+    status = S.card_status(_event_stream(spark, sf))
+
+    def keep(batch, epoch):
+        batch.write.mode("append").parquet(f"{scratch}/out")
+
+    S.publish(status, keep, f"{scratch}/state").awaitTermination()
+    return S.progress_of_status(spark.read.schema(status.schema).parquet(f"{scratch}/out"))
+
+
+@query("progress_stream_deltas", f"WITH {LAST} SELECT * FROM counters")
+def progress_stream_deltas(spark, sf):
+    """The same counters as a sum of changes, through custom state per card."""
     scratch = _scratch(spark)
-    return S.sum_deltas(S.run_to_table(S.card_deltas(events), f"{scratch}/out", f"{scratch}/state"))
+    return S.sum_deltas(S.run_to_table(S.card_deltas(_event_stream(spark, sf)), f"{scratch}/out", f"{scratch}/state"))
 
 
 @query("streaming_totals", f"WITH {O.CARD_LINES} SELECT part_key, sum(quantity) AS qty, count(*) AS lines FROM card_lines GROUP BY 1")

@@ -144,6 +144,23 @@ def card_deltas(events: DataFrame) -> DataFrame:
     )
 
 
+def card_status(events: DataFrame) -> DataFrame:
+    """Stream of each card's last outcome, kept by a native aggregate (T1 without Python)."""
+    ended = F.when(F.col("status") != "pending", F.struct("ts", "event_id"))
+    return events.groupBy("job_id", "card").agg(F.max_by("status", ended).alias("status"), F.max(ended).alias("at"))
+
+
+def progress_of_status(updates: DataFrame) -> DataFrame:
+    """Counters per job from the written rows of :func:`card_status`."""
+    last = updates.groupBy("job_id", "card").agg(F.max_by("status", "at").alias("status"))
+    s = F.col("status")
+    return last.groupBy("job_id").agg(
+        F.count(F.when(s == "success", 1)).alias("processed"),
+        F.count(F.when(s == "failed", 1)).alias("failed"),
+        F.count(F.lit(1)).alias("total"),
+    )
+
+
 def sum_deltas(deltas: DataFrame) -> DataFrame:
     return deltas.groupBy("job_id").agg(
         F.sum("processed").alias("processed"), F.sum("failed").alias("failed"), F.sum("total").alias("total")

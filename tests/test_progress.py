@@ -48,6 +48,19 @@ def test_stream_equals_batch_over_restarts(spark, tmp_path):
     assert [r.job_id for r in done.collect()] == [2]
 
 
+def test_native_stream_equals_batch(spark, tmp_path):
+    source, out, state = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state")
+    rows = events(FIRST + SECOND)
+
+    def keep(batch, epoch):
+        batch.write.mode("append").parquet(out)
+
+    for part in (rows[:5], rows[5:]):
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(source)
+        S.publish(S.card_status(spark.readStream.schema(SCHEMA).parquet(source)), keep, state).awaitTermination()
+    assert counters(S.progress_of_status(spark.read.parquet(out))) == {1: (1, 1, 2), 2: (0, 1, 1)}
+
+
 def test_streaming_totals(spark, tmp_path):
     source, out, state = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state")
     schema = "part_key string, qty double"
