@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import keywords as K
 from ..functions import text as X
+from ..session import cut
+from .scan import number_by
 
 LEADING_NUMBER = r"^(?:[A-Za-z]{1,3})?[0-9]{2,}"
 MODEL_AS = r"^[a-z0-9]+-[a-z0-9]*-as-[0-9]+"
@@ -137,41 +139,29 @@ def split_manifest(produced: DataFrame) -> DataFrame:
 def allocate_names(sheets: DataFrame) -> DataFrame:
     """Output file name of each (source, sheet, label) with deterministic suffixes (Q8).
 
-    Names follow the order (source, sheet, label); repeats of a base get _1, _2, ...
-    Positions are counted per source and then across sources. Families in which a suffixed
-    name equals another base are redone in exact sequence, on those families alone.
+    Names follow the order (source, sheet, label); repeats of a base get _1, _2, ... Families in
+    which a suffixed name equals another base are redone in exact sequence, on those alone.
     """
     label = F.substring(X.safe_filename(F.coalesce("label", F.lit(""))), 1, 50)
     sheet = F.substring(X.safe_filename("sheet"), 1, 50)
     based = sheets.withColumn(
         "base", F.when(label != "", F.concat(label, F.lit("_"), sheet)).otherwise(sheet)
     )
-    per_source = based.groupBy("base", "source").count()
-    earlier = per_source.select(
-        "base",
-        "source",
-        F.coalesce(
-            F.sum("count").over(
-                Window.partitionBy("base").orderBy("source").rowsBetween(Window.unboundedPreceding, -1)
-            ),
-            F.lit(0),
-        ).alias("_before"),
+    order = ["base", "source", "sheet", "label"]
+    # one global sort, frozen in a table: a base shared by most sheets spans many of its partitions
+    placed = cut(
+        based.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_pos", F.monotonically_increasing_id())
     )
-    within = Window.partitionBy("base", "source").orderBy("sheet", "label")
-    placed = (
-        based.join(earlier, ["base", "source"])
-        .withColumn("_k", F.col("_before") + F.row_number().over(within) - 1)
-        .withColumns(
-            {
-                "name": F.when(F.col("_k") == 0, F.col("base")).otherwise(
-                    F.concat("base", F.lit("_"), F.col("_k").cast("string"))
-                ),
-                "root": F.regexp_replace("base", r"(_[0-9]+)+\z", ""),
-            }
-        )
+    placed = number_by(placed, "_pos", ["base"], "_k").withColumns(
+        {
+            "name": F.when(F.col("_k") == 1, F.col("base")).otherwise(
+                F.concat("base", F.lit("_"), (F.col("_k") - 1).cast("string"))
+            ),
+            "root": F.regexp_replace("base", r"(_[0-9]+)+\z", ""),
+        }
     )
     columns = ["source", "sheet", "label", "base", "root", "name"]
-    placed = placed.select(*columns)
+    placed = cut(placed.select(*columns))
     clashing = (
         placed.groupBy("root", "name")
         .agg(F.count(F.lit(1)).alias("_n"))

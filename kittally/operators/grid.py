@@ -15,6 +15,7 @@ from ..functions import text as X
 from .scan import SHEET
 
 ROLES = ["part_no", "name_cn", "name_en", "qty"]
+HEADER_ROWS = 30  # headers are looked for in these rows, so samples of data end soon after them
 
 
 def sheet_extent(cells: DataFrame) -> DataFrame:
@@ -71,7 +72,7 @@ def non_blank() -> Column:
 # --- headers -----------------------------------------------------------------
 
 
-def score_headers(cells: DataFrame, rows: int = 30, cols: int = 29) -> DataFrame:
+def score_headers(cells: DataFrame, cols: int = 29) -> DataFrame:
     """How much each of the first rows looks like a header."""
     extent = sheet_extent(cells).select(*SHEET, "sheet", F.least("max_col", F.lit(cols)).alias("width"))
     v = F.col("_v")
@@ -80,7 +81,7 @@ def score_headers(cells: DataFrame, rows: int = 30, cols: int = 29) -> DataFrame
         return F.count(F.when(X.has_any(v, words), 1))
 
     top = (
-        cells.filter((F.col("row") <= rows) & (F.col("col") <= cols) & truthy())
+        cells.filter((F.col("row") <= HEADER_ROWS) & (F.col("col") <= cols) & truthy())
         .withColumn("_v", X.norm_text("value"))
         .filter(v != "")
     )
@@ -126,7 +127,7 @@ def header_span(headers: DataFrame) -> DataFrame:
 
 def header_text(cells: DataFrame, headers: DataFrame) -> DataFrame:
     """Joined text of all header rows, per column."""
-    found = cells.filter(truthy()).join(headers.select(*SHEET, "row", "pos"), [*SHEET, "row"])
+    found = cells.filter((F.col("row") <= HEADER_ROWS) & truthy()).join(headers.select(*SHEET, "row", "pos"), [*SHEET, "row"])
     ordered = F.array_sort(F.collect_list(F.struct("pos", "value")))
     return (
         found.groupBy(*SHEET, "col")
@@ -189,8 +190,8 @@ def score_columns(texts: DataFrame) -> DataFrame:
 
 
 def data_sample(cells: DataFrame, span: DataFrame, rows: int) -> DataFrame:
-    """Cells of the first ``rows`` data rows of each sheet."""
-    return cells.join(span.select(*SHEET, "data_start"), SHEET).filter(
+    """Cells of the first ``rows`` data rows of each sheet; the fixed bound reaches the scan."""
+    return cells.filter(F.col("row") <= HEADER_ROWS + rows).join(span.select(*SHEET, "data_start"), SHEET).filter(
         (F.col("row") >= F.col("data_start")) & (F.col("row") < F.col("data_start") + rows)
     )
 
@@ -441,7 +442,8 @@ def detect_configs(cells: DataFrame, headers: DataFrame, roles: DataFrame, rows:
     """
     span = header_span(headers)
     head = (
-        cells.join(span.select(*SHEET, F.col("header_row").alias("row")), [*SHEET, "row"])
+        cells.filter(F.col("row") <= HEADER_ROWS)
+        .join(span.select(*SHEET, F.col("header_row").alias("row")), [*SHEET, "row"])
         .select(*SHEET, "col", X.norm_text("value").alias("header"))
     )
     taken = F.array_compact(F.array(*ROLES))
@@ -515,7 +517,7 @@ def graphic_col(cells: DataFrame, headers: DataFrame, roles: DataFrame) -> DataF
     """Drawing or operation number column: by header, else by content, leftmost."""
     words = [w.lower() for w in K.GRAPHIC_NUMBER]
     named = (
-        _outside_roles(cells.join(headers.select(*SHEET, "row"), [*SHEET, "row"]), roles)
+        _outside_roles(cells.filter(F.col("row") <= HEADER_ROWS).join(headers.select(*SHEET, "row"), [*SHEET, "row"]), roles)
         .filter(X.has_any(F.lower("value"), words))
         .groupBy(*SHEET)
         .agg(F.min("col").alias("named"))

@@ -7,8 +7,6 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..functions import keywords as K
-from ..functions import text as X
 from ..operators import bom as BM
 from ..operators import mapping as M
 from ..operators import totals as A
@@ -19,7 +17,7 @@ from . import bindings as B
 from . import jobs as J
 from . import oracle as O
 from . import workbooks as W
-from .queries_grid import AUTO_CARD
+from .queries_grid import BASE, CONFIGS, MOVED
 from .queries_tables import EXTRACT
 from .registry import query
 
@@ -167,7 +165,23 @@ def detection_job_cards(spark, sf):
     return A.card_totals(J.cards_by_detection(cut(W.order_cells(spark, sf)))).select("part_key", "qty")
 
 
-@query("detection_job")
+_detected = f"""{CONFIGS}, bcol AS (SELECT c.file_id, c.col, coalesce(nullif({O.strip("replace(h.value, chr(10), ' ')")}, ''), 'Config_' || c.col::VARCHAR) AS config
+    FROM configs c JOIN span s ON s.file_id = c.file_id LEFT JOIN cells h ON h.file_id = c.file_id AND h.row = s.header_row AND h.col = c.col WHERE c.file_id LIKE 'part-%'),
+  bl AS (SELECT p.file_id, b.config, {O.part_key(O.clean_cell('p.value'))} AS part, {O.decode('m.value', 'q.value', 'true')} AS qty
+    FROM cells p JOIN roles r ON r.file_id = p.file_id AND p.col = r.part_no JOIN span s ON s.file_id = p.file_id AND p.row >= s.data_start
+    LEFT JOIN cells q ON q.file_id = p.file_id AND q.row = p.row AND q.col = r.qty
+    JOIN bcol b ON b.file_id = p.file_id JOIN cells m ON m.file_id = p.file_id AND m.row = p.row AND m.col = b.col AND NOT m.strike
+    WHERE p.file_id LIKE 'part-%' AND NOT p.strike AND NOT coalesce(q.strike, false) AND {O.is_part(O.clean_cell('p.value'))}),
+  {EXTRACT.replace("contains(value, '签字')", "false")},
+  bom AS (SELECT config, part, sum(qty) AS qty FROM bl WHERE qty > 0 GROUP BY 1, 2),
+  cards AS (SELECT part_key AS part, sum(qty) AS qty FROM extracted WHERE file_id LIKE 'ord-%' GROUP BY 1), configs_j AS (SELECT DISTINCT config FROM bom)"""
+
+
+@query(
+    "detection_job",
+    f"""{BASE}, {MOVED}, {_detected}, {O.outcomes(fuzzy=False).replace("FROM configs f", "FROM configs_j f")}, {O.SUMMARY}
+    SELECT {O.short_label('config', 52)} AS config_label, config, total_bom_parts, total_cards_parts, matched, discrepancies, only_in_bom, only_in_cards, qty_mismatch FROM summary""",
+)
 def detection_job(spark, sf):
     """Detection job over part and order workbooks, summary per configuration."""
     return J.run_by_detection(cut(W.part_cells(spark, sf)), cut(W.order_cells(spark, sf)))["per_config"]
