@@ -10,7 +10,7 @@ from __future__ import annotations
 from bisect import bisect_left
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import keywords as K
@@ -24,6 +24,9 @@ def _lower() -> Column:
     return F.lower(X.strip("value"))
 
 
+LAYOUT = ["part_col", "qty_col", "name_col", "data_start"]
+
+
 # --- parts-table headers -----------------------------------------------------
 
 
@@ -234,51 +237,52 @@ def extraction_errors(cells: DataFrame, layout: DataFrame, lines: DataFrame) ->
 BOUND_SCHEMA = "file_id string, sheet_idx int, card_idx int, start_row int, data_start int, end_row int"
 
 
-def split_stacked(
-    cells: DataFrame,
-    layout: DataFrame,
-    empty_rows: int = 1,
-    data_start_row: int = 0,
-    header_row: int = 0,
-    end_markers: list[str] | None = None,
-    max_cards: int = 0,
-) -> DataFrame:
+STACK_DEFAULTS = {"empty_rows": 1, "parts_data_start": 0, "parts_header": 0, "max_cards": 0}
+
+
+def split_stacked(cells: DataFrame, layout: DataFrame) -> DataFrame:
     """Boundaries of cards stacked in a sheet (G24): card_idx, start_row, data_start, end_row.
 
-    Where a card ends decides where the next is looked for, so each sheet is walked once, over
-    slim flags of its filled rows; a sheet has at most 1 048 576 of them by file format.
+    ``layout`` is that of :func:`guard_sheets` and may add empty_rows, parts_data_start,
+    parts_header, max_cards and card_end_markers. Where a card ends decides where the next is
+    looked for, so each sheet is walked once, over slim flags of its filled rows; a sheet has at
+    most 1 048 576 of them by file format.
     """
+    layout = layout.withColumns({n: F.lit(v) for n, v in STACK_DEFAULTS.items() if n not in layout.columns})
+    if "card_end_markers" not in layout.columns:
+        layout = layout.withColumn("card_end_markers", F.array().cast("array<string>"))
+    settings = ["data_start", "max_row", *STACK_DEFAULTS]
     guarded = guard_sheets(sheet_extent(cells), layout)
-    rows = layout_rows(cells, guarded)
-    markers = F.array(*[F.lit(m) for m in end_markers or []]).cast("array<string>")
-    part, name = X.strip("part.value"), X.strip("name_cell.value")
+    rows = layout_rows(cells, guarded).join(guarded.select(*SHEET, "card_end_markers", "max_row", *STACK_DEFAULTS), SHEET)
+    rows = rows.join(guarded.select(*SHEET, "data_start"), SHEET)
+    part, name, markers = X.strip("part.value"), X.strip("name_cell.value"), F.col("card_end_markers")
     flags = rows.select(
         *SHEET,
         "row",
+        *settings,
         ((F.coalesce(part, F.lit("")) != "") | (F.coalesce(name, F.lit("")) != "")).alias("filled"),
         F.coalesce(part.isin(K.STACKED_HEADER), F.lit(False)).alias("head"),
         _has_marker(part, markers).alias("part_mark"),
         (_has_marker(part, markers) | _has_marker(name, markers)).alias("mark"),
-    ).filter("filled").join(guarded.select(*SHEET, "data_start", "max_row"), SHEET)
+    ).filter("filled")
 
     def walk(sheet: pd.DataFrame) -> pd.DataFrame:
         sheet = sheet.sort_values("row")
+        set_to = {n: int(sheet[n].iloc[0]) for n in settings}
         filled = sheet["row"].tolist()
         heads = sheet.loc[sheet["head"], "row"].tolist()
         marks = sheet.loc[sheet["mark"], "row"].tolist()
         part_marks = set(sheet.loc[sheet["part_mark"], "row"])
-        last, at, found = int(sheet["max_row"].iloc[0]), int(sheet["data_start"].iloc[0]), []
+        last, at, limit, found = set_to["max_row"], set_to["data_start"], set_to["max_cards"], []
+        fixed = set_to["parts_data_start"] - 1 if set_to["parts_data_start"] > 0 else max(set_to["parts_header"], 1)
         while True:
             i = bisect_left(filled, at)
-            if i == len(filled) or filled[i] > last or (max_cards and len(found) >= max_cards):
+            if i == len(filled) or filled[i] > last or (limit and len(found) >= limit):
                 break
             start = filled[i]
             h = bisect_left(heads, start)
-            if h < len(heads) and heads[h] < start + 50:
-                data = heads[h] + 1
-            else:
-                data = start + (data_start_row - 1 if data_start_row > 0 else max(header_row, 1))
-            end = card_end(filled, marks, data, last)
+            data = heads[h] + 1 if h < len(heads) and heads[h] < start + 50 else start + fixed
+            end = card_end(filled, marks, data, last, set_to["empty_rows"])
             found.append((start, data, end))
             at = max(end + 1, start + 1)
             if at in part_marks:
@@ -289,7 +293,7 @@ def split_stacked(
         out.insert(0, "file_id", sheet["file_id"].iloc[0])
         return out
 
-    def card_end(filled: list[int], marks: list[int], data: int, last: int) -> int:
+    def card_end(filled: list[int], marks: list[int], data: int, last: int, empty_rows: int) -> int:
         m = bisect_left(marks, data)
         mark = marks[m] if m < len(marks) else last + 1
         i, row = bisect_left(filled, data), data
@@ -306,6 +310,18 @@ def split_stacked(
     return flags.groupBy(*SHEET).applyInPandas(walk, BOUND_SCHEMA)
 
 
+def number_cards(bounds: DataFrame) -> DataFrame:
+    """Cards with their position in the whole file, sheets in order: adds part_no, and parts in all."""
+    sheets = bounds.groupBy(*SHEET).agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy("file_id")
+    before = sheets.select(
+        *SHEET,
+        F.coalesce(F.sum("_n").over(w.orderBy("sheet_idx").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"),
+        F.sum("_n").over(w).alias("parts"),
+    )
+    return bounds.join(before, SHEET).withColumn("part_no", F.col("_b") + F.col("card_idx")).drop("_b")
+
+
 def assign_cards(lines: DataFrame, bounds: DataFrame) -> DataFrame:
     """Each line with the card it lies in; lines outside all go to the last card.
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import keywords as K
 from ..functions import text as X
 from ..operators import bom as BM
 from ..operators import classify as C
@@ -18,6 +19,7 @@ from ..operators import reconcile as R
 from ..operators import report as P
 from ..operators import tables as T
 from ..operators import totals as A
+from ..operators.scan import SHEET, union_all
 from ..session import cut
 
 CARD_FIELDS = ["file_id", "card_no", "sheet", "row", "raw", "part_key", "name_cn", "name_ru", "qty", "ord"]
@@ -40,6 +42,11 @@ def bom_side(cells: DataFrame, sheets: DataFrame) -> dict[str, DataFrame]:
 def with_card_fields(lines: DataFrame, card_no: DataFrame, dictionary: DataFrame | None) -> DataFrame:
     """Card lines with card number, order and translated name."""
     numbered = lines.join(card_no, "file_id").withColumn("ord", F.struct("file_id", "sheet_idx", "row"))
+    if "part_no" in lines.columns:
+        numbered = numbered.withColumn(
+            "card_no",
+            F.when(F.col("part_no").isNotNull(), F.concat("card_no", F.lit("_part"), F.col("part_no").cast("string"))).otherwise(F.col("card_no")),
+        )
     if dictionary is None:
         numbered = numbered.withColumn("name_ru", F.col("name_cn"))
     else:
@@ -47,6 +54,26 @@ def with_card_fields(lines: DataFrame, card_no: DataFrame, dictionary: DataFrame
     return numbered.select(*CARD_FIELDS)
 
 
+def card_units(cells: DataFrame) -> DataFrame:
+    """Sheets as they are read: workbooks of several cards fall into one unit per sheet.
+
+    A workbook with more than one sheet that is not a service sheet is split and its service
+    sheets are left out; other workbooks stay whole. Output: sheet, unit, unit_name, split.
+    """
+    sheets = cells.select(*SHEET, "sheet").distinct().withColumn("_s", X.has_any(F.lower("sheet"), K.SERVICE_FILE))
+    counted = sheets.groupBy("file_id").agg(F.count(F.when(~F.col("_s"), 1)).alias("_n"))
+    split = F.col("_n") > 1
+    name = F.concat(
+        F.substring(X.safe_filename(X.stem("file_id")), 1, 50), F.lit("_"), F.substring(X.safe_filename("sheet"), 1, 50), F.lit(".xlsx")
+    )
+    return sheets.join(counted, "file_id").filter(~split | ~F.col("_s")).select(
+        *SHEET,
+        F.when(split, F.concat("file_id", F.lit("#"), F.col("sheet_idx").cast("string"))).otherwise(F.col("file_id")).alias("unit"),
+        F.when(split, name).otherwise(F.col("file_id")).alias("unit_name"),
+        split.alias("split"),
+    )
+
+
 def lines_from_materials(records: DataFrame) -> DataFrame:
     """Card lines of material records as read back from disk."""
     return records.select(
@@ -62,28 +89,56 @@ def lines_from_materials(records: DataFrame) -> DataFrame:
     )
 
 
+def _classified(cells: DataFrame, names: DataFrame, rules: dict) -> DataFrame:
+    """Type and format group of files or units. ``names(file_id, name)``."""
+    content = C.content_digest(cells)
+    return C.classify_rules(names.join(content, "file_id", "left"), rules, "name", "content").drop("content")
+
+
 def cards_by_mapping(cells: DataFrame, mapping: DataFrame, rules: dict, dictionary: DataFrame | None = None) -> DataFrame:
     """Card lines of operational files by their format's layout; detection where that fails.
 
-    ``mapping`` is one parsed mapping row; ``rules`` its classification part.
+    ``mapping`` is one parsed mapping row; ``rules`` its classification part. Only operational
+    files are read. Stacked formats number their cards _part1, _part2, ... where a workbook that
+    is read whole holds several.
     """
-    files = cells.select("file_id").distinct()
-    content = C.content_digest(cells)
-    typed = cut(
-        C.classify_rules(files.join(content, "file_id", "left"), rules, "file_id", "content").filter("file_type <> 'service'")
+    named = cells.select("file_id").distinct().withColumn("name", F.col("file_id"))
+    wanted = _classified(cells, named, rules).filter("file_type = 'operational_card'").select("file_id")
+    units = cut(card_units(cells).join(wanted, "file_id", "left_semi"))
+    read = cut(
+        cells.join(units, SHEET).select(
+            F.col("unit").alias("file_id"),
+            F.when(F.col("split"), 0).otherwise(F.col("sheet_idx")).alias("sheet_idx"),
+            *[c for c in cells.columns if c not in SHEET],
+        )
     )
-    formats = M.card_formats(mapping, [])
-    layout = (
-        M.resolve_format(typed.filter("file_type = 'operational_card'"), formats, [])
+    whole = units.select(F.col("unit").alias("file_id"), F.col("unit_name").alias("name"), "split").distinct()
+    typed = cut(_classified(read, whole, rules))
+    layout = cut(
+        M.resolve_format(typed.filter("file_type = 'operational_card'"), M.card_formats(mapping, []), [])
         .filter("part_col > 0")
         .withColumn("end_markers", F.coalesce("end_markers", F.array().cast("array<string>")))
+        .withColumn("stacked", F.coalesce((F.col("layout_type") == "multi_card") & F.col("multi_card").isNotNull(), F.lit(False)))
+    )
+    plain = T.extract_table(read, layout.filter("NOT stacked").select("file_id", *T.LAYOUT, "end_markers"))
+    deck = layout.filter("stacked").select(
+        "file_id",
+        *T.LAYOUT,
+        F.coalesce("multi_card.empty_rows_separator", F.lit(1)).alias("empty_rows"),
+        F.coalesce("multi_card.parts_data_start_row", F.lit(0)).alias("parts_data_start"),
+        F.coalesce("multi_card.parts_header_row", F.lit(0)).alias("parts_header"),
+        F.coalesce("multi_card.max_cards", F.lit(0)).alias("max_cards"),
+        F.coalesce("multi_card.card_end_markers", F.array().cast("array<string>")).alias("card_end_markers"),
     )
-    plain = cut(T.extract_table(cells, layout.select("file_id", "part_col", "qty_col", "name_col", "data_start", "end_markers")))
-    failed = T.extraction_errors(cells, layout, plain).select("file_id")
+    bounds = cut(T.split_stacked(read, deck))
+    parts = T.number_cards(bounds).join(typed.filter("NOT split").select("file_id"), "file_id", "left_semi").filter("parts > 1")
+    stacked = T.stacked_lines(read, deck, bounds).join(parts.select(*SHEET, "card_idx", "part_no"), [*SHEET, "card_idx"], "left")
+    found = cut(union_all([plain, stacked.drop("card_idx")]))
+    failed = T.extraction_errors(read, layout, found).select("file_id")
     retry = typed.filter("file_type = 'unknown'").select("file_id").unionByName(failed)
-    auto = G.auto_card_cols(cells).join(retry, "file_id", "left_semi").withColumn("end_markers", F.array().cast("array<string>"))
-    lines = plain.unionByName(T.extract_table(cells, auto))
-    return with_card_fields(lines, typed.select("file_id", X.card_number("file_id").alias("card_no")), dictionary)
+    auto = G.auto_card_cols(read).join(retry, "file_id", "left_semi").withColumn("end_markers", F.array().cast("array<string>"))
+    lines = union_all([found, T.extract_table(read, auto)])
+    return with_card_fields(lines, typed.select("file_id", X.card_number("name").alias("card_no")), dictionary)
 
 
 def cards_by_detection(cells: DataFrame, dictionary: DataFrame | None = None) -> DataFrame:

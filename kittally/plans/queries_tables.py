@@ -146,7 +146,9 @@ STACKED = f"""{GUARDED}, sf AS (SELECT c.file_id, c.sheet_idx, c.row, g.data_sta
 
 def _bounds(spark, sf):
     cells, layout = _layout(spark, sf)
-    return cells, layout, T.split_stacked(cells, layout, empty_rows=2, end_markers=["签字"])
+    return cells, layout, T.split_stacked(
+        cells, layout.withColumns({"empty_rows": F.lit(2), "card_end_markers": F.array(F.lit("签字"))})
+    )
 
 
 @query("split_stacked", f"WITH RECURSIVE {CELLS}, {STACKED} SELECT * FROM bounds")

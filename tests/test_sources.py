@@ -155,6 +155,26 @@ def test_jobs_from_files(spark, folder):
     assert spark.read.option("header", "true").csv(str(folder / "report" / "totals")).count() == 2
 
 
+def test_split_and_stacked_cards(spark, tmp_path):
+    part = ["Part No", "Name", "Qty"]
+    stack = [part, ["P001", "Bolt", 2], [None], part, ["P002", "Nut", 4]]
+    (tmp_path / "b7 deck.xlsx").write_bytes(package([("S", sheet(stack), [])]))
+    (tmp_path / "a55 many.xlsx").write_bytes(package([("封面", sheet([["P900", "x", 1]] * 3), []), ("one", sheet([part, ["P003", "a", 1]]), []), ("two", sheet([part, ["P004", "b", 1]]), [])]))
+    (tmp_path / "unknown.xlsx").write_bytes(package([("S", sheet([part, ["P999", "x", 1]]), [])]))
+    cells = WB.tables(WB.ingest(spark, str(tmp_path)).cache())["cells"]
+    columns = {"part_no": 1, "name": 2, "qty": 3}
+    mapping = {"cards": {"formats": {
+        "plain": {"sheets": [{"columns": columns, "header_rows": [1]}]},
+        "deck": {"sheets": [{"columns": columns, "table_boundaries": {"type": "multi_card", "data_start_row": 2, "multi_card": {"empty_rows_separator": 1, "parts_data_start_row": 1}}}]},
+    }}}
+    rules = {"operational_card_patterns": [
+        {"type": "filename_regex", "pattern": "^a\\d", "format_group": "plain"}, {"type": "filename_regex", "pattern": "^b\\d", "format_group": "deck"}]}
+    mapped = M.read_mapping(spark.createDataFrame([(json.dumps(mapping),)], "mapping_config string"))
+    lines = J.cards_by_mapping(cells, mapped.select("mapping"), rules).collect()
+    assert sorted((r.card_no, r.sheet, r.raw) for r in lines) == [
+        ("a55", "one", "P003"), ("a55", "two", "P004"), ("b7 deck_part1", "S", "P001"), ("b7 deck_part2", "S", "P002")]
+
+
 def test_format_resolution(spark):
     mapped = M.read_mapping(spark.createDataFrame([(json.dumps(MAPPING),), ], "mapping_config string"))
     files = spark.createDataFrame([("a", "plain"), ("b", None)], "file_id string, format_group string")

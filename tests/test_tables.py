@@ -193,7 +193,7 @@ def test_stacked_cards(make_cells, gap):
     layout = cells.select("file_id").distinct().withColumns(
         {"part_col": F.lit(1), "qty_col": F.lit(3), "name_col": F.lit(2), "data_start": F.lit(2)}
     )
-    bounds = T.split_stacked(cells, layout, gap, end_markers=["签字"])
+    bounds = T.split_stacked(cells, layout.withColumns({"empty_rows": F.lit(gap), "card_end_markers": F.array(F.lit("签字"))}))
     got = by_file(bounds, "start_row", "data_start", "end_row")
     for (file, _), c in sheets.items():
         if size(c)[0] >= 2 and size(c)[1] >= 3:
@@ -208,7 +208,8 @@ def test_two_stacked_cards(make_cells):
     layout = cells.select("file_id").distinct().withColumns(
         {"part_col": F.lit(1), "qty_col": F.lit(3), "name_col": F.lit(2), "data_start": F.lit(2)}
     )
-    bounds = T.split_stacked(cells, layout, 1, data_start_row=1, header_row=1, end_markers=["签字", "审核"])
+    ends = F.array(F.lit("签字"), F.lit("审核"))
+    bounds = T.split_stacked(cells, layout.withColumns({"parts_data_start": F.lit(1), "parts_header": F.lit(1), "card_end_markers": ends}))
     assert by_file(bounds, "card_idx", "start_row", "end_row") == {"001.xlsx": [(1, 2, 3), (2, 5, 7)]}
     lines = T.stacked_lines(cells, layout, bounds)
     assert sorted((r.raw, r.card_idx, r.qty) for r in lines.collect()) == [("P001", 1, 2.0), ("P002", 1, 4.0), ("P003", 2, 6.0), ("P004", 2, 1.0)]
