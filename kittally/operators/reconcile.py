@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .scan import union_all
 
 TOLERANCE = 0.001
 CATALOGUE_SLICE = 1024
@@ -56,11 +57,11 @@ def config_slices(configs: DataFrame) -> DataFrame:
 
 
 def missing_configs(parts: DataFrame, bom_qty: DataFrame, configs: DataFrame) -> DataFrame:
-    """(part, config) for every configuration that lacks the part.
+    """Each row of ``parts`` once for every configuration that lacks its part: adds config.
 
     The names a part has and all names meet slice by slice, so arrays stay bounded and only
-    result rows are unfolded. The slice table is small; adaptive execution broadcasts it when
-    its measured size permits and otherwise shuffles on the slice.
+    result rows are unfolded, with no shuffle after that. The slice table is small; adaptive
+    execution broadcasts it when its measured size permits and otherwise shuffles on the slice.
     """
     slices = config_slices(configs)
     n = slices.agg(F.coalesce(F.max("slices"), F.lit(1)).alias("n")).select("n").scalar()
@@ -70,16 +71,12 @@ def missing_configs(parts: DataFrame, bom_qty: DataFrame, configs: DataFrame) ->
         .groupBy("part", "slice")
         .agg(F.collect_set("config").alias("held"))
     )
-    wanted = parts.select("part").distinct().withColumn("slice", F.explode(F.sequence(F.lit(0), n - 1)))
+    wanted = parts.withColumn("slice", F.explode(F.sequence(F.lit(0), n - 1)))
+    lacking = F.array_except("names", F.coalesce("held", F.array().cast("array<string>")))
     return (
         wanted.join(held, ["part", "slice"], "left")
         .join(slices.select("slice", "names"), "slice")
-        .select(
-            "part",
-            F.explode(
-                F.array_except("names", F.coalesce("held", F.array().cast("array<string>")))
-            ).alias("config"),
-        )
+        .select(*[F.col(c) for c in parts.columns], F.explode(lacking).alias("config"))
     )
 
 
@@ -100,73 +97,67 @@ def outcomes(
     ``strict_pairs`` also reports a paired card part in configurations without its BOM part.
     """
     configs = bom_qty if configs is None else configs
-    card = cards.select("part", F.col("qty").alias("qty_cards"))
+    # validity is judged once per part, not once per result row
+    card = cards.select("part", F.col("qty").alias("qty_cards"), X.is_part("part").alias("card_ok"))
     bom = bom_qty.select("config", "part", F.col("qty").alias("qty_bom"))
-    bom_parts = bom_qty.select("part").distinct()
-    if pairs is None and fuzzy:
-        pairs = format_pairs(bom_parts, cards)
-
-    met = bom.join(card, "part", "left")
+    seen = bom_qty.select("part").distinct().withColumn("bom_ok", X.is_part("part"))
     if fuzzy:
         keys = card.select(X.part_key("part").alias("part_key"), F.lit(True).alias("on_cards")).distinct()
-        seen = bom_parts.withColumn("part_key", X.part_key("part")).join(keys, "part_key", "left")
-        met = met.join(seen.select("part", "on_cards"), "part")
+        seen = seen.withColumn("part_key", X.part_key("part")).join(keys, "part_key", "left").drop("part_key")
     else:
-        met = met.withColumn("on_cards", F.lit(None).cast("boolean"))
-    from_bom = met.select(
-        "config",
-        F.col("part").alias("bom_part"),
-        F.when(F.col("qty_cards").isNotNull(), F.col("part")).alias("card_part"),
-        "qty_bom",
-        F.coalesce("qty_cards", F.lit(0.0)).alias("qty_cards"),
-        F.when(F.col("qty_cards").isNull() & F.col("on_cards"), "set_aside")
-        .when(F.col("qty_cards").isNull(), "only_in_bom")
-        .when(F.abs(F.col("qty_bom") - F.col("qty_cards")) > tol, "qty_mismatch")
-        .otherwise("matched")
-        .alias("outcome"),
-    )
+        seen = seen.withColumn("on_cards", F.lit(False))
+    if pairs is None and fuzzy:
+        pairs = format_pairs(bom_qty.select("part"), cards)
+
+    facts = seen.join(card.drop("card_ok"), "part", "left")
+    found = F.col("qty_cards").isNotNull()
+    parts = [
+        bom.join(facts, "part").select(
+            "config",
+            F.col("part").alias("bom_part"),
+            F.when(found, F.col("part")).alias("card_part"),
+            "qty_bom",
+            F.coalesce("qty_cards", F.lit(0.0)).alias("qty_cards"),
+            F.when(~found & F.col("on_cards"), "set_aside")
+            .when(~found, "only_in_bom")
+            .when(F.abs(F.col("qty_bom") - F.col("qty_cards")) > tol, "qty_mismatch")
+            .otherwise("matched")
+            .alias("outcome"),
+            F.col("bom_ok").alias("valid"),
+        )
+    ]
+
+    def surplus(rows: DataFrame, card_part: str) -> DataFrame:
+        return missing_configs(rows, bom_qty, configs).select(
+            "config",
+            F.lit(None).cast("string").alias("bom_part"),
+            F.col(card_part).alias("card_part"),
+            F.lit(0.0).alias("qty_bom"),
+            "qty_cards",
+            F.lit("only_in_cards").alias("outcome"),
+            F.col("card_ok").alias("valid"),
+        )
 
     loose = card
-    parts = [from_bom]
     if pairs is not None:
-        paired = pairs.join(card.withColumnRenamed("part", "card_part"), "card_part")
+        linked = pairs.withColumn("pair_ok", X.is_part("bom_part"))
+        paired = linked.join(card.withColumnRenamed("part", "card_part"), "card_part")
         parts.append(
             paired.join(bom.withColumnRenamed("part", "bom_part"), "bom_part").select(
-                "config", "bom_part", "card_part", "qty_bom", "qty_cards", F.lit("fuzzy_match").alias("outcome")
+                "config",
+                "bom_part",
+                "card_part",
+                "qty_bom",
+                "qty_cards",
+                F.lit("fuzzy_match").alias("outcome"),
+                (F.col("pair_ok") & F.col("card_ok")).alias("valid"),
             )
         )
         loose = card.join(pairs.select(F.col("card_part").alias("part")), "part", "left_anti")
         if strict_pairs:
-            elsewhere = missing_configs(pairs.select(F.col("bom_part").alias("part")), bom_qty, configs)
-            parts.append(
-                paired.join(elsewhere.withColumnRenamed("part", "bom_part"), "bom_part").select(
-                    "config",
-                    F.lit(None).cast("string").alias("bom_part"),
-                    "card_part",
-                    F.lit(0.0).alias("qty_bom"),
-                    "qty_cards",
-                    F.lit("only_in_cards").alias("outcome"),
-                )
-            )
-    parts.append(
-        missing_configs(loose, bom_qty, configs)
-        .join(card, "part")
-        .select(
-            "config",
-            F.lit(None).cast("string").alias("bom_part"),
-            F.col("part").alias("card_part"),
-            F.lit(0.0).alias("qty_bom"),
-            "qty_cards",
-            F.lit("only_in_cards").alias("outcome"),
-        )
-    )
-    result = parts[0]
-    for other in parts[1:]:
-        result = result.unionByName(other)
-    good = X.is_part(F.coalesce("bom_part", "card_part")) & (
-        (F.col("outcome") != "fuzzy_match") | X.is_part("card_part")
-    )
-    return result.withColumn("valid", good)
+            parts.append(surplus(paired.withColumnRenamed("bom_part", "part"), "card_part"))
+    parts.append(surplus(loose, "part"))
+    return union_all(parts)
 
 
 def reconcile(bom_qty: DataFrame, cards: DataFrame, **options) -> DataFrame:

@@ -15,9 +15,11 @@ def read_materials(spark: SparkSession, path: str, arrays: bool = True) -> DataF
     """Part lines of all material files below ``path``.
 
     ``arrays`` reads one array of records per file; otherwise one record per line, as written by
-    :func:`write_materials`. Error files, unreadable records and empty files give no lines. ``ord`` is the path and row,
-    the order in which first and last are meant.
+    :func:`write_materials`. Error files, unreadable records and empty files give no lines. ``ord``
+    is the order in which first and last are meant: files by path, records as they stand.
     """
+    # a file of one array is read by one task, in record order
+    order = F.struct("path", F.monotonically_increasing_id()) if arrays else F.struct("card_no", "sheet_name", "row_index")
     rows = (
         spark.read.schema(MATERIAL_SCHEMA)
         .option("multiLine", arrays)
@@ -30,7 +32,7 @@ def read_materials(spark: SparkSession, path: str, arrays: bool = True) -> DataF
     )
     return (
         rows.filter(~F.endswith("path", F.lit("_error.json")) & F.col("_corrupt").isNull() & F.col("part_no").isNotNull())
-        .withColumn("ord", F.struct("path", "row_index"))
+        .withColumn("ord", order)
         .drop("_corrupt")
     )
 
