@@ -97,6 +97,28 @@ def outcomes(
     ``strict_pairs`` also reports a paired card part in configurations without its BOM part.
     """
     configs = bom_qty if configs is None else configs
+    rows, paired, loose = _compared(bom_qty, cards, fuzzy, pairs, tol)
+
+    def surplus(of: DataFrame, card_part: str) -> DataFrame:
+        return missing_configs(of, bom_qty, configs).select(
+            "config",
+            F.lit(None).cast("string").alias("bom_part"),
+            F.col(card_part).alias("card_part"),
+            F.lit(0.0).alias("qty_bom"),
+            "qty_cards",
+            F.lit("only_in_cards").alias("outcome"),
+            F.col("card_ok").alias("valid"),
+        )
+
+    if strict_pairs and paired is not None:
+        rows.append(surplus(paired.withColumnRenamed("bom_part", "part"), "card_part"))
+    return union_all([*rows, surplus(loose, "part")])
+
+
+def _compared(
+    bom_qty: DataFrame, cards: DataFrame, fuzzy: bool, pairs: DataFrame | None, tol: float
+) -> tuple[list[DataFrame], DataFrame | None, DataFrame]:
+    """Rows of BOM parts and of format pairs; the pairs; the card parts that are in no pair."""
     # validity is judged once per part, not once per result row
     card = cards.select("part", F.col("qty").alias("qty_cards"), X.is_part("part").alias("card_ok"))
     bom = bom_qty.select("config", "part", F.col("qty").alias("qty_bom"))
@@ -127,17 +149,7 @@ def outcomes(
         )
     ]
 
-    def surplus(rows: DataFrame, card_part: str) -> DataFrame:
-        return missing_configs(rows, bom_qty, configs).select(
-            "config",
-            F.lit(None).cast("string").alias("bom_part"),
-            F.col(card_part).alias("card_part"),
-            F.lit(0.0).alias("qty_bom"),
-            "qty_cards",
-            F.lit("only_in_cards").alias("outcome"),
-            F.col("card_ok").alias("valid"),
-        )
-
+    paired = None
     loose = card
     if pairs is not None:
         linked = pairs.withColumn("pair_ok", X.is_part("bom_part"))
@@ -154,10 +166,7 @@ def outcomes(
             )
         )
         loose = card.join(pairs.select(F.col("card_part").alias("part")), "part", "left_anti")
-        if strict_pairs:
-            parts.append(surplus(paired.withColumnRenamed("bom_part", "part"), "card_part"))
-    parts.append(surplus(loose, "part"))
-    return union_all(parts)
+    return parts, paired, loose
 
 
 def reconcile(bom_qty: DataFrame, cards: DataFrame, **options) -> DataFrame:
@@ -204,6 +213,54 @@ def config_summary(result: DataFrame, cards: DataFrame) -> DataFrame:
     )
 
 
+def summarise(
+    bom_qty: DataFrame,
+    cards: DataFrame,
+    configs: DataFrame | None = None,
+    fuzzy: bool = True,
+    pairs: DataFrame | None = None,
+    strict_pairs: bool = False,
+    tol: float = TOLERANCE,
+) -> DataFrame:
+    """The summary of :func:`config_summary` without listing the surplus of each configuration.
+
+    Card parts a configuration lacks are counted as all of them less those it has, so nothing
+    of the size configurations times cards is ever made.
+    """
+    configs = bom_qty if configs is None else configs
+    rows, paired, loose = _compared(bom_qty, cards, fuzzy, pairs, tol)
+    usable = loose.filter("card_ok").select("part")
+    held = bom_qty.join(usable, "part", "left_semi").select("config")
+    total = usable.agg(F.count("part").alias("n")).select("n").scalar()
+    if strict_pairs and paired is not None:
+        good = paired.filter("card_ok")
+        held = held.unionByName(good.join(bom_qty.withColumnRenamed("part", "bom_part"), "bom_part").select("config"))
+        total = total + good.agg(F.count("card_part").alias("n")).select("n").scalar()
+    n_cards = cards.agg(F.count("part").alias("n")).select("n").scalar()
+    o = F.col("outcome")
+    counted = union_all([*rows, held.select("config", F.lit("held").alias("outcome"), F.lit(True).alias("valid"))])
+
+    def n(*kinds: str, judged: bool = True) -> F.Column:
+        hit = o.isin(*kinds) & F.col("valid") if judged else o.isin(*kinds)
+        return F.count(F.when(hit, 1))
+
+    zero = F.lit(0).cast("long")
+    per = counted.groupBy("config").agg(
+        n("matched", "qty_mismatch", "only_in_bom", "set_aside", judged=False).alias("total_bom_parts"),
+        *[n(k).alias(k) for k in ("matched", "only_in_bom", "qty_mismatch", "fuzzy_match")],
+        n("held").alias("_held"),
+    )
+    filled = configs.select("config").distinct().join(per, "config", "left").select(
+        "config",
+        *[F.coalesce(c, zero).alias(c) for c in ("total_bom_parts", "matched", "only_in_bom", "qty_mismatch", "fuzzy_match")],
+        (total - F.coalesce("_held", zero)).alias("only_in_cards"),
+    )
+    return filled.withColumn("total_cards_parts", n_cards).withColumn(
+        "discrepancies",
+        F.col("only_in_bom") + F.col("only_in_cards") + F.col("qty_mismatch") + F.col("fuzzy_match"),
+    )
+
+
 def with_details(disc: DataFrame, bom_names: DataFrame, cards: DataFrame, originals: DataFrame | None = None) -> DataFrame:
     """Names and original spellings of reported parts.
 

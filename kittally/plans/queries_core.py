@@ -372,10 +372,21 @@ def reconcile_keys(spark, sf):
 
 @query("config_summary", f"{CORE} SELECT * FROM summary")
 def config_summary(spark, sf):
+    return R.summarise(*_raw(spark, sf))
+
+
+@query("config_summary_listed", f"{CORE} SELECT * FROM summary")
+def config_summary_listed(spark, sf):
+    """The same counts from the listed outcomes."""
     bom, cards = _raw(spark, sf)
     return R.config_summary(R.outcomes(bom, cards), cards)
 
 
+@query("config_summary_strict_pairs", f"WITH {O.RAW}, {O.outcomes(strict=True)}, {O.SUMMARY} SELECT * FROM summary")
+def config_summary_strict_pairs(spark, sf):
+    return R.summarise(*_raw(spark, sf), strict_pairs=True)
+
+
 RAW_NAMES = f"""raw_names AS (SELECT raw AS part,
   coalesce(arg_min({O.clean_cell('name_cn')}, ord) FILTER ({O.clean_cell('name_cn')} <> ''), '') AS name_cn,
   coalesce(arg_min({O.clean_cell('name_en')}, ord) FILTER ({O.clean_cell('name_en')} <> ''), '') AS name_en FROM bom_lines GROUP BY 1)"""
@@ -449,7 +460,7 @@ def part_catalog(spark, sf):
 )
 def integrity(spark, sf):
     bom, cards = _raw(spark, sf)
-    return R.integrity(R.config_summary(R.outcomes(bom, cards), cards))
+    return R.integrity(R.summarise(bom, cards))
 
 
 @query("integrity_global", f"{CORE} SELECT count(*) AS total, count(*) AS typed, true AS is_ok FROM disc")
@@ -480,7 +491,7 @@ def report_totals(spark, sf):
 )
 def report_per_config(spark, sf):
     bom, cards = _raw(spark, sf)
-    return P.per_config(R.config_summary(R.outcomes(bom, cards), cards))
+    return P.per_config(R.summarise(bom, cards))
 
 
 FIRST_CARDS = """first_cards AS (SELECT part, string_agg(card_no, ', ' ORDER BY n) AS card_list FROM (
@@ -559,7 +570,7 @@ def report_digest(spark, sf):
 )
 def report_config_digest(spark, sf):
     bom, cards = _raw(spark, sf)
-    return P.config_digest(R.config_summary(R.outcomes(bom, cards), cards), _numbered(spark, sf))
+    return P.config_digest(R.summarise(bom, cards), _numbered(spark, sf))
 
 
 @query(

@@ -82,6 +82,15 @@ def test_many_configs_cross_slices(spark, monkeypatch):
     assert got == {(f"c{i:03d}", f"P{p:03d}") for i in range(50) for p in range(9)} - held
 
 
+@pytest.mark.parametrize("options", [{}, {"fuzzy": False}, {"strict_pairs": True}])
+def test_summary_without_listing(spark, options):
+    b = bom(spark, [("A", "AB-12", 1.0), ("A", "板", 1.0), ("B", "P001", 2.0), ("B", "CD-34", 2.0), ("C", "CD 34", 1.0)])
+    c = cards(spark, [("AB12", 1.0), ("P001", 2.0), ("无", 1.0), ("CD.34", 5.0), ("P009", 1.0)])
+    columns = sorted(R.summarise(b, c, **options).columns)
+    listed = R.config_summary(R.outcomes(b, c, **options), c).select(columns)
+    assert sorted(map(tuple, R.summarise(b, c, **options).select(columns).collect())) == sorted(map(tuple, listed.collect()))
+
+
 def test_one_config_and_unknown(spark):
     b = bom(spark, [("A", "P001", 2.0), ("B", "P002", 1.0)])
     c = cards(spark, [("P001", 1.0), ("P-002", 1.0)])
