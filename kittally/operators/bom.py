@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from .grid import bom_candidates, detect_configs, detect_roles, header_span, pick_headers, score_headers, truthy
+from .grid import bom_candidates, detect_configs, detect_roles, pick_headers, score_headers, truthy
 from .mapping import bom_sheet_configs
 from .scan import SHEET
 from .totals import config_key, config_order, valid_bom_rows

@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text as X
 
 SHEET_SCHEMA = (
     "struct<sheet_name:string,sheet_type:string,header_rows:array<int>,data_start_row:int,"

@@ -115,13 +115,6 @@ def guard_sheets(sheets: DataFrame, layout: DataFrame) -> DataFrame:
     )
 
 
-def _column(cells: DataFrame, guarded: DataFrame, which: str, out: str) -> DataFrame:
-    """Values of one layout column: (sheet, row, out)."""
-    return cells.join(
-        guarded.select(*SHEET, F.col(which).alias("col")), [*SHEET, "col"]
-    ).select(*SHEET, "row", F.struct("value", "num", "kind", "strike").alias(out))
-
-
 def layout_rows(cells: DataFrame, guarded: DataFrame) -> DataFrame:
     """Rows at or below data_start with part, name and quantity cells side by side.
 

@@ -13,7 +13,6 @@ from ..operators import grid as G
 from ..operators import mapping as M
 from ..operators import quality as Q
 from ..operators import tables as T
-from ..operators import totals as A
 from ..session import checkpoint_dir, cut
 from ..streaming import progress as S
 from . import bindings as B
@@ -24,7 +23,6 @@ from .registry import query
 
 SH = "file_id, sheet_idx"
 CELLS = W.sql()
-ENDS = ["签字", "检验项目"]
 _v = f"lower({O.strip('value')})"
 _hit = f"({O.any_of('v', [w for w in K.PART_NO if w != K.FALSE_PART_WORD])} OR (contains(v, '{K.FALSE_PART_WORD}') AND NOT {O.false_part('v')}))"
 _rank = "CASE " + " ".join(
@@ -64,7 +62,6 @@ def locate_table(spark, sf):
 
 # --- plain card sheets -------------------------------------------------------
 
-_ends = ", ".join(O.lit(e) for e in ENDS[:1])
 GUARDED = f"""{AUTO_CARD}, guarded AS (SELECT e.*, a.data_start, a.part_col, a.qty_col, a.name_col, greatest(part_col, qty_col, name_col) > max_col AS skipped
   FROM extent e JOIN auto_card a USING (file_id) WHERE max_row >= 2 AND max_col >= 2)"""
 EXTRACT = f"""{GUARDED}, g AS (SELECT * FROM guarded WHERE NOT skipped),
@@ -405,10 +402,6 @@ def splittable(spark, sf):
     )
 
 
-_NAMED = f"""based AS (SELECT o_custkey::VARCHAR AS source, o_orderkey::VARCHAR || ' ' || o_orderpriority AS sheet, o_orderstatus || ':' AS label,
-    substr({O.safe_filename("o_orderstatus || ':'")}, 1, 50) || '_' || substr({O.safe_filename("o_orderpriority")}, 1, 50) AS base FROM orders)"""
-
-
 @query(
     "allocate_names",
     f"""WITH n AS (SELECT o_custkey::VARCHAR AS source, o_orderpriority AS sheet, o_orderstatus || ':' AS label, o_orderkey FROM orders),

@@ -1,5 +1,4 @@
 import pytest
-from pyspark.sql import functions as F
 
 from kittally.operators import reconcile as R
 from kittally.operators import report as P
