@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kittally.llm import bpe, simhash
+from kittally.llm import bpe, quality, simhash
 from kittally.llm.common import table
 
 
@@ -23,5 +23,9 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op3_simhash": op3_simhash, "op6_bpe": op6_bpe}
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {"op3_simhash": op3_simhash, "op6_bpe": op6_bpe, "op8_quality": op8_quality}
 ORACLES: dict[str, str] = {}
