@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kittally.llm import bpe, language, quality, simhash
+from kittally.llm import bpe, classlm, language, quality, simhash
 from kittally.llm.common import table
 
 
@@ -31,5 +31,9 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.languages(table(spark, sf_dir, "documents")).drop("shares")
 
 
-QUERIES = {"op3_simhash": op3_simhash, "op6_bpe": op6_bpe, "op8_quality": op8_quality, "op7_language": op7_language}
+def op9_classlm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classlm.perplexity(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op3_simhash": op3_simhash, "op6_bpe": op6_bpe, "op8_quality": op8_quality, "op7_language": op7_language, "op9_classlm": op9_classlm}
 ORACLES: dict[str, str] = {}
