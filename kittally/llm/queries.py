@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kittally.llm import bpe, classlm, language, quality, simhash, spans
+from kittally.llm import bpe, classlm, language, quality, simhash, spans, toxicity
 from kittally.llm.common import table
 
 
@@ -40,5 +40,9 @@ def op10_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {"op3_simhash": op3_simhash, "op6_bpe": op6_bpe, "op8_quality": op8_quality, "op7_language": op7_language, "op9_classlm": op9_classlm, "op10_spans": op10_spans}
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {"op3_simhash": op3_simhash, "op6_bpe": op6_bpe, "op8_quality": op8_quality, "op7_language": op7_language, "op9_classlm": op9_classlm, "op10_spans": op10_spans, "op5_toxicity": op5_toxicity}
 ORACLES: dict[str, str] = {}
