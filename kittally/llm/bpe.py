@@ -15,6 +15,7 @@ import codecs
 import heapq
 import json
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +27,8 @@ from kittally.llm.common import id_text, values
 
 #: Fixed value: the split pattern of byte-level BPE files with use_regex.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-SLICE, WINDOW, SHORT, REMEMBERED, FLUSH = 1 << 16, 1 << 12, 64, 1 << 18, 8 << 20
+SLICE, WINDOW, SHORT, REMEMBERED, FLUSH = 1 << 16, 1 << 12, 64, 1 << 19, 8 << 20
+NO_RULE = 1 << 62
 
 
 def byte_letters() -> dict[str, int]:
@@ -64,6 +66,7 @@ class Vocabulary:
         ids = {b: i for i, b in self.bytes_of.items()}
         rules = [tuple(map(raw, r.split(" ") if isinstance(r, str) else r)) for r in model["merges"]]
         self.ranks = {(ids[a], ids[b]): (k, ids[a + b]) for k, (a, b) in reversed([*enumerate(rules)])}
+        self.codes = {pair: (rank << 32) + whole for pair, (rank, whole) in self.ranks.items()}
         self.single = [ids[bytes([b])] for b in range(256)]
         self.lookahead = lookahead(rules)
         added = spec["added_tokens"]
@@ -102,6 +105,20 @@ class Encoder:
                     heapq.heappush(heap, (*ranks[p], k, p))
         return [i for i in ids if i is not None]
 
+    def merge_short(self, data: bytes) -> list[int]:
+        """The same for a few bytes: looks for the lowest rank again after each merge."""
+        get, ids = self.vocabulary.codes.get, [*map(self.vocabulary.single.__getitem__, data)]
+        codes = [get(p, NO_RULE) for p in zip(ids, ids[1:])]
+        while codes and (code := min(codes)) != NO_RULE:
+            i = codes.index(code)
+            ids[i : i + 2] = [code & 0xFFFFFFFF]
+            del codes[i]
+            if i:
+                codes[i - 1] = get((ids[i - 1], ids[i]), NO_RULE)
+            if i < len(codes):
+                codes[i] = get((ids[i], ids[i + 1]), NO_RULE)
+        return ids
+
     def stream(self, parts: Iterator[bytes]) -> Iterator[bytes]:
         """The transducer: bytes of one piece in, packed ids out as soon as they are settled."""
         held, sizes = b"", self.vocabulary.bytes_of
@@ -122,7 +139,7 @@ class Encoder:
     def short(self, piece: str) -> bytes:
         if len(self.known) >= REMEMBERED:
             self.known.clear()
-        packed = self.known[piece] = np.array(self.merge(piece.encode()), "<u4").tobytes()
+        packed = self.known[piece] = array("I", self.merge_short(piece.encode())).tobytes()
         return packed
 
     def plain(self, text: str, start: int, stop: int) -> Iterator[bytes]:
