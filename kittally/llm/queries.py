@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kittally.llm import bpe, classlm, decontam, language, lines, quality, simhash, spans, toxicity
+from kittally.llm import bpe, classlm, decontam, embeddings, language, lines, quality, simhash, spans, toxicity
 from kittally.llm.common import table
 
 
@@ -53,5 +53,9 @@ def op1_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", F.size("removed").alias("n_removed"), F.array_join("removed", ",").alias("removed"))
 
 
-QUERIES = {"op3_simhash": op3_simhash, "op6_bpe": op6_bpe, "op8_quality": op8_quality, "op7_language": op7_language, "op9_classlm": op9_classlm, "op10_spans": op10_spans, "op5_toxicity": op5_toxicity, "op2_decontamination": op2_decontamination, "op1_lines": op1_lines}
+def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {"op3_simhash": op3_simhash, "op6_bpe": op6_bpe, "op8_quality": op8_quality, "op7_language": op7_language, "op9_classlm": op9_classlm, "op10_spans": op10_spans, "op5_toxicity": op5_toxicity, "op2_decontamination": op2_decontamination, "op1_lines": op1_lines, "op4_embeddings": op4_embeddings}
 ORACLES: dict[str, str] = {}
