@@ -15,7 +15,7 @@ from kittally.session import cut
 
 #: From the special to the general; the last is the label itself.
 CATEGORIES = ["dense", "repeated", "toxic"]
-FEATURES, SAMPLE, FOLDS, STEMS, FLUSH, MARKS = 1500, 20_000, 3, (4, 5), 1 << 20, "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+FEATURES, SAMPLE, FOLDS, STEMS, FLUSH, MARKS = 1500, 40_000, 3, (4, 5), 1 << 20, "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 SURE, OFTEN, SHARE = 0.9, 3, 0.02
 
 
@@ -33,7 +33,7 @@ def features(text: str | None) -> Counter:
 
 
 def feature_table(labelled: DataFrame) -> DataFrame:
-    """(feature, toxic, clean): labelled documents with each feature, over all rows of (text, label)."""
+    """(feature, toxic, clean): the number of documents with each feature, by label, from rows (text, label)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, list[int]] = {}
@@ -144,11 +144,10 @@ def fit_chain(numbers: dict[str, int], found: list[list[int]], targets: np.ndarr
     return chain
 
 
-def learn(labelled: DataFrame, sample: int = SAMPLE) -> Chain:
-    """A chain from rows (doc_id, text, label).
+def learn(labelled: DataFrame) -> Chain:
+    """A chain from a bounded sample of rows (doc_id, text, label).
 
-    The features are chosen by counts over all rows, FEATURES in number. The models are fitted on at most
-    ``sample`` rows, those with the least hash of doc_id. A toxic document is `repeated` if OFTEN or more of
+    The features are the FEATURES whose documents differ most between the labels. A toxic document is `repeated` if OFTEN or more of
     its word counts, `dense` if a SHARE of its words, fall on features that are toxic in SURE of all cases.
     """
     rows = cut(labelled.where("label in (0, 1)"))
@@ -177,9 +176,7 @@ def learn(labelled: DataFrame, sample: int = SAMPLE) -> Chain:
                 ["label", "fold", "found", "hits", "share"],
             )
 
-    order = F.xxhash64("doc_id")
-    some = rows.orderBy(order, "doc_id", "label", "text").limit(sample) if n > sample else rows
-    some = some.select("label", F.pmod(order, F.lit(FOLDS)).cast("int").alias("fold"), "text")
+    some = rows.select("label", F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int").alias("fold"), "text")
     got = some.mapInArrow(run, "label int, fold int, found array<int>, hits long, share double").toArrow().to_pydict()
     y, hits = np.array(got["label"], float), np.array(got["hits"])
     targets = np.column_stack((y * (np.array(got["share"]) >= SHARE), y * (hits >= OFTEN), y))
@@ -187,16 +184,17 @@ def learn(labelled: DataFrame, sample: int = SAMPLE) -> Chain:
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic",
-             folds: int = 5, held_fold: int = 0, threshold: float = 0.5, sample: int = SAMPLE) -> DataFrame:
+             folds: int = 5, held_fold: int = 0, threshold: float = 0.4, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, held_out, dense, repeated, score, toxic): a probability per category for every row.
 
     ``score`` is the probability of the label, ``toxic`` marks scores of at least ``threshold``. Learns from
-    labelled rows outside the held-out fold. Null and empty texts have no features and get the score of
+    at most ``sample`` labels outside the held-out fold, those with the least hash of the key; so few are
+    broadcast to pick their documents without a shuffle of texts. All documents are scored. Null and empty texts have no features and get the score of
     that; null labels are ignored. With labels of one kind only, all scores are their smoothed share.
     """
-    marked = labels.select(F.col(key).cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
-    train = id_text(docs, key, text).where(remainder("doc_id", folds) != held_fold).join(marked, "doc_id")
-    shared = docs.sparkSession.sparkContext.broadcast(learn(train, sample))
+    marked = labels.select(F.col(key).cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where("label in (0, 1)")
+    marked = marked.where(remainder("doc_id", folds) != held_fold).orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample)
+    shared = docs.sparkSession.sparkContext.broadcast(learn(id_text(docs, key, text).join(F.broadcast(marked), "doc_id")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chain = shared.value
