@@ -16,6 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W, functions as F
 
@@ -23,7 +24,7 @@ from kittally.llm.common import id_text, lower_words, remainder, values
 from kittally.session import checkpoint_dir, cut
 
 BUCKETS, CLASSES, SWEEPS, DISCOUNT = 1 << 15, 32, 6, 0.75
-BLOCK, SLAB, FAN_IN = 12 << 20, 512, 1024
+BLOCK, GROUP, SLAB, FAN_IN = 12 << 20, 1 << 20, 512, 256
 END = BUCKETS  # the end of a text: a bucket and a class of its own
 WIDTH = CLASSES + 1
 
@@ -31,69 +32,94 @@ WIDTH = CLASSES + 1
 def encode(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Texts as numbers, and the dictionaries of their blocks.
 
-    docs has doc_id, text, held_out. A block is about BLOCK bytes of text of one task; its words are
-    numbered in order of appearance. Returns (block, doc_id, held_out, ids, buckets), one row per text with
-    packed numbers, and (block, id, word, bucket, n), one row per word and block, n counting training
-    texts. Both are written once to the shared folder.
+    docs has doc_id, text, held_out. A block is about BLOCK bytes of text of one task; a word in it is known
+    by its bucket and its ordinal among the block's words of that bucket. Returns (block, doc_id, held_out,
+    size, buckets, ordinals), one row per GROUP bytes of text with arrays of the first three and packed
+    numbers, and (block, bucket, ordinal, word, n), one row per word and block, n counting training texts.
+    Both are written once to the shared folder.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, rows, size, made = defaultdict(), [], 0, 0
+        numbers: defaultdict[bytes, int] = defaultdict()
+        numbers.default_factory = numbers.__len__
+        held: list[tuple[int, bool, array]] = []
+        groups: list[list] = []
+        size = whole = made = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             block = (TaskContext.get().partitionId() << 24) + made
             names = list(numbers)
-            buckets = np.array([xxhash.xxh32_intdigest(w) & (BUCKETS - 1) for w in names], np.int32)
+            bucket = np.array([xxhash.xxh32_intdigest(w) & (BUCKETS - 1) for w in names], np.int64)
+            order = np.argsort(bucket, kind="stable")
+            starts = np.searchsorted(bucket[order], bucket[order])
+            ordinal = np.empty(len(names), np.int64)
+            ordinal[order] = np.arange(len(names)) - starts
             counts = np.zeros(len(names), np.int64)
-            packed = [(k, held, np.frombuffer(ids, np.int32)) for k, held, ids in rows]
-            for _, held, ids in packed:
-                if not held:
-                    counts += np.bincount(ids, minlength=len(names))
-            n, m = len(packed), len(names)
-            none = lambda k, kind: pa.nulls(k, kind)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(["text"] * n), pa.array([block] * n, pa.int64()), pa.array([k for k, _, _ in packed], pa.int64()), pa.array([h for _, h, _ in packed], pa.bool_()),
-                 pa.array([i.tobytes() for _, _, i in packed], pa.binary()), pa.array([buckets[i].astype("<u2").tobytes() for _, _, i in packed], pa.binary()),
-                 none(n, pa.int32()), none(n, pa.binary()), none(n, pa.int32()), none(n, pa.int64())],
-                SHAPE,
-            )
-            for i in range(0, m, 1 << 17):
-                j = min(m, i + (1 << 17))
-                k = j - i
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(["word"] * k), pa.array(np.full(k, block)), none(k, pa.int64()), none(k, pa.bool_()), none(k, pa.binary()), none(k, pa.binary()),
-                     pa.array(np.arange(i, j, dtype=np.int32)), pa.array(names[i:j], pa.binary()), pa.array(buckets[i:j]), pa.array(counts[i:j])],
-                    SHAPE,
-                )
+            for group in groups:
+                ids = np.concatenate([np.frombuffer(g, np.int32) for _, _, g in group])
+                sizes = [len(g) for _, _, g in group]
+                train = np.repeat([not h for _, h, _ in group], sizes)
+                counts += np.bincount(ids[train], minlength=len(names))
+                row = {"kind": "text", "block": block, "doc_id": [k for k, _, _ in group], "held_out": [h for _, h, _ in group], "size": sizes,
+                       "buckets": _pack(bucket[ids], "<u2"), "ordinals": _pack(ordinal[ids], "<u4")}
+                yield pa.RecordBatch.from_pylist([row], LAYOUT)
+            for i in range(0, len(names), 1 << 17):
+                part = slice(i, i + (1 << 17))
+                k = len(names[part])
+                found = {"kind": pa.array(["word"] * k), "block": pa.array(np.full(k, block)), "bucket": pa.array(bucket[part].astype(np.int32)),
+                         "ordinal": pa.array(ordinal[part].astype(np.int32)), "word": pa.array(names[part], pa.binary()), "n": pa.array(counts[part])}
+                yield pa.RecordBatch.from_arrays([found.get(f.name, pa.nulls(k, f.type)) for f in LAYOUT], schema=LAYOUT)
 
-        numbers.default_factory = numbers.__len__
         for batch in batches:
-            for key, text, held in values(batch, "doc_id", "text", "held_out"):
-                rows.append((key, held, array("i", map(numbers.__getitem__, lower_words(text)))))
+            for key, text, out in values(batch, "doc_id", "text", "held_out"):
+                held.append((key, out, array("i", map(numbers.__getitem__, lower_words(text)))))
                 size += len(text or "") + 64
-                if size >= BLOCK:
+                if size >= GROUP:
+                    groups.append(held)
+                    whole += size
+                    held, size = [], 0
+                if whole >= BLOCK:
                     yield from flush()
                     numbers.clear()
-                    rows, size, made = [], 0, made + 1
-        if rows:
+                    groups, whole, made = [], 0, made + 1
+        if held:
+            groups.append(held)
+        if groups:
             yield from flush()
 
     path = f"{checkpoint_dir(docs.sparkSession)}/kittally-{uuid.uuid4().hex}"
-    docs.mapInArrow(run, SCHEMA).write.partitionBy("kind").parquet(path)
+    docs.mapInArrow(run, SCHEMA).write.partitionBy("kind").option("compression", "zstd").parquet(path)
     whole = docs.sparkSession.read.schema(SCHEMA).parquet(path)
-    texts = whole.where("kind = 'text'").select("block", "doc_id", "held_out", "ids", "buckets")
-    return texts, whole.where("kind = 'word'").select("block", "id", "word", "bucket", "n")
+    texts = whole.where("kind = 'text'").select("block", "doc_id", "held_out", "size", "buckets", "ordinals")
+    return texts, whole.where("kind = 'word'").select("block", "bucket", "ordinal", "word", "n")
+
+
+LAYOUT = pa.schema([
+    ("kind", pa.string()), ("block", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("held_out", pa.list_(pa.bool_())), ("size", pa.list_(pa.int32())),
+    ("buckets", pa.binary()), ("ordinals", pa.binary()), ("bucket", pa.int32()), ("ordinal", pa.int32()), ("word", pa.binary()), ("n", pa.int64()),
+])
+SCHEMA = (
+    "kind string, block long, doc_id array<long>, held_out array<boolean>, size array<int>, buckets binary, ordinals binary, "
+    "bucket int, ordinal int, word binary, n long"
+)
+
 
+def _pack(numbers: np.ndarray, kind: str) -> bytes:
+    """Numbers as bytes, all low ones first, compressed."""
+    planes = numbers.astype(kind).view(np.uint8).reshape(-1, np.dtype(kind).itemsize).T
+    return zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
 
-SHAPE = ["kind", "block", "doc_id", "held_out", "ids", "buckets", "id", "word", "bucket", "n"]
-SCHEMA = "kind string, block long, doc_id long, held_out boolean, ids binary, buckets binary, id int, word binary, bucket int, n long"
+
+def _unpack(packed: bytes, kind: str, n: int) -> np.ndarray:
+    raw = zstandard.ZstdDecompressor().decompress(packed, max_output_size=n * np.dtype(kind).itemsize)
+    return np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, n).T.copy().view(kind).ravel().astype(np.int64)
 
 
 def neighbours(texts: DataFrame, classes: np.ndarray) -> np.ndarray:
     """How often each bucket follows and precedes each class in the training texts: (BUCKETS + 1, 2, WIDTH).
 
     Tasks add up their own tokens and send the cells that are not zero, packed by slabs of SLAB buckets;
-    slabs are summed in two rounds of at most FAN_IN parts each. The result has a fixed size.
+    slabs are summed over FAN_IN tasks each and then over all. The result has a fixed size.
     """
     shared = texts.sparkSession.sparkContext.broadcast(classes)
     cells = (BUCKETS + 1) * 2 * WIDTH
@@ -103,49 +129,47 @@ def neighbours(texts: DataFrame, classes: np.ndarray) -> np.ndarray:
         found = np.flatnonzero(total)
         if not len(found):
             return None
+        gaps = _pack(np.diff(found, prepend=0), "<u4")
         return pa.RecordBatch.from_arrays(
-            [pa.array([first // step], pa.int32()), pa.array([salt], pa.int32()), pa.array([found.astype("<u4").tobytes()], pa.binary()), pa.array([total[found].astype("<i8").tobytes()], pa.binary())],
-            ["slab", "salt", "cells", "n"],
+            [pa.array([first // step], pa.int32()), pa.array([salt], pa.int32()), pa.array([len(found)], pa.int64()), pa.array([gaps], pa.binary()), pa.array([_pack(total[found], "<i8")], pa.binary())],
+            ["slab", "salt", "size", "cells", "n"],
         )
 
+    def unpack(size: int, gaps: bytes, n: bytes) -> tuple[np.ndarray, np.ndarray]:
+        return np.cumsum(_unpack(gaps, "<u4", size)), _unpack(n, "<i8", size)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, of = np.zeros(cells, np.int64), shared.value
-        held, size = [], 0
-
-        def add() -> None:
-            flow = np.concatenate(held)  # END between texts
-            kind = of[flow]
-            here = flow.astype(np.int64) * (2 * WIDTH)
-            np.add(total, np.bincount(here[1:] + kind[:-1], minlength=cells), out=total)
-            np.add(total, np.bincount(here[:-1] + WIDTH + kind[1:], minlength=cells), out=total)
-
-        end = np.array([END], "<u2")
         for batch in batches:
-            for (packed,) in values(batch, "buckets"):
-                held += [np.frombuffer(packed, "<u2"), end] if held else [end, np.frombuffer(packed, "<u2"), end]
-                size += len(packed)
-                if size >= 4 << 20:
-                    add()
-                    held, size = [], 0
-        if held:
-            add()
-        salt = TaskContext.get().partitionId() % FAN_IN
+            for out, sizes, packed in values(batch, "held_out", "size", "buckets"):
+                flow = _unpack(packed, "<u2", sum(sizes))
+                train = ~np.array(out)
+                if not train.any():
+                    continue
+                sizes = np.array(sizes)
+                flow = flow[np.repeat(train, sizes)]  # END before, between and behind texts
+                flow = np.concatenate(([END], np.insert(flow, np.cumsum(sizes[train]), END)))
+                kind, here = of[flow], flow * (2 * WIDTH)
+                total += np.bincount(np.concatenate((here[1:] + kind[:-1], here[:-1] + WIDTH + kind[1:])), minlength=cells)
+        salt = TaskContext.get().partitionId() // FAN_IN
         for first in range(0, cells, step):
             if (part := pack(total[first : first + step], first, salt)) is not None:
                 yield part
 
     def summed(part: pa.Table) -> pa.Table:
         total = np.zeros(step, np.int64)
-        for found, n in zip(part["cells"], part["n"]):
-            total[np.frombuffer(found.as_py(), "<u4")] += np.frombuffer(n.as_py(), "<i8")
+        for row in part.select(["size", "cells", "n"]).to_pylist():
+            where, n = unpack(row["size"], row["cells"], row["n"])
+            total[where] += n
         return pa.Table.from_batches([pack(total, part["slab"][0].as_py() * step, 0)])
 
-    shape = "slab int, salt int, cells binary, n binary"
-    parts = texts.where("not held_out").select("buckets").mapInArrow(count, shape)
+    shape = "slab int, salt int, size long, cells binary, n binary"
+    parts = texts.select("held_out", "size", "buckets").mapInArrow(count, shape)
     slabs = parts.groupBy("slab", "salt").applyInArrow(summed, shape).groupBy("slab").applyInArrow(summed, shape).toArrow()
     out = np.zeros((-(-cells // step)) * step, np.int64)
-    for slab, found, n in zip(*(slabs[c].to_pylist() for c in ("slab", "cells", "n"))):
-        out[slab * step + np.frombuffer(found, "<u4")] = np.frombuffer(n, "<i8")
+    for row in slabs.to_pylist():
+        where, n = unpack(row["size"], row["cells"], row["n"])
+        out[row["slab"] * step + where] = n
     return out[:cells].reshape(BUCKETS + 1, 2, WIDTH)
 
 
@@ -244,7 +268,7 @@ def perplexity(docs: DataFrame, key: str = "doc_id", text: str = "text", folds:
     classes, pairs = cluster(texts, sweeps)
     same = W.partitionBy("word")
     counted = dictionary.select(
-        "block", "id", "bucket", F.sum("n").over(same).alias("c"), (F.row_number().over(same.orderBy("block")) == 1).alias("first")
+        "block", "bucket", "ordinal", F.sum("n").over(same).alias("c"), (F.row_number().over(same.orderBy("block")) == 1).alias("first")
     )
     counted = cut(counted)
     by_bucket = counted.where("first and c > 0").groupBy("bucket").agg(F.count("*").alias("words")).toArrow()
@@ -258,24 +282,25 @@ def perplexity(docs: DataFrame, key: str = "doc_id", text: str = "text", folds:
 
     def judge(rows: pa.Table, names: pa.Table) -> pa.Table:
         m = shared.value
-        ids, order = names["id"].to_numpy(), np.zeros(len(names), np.int64)
-        order[ids] = names["c"].to_numpy()
-        kinds = np.zeros(len(names), np.int64)
-        kinds[ids] = m.classes[names["bucket"].to_numpy()]
+        bucket = names["bucket"].to_numpy()
+        starts = np.searchsorted(np.sort(bucket), np.arange(BUCKETS))
+        count = np.zeros(len(names), np.int64)
+        count[starts[bucket] + names["ordinal"].to_numpy()] = names["c"].to_numpy()
         out = []
-        for packed in rows["ids"]:
-            found = np.frombuffer(packed.as_buffer(), np.int32)
-            counts = np.append(order[found], m.ends)
-            flow = np.concatenate(([CLASSES], kinds[found], [CLASSES]))
-            score = m.step[flow[:-1], flow[1:]].sum() + m.emission(counts, flow[1:]).sum()
-            out.append((len(counts), int((counts > 0).sum()), m.base(counts), float(score)))
-        n, known, base, score = zip(*out) if out else ((), (), (), ())
-        return pa.table({
-            "doc_id": rows["doc_id"], "held_out": rows["held_out"], "n_tokens": pa.array(n, pa.int64()), "n_known": pa.array(known, pa.int64()),
-            "train_tokens": pa.array([m.tokens] * len(out), pa.int64()), "base_score": pa.array(base, pa.float64()), "score": pa.array(score, pa.float64()),
-            "perplexity": pa.array([10 ** (-s / k) for s, k in zip(score, n)], pa.float64()),
-        })
+        for row in rows.to_pylist():
+            n = sum(row["size"])
+            flow = _unpack(row["buckets"], "<u2", n)
+            counts, kinds = count[starts[flow] + _unpack(row["ordinals"], "<u4", n)], m.classes[flow]
+            begin = 0
+            for key, held, size in zip(row["doc_id"], row["held_out"], row["size"]):
+                c = np.append(counts[begin : begin + size], m.ends)
+                k = np.concatenate(([CLASSES], kinds[begin : begin + size], [CLASSES]))
+                begin += size
+                score = m.step[k[:-1], k[1:]].sum() + m.emission(c, k[1:]).sum()
+                out.append((key, held, len(c), int((c > 0).sum()), m.tokens, m.base(c), float(score), float(10 ** (-score / len(c)))))
+        kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
+        names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"]
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
 
     shape = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
-    left = texts.select("block", "doc_id", "held_out", "ids").groupBy("block")
-    return left.cogroup(counted.select("block", "id", "bucket", "c").groupBy("block")).applyInArrow(judge, shape)
+    return texts.groupBy("block").cogroup(counted.select("block", "bucket", "ordinal", "c").groupBy("block")).applyInArrow(judge, shape)

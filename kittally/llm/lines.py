@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from kittally.llm.common import id_text
 from kittally.session import cut
 
-#: Similarity as a fraction; rarity is known for 2 ** RARITY groups of words; bits of the line table.
-SIMILARITY, RARITY, BITS = (4, 5), 14, 1 << 23
+#: Similarity as a fraction; rarity is known for 2 ** RARITY groups of words; bits of the line table; a size
+#: class spans WIDTH times the largest ratio of similar sizes.
+SIMILARITY, RARITY, BITS, WIDTH = (4, 5), 14, 1 << 23, 4
 _LOW = 64 - RARITY
 
 
@@ -23,19 +26,27 @@ def _bit(number: Column) -> Column:
 
 
 def tokens(line: Column) -> Column:
-    """Words of a line: runs of anything but space and 0x09-0x0D."""
-    return F.array_remove(F.split(F.translate(line, "\t\x0b\f\r", "    "), " "), "")
+    """Words of a line of ``split_lines``: runs of anything but blanks."""
+    return F.array_remove(F.split(line, " "), "")
+
+
+def _plain_blanks(text: Column) -> Column:
+    """The text with 0x09 and 0x0B-0x0D as blanks; texts without them are not gone through."""
+    odd = F.contains(text, F.lit("\t")) | F.contains(text, F.lit("\x0b")) | F.contains(text, F.lit("\f")) | F.contains(text, F.lit("\r"))
+    return F.when(odd, F.translate(text, "\t\x0b\f\r", "    ")).otherwise(text)
 
 
 def split_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, twin, line_no, line), one row per line; null texts have none."""
-    return docs.select("doc_id", "twin", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    """(doc_id, twin, line_no, line), one row per line that has a word; null texts have none."""
+    lines = docs.select("doc_id", "twin", F.posexplode(F.split(_plain_blanks(F.col("text")), "\n")).alias("line_no", "line"))
+    return lines.where(F.trim("line") != "")
 
 
 def _rarity(lines: DataFrame) -> Column:
     """Rank of each group of words by its count over all lines, rarest first, as one literal of fixed size."""
     group = F.shiftrightunsigned(F.xxhash64("word"), _LOW)
-    counts = lines.select(F.explode(tokens(F.col("line"))).alias("word")).groupBy(group.alias("g")).count().collect()
+    words = lines.select(F.explode(F.split("line", " ")).alias("word")).where("word <> ''")
+    counts = words.groupBy(group.alias("g")).count().collect()
     ranks = [-1 << (RARITY - 1)] * (1 << RARITY)
     for rank, row in enumerate(sorted(counts, key=lambda r: (r["count"], r["g"]))):
         ranks[row["g"]] = rank - (1 << (RARITY - 1))
@@ -45,54 +56,64 @@ def _rarity(lines: DataFrame) -> Column:
 def _ordered(words: Column, ranks: Column) -> Column:
     """A line's distinct words as longs whose order is their rarity: rank above the rest of the hash."""
 
-    def one(word: Column) -> Column:
-        h = F.xxhash64(word)
+    def one(h: Column) -> Column:
         rank = F.coalesce(F.element_at(ranks, (F.shiftrightunsigned(h, _LOW) + 1).cast("int")), F.lit(0)).cast("long")
         return F.shiftleft(rank, _LOW).bitwiseOR(h.bitwiseAND(F.lit((1 << _LOW) - 1)))
 
-    return F.sort_array(F.array_distinct(F.transform(words, one)))
+    return F.sort_array(F.transform(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))), one))
 
 
 def line_sets(lines: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
-    """(h, bits, n, first, prefix): one row per different set of words among the lines that have any.
+    """(id, first, bits, n, prefix): one row per different set of words among the lines, to be written once.
 
-    ``h`` and ``bits`` are hashes of the set; ``bits`` sets or clears one of 64 bits per word, so that two
-    sets that differ in d words differ in at most d bits. ``first`` is the first line with that set.
+    ``first`` is the first line with that set. ``bits`` flips one of 64 bits per word, so that
+    two sets that differ in d words differ in at most d bits. ``prefix`` has the rarest words.
     """
     num, den = similarity
     ranks = _rarity(lines)
-    sets = lines.select("doc_id", "twin", "line_no", _ordered(tokens(F.col("line")), ranks).alias("words")).where("size(words) > 0")
+    sets = lines.select("doc_id", "twin", "line_no", _ordered(tokens(F.col("line")), ranks).alias("words"))
     n = F.size("words")
     sets = sets.select(
         F.xxhash64("words").alias("h"),
         F.aggregate("words", F.lit(0).cast("long"), lambda acc, w: acc.bitwiseXOR(_bit(w))).alias("bits"),
         n.alias("n"),
         F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line_no", "twin").alias("first"),
-        F.slice("words", 1, n - _ceil(n * num, den) + 1).alias("prefix"),
+        F.transform(F.slice("words", 1, n - _ceil(n * num, den) + 1), lambda w: F.hash(w)).alias("prefix"),
     )
-    return sets.groupBy("h", "bits", "n").agg(F.min("first").alias("first"), F.first("prefix").alias("prefix"))
+    return sets.groupBy("h", "bits", "n").agg(F.min("first").alias("first"), F.first("prefix").alias("prefix")).drop("h").withColumn("id", F.monotonically_increasing_id())
 
 
 def candidates(sets: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
-    """Pairs (a, b) of hashes of sets that may be similar; loses none that is.
+    """Pairs (a, b) of ids of sets that may be similar; loses none that is.
 
     Prefix filter: the longer set's rarest words must meet the rarest words of the shorter one. Length and
-    positional filter: behind the first common word both must have enough words left. Last, the bits.
+    positional filter: behind the first common word both must have enough words left. Last, the bits. Sets
+    are in classes of size, and the class is part of the join key: a set meets longer ones in its own class
+    and, if sets that are similar to it can be so long, in the next.
     """
     num, den = similarity
-    rows = sets.select("h", "bits", "n", F.posexplode("prefix").alias("at", "word"))
-    a = rows.select("word", *(F.col(c).alias(f"{c}_a") for c in ("h", "bits", "n", "at")))
-    b = rows.where(F.col("at") <= F.col("n") - _ceil(F.col("n") * (2 * num), num + den))
-    b = b.select("word", *(F.col(c).alias(f"{c}_b") for c in ("h", "bits", "n", "at")))
-    total = F.col("n_a") + F.col("n_b")
-    need = _ceil(total * num, num + den)
+    step = WIDTH * math.log(den / num)
+    need = lambda n, m: _ceil((n + m) * num, num + den)
+    rows = sets.select("id", "bits", "n", "prefix", F.floor(F.log("n") / F.lit(step)).cast("int").alias("class"))
+    beyond = F.greatest("n", F.floor(F.exp((F.col("class") + 1) * F.lit(step))).cast("int"))  # sizes from the next class on
+    goals = F.array(F.struct("class", F.col("n").alias("m")), F.struct((F.col("class") + 1).alias("class"), beyond.alias("m")))
+    short = rows.withColumn("goal", F.explode(goals)).where(F.col("goal.m") * num <= F.col("n") * den)
+    short = short.withColumn("class", F.col("goal.class")).withColumn("prefix", F.slice("prefix", 1, F.col("n") - need(F.col("n"), F.col("goal.m")) + 1))
+
+    def side(some: DataFrame, mark: str) -> DataFrame:
+        some = some.select("id", "bits", "n", "class", F.posexplode("prefix").alias("at", "word"))
+        return some.select(F.hash("word", "class").alias("key"), *(F.col(c).alias(f"{c}_{mark}") for c in ("id", "bits", "n", "at")))
+
+    total, least = F.col("n_a") + F.col("n_b"), need(F.col("n_a"), F.col("n_b"))
     return (
-        a.join(b, "word")
-        .where("n_b < n_a or (n_b = n_a and h_b < h_a)")
+        side(rows, "a")
+        .join(side(short, "b"), "key")
+        .where("n_b <= n_a")
         .where(F.col("n_b") * den >= F.col("n_a") * num)
-        .where(F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) >= need)
-        .where(F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b"))) <= total - 2 * need)
-        .select(F.col("h_a").alias("a"), F.col("h_b").alias("b"))
+        .where(F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b"))) <= total - 2 * least)
+        .where(F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) >= least)
+        .where("n_b < n_a or id_b < id_a")
+        .select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
         .distinct()
     )
 
@@ -109,21 +130,35 @@ def _marked(lines: DataFrame, wanted: DataFrame) -> DataFrame:
     return there.join(F.broadcast(bits), "slot").where(F.col("set").bitwiseAND(one) != 0).drop("place", "slot", "set")
 
 
-def similar_pairs(lines: DataFrame, sets: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
-    """(a, b, first_a, first_b): all pairs of sets with at least that Jaccard similarity, verified word by word."""
+def matched(lines: DataFrame, sets: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
+    """(late): the ids of sets that an earlier set matches, verified word by word.
+
+    One earlier match is enough. So each set is first compared with the earliest of its candidates, and
+    only sets that this does not settle are compared with all others.
+    """
     num, den = similarity
     pairs = cut(candidates(sets, similarity))
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
-    needed = cut(sets.select("h", "first").join(ids, "h").select("h", "first", "first.doc_id", "first.twin", "first.line_no"))
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    needed = cut(sets.select("id", "first").join(ids, "id").select("id", "first", "first.doc_id", "first.twin", "first.line_no"))
+    place = needed.select("id", "first")
+    pairs = pairs.join(place.select(F.col("id").alias("a"), F.col("first").alias("first_a")), "a").join(place.select(F.col("id").alias("b"), F.col("first").alias("first_b")), "b")
+    early = F.col("first_a") < F.col("first_b")
+    pairs = cut(pairs.select(F.when(early, F.col("a")).otherwise(F.col("b")).alias("early"), F.when(early, F.col("b")).otherwise(F.col("a")).alias("late"), F.least("first_a", "first_b").alias("first")))
     there = _marked(lines, needed).withColumnsRenamed({"doc_id": "d", "twin": "t", "line_no": "l"})
     at = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("twin") == F.col("t")) & (F.col("line_no") == F.col("l"))
-    words = needed.join(there, at).dropDuplicates(["h", "doc_id", "twin", "line_no"])
-    words = cut(words.select("h", "first", F.array_distinct(tokens(F.col("line"))).alias("words")))
-    left, right = (words.select(*(F.col(c).alias(f"{c}_{x}") for c in ("h", "first", "words"))) for x in "ab")
-    joined = pairs.join(left, F.col("a") == F.col("h_a")).join(right, F.col("b") == F.col("h_b"))
-    both = F.size(F.array_intersect("words_a", "words_b"))
-    joined = joined.where(both * (num + den) >= (F.size("words_a") + F.size("words_b")) * num)
-    return joined.select("a", "b", "first_a", "first_b")
+    words = needed.join(there, at).dropDuplicates(["id"])
+    words = cut(words.select("id", F.array_distinct(tokens(F.col("line"))).alias("words")))
+
+    def verified(some: DataFrame) -> DataFrame:
+        early, late = (words.select(F.col("id").alias(x), F.col("words").alias(f"words_{x}")) for x in ("early", "late"))
+        both = F.size(F.array_intersect("words_early", "words_late"))
+        joined = some.join(early, "early").join(late, "late")
+        return joined.where(both * (num + den) >= (F.size("words_early") + F.size("words_late")) * num).select("late").distinct()
+
+    nearest = cut(pairs.groupBy("late").agg(F.min(F.struct("first", "early")).alias("m")).select("late", "m.early"))
+    settled = cut(verified(nearest))
+    rest = pairs.select("early", "late").join(settled, "late", "left_anti").join(nearest, ["early", "late"], "left_anti")
+    return settled.unionByName(verified(rest))
 
 
 def duplicate_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
@@ -138,13 +173,9 @@ def duplicate_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     rows = id_text(docs, key, text).withColumn("twin", F.hash("text"))
     lines = split_lines(rows)
     sets = cut(line_sets(lines, similarity))
-    pairs = similar_pairs(lines, sets, similarity)
-    lost = pairs.select(F.when(F.col("first_a") > F.col("first_b"), F.col("first_a")).otherwise(F.col("first_b")).alias("first")).select("first.*")
-    place = ["doc_id", "line_no", "twin"]
-    kept = sets.select("first.*").select(*place, F.lit(1).alias("sets")).unionByName(lost.distinct().select(*place, F.lit(0).alias("sets")))
-    kept = kept.groupBy(*place).agg(F.min("sets").alias("stays")).where("stays = 1")
+    kept = sets.select("id", "first").join(matched(lines, sets, similarity), F.col("id") == F.col("late"), "left_anti").select("first.*")
     kept = kept.groupBy("doc_id", "twin").agg(F.collect_list("line_no").alias("kept")).withColumnsRenamed({"doc_id": "d", "twin": "t"})
-    blank = F.transform(F.split(F.translate("text", "\t\x0b\f\r", "    "), "\n"), lambda x: F.trim(x) == "")
+    blank = F.transform(F.split(_plain_blanks(F.col("text")), "\n"), lambda x: F.trim(x) == "")
     rows = rows.select("doc_id", "twin", blank.alias("blank"))
     rows = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("twin") == F.col("t")), "left")
     numbers = F.transform("blank", lambda x, i: F.when(~x, i))
@@ -154,8 +185,9 @@ def duplicate_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", si
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
     """docs with the matched lines taken out of the texts; other columns and rows stay as they are."""
-    found = duplicate_lines(docs, key, text, similarity).where("size(removed) > 0").dropDuplicates(["doc_id", "twin"])
-    found = found.select(F.col("doc_id").alias("_d"), F.col("twin").alias("_t"), F.col("removed").alias("_removed"))
-    joined = docs.join(found, F.col(key).cast("long").eqNullSafe(F.col("_d")) & (F.hash(F.col(text).cast("string")) == F.col("_t")), "left")
-    left = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains("_removed", i)), "\n")
-    return joined.withColumn(text, F.when(F.col("_removed").isNull(), F.col(text)).otherwise(left)).select(*docs.columns)
+    found = duplicate_lines(docs, key, text, similarity).where("size(removed) > 0").dropDuplicates(["doc_id", "twin"]).drop("n_lines")
+    whole = docs.select(F.struct(*docs.columns).alias("row"), F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t"))
+    joined = whole.join(found, F.col("k").eqNullSafe(F.col("doc_id")) & (F.hash("t") == F.col("twin")), "left")
+    left = F.array_join(F.filter(F.split("t", "\n"), lambda x, i: ~F.array_contains("removed", i)), "\n")
+    new = F.when(F.col("removed").isNull(), F.col("t")).otherwise(left)
+    return joined.select(*((new if c == text else F.col("row").getField(c)).alias(c) for c in docs.columns))

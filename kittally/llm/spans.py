@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 from kittally.llm.common import id_text, values, words
 from kittally.session import cut
 
-SPAN, KMER, REMEMBERED = 50, 15, 1 << 19
+SPAN, KMER, REMEMBERED = 50, 10, 1 << 19
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95))
 PIECE = ["anchor", "off", "n", "h1", "h2"]
 
@@ -148,6 +148,7 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, kmer: int = KMER) -> DataF
     """
     found = cut(_cut_pieces(docs.where("doc_id is not null"), span, kmer))
     shared = found.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor")
+    shared = cut(shared)  # as a table, so that the join below can split a hot anchor
     found = cut(found.join(shared, "anchor", "left_semi"))
     least = F.min(F.struct("doc_id", "twin", "start"))
     paths = cut(found.groupBy(*PIECE).agg(least.alias("source")).select(*PIECE, "source.*"))
