@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from llm_fixtures import empty, messy  # noqa: F401
 from kittally.llm import classlm, language, quality, toxicity
 
 SF = "/root/testdata/sf0.01"

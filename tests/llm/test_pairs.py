@@ -7,6 +7,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings, strategies as st
 
+from llm_fixtures import empty, messy  # noqa: F401
 from kittally.llm import embeddings, graph, lines, simhash, spans
 
 

@@ -9,6 +9,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
+from llm_fixtures import empty, messy  # noqa: F401
 from kittally.llm import bpe, decontam
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
