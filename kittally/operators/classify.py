@@ -62,7 +62,7 @@ def _rule_hit(rule: dict, name: Column, content: Column) -> Column | None:
     words = [w.lower() for w in rule.get("keywords", [])]
     kind = rule.get("type", "")
     if kind == "filename_regex" and rule.get("pattern"):
-        return name.rlike("(?iu)" + rule["pattern"])
+        return name.rlike("(?iU)" + rule["pattern"])
     if not words:
         return None
     if kind == "filename_keyword":

@@ -290,16 +290,6 @@ def is_meta(text: Column) -> Column:
     return X.has_any(F.coalesce(text, F.lit("")), words)
 
 
-def _best(scored: DataFrame, least: float) -> DataFrame:
-    w = Window.partitionBy(*SHEET).orderBy(F.desc("score"), "col")
-    return (
-        scored.filter(F.col("score") > least)
-        .withColumn("_n", F.row_number().over(w))
-        .filter("_n = 1")
-        .select(*SHEET, "col", F.round("score", 6).alias("score"))
-    )
-
-
 def part_content_score() -> Column:
     n = F.col("n_text")
     score = F.greatest(F.col("part_text") / n, F.col("coded") / n) * F.when(F.col("cjk") / n > 0.3, 0.3).otherwise(1.0)
@@ -449,7 +439,7 @@ def detect_configs(cells: DataFrame, headers: DataFrame, roles: DataFrame, rows:
     taken = F.array_compact(F.array(*ROLES))
     start = span.join(roles, SHEET, "left").select(
         *SHEET,
-        F.coalesce("part_no", F.lit(1)).alias("part_col"),
+        F.coalesce("part_no", F.lit(0)).alias("part_col"),
         F.coalesce(taken, F.array().cast("array<int>")).alias("taken"),
     )
     candidates = (
@@ -684,24 +674,26 @@ def auto_bom_sheets(cells: DataFrame) -> DataFrame:
 
 
 def auto_card_cols(cells: DataFrame) -> DataFrame:
-    """Card layout by header words: first row of the first sheet with two roles."""
+    """Card layout by header words: first row with two roles, on the first sheet where these suffice."""
     w = K.AUTO_CARD
     t = F.lower(X.strip("value"))
     role = F.when(X.has_any(t, w["part_no"]), "p").when(X.has_any(t, w["qty"]), "q").when(X.has_any(t, w["name"]), "n")
     rows = (
-        cells.filter((F.col("sheet_idx") == 0) & (F.col("row") <= 31) & (F.col("col") <= 29))
+        cells.filter((F.col("row") <= 31) & (F.col("col") <= 29))
         .withColumn("_r", role)
-        .groupBy("file_id", "row")
+        .groupBy(*SHEET, "row")
         .agg(
             *[F.max(F.when(F.col("_r") == r, F.col("col"))).alias(n) for r, n in (("p", "part_col"), ("q", "qty_col"), ("n", "name_col"))]
         )
         .filter(F.size(F.array_compact(F.array("part_col", "qty_col", "name_col"))) >= 2)
     )
-    first = rows.groupBy("file_id").agg(
+    first = rows.groupBy(*SHEET).agg(
         F.min("row").alias("header_row"),
         F.min_by(F.struct("part_col", "qty_col", "name_col"), "row").alias("c"),
     )
-    return first.filter("c.part_col IS NOT NULL AND c.qty_col IS NOT NULL").select(
+    sheets = first.filter("c.part_col IS NOT NULL AND c.qty_col IS NOT NULL")
+    files = sheets.groupBy("file_id").agg(F.min_by(F.struct("header_row", "c"), "sheet_idx").alias("s"))
+    return files.select("file_id", "s.*").select(
         "file_id",
         "header_row",
         (F.col("header_row") + 1).alias("data_start"),

@@ -136,8 +136,8 @@ def resolve_format(files: DataFrame, formats: DataFrame, keys: list[str]) -> Dat
     fields = [c for c in formats.columns if c not in (*keys, "format_group")]
     joined = files.join(own, [*keys, "format_group"], "left")
     if not keys:
-        keys_flat = flat.select(F.lit(1).alias("_j"), *[F.col(c).alias(f"_f_{c}") for c in fields])
-        joined = joined.withColumn("_j", F.lit(1)).join(keys_flat, "_j", "left").drop("_j")
+        one = flat.agg(F.first(F.struct(*fields)).alias("f")).scalar()  # a mapping has at most one flat format
+        joined = joined.withColumn("_flat", one).select("*", *[F.col("_flat")[c].alias(f"_f_{c}") for c in fields]).drop("_flat")
     else:
         keys_flat = flat.select(*keys, *[F.col(c).alias(f"_f_{c}") for c in fields])
         joined = joined.join(keys_flat, keys, "left")

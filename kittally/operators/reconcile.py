@@ -187,8 +187,11 @@ def reconcile_one(bom_qty: DataFrame, cards: DataFrame, config: str, fuzzy: bool
     )
 
 
-def config_summary(result: DataFrame, cards: DataFrame) -> DataFrame:
-    """Counts per configuration from :func:`outcomes`."""
+def config_summary(result: DataFrame, cards: DataFrame, configs: DataFrame | None = None) -> DataFrame:
+    """Counts per configuration from :func:`outcomes` (R6); with ``configs`` also of those without any row."""
+    if configs is not None:
+        none = configs.select("config").join(result.select("config"), "config", "left_anti").distinct()
+        result = result.select("config", "outcome", "valid").unionByName(none.withColumns({"outcome": F.lit("none"), "valid": F.lit(False)}))
 
     def n(cond) -> F.Column:
         return F.count(F.when(cond, 1))

@@ -15,6 +15,19 @@ def totals(disc: DataFrame) -> DataFrame:
     return disc.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
+def summed_totals(summary: DataFrame) -> DataFrame:
+    """The same from the summary per configuration, without listing any discrepancy."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("outcome"), F.col(k).alias("n")) for k in TYPE_RANK])).alias("p")
+    return summary.select(pairs).groupBy("p.outcome").agg(F.sum("p.n").alias("n")).filter("n > 0")
+
+
+def matrix_rows(bom_qty: DataFrame, parts: DataFrame) -> DataFrame:
+    """Parts by configurations in long form (P5): number as written, names, short label, quantity."""
+    return bom_qty.filter("qty > 0").join(parts, "part_key").select(
+        "part_key", "original", "name_cn", "name_en", "config", X.short_label("config", 25).alias("config_label"), "qty"
+    )
+
+
 def per_config(summary: DataFrame) -> DataFrame:
     """Summary table, one row per configuration."""
     return summary.select(
@@ -52,13 +65,14 @@ def _label(c: str = "outcome"):
 
 
 def detail(disc: DataFrame, card_numbers: DataFrame) -> DataFrame:
-    """Discrepancy sheet (P3): Russian name else English, config cut at 70, first five cards."""
+    """Discrepancy sheet (P3): Russian name else English, a short label beside the configuration, first five cards."""
     cards = first_cards(card_numbers, 5, "part_key").withColumnRenamed("part_key", "card_part")
     return disc.join(cards, "card_part", "left").select(
         "part_number",
         "name_cn",
         F.coalesce(F.nullif("name_ru", F.lit("")), "name_en").alias("name_ru"),
-        F.substring("config", 1, 70).alias("config"),
+        "config",
+        F.substring("config", 1, 70).alias("config_label"),
         "qty_bom",
         "qty_cards",
         F.coalesce("card_list", F.lit("")).alias("card_list"),
@@ -69,7 +83,7 @@ def detail(disc: DataFrame, card_numbers: DataFrame) -> DataFrame:
 def format_sheet(disc: DataFrame) -> DataFrame:
     """Format mismatches with both spellings."""
     return disc.filter(F.col("outcome") == "fuzzy_match").select(
-        "card_part", "bom_part", "qty_bom", "qty_cards", F.substring("config", 1, 70).alias("config")
+        "card_part", "bom_part", "qty_bom", "qty_cards", "config", F.substring("config", 1, 70).alias("config_label")
     )
 
 

@@ -444,11 +444,11 @@ def inspection_bounds(cells: DataFrame, header: str = K.INSPECTION_HEADER) -> Da
 # --- boundaries by table shape -----------------------------------------------
 
 
-def table_end(cells: DataFrame, candidates: DataFrame, reach: int = 500) -> DataFrame:
+def table_end(cells: DataFrame, candidates: DataFrame, reach: int | None = None) -> DataFrame:
     """Last row of the table under each candidate header (G28): adds data_end.
 
     Ends before the next header, before a title in a row without part, or before five empty
-    rows, at most ``reach`` rows down. All marks sit on filled rows: a gap shows as the
+    rows, at most ``reach`` rows down if that is given. All marks sit on filled rows: a gap shows as the
     distance to the next one.
     """
     low = _lower()
@@ -493,7 +493,7 @@ def table_end(cells: DataFrame, candidates: DataFrame, reach: int = 500) -> Data
         (F.col("n_raised") + 3).alias("n_late"),
         F.when(F.col("gap"), F.col("row")).otherwise(F.col("n_gap")).alias("n_gap"),
     )
-    limit = F.least(F.col("max_row"), F.col("header_row") + reach)
+    limit = F.col("max_row") if reach is None else F.least(F.col("max_row"), F.col("header_row") + reach)
 
     def within(at: Column, end: Column) -> Column:
         return F.when(at <= limit, F.struct(at.alias("at"), end.alias("end")))
@@ -634,18 +634,18 @@ def block_bounds(cells: DataFrame) -> DataFrame:
 CHAIN_SCHEMA = "file_id string, sheet_idx int, header_row int, data_end int"
 
 
-def table_chain(tables: DataFrame, extent: DataFrame, min_confidence: float = 0.35, limit: int = 500) -> DataFrame:
+def table_chain(tables: DataFrame, extent: DataFrame, min_confidence: float = 0.35, limit: int | None = None) -> DataFrame:
     """Tables kept when read top down, each search starting below the last table (G31 loop).
 
     Candidates, ends and confidences are computed for all headers beforehand; the walk only
-    chooses among them.
+    chooses among them. ``limit`` bounds the headers looked at; by default all are.
     """
 
     def walk(sheet: pd.DataFrame) -> pd.DataFrame:
         sheet = sheet.sort_values("header_row").reset_index(drop=True)
         heads = sheet["header_row"].tolist()
         last, at, kept = int(sheet["max_row"].iloc[0]), 1, []
-        for _ in range(limit):
+        for _ in range(len(heads) if limit is None else limit):
             i = bisect_left(heads, at)
             if at >= last or i == len(heads):
                 break

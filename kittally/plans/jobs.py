@@ -25,12 +25,21 @@ from ..session import cut
 CARD_FIELDS = ["file_id", "card_no", "sheet", "row", "raw", "part_key", "name_cn", "name_ru", "qty", "ord"]
 
 
-def bom_side(cells: DataFrame, sheets: DataFrame) -> dict[str, DataFrame]:
-    """Normalised parts list: quantities, parts with names, global names, configurations."""
+def bom_side(cells: DataFrame, sheets: DataFrame, merges: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Normalised parts list: quantities, parts with names, global names, configurations.
+
+    With ``merges`` the empty cells of merged rectangles are filled first, once. A part is written as in
+    its first valid row; on a sheet without configuration columns, in its first row with a quantity.
+    """
+    if merges is not None:
+        cells = cut(G.fill_merged(cells, merges))
     lines = cut(BM.bom_lines(cells, sheets))
-    names = A.part_names(BM.bom_rows(cells, sheets))
+    rows = cut(BM.bom_rows(cells, sheets))
+    names = A.part_names(rows)
     qty = cut(A.bom_quantities(lines))
-    parts = A.prune_parts(A.first_original(lines), qty).withColumns({"name_cn": F.lit(""), "name_en": F.lit("")})
+    plain = A.decoded(lines.join(rows.filter("NOT matrix").select(*SHEET).distinct(), SHEET, "left_semi"))
+    written = rows.filter("matrix").select("part_key", "raw", "ord").unionByName(plain.select("part_key", "raw", "ord"))
+    parts = A.prune_parts(A.first_original(written), qty).withColumns({"name_cn": F.lit(""), "name_en": F.lit("")})
     return {
         "qty": qty,
         "parts": A.backfill_names(parts, names),
@@ -98,7 +107,7 @@ def _classified(cells: DataFrame, names: DataFrame, rules: dict) -> DataFrame:
 def cards_by_mapping(cells: DataFrame, mapping: DataFrame, rules: dict, dictionary: DataFrame | None = None) -> DataFrame:
     """Card lines of operational files by their format's layout; detection where that fails.
 
-    ``mapping`` is one parsed mapping row; ``rules`` its classification part. Only operational
+    ``mapping`` is one parsed mapping row, or with a ``file_id`` column one per card file; ``rules`` its classification part. Only operational
     files are read. Stacked formats number their cards _part1, _part2, ... where a workbook that
     is read whole holds several.
     """
@@ -112,10 +121,12 @@ def cards_by_mapping(cells: DataFrame, mapping: DataFrame, rules: dict, dictiona
             *[c for c in cells.columns if c not in SHEET],
         )
     )
-    whole = units.select(F.col("unit").alias("file_id"), F.col("unit_name").alias("name"), "split").distinct()
+    whole = units.select(F.col("unit").alias("file_id"), F.col("file_id").alias("source"), F.col("unit_name").alias("name"), "split").distinct()
     typed = cut(_classified(read, whole, rules))
+    keys = ["source"] if "file_id" in mapping.columns else []
+    formats = M.card_formats(mapping.withColumnRenamed("file_id", "source"), keys)
     layout = cut(
-        M.resolve_format(typed.filter("file_type = 'operational_card'"), M.card_formats(mapping, []), [])
+        M.resolve_format(typed.filter("file_type = 'operational_card'"), formats, keys)
         .filter("part_col > 0")
         .withColumn("end_markers", F.coalesce("end_markers", F.array().cast("array<string>")))
         .withColumn("stacked", F.coalesce((F.col("layout_type") == "multi_card") & F.col("multi_card").isNotNull(), F.lit(False)))
@@ -145,43 +156,60 @@ def cards_by_detection(cells: DataFrame, dictionary: DataFrame | None = None) ->
     """Card lines of all files that are not service files, layouts found in the sheets."""
     kept = C.classify_legacy(cells.select("file_id").distinct(), path="file_id").filter("file_type <> 'service'")
     auto = G.auto_card_cols(cells).join(kept, "file_id", "left_semi").withColumn("end_markers", F.array().cast("array<string>"))
-    numbers = G.sheet_card_number(cells).filter("sheet_idx = 0").select("file_id", "card_no")
+    # the first sheet that shows a number of its own, else the file name's
+    shown = F.struct(F.col("card_no").eqNullSafe(X.card_number("file_id")), "sheet_idx")
+    numbers = G.sheet_card_number(cells).groupBy("file_id").agg(F.min_by("card_no", shown).alias("card_no"))
     return with_card_fields(T.extract_table(cells, auto), numbers, dictionary)
 
 
-def compare(bom: dict[str, DataFrame], cards: DataFrame, selected: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Report tables of a job from its BOM side and card lines."""
+def compare(
+    bom: dict[str, DataFrame], cards: DataFrame, selected: DataFrame | None = None, errors: DataFrame | None = None
+) -> dict[str, DataFrame]:
+    """Report tables of a job from its BOM side and card lines; each is worked out only when asked for.
+
+    Counts come from the summary, which lists nothing of the size configurations times cards; only
+    ``detail``, ``format_sheet`` and ``digest`` list discrepancies. ``errors(file, folder, error, phase)``
+    are the files that could not be read.
+    """
     qty, configs = bom["qty"], bom["configs"]
     if selected is not None:
         qty, configs = A.select_configs(qty, selected), A.select_configs(configs, selected)
     bom_qty = qty.withColumnRenamed("part_key", "part")
     totals = cut(A.card_totals(cards)).withColumnRenamed("part_key", "part")
-    outcomes = cut(R.outcomes(bom_qty, totals, configs))
+    outcomes = R.outcomes(bom_qty, totals, configs)
     disc = outcomes.filter(F.col("valid") & F.col("outcome").isin(R.TYPE_RANK))
-    summary = cut(R.config_summary(outcomes, totals))
+    summary = R.summarise(bom_qty, totals, configs)
     names = bom["names"].withColumnRenamed("part_key", "part")
     originals = bom["parts"].select(F.col("part_key").alias("part"), "original")
-    detailed = cut(R.with_details(disc, names, totals, originals))
+    detailed = R.with_details(disc, names, totals, originals)
     # one row per configuration, numbered in order of first use
     numbered = configs.select("config", F.row_number().over(Window.orderBy("ord", "config")).alias("config_no"))
     return {
-        "totals": P.totals(disc),
+        "totals": P.summed_totals(summary),
         "per_config": P.per_config(summary),
         "detail": P.detail(detailed, A.card_numbers(cards)),
         "format_sheet": P.format_sheet(disc),
         "bom_parts": bom["parts"],
         "bom_quantities": qty,
+        "bom_matrix": P.matrix_rows(qty, bom["parts"]),
         "digest": P.digest(detailed, numbered),
         "config_digest": P.config_digest(summary, numbered),
         "integrity": R.integrity(summary),
         "integrity_global": R.integrity_global(disc),
-        "load_metrics": A.load_metrics(cards),
-    }
+        "load_metrics": A.load_metrics(cards, errors),
+    } | ({} if errors is None else {"file_errors": errors})
 
 
-def run_by_detection(bom_cells: DataFrame, card_cells: DataFrame, selected: DataFrame | None = None) -> dict[str, DataFrame]:
+def run_by_detection(
+    bom_cells: DataFrame,
+    card_cells: DataFrame,
+    selected: DataFrame | None = None,
+    merges: DataFrame | None = None,
+    errors: DataFrame | None = None,
+) -> dict[str, DataFrame]:
     """Detection job: parts lists and cards without any configuration."""
-    return compare(bom_side(bom_cells, cut(BM.detected_sheets(bom_cells))), cut(cards_by_detection(card_cells)), selected)
+    side = bom_side(bom_cells, cut(BM.detected_sheets(bom_cells)), merges)
+    return compare(side, cut(cards_by_detection(card_cells)), selected, errors)
 
 
 def run_by_mapping(
@@ -191,8 +219,17 @@ def run_by_mapping(
     rules: dict,
     dictionary: DataFrame | None = None,
     selected: DataFrame | None = None,
+    merges: DataFrame | None = None,
+    errors: DataFrame | None = None,
+    card_mapped: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
-    """Mapping job. ``mapped(file_id, mapping)`` for the parts lists; its mapping also serves the cards."""
+    """Mapping job. ``mapped(file_id, mapping)`` for the parts lists.
+
+    ``card_mapped(file_id, mapping)`` gives each card file its own mapping; without it all cards are read
+    by the mapping of the first parts list in order of file_id.
+    """
     sheets = cut(BM.mapped_sheets(bom_cells, mapped))
-    one = mapped.limit(1).select("mapping")
-    return compare(bom_side(bom_cells, sheets), cut(cards_by_mapping(card_cells, one, rules, dictionary)), selected)
+    if card_mapped is None:
+        card_mapped = mapped.agg(F.min_by("mapping", "file_id").alias("mapping"))
+    cards = cut(cards_by_mapping(card_cells, card_mapped, rules, dictionary))
+    return compare(bom_side(bom_cells, sheets, merges), cards, selected, errors)

@@ -55,14 +55,14 @@ _path_query("fix_card_prefix", lambda c: X.fix_card_prefix(X.basename(c)), O.fix
 
 @query(
     "safe_name",
-    f"""WITH {O.TEXTS}, named AS (SELECT substr(v, 1, 300) || '.xlsx' AS s FROM texts WHERE v IS NOT NULL),
+    f"""WITH {O.TEXTS}, named AS (SELECT v || '.xlsx' AS s FROM texts WHERE v IS NOT NULL),
     cut AS (SELECT s, left(s, length(s) - 5) AS base, '.xlsx' AS ext FROM named),
     done AS (SELECT CASE WHEN strlen(s) <= 200 THEN s ELSE
       left(base, list_max(list_filter(range(0, 201), lambda i: strlen(left(base, i)) <= 186))::BIGINT) || '_' || left(md5(s), 8) || ext END AS name FROM cut)
     SELECT name AS out, count(*) AS n FROM done GROUP BY 1""",
 )
 def safe_name(spark, sf):
-    named = B.texts(spark, sf).select(F.concat(F.substring("v", 1, 300), F.lit(".xlsx")).alias("s"))
+    named = B.texts(spark, sf).select(F.concat("v", F.lit(".xlsx")).alias("s"))
     return named.groupBy(X.safe_name("s").alias("out")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -503,7 +503,7 @@ KIND = """CASE outcome WHEN 'only_in_bom' THEN 'Есть в BOM, нет в оп
 
 @query(
     "report_detail",
-    f"""{CORE}, {DETAILED}, {FIRST_CARDS} SELECT part_number, name_cn, coalesce(nullif(name_ru, ''), name_en) AS name_ru, substr(config, 1, 70) AS config,
+    f"""{CORE}, {DETAILED}, {FIRST_CARDS} SELECT part_number, name_cn, coalesce(nullif(name_ru, ''), name_en) AS name_ru, config, substr(config, 1, 70) AS config_label,
     qty_bom, qty_cards, coalesce(card_list, '') AS card_list, {KIND} AS kind FROM detailed d LEFT JOIN first_cards f ON f.part = d.card_part""",
 )
 def report_detail(spark, sf):
@@ -513,7 +513,7 @@ def report_detail(spark, sf):
 
 @query(
     "report_format_sheet",
-    f"{CORE} SELECT card_part, bom_part, qty_bom, qty_cards, substr(config, 1, 70) AS config FROM disc WHERE outcome = 'fuzzy_match'",
+    f"{CORE} SELECT card_part, bom_part, qty_bom, qty_cards, config, substr(config, 1, 70) AS config_label FROM disc WHERE outcome = 'fuzzy_match'",
 )
 def report_format_sheet(spark, sf):
     return P.format_sheet(_disc(spark, sf))

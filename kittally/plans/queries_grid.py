@@ -134,7 +134,7 @@ _marker = "(kind = 's' AND s IN ('S', 's', 'Y', 'y', '–', '-'))"
 _wordy = O.rx("s", rf"[^\p{{Nd}}{X.WS}.,;:]")
 CONFIGS = f"""{_sample(50, 'sample50')},
   head1 AS (SELECT c.file_id, c.sheet_idx, c.col, {O.norm_text('value')} AS header FROM cells c JOIN span s ON c.file_id = s.file_id AND c.sheet_idx = s.sheet_idx AND c.row = s.header_row),
-  cand AS (SELECT * FROM (SELECT {S}, unnest(range(coalesce(part_no, 1) + 1, max_col + 1))::INT AS col, [part_no, name_cn, name_en, qty] AS taken FROM span LEFT JOIN roles USING (file_id, sheet_idx) JOIN extent USING (file_id, sheet_idx))
+  cand AS (SELECT * FROM (SELECT {S}, unnest(range(coalesce(part_no, 0) + 1, max_col + 1))::INT AS col, [part_no, name_cn, name_en, qty] AS taken FROM span LEFT JOIN roles USING (file_id, sheet_idx) JOIN extent USING (file_id, sheet_idx))
     LEFT JOIN head1 USING (file_id, sheet_idx, col) WHERE NOT list_contains(taken, col) AND NOT {O.any_of("coalesce(header, '')", [w.lower() for w in K.STRICT_META + K.META])}),
   filled50 AS (SELECT * FROM sample50 WHERE s <> ''),
   facts AS (SELECT {S}, col, bool_or({_positive} OR {_marker}) AS has_valid, bool_or({_positive}) AS has_number,
@@ -373,11 +373,12 @@ def auto_bom_sheets(spark, sf):
 
 
 _a = K.AUTO_CARD
-AUTO_CARD = f"""ac AS (SELECT file_id, row, col, CASE WHEN {O.any_of(_low, _a['part_no'])} THEN 'p' WHEN {O.any_of(_low, _a['qty'])} THEN 'q' WHEN {O.any_of(_low, _a['name'])} THEN 'n' END AS r
-      FROM cells WHERE sheet_idx = 0 AND row <= 31 AND col <= 29),
-    ar AS (SELECT file_id, row, max(col) FILTER (r = 'p') AS p, max(col) FILTER (r = 'q') AS q, max(col) FILTER (r = 'n') AS n FROM ac GROUP BY ALL HAVING count(DISTINCT r) >= 2),
-    auto_card AS (SELECT file_id, row AS header_row, row + 1 AS data_start, p AS part_col, q AS qty_col, coalesce(n, 0) AS name_col FROM ar
-      WHERE row = (SELECT min(row) FROM ar b WHERE b.file_id = ar.file_id) AND p IS NOT NULL AND q IS NOT NULL)"""
+AUTO_CARD = f"""ac AS (SELECT file_id, sheet_idx, row, col, CASE WHEN {O.any_of(_low, _a['part_no'])} THEN 'p' WHEN {O.any_of(_low, _a['qty'])} THEN 'q' WHEN {O.any_of(_low, _a['name'])} THEN 'n' END AS r
+      FROM cells WHERE row <= 31 AND col <= 29),
+    ar AS (SELECT file_id, sheet_idx, row, max(col) FILTER (r = 'p') AS p, max(col) FILTER (r = 'q') AS q, max(col) FILTER (r = 'n') AS n FROM ac GROUP BY ALL HAVING count(DISTINCT r) >= 2),
+    ah AS (SELECT * FROM ar WHERE row = (SELECT min(row) FROM ar b WHERE b.file_id = ar.file_id AND b.sheet_idx = ar.sheet_idx) AND p IS NOT NULL AND q IS NOT NULL),
+    auto_card AS (SELECT file_id, row AS header_row, row + 1 AS data_start, p AS part_col, q AS qty_col, coalesce(n, 0) AS name_col FROM ah
+      WHERE sheet_idx = (SELECT min(sheet_idx) FROM ah b WHERE b.file_id = ah.file_id))"""
 
 
 @query("auto_card_cols", f"WITH {CELLS}, {AUTO_CARD} SELECT * FROM auto_card")

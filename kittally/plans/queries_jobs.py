@@ -70,8 +70,9 @@ _rows = f"""c2 AS (SELECT * FROM cells WHERE file_id LIKE 'part-%' AND row >= 4)
     LEFT JOIN c2 q ON q.file_id = p.file_id AND q.row = p.row AND q.col = 5 LEFT JOIN c2 n ON n.file_id = p.file_id AND n.row = p.row AND n.col = 3
     LEFT JOIN c2 e ON e.file_id = p.file_id AND e.row = p.row AND e.col = 4 WHERE p.col = 2 AND NOT p.strike AND NOT coalesce(q.strike, false)),
   brow AS (SELECT *, {O.part_key('raw')} AS part_key FROM prow WHERE {O.is_part('raw')})"""
-_blines = f"""{_rows}, bline AS (SELECT b.*, m.col, CASE WHEN m.col = 13 THEN 'LHD 1.5' WHEN m.col = 14 THEN 'Config_14' ELSE (SELECT h.value FROM cells h WHERE h.file_id = b.file_id AND h.row = 3 AND h.col = m.col) END AS config,
-    m.value AS marker FROM brow b JOIN c2 m ON m.file_id = b.file_id AND m.row = b.row AND m.col BETWEEN 7 AND 14 AND NOT m.strike),
+_blines = f"""{_rows}, bline AS (SELECT b.*, m.col, CASE WHEN m.col = 13 THEN 'LHD 1.5' WHEN m.col = 14 THEN 'Config_14' ELSE h.value END AS config,
+    m.value AS marker FROM brow b JOIN c2 m ON m.file_id = b.file_id AND m.row = b.row AND m.col BETWEEN 7 AND 14 AND NOT m.strike
+    LEFT JOIN (SELECT file_id, col, value FROM cells WHERE file_id LIKE 'part-%' AND row = 3) h ON h.file_id = m.file_id AND h.col = m.col),
   bdec AS (SELECT *, {O.decode('marker', 'qty_cell', 'true')} AS qty FROM bline)"""
 
 
@@ -81,7 +82,7 @@ def bom_rows(spark, sf):
     return rows.select("file_id", "sheet_idx", "row", "raw", "part_key", "name_cn", "name_en", "qty_cell")
 
 
-@query("bom_matrix_lines", f"WITH {CELLS}, {_blines} SELECT {SH}, row, col, config, marker, part_key FROM bdec".replace("SELECT file_id, sheet_idx, row", "SELECT file_id, sheet_idx, row"))
+@query("bom_matrix_lines", f"WITH {CELLS}, {_blines} SELECT {SH}, row, col, config, marker, part_key FROM bdec")
 def bom_matrix_lines(spark, sf):
     lines = BM.bom_lines(W.part_cells(spark, sf), _part_sheets(spark, sf))
     return lines.select("file_id", "sheet_idx", "ord.row", "ord.col", "config", "marker", "part_key")

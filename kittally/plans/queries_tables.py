@@ -209,7 +209,7 @@ _same = "s.file_id = c.file_id AND s.sheet_idx = c.sheet_idx"
 TABLE_END = f"""rs AS (SELECT {SH}, row, count(*) AS filled, bool_or(length({_v}) < 50 AND {O.any_of(_v, K.PART_NO)}) AS keyed, bool_or({O.rx('value', X.CJK)}) AS cjk FROM cells WHERE col < 200 GROUP BY ALL),
   pf AS (SELECT {SH}, col AS part_col, row FROM cells WHERE kind <> 's' OR {O.strip('value')} <> ''),
   gaps AS (SELECT {SH}, row, coalesce(lead(row) OVER (PARTITION BY {SH} ORDER BY row), max_row + 1) AS nf FROM rs JOIN extent USING (file_id, sheet_idx)),
-  tstop AS (SELECT c.*, e.max_row, least(e.max_row, c.header_row + 500) AS lim,
+  tstop AS (SELECT c.*, e.max_row, e.max_row AS lim,
     (SELECT min(s.row) FROM rs s WHERE {_same} AND s.row > c.header_row AND s.filled >= 2 AND s.keyed) AS a,
     (SELECT min(s.row) FROM rs s WHERE {_same} AND s.row > c.header_row AND s.cjk AND NOT EXISTS (SELECT 1 FROM pf p WHERE p.file_id = c.file_id AND p.sheet_idx = c.sheet_idx AND p.part_col = c.part_col AND p.row = s.row)
       AND ((s.row < e.max_row AND NOT EXISTS (SELECT 1 FROM pf p WHERE p.file_id = c.file_id AND p.sheet_idx = c.sheet_idx AND p.part_col = c.part_col AND p.row = s.row + 1)) OR s.row - c.header_row > 3)) AS b,
