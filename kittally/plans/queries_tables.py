@@ -666,14 +666,30 @@ def _event_stream(spark, sf):
 @query("progress_stream", f"WITH {LAST} SELECT * FROM counters")
 def progress_stream(spark, sf):
     """The same counters from a stream of the events, by a native aggregate per card."""
-    scratch = _scratch(spark)
-    status = S.card_status(_event_stream(spark, sf))
+    return S.progress_of_status(_status_log(spark, sf))
+
+
+def _status_log(spark, sf):
+    scratch, status = _scratch(spark), S.card_status(_event_stream(spark, sf))
+    S.publish(status, S.keep_batches(f"{scratch}/out"), f"{scratch}/state").awaitTermination()
+    return S.kept(spark, f"{scratch}/out", status.schema)
+
+
+@query(
+    "messages_stream",
+    f"WITH {LAST} SELECT *, CASE WHEN total > 0 THEN round_even((processed + failed)::DOUBLE / total * 100, 1) ELSE 0.0 END AS percent FROM counters",
+)
+def messages_stream(spark, sf):
+    """Progress messages from a stream of the events."""
+    return S.progress_messages(S.progress_of_status(_status_log(spark, sf)))
 
-    def keep(batch, epoch):
-        batch.write.mode("append").parquet(f"{scratch}/out")
 
-    S.publish(status, keep, f"{scratch}/state").awaitTermination()
-    return S.progress_of_status(spark.read.schema(status.schema).parquet(f"{scratch}/out"))
+@query("completed_stream", f"WITH {LAST} SELECT job_id FROM counters WHERE processed + failed = total")
+def completed_stream(spark, sf):
+    """Completed jobs, each announced once by a stream of the events."""
+    scratch, status = _scratch(spark), S.card_status(_event_stream(spark, sf))
+    S.publish(status, S.announce(f"{scratch}/log", f"{scratch}/announced"), f"{scratch}/state").awaitTermination()
+    return spark.read.schema("job_id long").parquet(f"{scratch}/announced").select("job_id")
 
 
 @query("progress_stream_deltas", f"WITH {LAST} SELECT * FROM counters")
@@ -691,9 +707,5 @@ def streaming_totals(spark, sf):
     number = F.concat(F.lit("P"), F.lpad(F.col("l_partkey").cast("string"), 8, "0"), F.col("l_linenumber").cast("string"))
     totals = S.streaming_totals(raw.select(X.part_key(number).alias("part_key"), F.col("l_quantity").alias("qty")))
     scratch = _scratch(spark)
-
-    def keep(batch, epoch):
-        batch.write.mode("append").parquet(f"{scratch}/out")
-
-    S.publish(totals, keep, f"{scratch}/state").awaitTermination()
-    return S.latest_totals(spark.read.schema(totals.schema).parquet(f"{scratch}/out"))
+    S.publish(totals, S.keep_batches(f"{scratch}/out"), f"{scratch}/state").awaitTermination()
+    return S.latest_totals(S.kept(spark, f"{scratch}/out", totals.schema))

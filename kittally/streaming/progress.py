@@ -10,9 +10,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructField, StructType
 
 from ..functions import text as X
 
@@ -57,9 +58,13 @@ def progress_messages(counters: DataFrame) -> DataFrame:
     )
 
 
-def failed_cards(events: DataFrame) -> DataFrame:
-    """Cards whose last outcome is a failure (T4)."""
-    return last_outcomes(events).filter("status = 'failed'").select("job_id", "card")
+def failed_cards(events: DataFrame, message: str | None = None) -> DataFrame:
+    """Cards whose last outcome is a failure (T4); with ``message``, that column of the outcome's event."""
+    if message is None:
+        return last_outcomes(events).filter("status = 'failed'").select("job_id", "card")
+    ended = F.when(F.col("status") != "pending", F.struct("ts", "event_id"))
+    last = events.groupBy("job_id", "card").agg(F.max_by(F.struct("status", F.col(message).alias("m")), ended).alias("last"))
+    return last.filter("last.status = 'failed'").select("job_id", "card", F.col("last.m").alias("error_message"))
 
 
 def stale_jobs(jobs: DataFrame, now, hours: int = 24) -> DataFrame:
@@ -191,6 +196,35 @@ def publish(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoin
     )
 
 
+def keep_batches(path: str) -> Callable[[DataFrame, int], None]:
+    """Sink that keeps each trigger's rows under its number: a trigger run again replaces its own rows."""
+    return lambda batch, epoch: batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+
+
+def kept(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """All rows of :func:`keep_batches` with their trigger in ``epoch``."""
+    return spark.read.schema(schema.add("epoch", "long")).parquet(path)
+
+
+def announce(log: str, announced: str) -> Callable[[DataFrame, int], None]:
+    """Sink over :func:`card_status` that writes each job once, in the trigger that completes it.
+
+    Status rows go to ``log``, jobs to ``announced``. A trigger that runs again finds what earlier ones
+    announced and writes its own jobs anew, so nothing fires twice and nothing is lost.
+    """
+
+    def sink(batch: DataFrame, epoch: int) -> None:
+        spark, schema = batch.sparkSession, StructType(batch.schema.fields)
+        keep_batches(log)(batch, epoch)
+        totals = progress_of_status(kept(spark, log, schema).filter(F.col("epoch") <= epoch))
+        jobs = StructType([StructField("job_id", batch.schema["job_id"].dataType)])
+        spark.createDataFrame([], jobs).write.mode("overwrite").parquet(f"{announced}/epoch={epoch}")
+        earlier = kept(spark, announced, jobs).filter(F.col("epoch") < epoch)
+        keep_batches(announced)(completions(totals, earlier), epoch)
+
+    return sink
+
+
 def completions(totals: DataFrame, already: DataFrame) -> DataFrame:
     """Jobs complete now and not announced before: each fires once."""
     return completed_jobs(totals).join(already.select("job_id"), "job_id", "left_anti")

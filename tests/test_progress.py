@@ -93,3 +93,29 @@ def test_job_states(spark):
     assert [r.job_id for r in stale.collect()] == [1]
     assert S.drop_jobs(old, stale).count() == 2
     assert S.progress_messages(spark.createDataFrame([(1, 1, 1, 3)], "job_id int, processed int, failed int, total int")).first().percent == 66.7
+
+
+def test_a_job_is_announced_once_also_when_a_trigger_runs_again(spark, tmp_path):
+    def status(rows):
+        return spark.createDataFrame(rows, "job_id long, card long, status string, at struct<ts: timestamp, event_id: long>")
+
+    mark = lambda n: (at(n), n)
+    sink = S.announce(str(tmp_path / "log"), str(tmp_path / "announced"))
+    triggers = [
+        [(1, 1, "success", mark(1)), (1, 2, "pending", None), (2, 1, "failed", mark(2))],
+        [(1, 2, "failed", mark(3)), (3, 1, "pending", None)],
+        [(2, 1, "success", mark(4)), (3, 1, "success", mark(5))],
+    ]
+    for epoch, rows in enumerate(triggers):
+        sink(status(rows), epoch)
+        sink(status(rows), epoch)
+    found = spark.read.schema("job_id long, epoch long").parquet(str(tmp_path / "announced"))
+    assert sorted((r.epoch, r.job_id) for r in found.collect()) == [(0, 2), (1, 1), (2, 3)]
+    log = S.kept(spark, str(tmp_path / "log"), status(triggers[0]).schema)
+    assert {r.job_id: (r.processed, r.failed, r.total) for r in S.progress_of_status(log).collect()} == {1: (1, 1, 2), 2: (1, 0, 1), 3: (1, 0, 1)}
+
+
+def test_failed_cards_keep_the_message_of_their_last_outcome(spark):
+    rows = [(1, 1, "failed", 1, 1, "first"), (1, 1, "failed", 2, 2, "second"), (1, 2, "failed", 1, 3, "x"), (1, 2, "success", 2, 4, None)]
+    events = spark.createDataFrame(rows, "job_id long, card long, status string, ts long, event_id long, why string")
+    assert [tuple(r) for r in S.failed_cards(events, "why").collect()] == [(1, 1, "second")]
