@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 from kittally.llm.common import id_text, values, words
 from kittally.session import cut
 
-SPAN, KMER, REMEMBERED = 50, 10, 1 << 19
+SPAN, KMER, REMEMBERED = 50, 10, 1 << 17
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95))
 PIECE = ["anchor", "off", "n", "h1", "h2"]
 
@@ -89,7 +89,7 @@ def _cut_pieces(docs: DataFrame, span: int, kmer: int) -> DataFrame:
                     found = pieces(hashed(memory, tokens), span, kmer)
                     held.append((key, twin, found))
                     size += len(found[0])
-                if size >= 1 << 17:
+                if size >= 1 << 16:
                     yield _rows(held)
                     held, size = [], 0
             if held:
@@ -128,7 +128,7 @@ def _edges(docs: DataFrame, sources: DataFrame, span: int) -> DataFrame:
                 piece = [np.array([r[c] for r in rows])[which] for c in PIECE]
                 out.append([np.full(len(j), key), *piece, j, first.of(start, span).view(np.int64), second.of(start, span).view(np.int64)])
                 size += len(j)
-                if size >= 1 << 17:
+                if size >= 1 << 16:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(t)) for c, t in zip(zip(*out), KINDS)], names)
                     out, size = [], 0
             if out:
