@@ -80,12 +80,10 @@ def test_lines(spark, messy, empty):
         if any(9 * len(s & o) >= 4 * (len(s) + len(o)) for o in seen):
             removed.setdefault((None if none else k, t), []).append(i)
         seen.append(s)
-    hashes = {r.doc_id: r for r in got}
     assert len(got) == len(rows)
     for k, t, *_ in rows:
         mine = [sorted(r.removed) for r in got if r.doc_id == k and r.n_lines == (0 if t is None else t.count("\n") + 1)]
         assert removed.get((k, t), []) in mine, k
-    assert hashes[60 + 20 + 8 + 5].removed == [2, 3, 4] or sorted(hashes[60 + 20 + 8 + 5].removed)[:1] != []
     assert lines.duplicate_lines(empty).count() == 0
 
 

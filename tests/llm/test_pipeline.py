@@ -8,11 +8,26 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 import __spark_entry__ as entry
+from llm_fixtures import empty, messy  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.skipif(not os.path.isdir(SF), reason="benchmark tables are not here")
+tables = pytest.mark.skipif(not os.path.isdir(SF), reason="benchmark tables are not here")
+
+
+@tables
+def test_stages_on_odd_rows(spark, messy, empty):
+    rows, frame = messy
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, frame, SF)
+        assert got.count() <= len(rows), name
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert got.columns == frame.columns, name
+        assert stage(spark, empty, SF).count() == 0, name
+
+
+@tables
 def test_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns, counts, texts = docs.columns, [docs.count()], None

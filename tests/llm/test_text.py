@@ -73,13 +73,11 @@ def test_lookahead_by_hand():
 
 
 def test_decoder_state():
-    with open(PATH, encoding="utf-8") as file:
-        vocabulary = bpe.Vocabulary(PATH)
-    decoder = bpe.Decoder(vocabulary)
-    single = vocabulary.single
+    vocabulary = bpe.Vocabulary(PATH)
+    decoder, single = bpe.Decoder(vocabulary), vocabulary.single
     assert decoder.feed(np.array([single[0xF0], single[0x9F]])) == ""
     assert decoder.feed(np.array([single[0x98], single[0x80], single[0xFF]])) == "\U0001f600�"
-    assert decoder.feed(np.array([single[0xE4]]), True) == "�" and file.closed
+    assert decoder.feed(np.array([single[0xE4]]), True) == "�"
 
 
 def test_bpe_frames(messy, empty, both):
@@ -112,7 +110,7 @@ def docs(spark, *texts):
 def test_template():
     found = decontam.Template(ITEM, decontam._Lexicon())
     assert found.plain(0, 99) == "a train leaves <name> at <number> and travels <number> <unit> to reach <name> before <name> wakes up and asks <name> the time"
-    assert found.slots(13, 6) == [("name", "Lyon"), ("name", "Anna Berg"), ("name", "Anna Berg")][0:3] or ("name", "Anna Berg") in found.slots(13, 6)
+    assert found.slots(0, 99) == [("name", "Paris"), ("number", "9"), ("number", "120"), ("unit", "km"), ("name", "Lyon"), ("name", "Anna Berg"), ("name", "Anna Berg")]
 
 
 def test_leaks(spark):
@@ -136,7 +134,6 @@ def test_leaks_against_exact_runs(spark, messy):
     rng = random.Random(9)
     texts = [t.lower() for _, t, *_ in rows if t and len(t.split()) > 40][:12]
     items = [(i, " ".join(t.split()[5 : 5 + rng.randint(9, 30)])) for i, t in enumerate(texts)]
-    items = [(i, " ".join(w for w in t.split() if w.isascii())) for i, t in items]
     bench = spark.createDataFrame(items, "item_id long, text string")
     plain = [[w.strip(decontam.MARKS).lower() for w in t.split()] for _, t in items]
     want = set()
