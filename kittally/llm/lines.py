@@ -11,7 +11,7 @@ from kittally.session import cut
 
 #: Similarity as a fraction; rarity is known for 2 ** RARITY groups of words; bits of the line table; a size
 #: class spans WIDTH times the largest ratio of similar sizes.
-SIMILARITY, RARITY, BITS, WIDTH = (4, 5), 14, 1 << 23, 4
+SIMILARITY, RARITY, BITS, WIDTH, SKETCH = (4, 5), 14, 1 << 23, 4, 8
 _LOW = 64 - RARITY
 
 
@@ -66,7 +66,7 @@ def _ordered(words: Column, ranks: Column) -> Column:
 def line_sets(lines: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
     """(id, first, bits, n, prefix): one row per different set of words among the lines, to be written once.
 
-    ``first`` is the first line with that set. ``bits`` flips one of 64 bits per word, so that
+    ``first`` is the first line with that set; ids rise in the order of these lines. ``bits`` flips one of 64 bits per word, so that
     two sets that differ in d words differ in at most d bits. ``prefix`` has the rarest words.
     """
     num, den = similarity
@@ -80,11 +80,12 @@ def line_sets(lines: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> Dat
         F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line_no", "twin").alias("first"),
         F.transform(F.slice("words", 1, n - _ceil(n * num, den) + 1), lambda w: F.hash(w)).alias("prefix"),
     )
-    return sets.groupBy("h", "bits", "n").agg(F.min("first").alias("first"), F.first("prefix").alias("prefix")).drop("h").withColumn("id", F.monotonically_increasing_id())
+    sets = sets.groupBy("h", "bits", "n").agg(F.min("first").alias("first"), F.first("prefix").alias("prefix")).drop("h")
+    return sets.orderBy("first").withColumn("id", F.monotonically_increasing_id())
 
 
 def candidates(sets: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
-    """Pairs (a, b) of ids of sets that may be similar; loses none that is.
+    """Pairs (early, late) of ids of sets that may be similar; loses none that is.
 
     Prefix filter: the longer set's rarest words must meet the rarest words of the shorter one. Length and
     positional filter: behind the first common word both must have enough words left. Last, the bits. Sets
@@ -113,7 +114,7 @@ def candidates(sets: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> Dat
         .where(F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b"))) <= total - 2 * least)
         .where(F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) >= least)
         .where("n_b < n_a or id_b < id_a")
-        .select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+        .select(F.least("id_a", "id_b").alias("early"), F.greatest("id_a", "id_b").alias("late"))
         .distinct()
     )
 
@@ -134,30 +135,38 @@ def matched(lines: DataFrame, sets: DataFrame, similarity: tuple[int, int] = SIM
     """(late): the ids of sets that an earlier set matches, verified word by word.
 
     One earlier match is enough. So each set is first compared with the earliest of its candidates, and
-    only sets that this does not settle are compared with all others.
+    only sets that this does not settle are compared with all others. A sketch of 64 * SKETCH bits, flipped
+    once per word, drops most pairs that cannot match before any words are moved.
     """
     num, den = similarity
     pairs = cut(candidates(sets, similarity))
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    needed = cut(sets.select("id", "first").join(ids, "id").select("id", "first", "first.doc_id", "first.twin", "first.line_no"))
-    place = needed.select("id", "first")
-    pairs = pairs.join(place.select(F.col("id").alias("a"), F.col("first").alias("first_a")), "a").join(place.select(F.col("id").alias("b"), F.col("first").alias("first_b")), "b")
-    early = F.col("first_a") < F.col("first_b")
-    pairs = cut(pairs.select(F.when(early, F.col("a")).otherwise(F.col("b")).alias("early"), F.when(early, F.col("b")).otherwise(F.col("a")).alias("late"), F.least("first_a", "first_b").alias("first")))
+    ids = pairs.select(F.explode(F.array("early", "late")).alias("id")).distinct()
+    needed = cut(sets.select("id", "first").join(ids, "id").select("id", "first.doc_id", "first.twin", "first.line_no"))
     there = _marked(lines, needed).withColumnsRenamed({"doc_id": "d", "twin": "t", "line_no": "l"})
     at = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("twin") == F.col("t")) & (F.col("line_no") == F.col("l"))
     words = needed.join(there, at).dropDuplicates(["id"])
     words = cut(words.select("id", F.array_distinct(tokens(F.col("line"))).alias("words")))
+    hashes = words.select("id", F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
+    part = lambda i: F.filter("h", lambda h: F.shiftright(h, 6).bitwiseAND(F.lit(SKETCH - 1)) == i)
+    flips = [F.aggregate(part(i), F.lit(0).cast("long"), lambda acc, w: acc.bitwiseXOR(_bit(w))).alias(f"s{i}") for i in range(SKETCH)]
+    sketches = cut(hashes.select("id", F.size("h").alias("n"), *flips))
+
+    def with_both(some: DataFrame, table: DataFrame) -> DataFrame:
+        for x in ("early", "late"):
+            some = some.join(table.select(*(F.col(c).alias(x if c == "id" else f"{c}_{x}") for c in table.columns)), x)
+        return some
 
     def verified(some: DataFrame) -> DataFrame:
-        early, late = (words.select(F.col("id").alias(x), F.col("words").alias(f"words_{x}")) for x in ("early", "late"))
+        differ = sum((F.bit_count(F.col(f"s{i}_early").bitwiseXOR(F.col(f"s{i}_late"))) for i in range(SKETCH)), F.lit(0))
+        total = F.col("n_early") + F.col("n_late")
+        near = with_both(some.select("early", "late"), sketches).where(differ <= total - 2 * _ceil(total * num, num + den))
         both = F.size(F.array_intersect("words_early", "words_late"))
-        joined = some.join(early, "early").join(late, "late")
+        joined = with_both(near.select("early", "late"), words)
         return joined.where(both * (num + den) >= (F.size("words_early") + F.size("words_late")) * num).select("late").distinct()
 
-    nearest = cut(pairs.groupBy("late").agg(F.min(F.struct("first", "early")).alias("m")).select("late", "m.early"))
+    nearest = pairs.groupBy("late").agg(F.min("early").alias("early"))
     settled = cut(verified(nearest))
-    rest = pairs.select("early", "late").join(settled, "late", "left_anti").join(nearest, ["early", "late"], "left_anti")
+    rest = pairs.join(settled, "late", "left_anti")
     return settled.unionByName(verified(rest))
 
 

@@ -158,7 +158,7 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, kmer: int = KMER) -> DataF
         .select("doc_id", "twin", "start", (F.col("start") + F.col("n") + (span - 1)).alias("stop"))
     )
     branching = paths.groupBy("anchor").agg(F.count("*").alias("paths"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
-    branching = branching.where("paths > 1 and a < b").select("anchor")
+    branching = cut(branching.where("paths > 1 and a < b").select("anchor"))
     edges = cut(_edges(docs, paths.join(branching, "anchor", "left_semi"), span))
     place = ["anchor", (F.col("off") - F.col("j")).alias("rel"), "w1", "w2"]
     firsts = edges.groupBy(*place).agg(F.min("doc_id").alias("first"), F.count("*").alias("m")).where("m > 1").drop("m")
