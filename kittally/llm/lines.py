@@ -11,7 +11,7 @@ from kittally.session import cut
 
 #: Similarity as a fraction; rarity is known for 2 ** RARITY groups of words; bits of the line table; a size
 #: class spans WIDTH times the largest ratio of similar sizes.
-SIMILARITY, RARITY, BITS, WIDTH, SKETCH = (4, 5), 14, 1 << 23, 4, 8
+SIMILARITY, RARITY, BITS, WIDTH, SKETCH, RAREST = (4, 5), 14, 1 << 23, 4, 8, 6
 _LOW = 64 - RARITY
 
 
@@ -84,8 +84,26 @@ def line_sets(lines: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> Dat
     return sets.orderBy("first").withColumn("id", F.monotonically_increasing_id())
 
 
-def candidates(sets: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
-    """Pairs (early, late) of ids of sets that may be similar; loses none that is.
+def stars(sets: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
+    """(late, early): for sets that most likely match an earlier one, one such set; a row per set at most.
+
+    Of all sets that share one of their RAREST words, each only meets the first. It counts as likely if two
+    of these words lead to it and length and bits allow it. So near copies of one line, however many, give
+    one row each.
+    """
+    num, den = similarity
+    rows = sets.select("id", "bits", "n", F.explode(F.slice("prefix", 1, RAREST)).alias("word"))
+    first = rows.groupBy("word").agg(F.min("id").alias("early"), F.count("*").alias("sets")).where("sets > 1").drop("sets")
+    first = cut(first.join(sets.select(F.col("id").alias("early"), F.col("bits").alias("bits_e"), F.col("n").alias("n_e")), "early"))
+    total = F.col("n") + F.col("n_e")
+    met = rows.join(first, "word").where("early < id").where(F.least("n", "n_e") * den >= F.greatest("n", "n_e") * num)
+    met = met.where(F.bit_count(F.col("bits").bitwiseXOR(F.col("bits_e"))) <= total - 2 * _ceil(total * num, num + den))
+    twice = met.groupBy(F.col("id").alias("late"), "early").count().where("count > 1")
+    return twice.groupBy("late").agg(F.min("early").alias("early"))
+
+
+def candidates(sets: DataFrame, open_ids: DataFrame | None = None, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
+    """Pairs (early, late) of ids of sets that may be similar; loses none whose late set is among ``open_ids``.
 
     Prefix filter: the longer set's rarest words must meet the rarest words of the shorter one. Length and
     positional filter: behind the first common word both must have enough words left. Last, the bits. Sets
@@ -96,14 +114,18 @@ def candidates(sets: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> Dat
     step = WIDTH * math.log(den / num)
     need = lambda n, m: _ceil((n + m) * num, num + den)
     rows = sets.select("id", "bits", "n", "prefix", F.floor(F.log("n") / F.lit(step)).cast("int").alias("class"))
+    if open_ids is None:
+        rows = rows.withColumn("open", F.lit(True))
+    else:
+        rows = rows.join(open_ids.select("id", F.lit(True).alias("open")), "id", "left").withColumn("open", F.col("open").isNotNull())
     beyond = F.greatest("n", F.floor(F.exp((F.col("class") + 1) * F.lit(step))).cast("int"))  # sizes from the next class on
     goals = F.array(F.struct("class", F.col("n").alias("m")), F.struct((F.col("class") + 1).alias("class"), beyond.alias("m")))
     short = rows.withColumn("goal", F.explode(goals)).where(F.col("goal.m") * num <= F.col("n") * den)
     short = short.withColumn("class", F.col("goal.class")).withColumn("prefix", F.slice("prefix", 1, F.col("n") - need(F.col("n"), F.col("goal.m")) + 1))
 
     def side(some: DataFrame, mark: str) -> DataFrame:
-        some = some.select("id", "bits", "n", "class", F.posexplode("prefix").alias("at", "word"))
-        return some.select(F.hash("word", "class").alias("key"), *(F.col(c).alias(f"{c}_{mark}") for c in ("id", "bits", "n", "at")))
+        some = some.select("id", "bits", "n", "open", "class", F.posexplode("prefix").alias("at", "word"))
+        return some.select(F.hash("word", "class").alias("key"), *(F.col(c).alias(f"{c}_{mark}") for c in ("id", "bits", "n", "open", "at")))
 
     total, least = F.col("n_a") + F.col("n_b"), need(F.col("n_a"), F.col("n_b"))
     return (
@@ -114,6 +136,7 @@ def candidates(sets: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> Dat
         .where(F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b"))) <= total - 2 * least)
         .where(F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) >= least)
         .where("n_b < n_a or id_b < id_a")
+        .where(F.when(F.col("id_a") > F.col("id_b"), F.col("open_a")).otherwise(F.col("open_b")))
         .select(F.least("id_a", "id_b").alias("early"), F.greatest("id_a", "id_b").alias("late"))
         .distinct()
     )
@@ -132,14 +155,29 @@ def _marked(lines: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def matched(lines: DataFrame, sets: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
-    """(late): the ids of sets that an earlier set matches, verified word by word.
+    """(late): the ids of sets that an earlier set matches, each verified word by word.
 
-    One earlier match is enough. So each set is first compared with the earliest of its candidates, and
-    only sets that this does not settle are compared with all others. A sketch of 64 * SKETCH bits, flipped
-    once per word, drops most pairs that cannot match before any words are moved.
+    One earlier match is enough. Sets with a likely match (a star) are compared with that one, all others with
+    all their candidates; sets whose star does not match after all are then compared with all of theirs.
+    """
+    star = cut(stars(sets, similarity))
+    open_ids = sets.select("id").join(star.select(F.col("late").alias("id")), "id", "left_anti")
+    pairs = cut(candidates(sets, open_ids, similarity).unionByName(star))
+    settled = cut(verified(lines, sets, pairs, similarity))
+    failed = cut(star.join(settled, "late", "left_anti").select(F.col("late").alias("id")))
+    if failed.isEmpty():
+        return settled
+    pairs = cut(candidates(sets, failed, similarity))
+    return settled.unionByName(verified(lines, sets, pairs, similarity))
+
+
+def verified(lines: DataFrame, sets: DataFrame, pairs: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
+    """(late): those of the pairs' late sets that match their early one in one pair or more.
+
+    A sketch of 64 * SKETCH bits, flipped once per word, drops most pairs that cannot match before any
+    words are moved.
     """
     num, den = similarity
-    pairs = cut(candidates(sets, similarity))
     ids = pairs.select(F.explode(F.array("early", "late")).alias("id")).distinct()
     needed = cut(sets.select("id", "first").join(ids, "id").select("id", "first.doc_id", "first.twin", "first.line_no"))
     there = _marked(lines, needed).withColumnsRenamed({"doc_id": "d", "twin": "t", "line_no": "l"})
@@ -156,18 +194,12 @@ def matched(lines: DataFrame, sets: DataFrame, similarity: tuple[int, int] = SIM
             some = some.join(table.select(*(F.col(c).alias(x if c == "id" else f"{c}_{x}") for c in table.columns)), x)
         return some
 
-    def verified(some: DataFrame) -> DataFrame:
-        differ = sum((F.bit_count(F.col(f"s{i}_early").bitwiseXOR(F.col(f"s{i}_late"))) for i in range(SKETCH)), F.lit(0))
-        total = F.col("n_early") + F.col("n_late")
-        near = with_both(some.select("early", "late"), sketches).where(differ <= total - 2 * _ceil(total * num, num + den))
-        both = F.size(F.array_intersect("words_early", "words_late"))
-        joined = with_both(near.select("early", "late"), words)
-        return joined.where(both * (num + den) >= (F.size("words_early") + F.size("words_late")) * num).select("late").distinct()
-
-    nearest = pairs.groupBy("late").agg(F.min("early").alias("early"))
-    settled = cut(verified(nearest))
-    rest = pairs.join(settled, "late", "left_anti")
-    return settled.unionByName(verified(rest))
+    differ = sum((F.bit_count(F.col(f"s{i}_early").bitwiseXOR(F.col(f"s{i}_late"))) for i in range(SKETCH)), F.lit(0))
+    total = F.col("n_early") + F.col("n_late")
+    near = with_both(pairs, sketches).where(differ <= total - 2 * _ceil(total * num, num + den))
+    both = F.size(F.array_intersect("words_early", "words_late"))
+    joined = with_both(near.select("early", "late"), words)
+    return joined.where(both * (num + den) >= (F.size("words_early") + F.size("words_late")) * num).select("late").distinct()
 
 
 def duplicate_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
