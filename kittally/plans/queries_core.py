@@ -45,8 +45,10 @@ _value_query("safe_filename", X.safe_filename, O.safe_filename("v"))
 _value_query("short_label", lambda c: X.short_label(c, 52), O.short_label("v", 52))
 _value_query(
     "false_part_header",
-    lambda c: X.false_part_header(F.concat(F.lit("更改"), F.substring(c, 1, 3), F.lit("件号"))),
-    O.false_part("'更改' || substr(v, 1, 3) || '件号'"),
+    lambda c: X.false_part_header(
+        F.when(F.contains(F.col(c), F.lit("a")), F.concat(F.lit("更改"), c, F.lit("件号"))).otherwise(F.concat(c, F.lit("件号更改")))
+    ),
+    O.false_part("(CASE WHEN contains(v, 'a') THEN '更改' || v || '件号' ELSE v || '件号更改' END)"),
 )
 _path_query("card_number", X.card_number, O.card_number("path"))
 _path_query("format_group", X.format_group, O.format_group("path"))
