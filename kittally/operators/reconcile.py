@@ -20,6 +20,7 @@ from ..functions import text as X
 from .scan import union_all
 
 TOLERANCE = 0.001
+SALTS = 64
 CATALOGUE_SLICE = 1024
 TYPE_RANK = ["qty_mismatch", "only_in_bom", "only_in_cards", "fuzzy_match"]
 
@@ -61,7 +62,8 @@ def missing_configs(parts: DataFrame, bom_qty: DataFrame, configs: DataFrame) ->
 
     The names a part has and all names meet slice by slice, so arrays stay bounded and only
     result rows are unfolded, with no shuffle after that. The slice table is small; adaptive
-    execution broadcasts it when its measured size permits and otherwise shuffles on the slice.
+    execution broadcasts it when its measured size permits and otherwise shuffles on slice and salt:
+    the table is repeated for SALTS groups of parts, so that one slice does not meet all parts in one task.
     """
     slices = config_slices(configs)
     n = slices.agg(F.coalesce(F.max("slices"), F.lit(1)).alias("n")).select("n").scalar()
@@ -73,9 +75,11 @@ def missing_configs(parts: DataFrame, bom_qty: DataFrame, configs: DataFrame) ->
     )
     wanted = parts.withColumn("slice", F.explode(F.sequence(F.lit(0), n - 1)))
     lacking = F.array_except("names", F.coalesce("held", F.array().cast("array<string>")))
+    salted = slices.select("slice", "names", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
     return (
         wanted.join(held, ["part", "slice"], "left")
-        .join(slices.select("slice", "names"), "slice")
+        .withColumn("_salt", F.pmod(F.xxhash64("part"), F.lit(SALTS)).cast("int"))
+        .join(salted, ["slice", "_salt"])
         .select(*[F.col(c) for c in parts.columns], F.explode(lacking).alias("config"))
     )
 
