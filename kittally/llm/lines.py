@@ -11,7 +11,7 @@ from kittally.session import cut
 
 #: Similarity as a fraction; rarity is known for 2 ** RARITY groups of words; bits of the line table; a size
 #: class spans WIDTH times the largest ratio of similar sizes.
-SIMILARITY, RARITY, BITS, WIDTH, SKETCH, RAREST = (4, 5), 14, 1 << 23, 4, 8, 6
+SIMILARITY, RARITY, BITS, WIDTH, SKETCH, RAREST = (4, 5), 14, 1 << 23, 4, 8, 4
 _LOW = 64 - RARITY
 
 
@@ -92,18 +92,19 @@ def stars(sets: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFram
     one row each.
     """
     num, den = similarity
-    rows = sets.select("id", "bits", "n", F.explode(F.slice("prefix", 1, RAREST)).alias("word"))
+    rows = sets.select("id", F.explode(F.slice("prefix", 1, RAREST)).alias("word"))
     first = rows.groupBy("word").agg(F.min("id").alias("early"), F.count("*").alias("sets")).where("sets > 1").drop("sets")
-    first = cut(first.join(sets.select(F.col("id").alias("early"), F.col("bits").alias("bits_e"), F.col("n").alias("n_e")), "early"))
-    total = F.col("n") + F.col("n_e")
-    met = rows.join(first, "word").where("early < id").where(F.least("n", "n_e") * den >= F.greatest("n", "n_e") * num)
-    met = met.where(F.bit_count(F.col("bits").bitwiseXOR(F.col("bits_e"))) <= total - 2 * _ceil(total * num, num + den))
-    twice = met.groupBy(F.col("id").alias("late"), "early").count().where("count > 1")
-    return twice.groupBy("late").agg(F.min("early").alias("early"))
+    met = rows.join(cut(first), "word").where("early < id").groupBy(F.col("id").alias("late"), "early").count().where("count > 1")
+    for x in ("late", "early"):
+        met = met.join(sets.select(F.col("id").alias(x), F.col("bits").alias(f"bits_{x}"), F.col("n").alias(f"n_{x}")), x)
+    total = F.col("n_late") + F.col("n_early")
+    met = met.where(F.least("n_late", "n_early") * den >= F.greatest("n_late", "n_early") * num)
+    met = met.where(F.bit_count(F.col("bits_late").bitwiseXOR(F.col("bits_early"))) <= total - 2 * _ceil(total * num, num + den))
+    return met.groupBy("late").agg(F.min("early").alias("early"))
 
 
-def candidates(sets: DataFrame, open_ids: DataFrame | None = None, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
-    """Pairs (early, late) of ids of sets that may be similar; loses none whose late set is among ``open_ids``.
+def candidates(sets: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
+    """Pairs (early, late) of ids of sets that may be similar; loses none whose late set has ``open`` set.
 
     Prefix filter: the longer set's rarest words must meet the rarest words of the shorter one. Length and
     positional filter: behind the first common word both must have enough words left. Last, the bits. Sets
@@ -113,11 +114,7 @@ def candidates(sets: DataFrame, open_ids: DataFrame | None = None, similarity: t
     num, den = similarity
     step = WIDTH * math.log(den / num)
     need = lambda n, m: _ceil((n + m) * num, num + den)
-    rows = sets.select("id", "bits", "n", "prefix", F.floor(F.log("n") / F.lit(step)).cast("int").alias("class"))
-    if open_ids is None:
-        rows = rows.withColumn("open", F.lit(True))
-    else:
-        rows = rows.join(open_ids.select("id", F.lit(True).alias("open")), "id", "left").withColumn("open", F.col("open").isNotNull())
+    rows = sets.select("id", "bits", "n", "open", "prefix", F.floor(F.log("n") / F.lit(step)).cast("int").alias("class"))
     beyond = F.greatest("n", F.floor(F.exp((F.col("class") + 1) * F.lit(step))).cast("int"))  # sizes from the next class on
     goals = F.array(F.struct("class", F.col("n").alias("m")), F.struct((F.col("class") + 1).alias("class"), beyond.alias("m")))
     short = rows.withColumn("goal", F.explode(goals)).where(F.col("goal.m") * num <= F.col("n") * den)
@@ -161,13 +158,15 @@ def matched(lines: DataFrame, sets: DataFrame, similarity: tuple[int, int] = SIM
     all their candidates; sets whose star does not match after all are then compared with all of theirs.
     """
     star = cut(stars(sets, similarity))
-    open_ids = sets.select("id").join(star.select(F.col("late").alias("id")), "id", "left_anti")
-    pairs = cut(candidates(sets, open_ids, similarity).unionByName(star))
+    starred = F.col("late").isNotNull()
+    flagged = sets.join(star.select("late"), F.col("id") == F.col("late"), "left").withColumn("open", ~starred).drop("late")
+    pairs = cut(candidates(flagged, similarity).unionByName(star))
     settled = cut(verified(lines, sets, pairs, similarity))
-    failed = cut(star.join(settled, "late", "left_anti").select(F.col("late").alias("id")))
+    failed = cut(star.join(settled, "late", "left_anti").select("late"))
     if failed.isEmpty():
         return settled
-    pairs = cut(candidates(sets, failed, similarity))
+    flagged = sets.join(failed, F.col("id") == F.col("late"), "left").withColumn("open", starred).drop("late")
+    pairs = cut(candidates(flagged, similarity))
     return settled.unionByName(verified(lines, sets, pairs, similarity))
 
 
