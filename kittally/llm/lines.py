@@ -11,7 +11,7 @@ from kittally.session import cut
 
 #: Similarity as a fraction; rarity is known for 2 ** RARITY groups of words; bits of the line table; a size
 #: class spans WIDTH times the largest ratio of similar sizes.
-SIMILARITY, RARITY, BITS, WIDTH, SKETCH, RAREST = (4, 5), 14, 1 << 23, 4, 8, 4
+SIMILARITY, RARITY, BITS, WIDTH, SKETCH, RAREST, SHARED = (4, 5), 14, 1 << 23, 4, 8, 4, 2
 _LOW = 64 - RARITY
 
 
@@ -78,7 +78,7 @@ def line_sets(lines: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> Dat
         F.aggregate("words", F.lit(0).cast("long"), lambda acc, w: acc.bitwiseXOR(_bit(w))).alias("bits"),
         n.alias("n"),
         F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line_no", "twin").alias("first"),
-        F.transform(F.slice("words", 1, n - _ceil(n * num, den) + 1), lambda w: F.hash(w)).alias("prefix"),
+        F.transform(F.slice("words", 1, n - _ceil(n * num, den) + SHARED), lambda w: F.hash(w)).alias("prefix"),
     )
     sets = sets.groupBy("h", "bits", "n").agg(F.min("first").alias("first"), F.first("prefix").alias("prefix")).drop("h")
     return sets.orderBy("first").withColumn("id", F.monotonically_increasing_id())
@@ -106,8 +106,8 @@ def stars(sets: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFram
 def candidates(sets: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
     """Pairs (early, late) of ids of sets that may be similar; loses none whose late set has ``open`` set.
 
-    Prefix filter: the longer set's rarest words must meet the rarest words of the shorter one. Length and
-    positional filter: behind the first common word both must have enough words left. Last, the bits. Sets
+    Prefix filter: SHARED of the longer set's rarest words must be among the rarest of the shorter one. Length
+    and positional filter: behind each of these both must have enough words left. Last, the bits. Sets
     are in classes of size, and the class is part of the join key: a set meets longer ones in its own class
     and, if sets that are similar to it can be so long, in the next.
     """
@@ -118,7 +118,7 @@ def candidates(sets: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> Dat
     beyond = F.greatest("n", F.floor(F.exp((F.col("class") + 1) * F.lit(step))).cast("int"))  # sizes from the next class on
     goals = F.array(F.struct("class", F.col("n").alias("m")), F.struct((F.col("class") + 1).alias("class"), beyond.alias("m")))
     short = rows.withColumn("goal", F.explode(goals)).where(F.col("goal.m") * num <= F.col("n") * den)
-    short = short.withColumn("class", F.col("goal.class")).withColumn("prefix", F.slice("prefix", 1, F.col("n") - need(F.col("n"), F.col("goal.m")) + 1))
+    short = short.withColumn("class", F.col("goal.class")).withColumn("prefix", F.slice("prefix", 1, F.col("n") - need(F.col("n"), F.col("goal.m")) + SHARED))
 
     def side(some: DataFrame, mark: str) -> DataFrame:
         some = some.select("id", "bits", "n", "open", "class", F.posexplode("prefix").alias("at", "word"))
@@ -131,11 +131,13 @@ def candidates(sets: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> Dat
         .where("n_b <= n_a")
         .where(F.col("n_b") * den >= F.col("n_a") * num)
         .where(F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b"))) <= total - 2 * least)
-        .where(F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) >= least)
+        .where(F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) >= least - (SHARED - 1))
         .where("n_b < n_a or id_b < id_a")
         .where(F.when(F.col("id_a") > F.col("id_b"), F.col("open_a")).otherwise(F.col("open_b")))
-        .select(F.least("id_a", "id_b").alias("early"), F.greatest("id_a", "id_b").alias("late"))
-        .distinct()
+        .groupBy(F.least("id_a", "id_b").alias("early"), F.greatest("id_a", "id_b").alias("late"))
+        .agg(F.count("*").alias("shared"), F.max(least).alias("least"))
+        .where(F.col("shared") >= F.least(F.lit(SHARED), "least"))
+        .select("early", "late")
     )
 
 
