@@ -11,7 +11,8 @@ from kittally.session import cut
 
 #: Similarity as a fraction; rarity is known for 2 ** RARITY groups of words; bits of the line table; a size
 #: class spans WIDTH times the largest ratio of similar sizes.
-SIMILARITY, RARITY, BITS, WIDTH, SKETCH, RAREST, SHARED = (4, 5), 14, 1 << 23, 4, 8, 4, 2
+SIMILARITY, RARITY, BITS, WIDTH, SKETCH, RAREST, SHARED = (4, 5), 14, 1 << 23, 4, 8, 12, 2
+TWO = ("low", "high")
 _LOW = 64 - RARITY
 
 
@@ -64,26 +65,37 @@ def _ordered(words: Column, ranks: Column) -> Column:
 
 
 def line_sets(lines: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
-    """(id, first, bits, n, prefix): one row per different set of words among the lines, to be written once.
+    """(id, first, low, high, n, prefix): one row per different set of words among the lines, to be written once.
 
-    ``first`` is the first line with that set; ids rise in the order of these lines. ``bits`` flips one of 64 bits per word, so that
-    two sets that differ in d words differ in at most d bits. ``prefix`` has the rarest words.
+    ``first`` is the first line with that set; ids rise in the order of these lines. ``low``
+    and ``high`` flip one of 128 bits per word: two sets that differ in d words differ in at most d bits.
+    ``prefix`` has the rarest words.
     """
     num, den = similarity
     ranks = _rarity(lines)
     sets = lines.select("doc_id", "twin", "line_no", _ordered(tokens(F.col("line")), ranks).alias("words"))
     n = F.size("words")
+
+    def flip(i: int):
+        of = lambda w: F.when(F.shiftright(w, 6).bitwiseAND(F.lit(1)) == i, _bit(w)).otherwise(F.lit(0).cast("long"))
+        return lambda acc, w: acc.bitwiseXOR(of(w))
+
     sets = sets.select(
         F.xxhash64("words").alias("h"),
-        F.aggregate("words", F.lit(0).cast("long"), lambda acc, w: acc.bitwiseXOR(_bit(w))).alias("bits"),
+        *(F.aggregate("words", F.lit(0).cast("long"), flip(i)).alias(b) for i, b in enumerate(TWO)),
         n.alias("n"),
         F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line_no", "twin").alias("first"),
         F.transform(F.slice("words", 1, n - _ceil(n * num, den) + SHARED), lambda w: F.hash(w)).alias("prefix"),
     )
-    sets = sets.groupBy("h", "bits", "n").agg(F.min("first").alias("first"), F.first("prefix").alias("prefix")).drop("h")
+    sets = sets.groupBy("h", *TWO, "n").agg(F.min("first").alias("first"), F.first("prefix").alias("prefix")).drop("h")
     return sets.orderBy("first").withColumn("id", F.monotonically_increasing_id())
 
 
+def _differ(a: str, b: str) -> Column:
+    """Differing bits of two sets whose columns end in these marks."""
+    return sum((F.bit_count(F.col(f"{c}_{a}").bitwiseXOR(F.col(f"{c}_{b}"))) for c in TWO), F.lit(0))
+
+
 def stars(sets: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
     """(late, early): for sets that most likely match an earlier one, one such set; a row per set at most.
 
@@ -96,10 +108,10 @@ def stars(sets: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFram
     first = rows.groupBy("word").agg(F.min("id").alias("early"), F.count("*").alias("sets")).where("sets > 1").drop("sets")
     met = rows.join(cut(first), "word").where("early < id").groupBy(F.col("id").alias("late"), "early").count().where("count > 1")
     for x in ("late", "early"):
-        met = met.join(sets.select(F.col("id").alias(x), F.col("bits").alias(f"bits_{x}"), F.col("n").alias(f"n_{x}")), x)
+        met = met.join(sets.select(F.col("id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in (*TWO, "n"))), x)
     total = F.col("n_late") + F.col("n_early")
     met = met.where(F.least("n_late", "n_early") * den >= F.greatest("n_late", "n_early") * num)
-    met = met.where(F.bit_count(F.col("bits_late").bitwiseXOR(F.col("bits_early"))) <= total - 2 * _ceil(total * num, num + den))
+    met = met.where(_differ("late", "early") <= total - 2 * _ceil(total * num, num + den))
     return met.groupBy("late").agg(F.min("early").alias("early"))
 
 
@@ -114,15 +126,15 @@ def candidates(sets: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> Dat
     num, den = similarity
     step = WIDTH * math.log(den / num)
     need = lambda n, m: _ceil((n + m) * num, num + den)
-    rows = sets.select("id", "bits", "n", "open", "prefix", F.floor(F.log("n") / F.lit(step)).cast("int").alias("class"))
+    rows = sets.select("id", *TWO, "n", "open", "prefix", F.floor(F.log("n") / F.lit(step)).cast("int").alias("class"))
     beyond = F.greatest("n", F.floor(F.exp((F.col("class") + 1) * F.lit(step))).cast("int"))  # sizes from the next class on
     goals = F.array(F.struct("class", F.col("n").alias("m")), F.struct((F.col("class") + 1).alias("class"), beyond.alias("m")))
     short = rows.withColumn("goal", F.explode(goals)).where(F.col("goal.m") * num <= F.col("n") * den)
     short = short.withColumn("class", F.col("goal.class")).withColumn("prefix", F.slice("prefix", 1, F.col("n") - need(F.col("n"), F.col("goal.m")) + SHARED))
 
     def side(some: DataFrame, mark: str) -> DataFrame:
-        some = some.select("id", "bits", "n", "open", "class", F.posexplode("prefix").alias("at", "word"))
-        return some.select(F.hash("word", "class").alias("key"), *(F.col(c).alias(f"{c}_{mark}") for c in ("id", "bits", "n", "open", "at")))
+        some = some.select("id", *TWO, "n", "open", "class", F.posexplode("prefix").alias("at", "word"))
+        return some.select(F.hash("word", "class").alias("key"), *(F.col(c).alias(f"{c}_{mark}") for c in ("id", *TWO, "n", "open", "at")))
 
     total, least = F.col("n_a") + F.col("n_b"), need(F.col("n_a"), F.col("n_b"))
     return (
@@ -130,7 +142,7 @@ def candidates(sets: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> Dat
         .join(side(short, "b"), "key")
         .where("n_b <= n_a")
         .where(F.col("n_b") * den >= F.col("n_a") * num)
-        .where(F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b"))) <= total - 2 * least)
+        .where(_differ("a", "b") <= total - 2 * least)
         .where(F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) >= least - (SHARED - 1))
         .where("n_b < n_a or id_b < id_a")
         .where(F.when(F.col("id_a") > F.col("id_b"), F.col("open_a")).otherwise(F.col("open_b")))
