@@ -11,7 +11,7 @@ from kittally.session import cut
 
 #: Similarity as a fraction; rarity is known for 2 ** RARITY groups of words; bits of the line table; a size
 #: class spans WIDTH times the largest ratio of similar sizes.
-SIMILARITY, RARITY, BITS, WIDTH, SKETCH, RAREST, SHARED = (4, 5), 14, 1 << 23, 4, 8, 12, 2
+SIMILARITY, RARITY, BITS, WIDTH, SKETCH, RAREST, SHARED = (4, 5), 14, 1 << 23, 4, 8, 9, 2
 TWO = ("low", "high")
 _LOW = 64 - RARITY
 
