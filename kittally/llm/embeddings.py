@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import itertools
+import logging
 import math
 from collections.abc import Iterator
 
@@ -13,8 +16,9 @@ from kittally.llm.common import values
 from kittally.llm.graph import components
 from kittally.session import cut
 
+log = logging.getLogger(__name__)
 THRESHOLD, SLACK = 0.95, 1e-4
-LEAF, TREES, NEIGHBOURS, SAMPLE, ROUNDS, CHUNK, AUDIT, RECALL, TRIES = 128, 8, 10, 16, 6, 512, 256, 0.98, 3
+LEAF, TREES, NEIGHBOURS, SAMPLE, CHUNK, AUDIT, RECALL, TRIES = 128, 8, 10, 16, 512, 768, 0.98, 3
 
 
 def unit_vectors(rows: DataFrame, key: str, vector: str) -> DataFrame:
@@ -191,31 +195,63 @@ def true_links(nodes: DataFrame, asked: DataFrame, threshold: float) -> DataFram
     return nodes.select("node", "v", "weight").mapInArrow(run, "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
 
 
+def open_links(links: DataFrame) -> int:
+    """Links by node, each node's counted up to a full list: it stands still when no node with room gains one."""
+    return links.groupBy("node").agg(F.least(F.count("*"), F.lit(NEIGHBOURS)).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def audit(nodes: DataFrame, counts: DataFrame, members: DataFrame, threshold: float) -> dict[str, float]:
+    """Mean share of its true links that a node has, for components counted exactly ("big") and for all others ("small").
+
+    Nodes come in three kinds, of which a third of AUDIT each is counted by brute force: those of big
+    components, others with links, and those without any found. What the last kind has lost counts with the
+    small ones, at its share of the nodes, so lost pairs weigh as much as pairs found.
+    """
+    kinds = nodes.join(members.select("node", F.lit("big").alias("big")), "node", "left").join(counts.withColumnRenamed("links", "found"), "node", "left")
+    kinds = cut(kinds.select("node", "v", F.coalesce("found", F.lit(0)).alias("found"), F.coalesce("big", F.when(F.col("found") > 0, "small").otherwise("alone")).alias("kind")))
+    sizes = dict(kinds.groupBy("kind").count().collect())
+    asked = [kinds.where(F.col("kind") == k).orderBy(F.xxhash64("node")).limit(AUDIT // 3) for k in sorted(sizes)]
+    if not asked:
+        return {"big": 1.0, "small": 1.0}
+    asked = cut(functools.reduce(DataFrame.unionByName, asked))
+    truth = asked.join(true_links(nodes, asked, threshold), "node").groupBy("kind").agg(
+        F.count("*").alias("n"), F.sum((F.col("links") > 0).cast("long")).alias("linked"),
+        F.sum(F.when(F.col("links") > 0, F.least("links", "found") / F.col("links")).otherwise(0.0)).alias("had"),
+    )
+    had = {"big": [0.0, 0.0], "small": [0.0, 0.0]}
+    for r in truth.collect():
+        mine, weight = had["big" if r["kind"] == "big" else "small"], sizes[r["kind"]] / r["n"]
+        mine[0] += weight * r["had"]
+        mine[1] += weight * r["linked"]
+    return {k: a / b if b else 1.0 for k, (a, b) in had.items()}
+
+
 def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = THRESHOLD, seed: int = 11) -> DataFrame:
     """(vec_id, n_links, component_id, kept): one row per input row.
 
     Links have cosine >= ``threshold`` in double precision. Equal vectors meet in one class first. Lists of
-    NEIGHBOURS start in random trees and are refined round by round until a round finds less than a
-    thousandth of new links. A list full of links is saturated: its component is counted exactly. An audit
-    compares the links of AUDIT nodes with brute force; below RECALL, more trees and rounds follow, up to
-    TRIES times. Vectors that are null, empty, zero, hold null or non-finite components, or have a null key
+    NEIGHBOURS start in random trees and are refined round by round until no node whose list has room gains
+    a link. A list full of links is saturated: its component is counted exactly. An audit compares the links
+    of AUDIT nodes with brute force; while big components or the others are below RECALL, more trees and
+    rounds follow. RuntimeError if TRIES times in a row that brought no link. Vectors that are null, empty, zero, hold null or non-finite components, or have a null key
     link with nothing: no links, component their own key, kept. Only vectors of one length are compared.
     """
     given = cut(unit_vectors(rows, key, vector))
     nodes = cut(given.where("v is not null and vec_id is not null").groupBy("v").agg(F.min("vec_id").alias("node"), F.count("*").alias("weight")).select("node", "v", "weight"))
     close = F.col("sim") >= threshold - SLACK
     lists = links = None
-    for attempt in range(TRIES):
+    known = idle = turn = 0
+    for attempt in itertools.count():
         entries = cut(first_lists(nodes, seed + attempt, TREES, threshold))
         links = cut((entries.where(close) if links is None else links.unionByName(entries.where(close))).groupBy("node", "other").agg(F.max("sim").alias("sim")))
         lists = cut(closest(entries if lists is None else lists.unionByName(entries), NEIGHBOURS))
-        known = links.count()
-        for turn in range(ROUNDS):
-            entries = cut(refine(nodes, lists, attempt * ROUNDS + turn, threshold))
+        start, known = known, open_links(links)
+        while True:
+            entries = cut(refine(nodes, lists, turn, threshold))
             links = cut(links.unionByName(entries.where(close)).groupBy("node", "other").agg(F.max("sim").alias("sim")))
             lists = cut(closest(lists.unionByName(entries), NEIGHBOURS))
-            before, known = known, links.count()
-            if known - before <= known // 1000:
+            turn, before, known = turn + 1, known, open_links(links)
+            if known == before:
                 break
         pairs = cut(close_links(nodes, links, threshold))
         parts = cut(components(pairs, "a", "b"))
@@ -226,12 +262,13 @@ def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embeddi
         members = cut(parts.join(full, "component", "left_semi").join(nodes, "node").select(F.col("component").alias("group"), "node", "v", "weight"))
         exact = count_links(members, threshold)
         counts = cut(counts.select("node", "links").join(members.select("node"), "node", "left_anti").unionByName(exact))
-        asked = nodes.join(counts.select("node"), "node", "left_semi").orderBy(F.xxhash64("node")).limit(AUDIT // 2)
-        asked = asked.unionByName(nodes.orderBy(F.xxhash64("node")).limit(AUDIT // 2)).dropDuplicates(["node"])
-        truth = true_links(nodes, asked, threshold).join(counts.withColumnRenamed("links", "found"), "node", "left")
-        want, got = truth.agg(F.coalesce(F.sum("links"), F.lit(0)), F.coalesce(F.sum(F.least("links", "found")), F.lit(0))).first()
-        if got >= RECALL * want:
+        recall = audit(nodes, counts, members, threshold)
+        log.info("recall of links after try %d: big components %.4f, others %.4f", attempt + 1, recall["big"], recall["small"])
+        if min(recall.values()) >= RECALL:
             break
+        idle = 0 if known > start else idle + 1
+        if idle >= TRIES:
+            raise RuntimeError(f"recall of links is {recall} after {attempt + 1} tries, {RECALL} is asked for")
     done = nodes.join(parts, "node", "left").join(counts, "node", "left").select(
         "v", F.coalesce("component", "node").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links")
     )

@@ -153,6 +153,29 @@ def test_embeddings(spark):
     assert embeddings.near_duplicates(frame.limit(0)).count() == 0
 
 
+def lost_pairs(spark, monkeypatch, tries):
+    """Vectors with one group of 60 and 40 pairs, whose pairs the first ``tries`` tries do not see."""
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal((41, 24))
+    rows = [(i, (base[0] + 0.05 * rng.standard_normal(24)).tolist()) for i in range(60)]
+    rows += [(100 * side + i, (base[i] + 0.05 * rng.standard_normal(24)).tolist()) for i in range(1, 41) for side in (1, 2)]
+    first = embeddings.first_lists
+    monkeypatch.setattr(embeddings, "first_lists", lambda nodes, seed, *a: first(nodes.where("node < 100") if seed < 11 + tries else nodes, seed, *a))
+    return rows, spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+
+
+def test_embeddings_find_pairs_lost_by_the_first_try(spark, monkeypatch):
+    rows, frame = lost_pairs(spark, monkeypatch, 1)
+    assert {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(frame).collect()} == plain_vectors(rows)
+
+
+def test_embeddings_below_recall_are_refused(spark, monkeypatch):
+    _, frame = lost_pairs(spark, monkeypatch, 99)
+    monkeypatch.setattr(embeddings, "TRIES", 1)
+    with pytest.raises(RuntimeError, match="recall"):
+        embeddings.near_duplicates(frame)
+
+
 def test_count_links_equals_lists(spark):
     rng = np.random.default_rng(4)
     x = rng.standard_normal((700, 6)) * [1, 1, 0.05, 0.05, 0.05, 0.05]
