@@ -149,6 +149,8 @@ class Encoder:
             pieces = self.pattern.findall(text, start, end)
             if end < stop:  # the last piece may go on behind the slice
                 last = pieces.pop()
+                if pieces and pieces[-1] == "'":  # a begun 're, 've or 'll
+                    last = pieces.pop() + last
                 if not pieces:
                     end = self.pattern.match(text, start, stop).end()
                     yield from self.stream(text[i : min(i + WINDOW, end)].encode() for i in range(start, end, WINDOW))

@@ -47,6 +47,15 @@ def test_bpe_slices_and_windows(both, monkeypatch):
         same(both, "".join(rng.choice(["inon", "the", " ", "\n", "'s", "1", "é", "....", "zzzz"]) for _ in range(rng.randint(1, 800))))
 
 
+@pytest.mark.parametrize("end", ["'ll", "'re", "'ve", "'d", "'lx", "!'ll", " 'll", "''ve"])
+def test_bpe_slices_keep_contractions(both, monkeypatch, end):
+    monkeypatch.setattr(bpe, "SLICE", 20)
+    for before in range(12, 24):
+        for rest in (" go on to the next slice", "s", "'ll've"):
+            same(both, "so w" + "e" * (before - 4) + end + rest)
+            same(both, " " * before + end + rest)
+
+
 def test_lookahead_settles_every_token(both):
     """Tokens that end the lookahead before a cut are the same whatever follows."""
     encoder, rng = both[0], random.Random(2)
