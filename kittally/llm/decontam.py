@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
@@ -15,6 +16,7 @@ from kittally.llm.spans import Rolling
 from kittally.session import cut
 
 WINDOW, RUN, BITS, REMEMBERED = 8, 13, 1 << 22, 1 << 19
+OPENINGS = (8, 0, 1)  # flags of the word before a text: end of a sentence, plain word, number
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»“”„‘’¿¡…"
 NUMBER = re.compile(r"[+-]?\d[\d.,:/]*\w{0,3}")
 NUMBER_WORDS = frozenset(
@@ -53,19 +55,24 @@ class _Lexicon(dict):
 
 
 class Template:
-    """A text as template tokens; ``kind`` is 0 for plain words, else the type of slot."""
+    """A text as template tokens; ``kind`` is 0 for plain words, else the type of slot.
 
-    def __init__(self, text: str | None, lexicon: _Lexicon):
+    ``opening`` stands for the flags of a word before the text, on which the type of the first word depends.
+    """
+
+    def __init__(self, text: str | None, lexicon: _Lexicon, opening: int = 8):
         self.words = (text or "").split()
         packed = np.fromiter(map(lexicon.__getitem__, self.words), np.uint64, len(self.words))
         solid = packed != 0
         flags = (packed & np.uint64(15)).astype(np.int64)
-        before = np.concatenate(([8], flags[:-1])) if len(flags) else flags
+        before = np.concatenate(([opening], flags[:-1])) if len(flags) else flags
         number = (flags & 1) > 0
         unit = (flags & 4 > 0) & (before & 1 > 0) & ~number
         name = (flags & 2 > 0) & (before & 8 == 0) & ~unit
         kind = np.select([number, name, unit], [1, 2, 3], 0)
         again = np.concatenate(([False], name[1:] & name[:-1])) if len(name) else name
+        self.solid = np.flatnonzero(solid)
+        self.cores = packed[self.solid] >> np.uint64(4)
         self.at = np.flatnonzero(solid & ~again)  # several names in a row are one slot
         self.kind = kind[self.at]
         self.tokens = packed[self.at] >> np.uint64(4)
@@ -79,11 +86,15 @@ class Template:
 
     def slots(self, start: int, size: int) -> list[tuple[str, str]]:
         """Type and value of the slots of a window."""
+        return [(kind, value) for _, kind, value in self.placed_slots(start, size)]
+
+    def placed_slots(self, start: int, size: int) -> list[tuple[int, str, str]]:
+        """Token number, type and value of the slots of a window."""
         found = []
         for i in range(start, min(start + size, len(self.at))):
             if k := int(self.kind[i]):
                 stop = self.at[i + 1] if k == 2 and i + 1 < len(self.at) else self.at[i] + 1
-                found.append((_KINDS[k], " ".join(w.strip(MARKS) for w in self.words[self.at[i] : stop]).strip()))
+                found.append((i, _KINDS[k], " ".join(w.strip(MARKS) for w in self.words[self.at[i] : stop]).strip()))
         return found
 
     def plain(self, start: int, size: int) -> str:
@@ -92,64 +103,132 @@ class Template:
         return " ".join(f"<{_KINDS[int(k)]}>" if (k := self.kind[i]) else self.words[self.at[i]].strip(MARKS).lower() for i in part)
 
 
-SHAPE = "id long, at long, n long, hash long, template string, slots array<struct<kind: string, value: string>>"
+SHAPE = "id long, at long, n long, hash long, template string, form int, slots array<struct<at: long, kind: string, value: string>>"
 
 
-def template_windows(rows: DataFrame, window: int, bits: np.ndarray | None = None) -> DataFrame:
-    """Windows of rows (doc_id, text) under SHAPE; with ``bits`` only those whose bit is set."""
+def template_windows(rows: DataFrame, window: int, bits: np.ndarray | None = None, openings: tuple[int, ...] = (8,)) -> DataFrame:
+    """Windows of rows (doc_id, text) under SHAPE; with ``bits`` only those whose bit is set.
+
+    Each different template that ``openings`` give a text is a form of its own; behind another word than the
+    end of a sentence its first letter is a capital, so that the first token can be a name.
+    """
     shared = rows.sparkSession.sparkContext.broadcast(bits) if bits is not None else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = _Lexicon()
-        kind = pa.list_(pa.struct([("kind", pa.string()), ("value", pa.string())]))
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), kind]
+        kind = pa.list_(pa.struct([("at", pa.int64()), ("kind", pa.string()), ("value", pa.string())]))
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int32()]
         for batch in batches:
             out = []
             for key, text in values(batch, "doc_id", "text"):
-                found = Template(text, lexicon)
-                hashes = found.windows(window)
-                which = np.arange(len(hashes)) if shared is None else np.flatnonzero(shared.value[(hashes % np.uint64(BITS)).astype(np.int64)])
-                signed = hashes.view(np.int64)
-                out += [(key, int(i), len(found.at), int(signed[i]), found.plain(i, window), found.slots(i, window)) for i in which]
+                forms = {}
+                for opening in openings:
+                    found = Template(text if opening == 8 else (text or "")[:1].upper() + (text or "")[1:], lexicon, opening)
+                    forms.setdefault(found.tokens.tobytes(), found)
+                for form, found in enumerate(forms.values()):
+                    hashes = found.windows(window)
+                    which = np.arange(len(hashes)) if shared is None else np.flatnonzero(shared.value[(hashes % np.uint64(BITS)).astype(np.int64)])
+                    signed = hashes.view(np.int64)
+                    out += [(key, int(i), len(found.at), int(signed[i]), found.plain(i, window), form, found.placed_slots(int(i), window)) for i in which]
             if out:
-                slots = pa.array([[{"kind": k, "value": v} for k, v in r[5]] for r in out], kind)
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(list(zip(*out))[:5], types)), slots], ["id", "at", "n", "hash", "template", "slots"])
+                slots = pa.array([[{"at": i, "kind": k, "value": v} for i, k, v in r[6]] for r in out], kind)
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(list(zip(*out))[:6], types)), slots], ["id", "at", "n", "hash", "template", "form", "slots"])
 
     return rows.mapInArrow(run, SHAPE)
 
 
+def _bits(hashes: DataFrame) -> np.ndarray:
+    """Table of BITS bits with those of column ``hash`` set; BITS is a power of two, so this is the unsigned remainder."""
+    bits = np.zeros(BITS, bool)
+    bits[hashes.select(F.pmod("hash", F.lit(BITS)).alias("bit")).distinct().toArrow()["bit"].to_numpy()] = True
+    return bits
+
+
+def plain_windows(rows: DataFrame, sizes: list[int] | None, bits: np.ndarray | None = None) -> DataFrame:
+    """(id, size, hash, words): different windows of ``sizes`` plain words whose bit is set; whole texts without ``sizes``."""
+    shared = rows.sparkSession.sparkContext.broadcast(bits) if bits is not None else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon = _Lexicon()
+        for batch in batches:
+            out = []
+            for key, text in values(batch, "doc_id", "text"):
+                found = Template(text, lexicon)
+                n = len(found.cores)
+                for size in [n] if sizes is None else sizes:
+                    if not 0 < size <= n:
+                        continue
+                    hashes = Rolling(found.cores, 0).of(np.arange(n - size + 1), size)
+                    which = np.arange(len(hashes)) if shared is None else np.flatnonzero(shared.value[(hashes % np.uint64(BITS)).astype(np.int64)])
+                    seen = {(int(h), " ".join(found.words[j].strip(MARKS).lower() for j in found.solid[i : i + size])) for i, h in zip(which, hashes.view(np.int64)[which])}
+                    out += [(key, size, h, w) for h, w in seen]
+            if out:
+                types = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], ["id", "size", "hash", "words"])
+
+    return rows.mapInArrow(run, "id long, size long, hash long, words string")
+
+
+def exact_items(docs: DataFrame, short: DataFrame) -> DataFrame | None:
+    """(doc_id, item_id, tokens, exact_slots) for rows short of (doc_id, text, tokens): all their words, in order, anywhere in a text."""
+    whole = cut(plain_windows(short.select("doc_id", "text"), None).withColumnRenamed("id", "item_id").distinct())
+    sizes = sorted(r["size"] for r in whole.select("size").distinct().collect())
+    if not sizes:
+        return None
+    found = plain_windows(docs, sizes, _bits(whole)).withColumnRenamed("id", "doc_id")
+    counts = short.select(F.col("doc_id").alias("item_id"), "tokens").groupBy("item_id").agg(F.max("tokens").alias("tokens"))
+    met = found.join(whole, ["hash", "words"]).select("doc_id", "item_id").distinct()
+    return met.join(counts, "item_id").select("doc_id", "item_id", "tokens", F.lit(True).alias("exact_slots"))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id",
           window: int = WINDOW, run: int = RUN, strict: tuple[str, ...] = ("name", "unit")) -> DataFrame:
     """(doc_id, item_id, tokens, exact_slots): documents that hold a passage of a benchmark item's template.
 
     A passage is a run of following windows that agree with the item's in order, ``run`` or more template
-    tokens long (the whole item if it is shorter). Slots must be consistent: within a run one value of the
-    item stands for one value of the document, for the types in ``strict``; numbers may change freely.
-    ``tokens`` is the longest run, ``exact_slots`` says that it kept all values. Documents only emit windows
-    whose bit is set in a table of BITS bits over the benchmark's windows, so the join sees no others.
-    Items shorter than ``window`` match as a whole, against documents of that template only. Null texts
-    have no windows; an empty benchmark gives no leaks.
+    tokens long (the whole item if it is shorter). Slots must be consistent: one value of the item stands
+    for one value of the document, for the types in ``strict``; numbers may change freely. A run in which a
+    value contradicts an earlier one is split at those that are not the item's own, so every stretch that
+    keeps the item's values and is long enough counts; names at the item's ends may have grown by capitals
+    around the passage. Items have a form for each type that the
+    word before can give their first one. ``tokens`` is the longest stretch, ``exact_slots`` says that one
+    kept all values. Documents only emit windows whose bit is set in a table of BITS bits over the
+    benchmark's windows, so the join sees no others. Items shorter than ``window`` match documents of their
+    template alone, and any document that holds their words in order, without case and punctuation. Null
+    texts have no windows; an empty benchmark gives no leaks.
     """
-    items = cut(template_windows(id_text(benchmark, item, "text"), window).withColumnsRenamed({"id": "item_id", "at": "item_at", "n": "item_n", "slots": "item_slots"}))
-    marked = items.select(  # BITS is a power of two, so this is the unsigned remainder
-        F.pmod("hash", F.lit(BITS)).alias("bit")).distinct().toArrow()
-    bits = np.zeros(BITS, bool)
-    bits[marked["bit"].to_numpy()] = True
-    found = cut(template_windows(id_text(docs, key, text), window, bits).withColumnRenamed("id", "doc_id"))
+    asked, given = id_text(benchmark, item, "text"), id_text(docs, key, text)
+    items = cut(template_windows(asked, window, openings=OPENINGS).withColumnsRenamed({"id": "item_id", "at": "item_at", "n": "item_n", "slots": "item_slots"}))
+    found = cut(template_windows(given, window, _bits(items)).withColumnRenamed("id", "doc_id").drop("form"))
     pairs = found.join(items, ["hash", "template"]).where("item_n >= least(n, %d)" % window)
     pairs = pairs.withColumn("shift", F.col("at") - F.col("item_at"))
-    order = W.partitionBy("doc_id", "item_id", "shift").orderBy("at")
-    pairs = pairs.dropDuplicates(["doc_id", "item_id", "shift", "at"]).withColumn("run", F.col("at") - F.row_number().over(order))
-    by = ["doc_id", "item_id", "shift", "run"]
-    pairs = cut(pairs.select(*by, "item_n", F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b")).alias("both")))
-    long = pairs.groupBy(*by).agg((F.count("*") + window - 1).alias("tokens"), F.max("item_n").alias("item_n")).where(
-        F.col("tokens") >= F.least(F.lit(run), F.greatest("item_n", F.lit(window)))
-    )
-    slots = pairs.select(*by, F.explode("both").alias("s")).select(*by, F.col("s.a.kind").alias("kind"), F.col("s.a.value").alias("a"), F.col("s.b.value").alias("b"))
-    slots = slots.groupBy(*by, "kind", "a").agg(F.count_distinct("b").alias("values"), F.min(F.col("a") == F.col("b")).alias("same"))
-    slots = slots.groupBy(*by).agg(F.max((F.col("values") > 1) & F.col("kind").isin(*strict)).alias("torn"), F.min("same").alias("same"))
-    kept = long.join(slots, by, "left").where(~F.coalesce("torn", F.lit(False)))
-    return kept.groupBy("doc_id", "item_id").agg(F.least(F.max("tokens"), F.max("item_n")).alias("tokens"), F.max(F.coalesce("same", F.lit(True))).alias("exact_slots"))
+    order = W.partitionBy("doc_id", "item_id", "form", "shift").orderBy("at")
+    pairs = pairs.dropDuplicates(["doc_id", "item_id", "form", "shift", "at"]).withColumn("run", F.col("at") - F.row_number().over(order))
+    by = ["doc_id", "item_id", "form", "shift", "run"]
+    pairs = cut(pairs.select(*by, "item_n", "item_at", F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b")).alias("both")))
+    long = pairs.groupBy(*by).agg(F.min("item_at").alias("first"), F.max(F.col("item_at") + F.least("item_n", F.lit(window))).alias("hi"), F.max("item_n").alias("item_n"))
+    slots = pairs.select(*by, "item_n", F.explode("both").alias("s"))
+    slots = slots.select(*by, "item_n", F.col("s.a.at").alias("p"), F.col("s.a.kind").alias("kind"), F.col("s.a.value").alias("a"), F.col("s.b.value").alias("b"))
+    slots = cut(slots.dropDuplicates([*by, "p"]))
+    same = W.partitionBy(*by, "kind", "a").orderBy("p")
+    torn = slots.where(F.col("kind").isin(*strict)).withColumn("lo", F.lag("p").over(same)).withColumn("was", F.lag("b").over(same))
+    grown = (F.col("p") == F.col("item_n") - 1) & F.col("b").startswith(F.concat("was", F.lit(" "))) | (F.col("lo") == 0) & F.col("was").endswith(F.concat(F.lit(" "), "b"))
+    clash = F.coalesce((F.col("b") != F.col("was")) & ~grown, F.lit(False))
+    torn = torn.withColumn("torn", F.max(clash).over(W.partitionBy(*by))).where("torn and a <> b")
+    whole = (F.col("p") == 0) & F.col("b").endswith(F.concat(F.lit(" "), "a")) | (F.col("p") == F.col("item_n") - 1) & F.col("b").startswith(F.concat("a", F.lit(" ")))
+    torn = torn.where(~whole).select(*by, "item_n", F.col("p").alias("lo"), F.col("p").alias("hi"), F.lit(None).cast("long").alias("first"))
+    ends = torn.unionByName(long.withColumn("lo", F.lit(None).cast("long")))
+    earlier = W.partitionBy(*by).orderBy("hi").rowsBetween(W.unboundedPreceding, -1)
+    begin = F.greatest(F.max("first").over(W.partitionBy(*by)), F.max("lo").over(earlier) + 1)  # greatest() skips nulls
+    stretches = ends.withColumn("begin", begin).withColumn("tokens", F.col("hi") - F.col("begin")).where(F.col("tokens") >= F.least(F.lit(run), "item_n"))
+    changed = slots.where("a <> b").select(*(F.col(c).alias(f"_{c}") for c in by), "p")
+    inside = functools.reduce(lambda x, c: x & F.col(c).eqNullSafe(F.col(f"_{c}")), by, (F.col("p") >= F.col("begin")) & (F.col("p") < F.col("hi")))
+    kept = stretches.join(changed, inside, "left").groupBy(*by, "begin", "hi", "tokens").agg((F.count("p") == 0).alias("exact_slots"))
+    kept = kept.select("doc_id", "item_id", "tokens", "exact_slots")
+    short = items.groupBy("item_id").agg(F.min("item_n").alias("tokens")).where(F.col("tokens") < window).withColumnRenamed("item_id", "doc_id")
+    exact = exact_items(given, cut(asked.join(short, "doc_id")))
+    both = kept if exact is None else kept.unionByName(exact)
+    return both.groupBy("doc_id", "item_id").agg(F.max("tokens").alias("tokens"), F.max("exact_slots").alias("exact_slots"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:

@@ -137,6 +137,25 @@ def test_leaks(spark):
     assert decontam.decontaminate(frame.limit(0), bench).count() == 0
 
 
+def test_leaks_split_runs_and_find_short_items(spark):
+    long = "then Anna Berg buys apples in the shop near the old station and then she walks home with all of them while it rains on the town and on Anna Berg again"
+    edge = "Paris has many bridges and every bridge in Paris was built by men"
+    bench = spark.createDataFrame([(1, long), (2, edge), (3, "what is the capital of France"), (4, "red green blue and Anna Berg sings for nine people today")], "item_id long, text string")
+    frame = docs(
+        spark,
+        "so it said. " + long.replace("on Anna Berg again", "on Anna Burg again") + " and so on",  # one later typo
+        "page of text " + long + " and so on",
+        "they say that " + edge.replace("every", "each") + " of stone",  # another word
+        "they say that " + edge + " of stone",  # first word is a name here
+        "Somebody asked What is the capital of France? and nobody knew it",
+        "somebody asked what is the capital of Spain and nobody knew it",
+        "colours are Red green blue and Lu Wu sings for two people today and more",
+    )
+    got = {(r.doc_id, r.item_id): r for r in decontam.leaks(frame, bench).collect()}
+    assert set(got) == {(0, 1), (1, 1), (3, 2), (4, 3), (6, 4)}
+    assert got[1, 1].tokens > got[0, 1].tokens >= decontam.RUN and got[4, 3].exact_slots and not got[6, 4].exact_slots
+
+
 def test_leaks_against_exact_runs(spark, messy):
     """Without slots a leak is a run of 13 equal words (or the whole item)."""
     rows, frame = messy
