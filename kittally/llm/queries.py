@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kittally.llm import bpe, classlm, decontam, embeddings, language, lines, quality, simhash, spans, toxicity
-from kittally.llm.common import table
+from kittally.llm import bpe, classlm, decontam, embeddings, language, lines, merkle, quality, simhash, spans, toxicity
+from kittally.llm.common import remainder, table
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +57,14 @@ def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {"op3_simhash": op3_simhash, "op6_bpe": op6_bpe, "op8_quality": op8_quality, "op7_language": op7_language, "op9_classlm": op9_classlm, "op10_spans": op10_spans, "op5_toxicity": op5_toxicity, "op2_decontamination": op2_decontamination, "op1_lines": op1_lines, "op4_embeddings": op4_embeddings}
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A seventh of the rows claim one character more than they have; their proofs must fail."""
+    more = F.when(F.col("doc_id").isNotNull() & (remainder("doc_id", 7) == 0), F.col("n_chars") + 1).otherwise(F.col("n_chars"))
+    done = merkle.verify(merkle.manifest(table(spark, sf_dir, "documents"), altered={"n_chars": more}), "claimed")
+    return done.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+QUERIES = {"op3_simhash": op3_simhash, "op6_bpe": op6_bpe, "op8_quality": op8_quality, "op7_language": op7_language, "op9_classlm": op9_classlm, "op10_spans": op10_spans, "op5_toxicity": op5_toxicity, "op2_decontamination": op2_decontamination, "op1_lines": op1_lines, "op4_embeddings": op4_embeddings, "op12_merkle": op12_merkle}
 _WORDS = r"list_filter(string_split_regex(coalesce({0}, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
 _LINES = f"""
@@ -102,5 +109,51 @@ SELECT w.doc_id, CAST(len(ws) AS bigint) AS n_words, CAST(len(ws) - coalesce(n,
 FROM w LEFT JOIN kept ON kept.doc_id = w.doc_id
 """
 
+_MERKLE = r"""
+WITH RECURSIVE fields AS (
+  SELECT doc_id, lang, coalesce(strlen(doc_id::varchar) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+    coalesce(strlen(n_chars::varchar) || ':' || n_chars, '-') AS size, coalesce(strlen((n_chars + 1)::varchar) || ':' || (n_chars + 1), '-') AS more,
+    coalesce(strlen(text) || ':' || text, '-') AS tail,
+    xor(list_reduce(list_concat([4294967295], list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint)),
+      lambda c, b: list_reduce(list_concat([xor(c, b)], range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 7 = 0 AS bad
+  FROM documents
+),
+leaves AS (
+  SELECT doc_id, coalesce('1' || lang, '0') AS run, sha256(head || size || tail) AS leaf, CASE WHEN bad THEN sha256(head || more || tail) ELSE sha256(head || size || tail) END AS claimed
+  FROM fields
+),
+placed AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY run) AS n FROM leaves),
+low(run, lvl, pos, n, h) AS (
+  SELECT run, 0, pos, n, leaf FROM placed
+  UNION ALL
+  SELECT run, lvl + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM low WHERE n > 1 GROUP BY run, lvl, pos // 2, n
+),
+subroots AS (SELECT run, lvl, h, row_number() OVER (ORDER BY run) - 1 AS pos, count(*) OVER () AS n FROM low WHERE n = 1),
+high(lvl, pos, n, h) AS (
+  SELECT 0, pos, n, h FROM subroots
+  UNION ALL
+  SELECT lvl + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM high WHERE n > 1 GROUP BY lvl, pos // 2, n
+),
+sides AS (
+  SELECT p.doc_id, p.leaf, l.lvl, (p.pos >> l.lvl) % 2 AS odd, s.h
+  FROM placed p JOIN (SELECT DISTINCT run, lvl FROM low WHERE n > 1) l ON l.run = p.run
+  LEFT JOIN low s ON s.run = p.run AND s.lvl = l.lvl AND s.pos = xor(p.pos >> l.lvl, 1)
+  UNION ALL
+  SELECT p.doc_id, p.leaf, r.lvl + l.lvl, (r.pos >> l.lvl) % 2, s.h
+  FROM placed p JOIN subroots r ON r.run = p.run CROSS JOIN (SELECT DISTINCT lvl FROM high WHERE n > 1) l
+  LEFT JOIN high s ON s.lvl = l.lvl AND s.pos = xor(r.pos >> l.lvl, 1)
+),
+paths AS (SELECT doc_id, leaf, list({'odd': odd, 'h': coalesce(h, '')} ORDER BY lvl) AS path, string_agg(h, '' ORDER BY lvl) AS proof FROM sides GROUP BY doc_id, leaf),
+folded(doc_id, leaf, k, path, h) AS (
+  SELECT p.doc_id, p.leaf, 1, path, claimed FROM placed p LEFT JOIN paths q ON q.doc_id IS NOT DISTINCT FROM p.doc_id AND q.leaf = p.leaf
+  UNION ALL
+  SELECT doc_id, leaf, k + 1, path, sha256(CASE WHEN path[k].odd = 1 THEN path[k].h || h ELSE h || path[k].h END) FROM folded WHERE k <= len(path)
+)
+SELECT p.doc_id, p.leaf, r.h AS subroot, t.h AS root, sha256(coalesce(q.proof, '')) AS proof_sha256, f.h AS folded_root, f.h = t.h AS verified
+FROM placed p JOIN subroots r ON r.run = p.run CROSS JOIN (SELECT h FROM high WHERE n = 1) t
+LEFT JOIN paths q ON q.doc_id IS NOT DISTINCT FROM p.doc_id AND q.leaf = p.leaf
+JOIN folded f ON f.doc_id IS NOT DISTINCT FROM p.doc_id AND f.leaf = p.leaf AND f.k = coalesce(len(f.path), 0) + 1
+"""
+
 #: The other operators can't be put in SQL; tests hold them against plain loops, libraries or held-out labels.
-ORACLES: dict[str, str] = {"op1_lines": _LINES, "op4_embeddings": _VECTORS, "op10_spans": _SPANS}
+ORACLES: dict[str, str] = {"op1_lines": _LINES, "op4_embeddings": _VECTORS, "op10_spans": _SPANS, "op12_merkle": _MERKLE}
