@@ -5,8 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kittally.llm import bpe, classlm, decontam, embeddings, language, lines, merkle, quality, simhash, spans, toxicity
+from kittally.llm import bpe, classlm, decontam, embeddings, language, lines, merkle, quality, simhash, spans, toxicity, warc, whitening
 from kittally.llm.common import remainder, table
+from kittally.session import cut
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,6 +58,17 @@ def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.read_records(warc.write_archives(table(spark, sf_dir, "pages")))
+    sized = records.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("digest", F.sha2("payload", 256))
+    done = warc.resolve(cut(sized.drop("payload")), "payload_bytes", "digest")
+    return done.select(F.col("key").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", "refers_to", "url", "intact")
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitening(table(spark, sf_dir, "embeddings"))
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A seventh of the rows claim one character more than they have; their proofs must fail."""
     more = F.when(F.col("doc_id").isNotNull() & (remainder("doc_id", 7) == 0), F.col("n_chars") + 1).otherwise(F.col("n_chars"))
@@ -64,7 +76,7 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
 
 
-QUERIES = {"op3_simhash": op3_simhash, "op6_bpe": op6_bpe, "op8_quality": op8_quality, "op7_language": op7_language, "op9_classlm": op9_classlm, "op10_spans": op10_spans, "op5_toxicity": op5_toxicity, "op2_decontamination": op2_decontamination, "op1_lines": op1_lines, "op4_embeddings": op4_embeddings, "op12_merkle": op12_merkle}
+QUERIES = {"op3_simhash": op3_simhash, "op6_bpe": op6_bpe, "op8_quality": op8_quality, "op7_language": op7_language, "op9_classlm": op9_classlm, "op10_spans": op10_spans, "op5_toxicity": op5_toxicity, "op2_decontamination": op2_decontamination, "op1_lines": op1_lines, "op4_embeddings": op4_embeddings, "op12_merkle": op12_merkle, "op11_warc": op11_warc, "op13_whitening": op13_whitening}
 _WORDS = r"list_filter(string_split_regex(coalesce({0}, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
 _LINES = f"""
@@ -109,6 +121,15 @@ SELECT w.doc_id, CAST(len(ws) AS bigint) AS n_words, CAST(len(ws) - coalesce(n,
 FROM w LEFT JOIN kept ON kept.doc_id = w.doc_id
 """
 
+_WARC = """
+WITH p AS (SELECT page_id, url, strlen(coalesce(html, '')) AS bytes, sha256(coalesce(html, '')) AS digest FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY digest) AS first FROM p)
+SELECT page_id, bytes AS payload_bytes, digest AS payload_digest, url, true AS intact,
+  CASE WHEN bytes >= 100 AND page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN bytes >= 100 AND page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM f
+"""
+
 _MERKLE = r"""
 WITH RECURSIVE fields AS (
   SELECT doc_id, lang, coalesce(strlen(doc_id::varchar) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS head,
@@ -156,4 +177,4 @@ JOIN folded f ON f.doc_id IS NOT DISTINCT FROM p.doc_id AND f.leaf = p.leaf AND
 """
 
 #: The other operators can't be put in SQL; tests hold them against plain loops, libraries or held-out labels.
-ORACLES: dict[str, str] = {"op1_lines": _LINES, "op4_embeddings": _VECTORS, "op10_spans": _SPANS, "op12_merkle": _MERKLE}
+ORACLES: dict[str, str] = {"op1_lines": _LINES, "op4_embeddings": _VECTORS, "op10_spans": _SPANS, "op12_merkle": _MERKLE, "op11_warc": _WARC}
