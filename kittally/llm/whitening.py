@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from kittally.session import cut
 
-COMPONENTS, GUARD, DEGREE, SCALE = 4, 8, 8, 256
-TOLERANCE, TINY, FLAT, PATIENCE = 1e-12, 1e-12, 1e-10, 4
+COMPONENTS, GUARD, DEGREE, SCALE = 4, 28, 6, 256
+TOLERANCE, TINY, FLAT, PATIENCE, STRIP = 1e-12, 1e-12, 1e-10, 3, 64
 
 
 @dataclass
@@ -63,19 +63,25 @@ def matrices(batches: Iterator[pa.RecordBatch], d: int) -> Iterator[np.ndarray]:
 
 
 def summed(fit: DataFrame, d: int, shape: tuple[int, int], part: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
-    """Sum over all batches of what ``part`` makes of one; tasks add up their own before Spark adds them."""
+    """Sum over all batches of what ``part`` makes of one; tasks add up their own before Spark adds them.
+
+    A task sends its block in strips of up to ``STRIP`` columns, one row per dimension and strip.
+    """
+    strip = min(STRIP, shape[1])
+    strips = -(-shape[1] // strip)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(shape)
+        total = np.zeros((shape[0], strips * strip))
         for x in matrices(batches, d):
-            total += part(x)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], names=["i", "value"])
-
-    found = fit.mapInArrow(add, "i long, value double").groupBy("i").agg(F.sum("value").alias("value")).collect()
-    out = np.zeros(shape[0] * shape[1])
-    for row in found:
-        out[row["i"]] = row["value"]
-    return out.reshape(shape)
+            total[:, : shape[1]] += part(x)
+        rows = pa.FixedSizeListArray.from_arrays(pa.array(total.ravel()), strip).cast(pa.list_(pa.float64()))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(rows))), rows], names=["i", "v"])
+
+    sums = [F.sum(F.col("v")[j]).alias(f"v{j}") for j in range(strip)]
+    out = np.zeros((shape[0] * strips, strip))
+    for row in fit.mapInArrow(add, "i long, v array<double>").groupBy("i").agg(*sums).collect():
+        out[row["i"]] = row[1:]
+    return out.reshape(shape[0], strips * strip)[:, : shape[1]]
 
 
 def filtered(apply: Callable, q: np.ndarray, aq: np.ndarray, top: float, cutoff: float, degree: int) -> np.ndarray:
