@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import keywords as K
 from ..functions import text as X
 from ..session import cut
-from .scan import number_by
+from .scan import number_by, running_sum, union_all
 
 LEADING_NUMBER = r"^(?:[A-Za-z]{1,3})?[0-9]{2,}"
 MODEL_AS = r"^[a-z0-9]+-[a-z0-9]*-as-[0-9]+"
@@ -136,62 +135,99 @@ def split_manifest(produced: DataFrame) -> DataFrame:
     return produced.select("source", "name")
 
 
-def allocate_names(sheets: DataFrame) -> DataFrame:
+NAME_WIDTH = 50
+CLASHES = 1 << 18
+_CHUNK = 512
+
+
+def allocate_names(sheets: DataFrame, width: int = NAME_WIDTH) -> DataFrame:
     """Output file name of each (source, sheet, label) with deterministic suffixes (Q8).
 
-    Names follow the order (source, sheet, label); repeats of a base get _1, _2, ... Families in
-    which a suffixed name equals another base are redone in exact sequence, on those alone.
+    Rows take names in the order (source, sheet, label): each the first free one of its base, base_1,
+    base_2, ... A name ``base_n`` has two claimants only, a row of ``base`` and the first row of the base that is spelled
+    like it, and the earlier one has it. So the rows of a base are numbered, the names lost to others are
+    found among the bases that extend it (``_lost``), and every row moves on by the lost names before it. ``width``
+    is the number of characters kept of label and sheet.
     """
-    label = F.substring(X.safe_filename(F.coalesce("label", F.lit(""))), 1, 50)
-    sheet = F.substring(X.safe_filename("sheet"), 1, 50)
-    based = sheets.withColumn(
+    label = F.substring(X.safe_filename(F.coalesce("label", F.lit(""))), 1, width)
+    sheet = F.substring(X.safe_filename("sheet"), 1, width)
+    based = sheets.select("source", "sheet", "label").withColumn(
         "base", F.when(label != "", F.concat(label, F.lit("_"), sheet)).otherwise(sheet)
     )
-    order = ["base", "source", "sheet", "label"]
-    # one global sort, frozen in a table: a base shared by most sheets spans many of its partitions
-    placed = cut(
-        based.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_pos", F.monotonically_increasing_id())
-    )
-    placed = number_by(placed, "_pos", ["base"], "_k").withColumns(
-        {
-            "name": F.when(F.col("_k") == 1, F.col("base")).otherwise(
-                F.concat("base", F.lit("_"), (F.col("_k") - 1).cast("string"))
-            ),
-            "root": F.regexp_replace("base", r"(_[0-9]+)+\z", ""),
-        }
-    )
-    columns = ["source", "sheet", "label", "base", "root", "name"]
-    placed = cut(placed.select(*columns))
-    clashing = (
-        placed.groupBy("root", "name")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .filter("_n > 1")
-        .select("root")
-        .distinct()
-    )
-    redone = (
-        placed.join(clashing, "root", "left_semi")
-        .groupBy("root")
-        .applyInPandas(_sequential_names, placed.schema)
+    order = ["source", "sheet", "label"]
+    bases = cut(based.groupBy("base").agg(F.min(F.struct(*order)).alias("first"), F.count(F.lit(1)).alias("rows")))
+    suffix = F.regexp_extract("base", r"(?s)_([1-9][0-9]{0,17})\z", 1)
+    longer = bases.filter(suffix != "").select(
+        F.col("base").alias("child"), "first", suffix.cast("long").alias("n"), F.expr("substring(base, 1, length(base) - length({0}) - 1)".format(r"regexp_extract(base, '(?s)_([1-9][0-9]{0,17})\\z', 1)")).alias("base")
     )
+    longer = cut(longer.join(bases.select("base", "rows"), "base"))
+    # first rows of longer bases stand among the rows of the base that they extend, in one global sort
+    line = union_all([based.withColumn("_row", F.lit(1)), longer.select("base", "child", "n", "rows", "first.*").withColumn("_row", F.lit(0))])
+    by = ["base", *order, "_row"]
+    placed = line.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_pos", F.monotonically_increasing_id())
+    placed = cut(running_sum(cut(placed), "_pos", ["base"], "_row", "_k"))
+    claims = placed.filter("_row = 0").select("base", "child", "n", "rows", F.col("_k").alias("before"))
+    lost = _lost(bases, cut(claims))
+    rows = placed.filter("_row = 1").select("base", *order, (F.col("_k") * 2 - 1).alias("_at"))
+    moved = union_all([rows.withColumn("_lost", F.lit(0).cast("long")), lost.select("base", (F.col("row") * 2).alias("_at"), "_lost").withColumn("_gap", F.lit(True))])
+    number = ((F.col("_at") - 1) / 2 + F.col("_moved")).cast("long")
+    named = F.when(number == 0, F.col("base")).otherwise(F.concat("base", F.lit("_"), number.cast("string")))
     return (
-        placed.join(clashing, "root", "left_anti")
-        .unionByName(redone)
-        .select("source", "sheet", "label", F.concat("name", F.lit(".xlsx")).alias("name"))
+        running_sum(moved, "_at", ["base"], "_lost", "_moved")
+        .filter("_gap IS NULL")
+        .select(*order, F.concat(named, F.lit(".xlsx")).alias("name"))
     )
 
 
-def _sequential_names(family: pd.DataFrame) -> pd.DataFrame:
-    """Names of one family taken one by one in order."""
-    family = family.sort_values(["source", "sheet", "label"], na_position="first").reset_index(drop=True)
-    taken: set[str] = set()
-    following: dict[str, int] = {}
-    names = []
-    for base in family["base"]:
-        name, n = base, following.get(base, 1)
-        while name in taken:
-            name, n = f"{base}_{n}", n + 1
-        following[base] = n
-        taken.add(name)
-        names.append(name)
-    return family.assign(name=names)
+def _lost(bases: DataFrame, claims: DataFrame) -> DataFrame:
+    """Names that a base loses, as (base, row, _lost): from row number ``row`` on, ``_lost`` more names are skipped.
+
+    ``claims(base, child, n, rows, before)``: ``child`` is spelled ``base_n`` and its first row comes after ``before`` rows
+    of the base. The base has lost s names below n, so its row n - s asks for the name: it has it if it is one of
+    the ``before`` ones, and then the child loses its own plain name. What a base loses to the one it extends must be known
+    first, so bases are taken from the shortest spelling on. The count s runs over the claims of a base in
+    pieces of ``CLASHES``; a claim that no row of the base can reach settles nothing and is left out.
+    """
+    numbers = number_by(cut(_in_order(claims)), "_pos", ["base"], "j")
+    claims = cut(numbers.filter(F.col("n") < F.col("rows") + F.col("j")).select("base", "child", "n", "before", (F.col("j") - 1).alias("j")))
+    inner = bases.join(claims.select(F.col("child").alias("base")), "base", "left_semi").select("base")
+    plain = bases.select("base").join(inner, "base", "left_anti")
+    state = cut(plain.withColumn("s", F.lit(0).cast("long")))  # names lost so far, for bases whose turn it is
+    gaps = [claims.filter("false").select("base", F.col("j").alias("row"), F.col("j").alias("_lost"))]
+    pieces = (claims.agg(F.max("j")).first()[0] or 0) // CLASHES + 1
+    while not state.isEmpty():
+        of_level = cut(claims.join(state.select("base"), "base", "left_semi"))
+        children = []
+        for piece in range(pieces):
+            part = of_level.filter((F.floor(F.col("j") / CLASHES) == piece)).groupBy("base", F.floor(F.col("j") / _CHUNK).alias("chunk"))
+            chunks = part.agg(F.array_sort(F.collect_list(F.struct("n", "before", "child"))).alias("bars"))
+            lists = chunks.groupBy("base").agg(F.array_sort(F.collect_list(F.struct("chunk", "bars"))).alias("chunks")).join(state, "base")
+            walked = lists.withColumn("walk", F.expr(_WALK))
+            done = cut(
+                walked.select("base", F.col("walk.s").alias("s_after"), F.explode(F.arrays_zip(F.flatten("chunks.bars").alias("bars"), F.flatten("walk.kept").alias("kept"))).alias("z"))
+                .select("base", "s_after", "z.bars.child", F.col("z.kept").alias("row"))
+            )
+            children.append(done)
+            if piece + 1 < pieces:
+                after = done.groupBy("base").agg(F.max("s_after").alias("s_after"))
+                state = cut(state.join(after, "base", "left").select("base", F.coalesce("s_after", "s").alias("s")))
+        settled = union_all(children)
+        gaps.append(settled.filter("row IS NOT NULL").groupBy("base", "row").agg(F.count(F.lit(1)).alias("_lost")))
+        # a child that lost its plain name skips it from its first row on
+        state = cut(settled.select(F.col("child").alias("base"), F.when(F.col("row").isNull(), 1).otherwise(0).cast("long").alias("s")))
+        gaps.append(state.filter("s = 1").select("base", F.lit(0).cast("long").alias("row"), F.col("s").alias("_lost")))
+    return union_all(gaps).groupBy("base", "row").agg(F.sum("_lost").alias("_lost"))
+
+
+def _in_order(claims: DataFrame) -> DataFrame:
+    return claims.repartitionByRange("base", "n").sortWithinPartitions("base", "n").withColumn("_pos", F.monotonically_increasing_id())
+
+
+#: Lost names of a base over its claims in order: per claim the row that is turned away, null where the claim fails.
+_WALK = (
+    "aggregate(chunks, struct(s AS s, CAST(array() AS array<array<bigint>>) AS kept), (all, chunk) -> "
+    "aggregate(chunk.bars, struct(all.s AS s, CAST(array() AS array<bigint>) AS kept), (one, bar) -> "
+    "struct(one.s + CAST(bar.n - one.s >= bar.before AS bigint) AS s, "
+    "concat(one.kept, array(CASE WHEN bar.n - one.s >= bar.before THEN bar.n - one.s END)) AS kept), "
+    "one -> struct(one.s AS s, concat(all.kept, array(one.kept)) AS kept)))"
+)

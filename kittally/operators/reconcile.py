@@ -7,8 +7,8 @@ Keys are whatever the caller compares on: raw part numbers, or part keys. A *for
 a card part to a BOM part of the same part key where no equal BOM part exists anywhere.
 
 Everything is joined on the part: the plan never multiplies configurations by cards except in
-the one result that is that product, parts missing from a configuration. There it only unfolds
-the configurations a part lacks.
+the one result that is that product, parts missing from a configuration. Those are kept as bits,
+a word per part and 62 configurations, counted as such and unfolded only where rows are asked for.
 """
 
 from __future__ import annotations
@@ -17,11 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from .scan import union_all
+from ..session import cut
+from .scan import number_by, union_all
 
 TOLERANCE = 0.001
 SALTS = 64
-CATALOGUE_SLICE = 1024
+WORD = 62  # bits used of a long: masks stay positive
 TYPE_RANK = ["qty_mismatch", "only_in_bom", "only_in_cards", "fuzzy_match"]
 
 
@@ -43,45 +44,91 @@ def format_pairs(bom_parts: DataFrame, cards: DataFrame) -> DataFrame:
     )
 
 
-def config_slices(configs: DataFrame) -> DataFrame:
-    """Distinct configuration names in arrays of about a thousand: (slice, slices, names)."""
-    distinct = configs.select("config").distinct()
-    slices = distinct.agg(
-        F.greatest(F.lit(1), F.ceil(F.count("config") / CATALOGUE_SLICE)).cast("int").alias("n")
-    ).select("n")
-    return (
-        distinct.withColumn("slices", slices.scalar())
-        .withColumn("slice", F.pmod(F.xxhash64("config"), F.col("slices")).cast("int"))
-        .groupBy("slice", "slices")
-        .agg(F.collect_list("config").alias("names"))
+def config_words(configs: DataFrame) -> DataFrame:
+    """Distinct configurations dealt to bits of words: (config, word, bit), numbered without gaps.
+
+    The order is that of ``config_no`` where the input has it, so bit ``b`` of word ``w`` is its number
+    ``w * WORD + b + 1``; else that of the names.
+    """
+    order = ["config_no", "config"] if "config_no" in configs.columns else ["config"]
+    distinct = configs.select(*order).distinct().withColumn("_all", F.lit(0))
+    placed = cut(distinct.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_pos", F.monotonically_increasing_id()))
+    at = F.col("_n") - 1
+    return cut(
+        number_by(placed, "_pos", ["_all"], "_n").select("config", F.floor(at / WORD).cast("int").alias("word"), (at % WORD).cast("int").alias("bit"))
     )
 
 
+def held_bits(parts: DataFrame, bom_qty: DataFrame, words: DataFrame) -> DataFrame:
+    """The configurations that have a part, as bits: (part, word, held), no row for a word without any."""
+    rows = bom_qty.select("part", "config").join(parts.select("part").distinct(), "part", "left_semi")
+    return rows.join(words, "config").groupBy("part", "word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("held"))
+
+
+def lacking_bits(parts: DataFrame, bom_qty: DataFrame, words: DataFrame) -> DataFrame:
+    """Each row of ``parts`` with the configurations that lack its part, as bits: adds word and lacking.
+
+    One row per part and word of ``WORD`` configurations, so counts and first configurations come from
+    arithmetic on a word; only :func:`unfold` makes a row per configuration.
+    """
+    n = words.agg(F.count("config").alias("n")).select("n").scalar()
+    last = F.floor((n - 1) / WORD).cast("int")
+    every = F.sequence(F.lit(0), last)
+    wanted = parts.withColumn("word", F.explode(F.when(n > 0, every).otherwise(F.array().cast("array<int>"))))
+    wanted = wanted.withColumn("_width", F.least(F.lit(WORD).cast("long"), n - F.col("word") * WORD).cast("int"))
+    joined = wanted.join(held_bits(parts, bom_qty, words), ["part", "word"], "left")
+    lacking = F.expr("(shiftleft(1L, _width) - 1L) & ~coalesce(held, 0L)")
+    return joined.withColumn("lacking", lacking).filter("lacking <> 0").select(*parts.columns, "word", "lacking")
+
+
+def unfold(bits: DataFrame, words: DataFrame) -> DataFrame:
+    """One row per set bit: replaces word and lacking by config.
+
+    Names meet the bits a word at a time. The table of names is repeated for SALTS groups of parts, so that
+    one word does not meet all parts in one task where it is too large for a broadcast.
+    """
+    names = words.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("bit", "config"))).alias("_names"))
+    salted = names.select("word", "_names", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    kept = [c for c in bits.columns if c not in ("word", "lacking")]
+    spread = bits.withColumn("_salt", F.pmod(F.xxhash64(*kept), F.lit(SALTS)).cast("int"))
+    set_bits = F.explode(F.expr("transform(filter(_names, c -> (shiftright(lacking, c.bit) & 1L) = 1L), c -> c.config)"))
+    return spread.join(salted, ["word", "_salt"]).select(*kept, set_bits.alias("config"))
+
+
 def missing_configs(parts: DataFrame, bom_qty: DataFrame, configs: DataFrame) -> DataFrame:
-    """Each row of ``parts`` once for every configuration that lacks its part: adds config.
+    """Each row of ``parts`` once for every configuration that lacks its part: adds config."""
+    words = config_words(configs)
+    return unfold(lacking_bits(parts, bom_qty, words), words)
+
 
-    The names a part has and all names meet slice by slice, so arrays stay bounded and only
-    result rows are unfolded, with no shuffle after that. The slice table is small; adaptive
-    execution broadcasts it when its measured size permits and otherwise shuffles on slice and salt:
-    the table is repeated for SALTS groups of parts, so that one slice does not meet all parts in one task.
+def split_outcomes(
+    bom_qty: DataFrame,
+    cards: DataFrame,
+    words: DataFrame,
+    fuzzy: bool = True,
+    pairs: DataFrame | None = None,
+    strict_pairs: bool = False,
+    tol: float = TOLERANCE,
+) -> tuple[DataFrame, DataFrame]:
+    """Outcomes of BOM rows and pairs, a row each, and surplus card parts as bits of configurations.
+
+    The second frame has word and lacking in place of config (see :func:`lacking_bits`).
     """
-    slices = config_slices(configs)
-    n = slices.agg(F.coalesce(F.max("slices"), F.lit(1)).alias("n")).select("n").scalar()
-    held = (
-        bom_qty.join(parts.select("part").distinct(), "part", "left_semi")
-        .withColumn("slice", F.pmod(F.xxhash64("config"), n).cast("int"))
-        .groupBy("part", "slice")
-        .agg(F.collect_set("config").alias("held"))
-    )
-    wanted = parts.withColumn("slice", F.explode(F.sequence(F.lit(0), n - 1)))
-    lacking = F.array_except("names", F.coalesce("held", F.array().cast("array<string>")))
-    salted = slices.select("slice", "names", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
-    return (
-        wanted.join(held, ["part", "slice"], "left")
-        .withColumn("_salt", F.pmod(F.xxhash64("part"), F.lit(SALTS)).cast("int"))
-        .join(salted, ["slice", "_salt"])
-        .select(*[F.col(c) for c in parts.columns], F.explode(lacking).alias("config"))
+    rows, paired, loose = _compared(bom_qty, cards, fuzzy, pairs, tol)
+    surplus = loose.withColumn("card_part", F.col("part"))
+    if strict_pairs and paired is not None:
+        surplus = surplus.unionByName(paired.withColumnRenamed("bom_part", "part").select(*surplus.columns))
+    bits = lacking_bits(surplus, bom_qty, words).select(
+        F.lit(None).cast("string").alias("bom_part"),
+        "card_part",
+        F.lit(0.0).alias("qty_bom"),
+        "qty_cards",
+        F.lit("only_in_cards").alias("outcome"),
+        F.col("card_ok").alias("valid"),
+        "word",
+        "lacking",
     )
+    return union_all(rows), bits
 
 
 def outcomes(
@@ -100,23 +147,9 @@ def outcomes(
     unusable; such rows count as parts but are never reported.
     ``strict_pairs`` also reports a paired card part in configurations without its BOM part.
     """
-    configs = bom_qty if configs is None else configs
-    rows, paired, loose = _compared(bom_qty, cards, fuzzy, pairs, tol)
-
-    def surplus(of: DataFrame, card_part: str) -> DataFrame:
-        return missing_configs(of, bom_qty, configs).select(
-            "config",
-            F.lit(None).cast("string").alias("bom_part"),
-            F.col(card_part).alias("card_part"),
-            F.lit(0.0).alias("qty_bom"),
-            "qty_cards",
-            F.lit("only_in_cards").alias("outcome"),
-            F.col("card_ok").alias("valid"),
-        )
-
-    if strict_pairs and paired is not None:
-        rows.append(surplus(paired.withColumnRenamed("bom_part", "part"), "card_part"))
-    return union_all([*rows, surplus(loose, "part")])
+    words = config_words(bom_qty if configs is None else configs)
+    listed, bits = split_outcomes(bom_qty, cards, words, fuzzy, pairs, strict_pairs, tol)
+    return listed.unionByName(unfold(bits, words).select(*listed.columns))
 
 
 def _compared(
@@ -191,11 +224,10 @@ def reconcile_one(bom_qty: DataFrame, cards: DataFrame, config: str, fuzzy: bool
     )
 
 
-def config_summary(result: DataFrame, cards: DataFrame, configs: DataFrame | None = None) -> DataFrame:
-    """Counts per configuration from :func:`outcomes` (R6); with ``configs`` also of those without any row."""
-    if configs is not None:
-        none = configs.select("config").join(result.select("config"), "config", "left_anti").distinct()
-        result = result.select("config", "outcome", "valid").unionByName(none.withColumns({"outcome": F.lit("none"), "valid": F.lit(False)}))
+def config_summary(result: DataFrame, cards: DataFrame, configs: DataFrame) -> DataFrame:
+    """Counts per configuration from :func:`outcomes` (R6), also of the ``configs`` without any row."""
+    none = configs.select("config").join(result.select("config"), "config", "left_anti").distinct()
+    result = result.select("config", "outcome", "valid").unionByName(none.withColumns({"outcome": F.lit("none"), "valid": F.lit(False)}))
 
     def n(cond) -> F.Column:
         return F.count(F.when(cond, 1))
@@ -268,8 +300,10 @@ def summarise(
     )
 
 
-def with_details(disc: DataFrame, bom_names: DataFrame, cards: DataFrame, originals: DataFrame | None = None) -> DataFrame:
-    """Names and original spellings of reported parts.
+def with_details(
+    disc: DataFrame, bom_names: DataFrame, cards: DataFrame, originals: DataFrame | None = None, carry: tuple[str, ...] = ("config",)
+) -> DataFrame:
+    """Names and original spellings of reported parts; ``carry`` names what else is kept of a row.
 
     ``bom_names(part, name_cn, name_en)``; ``cards`` may carry ``original`` and ``name_ru``;
     ``originals(part, original)`` gives the BOM spelling where parts are keys.
@@ -293,7 +327,7 @@ def with_details(disc: DataFrame, bom_names: DataFrame, cards: DataFrame, origin
         spelling.insert(0, F.col("bom_original"))
     blank = F.lit("")
     return shown.select(
-        "config",
+        *carry,
         "outcome",
         F.coalesce(*spelling, F.col("part")).alias("part_number"),
         "bom_part",
@@ -374,12 +408,24 @@ def integrity(summary: DataFrame) -> DataFrame:
     )
 
 
-def integrity_global(disc: DataFrame) -> DataFrame:
-    """Over all: the four types against the number of discrepancies."""
-    typed = F.count(F.when(F.col("outcome").isin(TYPE_RANK), 1))
-    return disc.agg(F.count(F.lit(1)).alias("total"), typed.alias("typed")).withColumn(
-        "is_ok", F.col("total") == F.col("typed")
-    )
+def count_discrepancies(listed: DataFrame, bits: DataFrame) -> DataFrame:
+    """Number of reported discrepancies of all configurations (one row, ``total``), whatever their type.
+
+    Counts rows and bits of :func:`split_outcomes`; it shares no aggregate with the summary. The type is not
+    looked at: what is neither matched nor set aside counts.
+    """
+    direct = listed.filter(F.col("valid") & ~F.col("outcome").isin("matched", "set_aside")).select(F.lit(1).cast("long").alias("n"))
+    surplus = bits.filter("valid").select(F.bit_count("lacking").cast("long").alias("n"))
+    return direct.unionByName(surplus).agg(F.coalesce(F.sum("n"), F.lit(0).cast("long")).alias("total"))
+
+
+def integrity_global(by_type: DataFrame, counted: DataFrame) -> DataFrame:
+    """Over all: the sum over the four types against an independent count of discrepancies.
+
+    ``by_type(outcome, n)`` comes from the summary (``report.totals_of``), ``counted`` from :func:`count_discrepancies`.
+    """
+    typed = by_type.filter(F.col("outcome").isin(TYPE_RANK)).agg(F.coalesce(F.sum("n"), F.lit(0).cast("long")).alias("typed"))
+    return counted.withColumn("typed", typed.scalar()).withColumn("is_ok", F.col("total") == F.col("typed"))
 
 
 def run_totals(bom_qty: DataFrame, cards: DataFrame) -> DataFrame:

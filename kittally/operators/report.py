@@ -7,18 +7,25 @@ from pyspark.sql import functions as F
 
 from ..functions import keywords as K
 from ..functions import text as X
-from .reconcile import TYPE_RANK, type_rank
+from .reconcile import TYPE_RANK, WORD, type_rank
 
 
-def totals(disc: DataFrame) -> DataFrame:
-    """Number of discrepancies by type."""
-    return disc.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
+def levels(summary: DataFrame) -> DataFrame:
+    """Discrepancy counts at every level in one pass over the summary: (config, outcome, n, level).
 
-
-def summed_totals(summary: DataFrame) -> DataFrame:
-    """The same from the summary per configuration, without listing any discrepancy."""
+    ``level`` is 0 for a configuration and type, 1 for a configuration, 2 for a type, 3 for all. The summary counts
+    surplus parts without listing them, so nothing of the size configurations times cards is made.
+    """
     pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("outcome"), F.col(k).alias("n")) for k in TYPE_RANK])).alias("p")
-    return summary.select(pairs).groupBy("p.outcome").agg(F.sum("p.n").alias("n")).filter("n > 0")
+    cells = summary.select("config", pairs).select("config", "p.outcome", "p.n")
+    config, outcome = F.col("config"), F.col("outcome")
+    sets = cells.groupingSets([[config, outcome], [config], [outcome], []], config, outcome)
+    return sets.agg(F.sum("n").alias("n"), F.grouping_id().cast("int").alias("level"))
+
+
+def totals_of(levels: DataFrame) -> DataFrame:
+    """Number of discrepancies by type (P1), types without any left out."""
+    return levels.filter("level = 2 AND n > 0").select("outcome", "n")
 
 
 def matrix_rows(bom_qty: DataFrame, parts: DataFrame) -> DataFrame:
@@ -112,31 +119,43 @@ def file_errors(detailed: DataFrame, legacy: DataFrame) -> DataFrame:
     return named.unionByName(split.join(named.select("file").distinct(), "file", "left_anti"))
 
 
-def digest(disc: DataFrame, configs: DataFrame, k: int = 30) -> DataFrame:
+def digest(disc: DataFrame, surplus: DataFrame, configs: DataFrame, k: int = 30) -> DataFrame:
     """First ``k`` parts per type with first-seen quantities and config numbers.
 
-    ``configs(config, config_no)``. A part's config numbers are listed once the part is among
-    the first ``k``, so the lists cover at most 3k parts.
+    ``disc`` lists BOM parts with their details; ``surplus`` has card parts with bits of the configurations that lack
+    them (``reconcile.split_outcomes``), dealt by the order of ``configs(config, config_no)``, numbered from 1 without
+    gaps. Surplus is counted by its bits; numbers are listed once a part is among the first ``k``.
     """
-    kinds = TYPE_RANK[:3]
-    rows = disc.filter(F.col("outcome").isin(kinds)).join(configs, "config")
+    listed = disc.filter(F.col("outcome").isin(TYPE_RANK[:2])).join(configs, "config")
+    number = F.col("word") * WORD
+    low = F.bit_count(F.expr("(lacking & -lacking) - 1L"))
+    seen = listed.select("outcome", "part_number", "bom_part", "card_part", "qty_bom", "qty_cards", F.col("config_no").cast("long").alias("at"), F.lit(1).cast("long").alias("n"))
+    bits = surplus.select(
+        "outcome", "part_number", "bom_part", "card_part", "qty_bom", "qty_cards", (number + low + 1).cast("long").alias("at"), F.bit_count("lacking").cast("long").alias("n")
+    )
     # part_number as last tie-break keeps the choice fixed when one number has two spellings
-    first = rows.groupBy("outcome", "part_number").agg(
-        F.min_by(F.struct("qty_bom", "qty_cards"), F.struct("config_no", "bom_part", "card_part")).alias("q")
+    first = seen.unionByName(bits).groupBy("outcome", "part_number").agg(
+        F.min_by(F.struct("qty_bom", "qty_cards"), F.struct("at", "bom_part", "card_part")).alias("q"), F.sum("n").alias("n_entries")
     )
-    sizes = first.groupBy("outcome").agg(F.count(F.lit(1)).alias("parts"))
-    entries = rows.groupBy("outcome").agg(F.count(F.lit(1)).alias("entries"))
+    sizes = first.groupBy("outcome").agg(F.count(F.lit(1)).alias("parts"), F.sum("n_entries").alias("entries"))
     w = Window.partitionBy("outcome").orderBy("part_number")
-    top = first.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= k)
+    top = first.drop("n_entries").withColumn("n", F.row_number().over(w)).filter(F.col("n") <= k)
+    chosen = top.select("outcome", "part_number")
+    unfolded = F.explode(F.expr(f"filter(sequence(0, {WORD - 1}), i -> (shiftright(lacking, i) & 1L) = 1L)"))
     numbers = (
-        rows.join(top.select("outcome", "part_number"), ["outcome", "part_number"], "left_semi")
+        listed.join(chosen, ["outcome", "part_number"], "left_semi")
+        .select("outcome", "part_number", F.col("config_no").cast("int").alias("config_no"))
+        .unionByName(
+            surplus.join(chosen, ["outcome", "part_number"], "left_semi")
+            .select("outcome", "part_number", "word", unfolded.alias("_bit"))
+            .select("outcome", "part_number", (number + F.col("_bit") + 1).cast("int").alias("config_no"))
+        )
         .groupBy("outcome", "part_number")
         .agg(F.array_join(F.array_sort(F.collect_set("config_no")), ",").alias("config_nos"))
     )
     return (
         top.join(numbers, ["outcome", "part_number"])
         .join(sizes, "outcome")
-        .join(entries, "outcome")
         .select(
             "outcome",
             "n",

@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 BLOCK = 1024
 SHEET = ["file_id", "sheet_idx"]
 
@@ -73,8 +75,8 @@ def upper_median(hist: DataFrame, keys: list[str], value: str, count: str = "n")
 
 def number_by(df: DataFrame, order: str, keys: list[str], out: str) -> DataFrame:
     """1-based position of each row in its key, counted per block of rows."""
-    cut = df.withColumn("_block", F.floor(F.col(order) / BLOCK))
-    sizes = cut.groupBy(*keys, "_block").count()
+    blocked = df.withColumn("_block", F.floor(F.col(order) / BLOCK))
+    sizes = blocked.groupBy(*keys, "_block").count()
     before = sizes.select(
         *keys,
         "_block",
@@ -87,11 +89,53 @@ def number_by(df: DataFrame, order: str, keys: list[str], out: str) -> DataFrame
     )
     inner = Window.partitionBy(*keys, "_block").orderBy(order)
     return (
-        cut.join(before, [*keys, "_block"])
+        blocked.join(before, [*keys, "_block"])
         .withColumn(out, F.col("_before") + F.row_number().over(inner))
         .drop("_block", "_before")
     )
 
 
+def running_sum(df: DataFrame, order: str, keys: list[str], value: str, out: str) -> DataFrame:
+    """Sum of ``value`` over the rows of a key up to each row, counted per block of ``order``."""
+    blocked = df.withColumn("_block", F.floor(F.col(order) / BLOCK))
+    w = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    before = blocked.groupBy(*keys, "_block").agg(F.sum(value).alias("_sum"))
+    before = before.select(*keys, "_block", F.coalesce(F.sum("_sum").over(w), F.lit(0)).alias("_before"))
+    inner = Window.partitionBy(*keys, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return (
+        blocked.join(before, [*keys, "_block"])
+        .withColumn(out, F.col("_before") + F.sum(value).over(inner))
+        .drop("_block", "_before")
+    )
+
+
+def first_from(asked: DataFrame, at: str, rows: DataFrame, marks: dict[str, Column], keys: list[str] = SHEET, row: str = "row") -> DataFrame:
+    """For each asked place, the first row at or after it that carries each mark (null if none).
+
+    Places and rows stand in one line, a place just before the row it names.
+    """
+    flags = rows.select(*keys, (F.col(row) * 2 + 1).alias("_pos"), *[m.alias(f"_is_{n}") for n, m in marks.items()])
+    line = union_all([flags.withColumn("_asked", F.lit(False)), asked.withColumns({"_pos": F.col(at) * 2, "_asked": F.lit(True)})])
+    seen = next_row(line, {n: F.col(f"_is_{n}") for n in marks}, keys, "_pos").filter("_asked")
+    return seen.withColumns({n: ((F.col(n) - 1) / 2).cast("int") for n in marks}).select(*asked.columns, *marks)
+
+
+def chain(nodes: DataFrame, keys: list[str], at: str, jump: str, first: Column) -> DataFrame:
+    """The nodes (keys, at) reached from the first one of each key by following ``jump``, which only leads on.
+
+    Pointer doubling: after r rounds a table of jumps leads 2^r nodes ahead and that many are found, so the
+    rounds are the logarithm of the longest chain, whatever the length of a sheet.
+    """
+    step = cut(nodes.filter(F.col(jump).isNotNull()).select(*keys, at, jump))
+    found = cut(nodes.filter(first).select(*keys, at))
+    while True:
+        new = cut(found.join(step, [*keys, at]).select(*keys, F.col(jump).alias(at)))
+        if new.isEmpty():
+            return found
+        found = found.unionByName(new)
+        onward = step.select(*keys, F.col(at).alias(jump), F.col(jump).alias("_next"))
+        step = cut(step.join(onward, [*keys, jump]).select(*keys, at, F.col("_next").alias(jump)))
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

@@ -2,14 +2,12 @@
 
 Rules of the kind "until the third blank row" or "up to the next header" are answered by run
 votes and block-wise look-ahead (see ``scan``), so a long sheet is spread over many tasks. Two
-rules restart where the previous card ended; those run per sheet on the few rows that matter.
+rules restart where the previous card ended: every place a card may start knows the next one, and
+pointer doubling marks those on the way from the first.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,7 +15,7 @@ from ..functions import keywords as K
 from ..functions import text as X
 from ..session import cut
 from .grid import sheet_extent
-from .scan import SHEET, next_row, prev_row, run_ends, union_all, upper_median
+from .scan import SHEET, chain, first_from, next_row, number_by, prev_row, run_ends, union_all, upper_median
 
 
 def _lower() -> Column:
@@ -238,8 +236,8 @@ def split_stacked(cells: DataFrame, layout: DataFrame) -> DataFrame:
 
     ``layout`` is that of :func:`guard_sheets` and may add empty_rows, parts_data_start,
     parts_header, max_cards and card_end_markers. Where a card ends decides where the next is
-    looked for, so each sheet is walked once, over slim flags of its filled rows; a sheet has at
-    most 1 048 576 of them by file format.
+    looked for: every filled row is given the end of the card that would start there and the start
+    after it, and the cards are the chain of such starts from the first one.
     """
     layout = layout.withColumns({n: F.lit(v) for n, v in STACK_DEFAULTS.items() if n not in layout.columns})
     if "card_end_markers" not in layout.columns:
@@ -259,48 +257,42 @@ def split_stacked(cells: DataFrame, layout: DataFrame) -> DataFrame:
         (_has_marker(part, markers) | _has_marker(name, markers)).alias("mark"),
     ).filter("filled")
 
-    def walk(sheet: pd.DataFrame) -> pd.DataFrame:
-        sheet = sheet.sort_values("row")
-        set_to = {n: int(sheet[n].iloc[0]) for n in settings}
-        filled = sheet["row"].tolist()
-        heads = sheet.loc[sheet["head"], "row"].tolist()
-        marks = sheet.loc[sheet["mark"], "row"].tolist()
-        part_marks = set(sheet.loc[sheet["part_mark"], "row"])
-        last, at, limit, found = set_to["max_row"], set_to["data_start"], set_to["max_cards"], []
-        fixed = set_to["parts_data_start"] - 1 if set_to["parts_data_start"] > 0 else max(set_to["parts_header"], 1)
-        while True:
-            i = bisect_left(filled, at)
-            if i == len(filled) or filled[i] > last or (limit and len(found) >= limit):
-                break
-            start = filled[i]
-            h = bisect_left(heads, start)
-            data = heads[h] + 1 if h < len(heads) and heads[h] < start + 50 else start + fixed
-            end = card_end(filled, marks, data, last, set_to["empty_rows"])
-            found.append((start, data, end))
-            at = max(end + 1, start + 1)
-            if at in part_marks:
-                at += 1
-        out = pd.DataFrame(found, columns=["start_row", "data_start", "end_row"])
-        out.insert(0, "card_idx", range(1, len(out) + 1))
-        out.insert(0, "sheet_idx", sheet["sheet_idx"].iloc[0])
-        out.insert(0, "file_id", sheet["file_id"].iloc[0])
-        return out
-
-    def card_end(filled: list[int], marks: list[int], data: int, last: int, empty_rows: int) -> int:
-        m = bisect_left(marks, data)
-        mark = marks[m] if m < len(marks) else last + 1
-        i, row = bisect_left(filled, data), data
-        while row <= last:
-            following = filled[i] if i < len(filled) else last + 1
-            if following - row >= empty_rows:
-                gap_end = row + empty_rows - 1
-                return mark - 1 if mark <= gap_end else row - 1
-            if mark <= following:
-                return min(mark - 1, last)
-            row, i = following + 1, i + 1
-        return min(mark - 1, last)
-
-    return flags.groupBy(*SHEET).applyInPandas(walk, BOUND_SCHEMA)
+    last, empty = F.col("max_row"), F.col("empty_rows")
+    line = next_row(cut(flags), {"next_filled": F.lit(True), "next_head": F.col("head")})
+    line = cut(
+        line.withColumns(
+            {
+                "head_from": F.when(F.col("head"), F.col("row")).otherwise(F.col("next_head")),
+                # the rows under this one are blank for as long as ends a card
+                "gap": (F.coalesce("next_filled", last + 1) - F.col("row") - 1 >= empty) & (F.col("row") < last),
+            }
+        )
+    )
+    fixed = F.when(F.col("parts_data_start") > 0, F.col("parts_data_start") - 1).otherwise(F.greatest("parts_header", F.lit(1)))
+    data = F.when(F.col("head_from") < F.col("row") + 50, F.col("head_from") + 1).otherwise(F.col("row") + fixed)
+    starts = line.filter(F.col("row") >= F.col("data_start")).select(
+        *SHEET, F.col("row").alias("start_row"), data.alias("data"), "max_row", "empty_rows", "max_cards"
+    )
+    seen = first_from(starts, "data", line, {"f": F.lit(True), "m": F.col("mark"), "g": F.col("gap")})
+    mark = F.coalesce("m", last + 1)
+    blank = F.when(F.coalesce("f", last + 1) - F.col("data") >= empty, F.col("data")).otherwise(F.col("g") + 1)
+    end = F.when((F.col("data") <= last) & (blank <= mark), blank - 1).otherwise(F.least(mark - 1, last))
+    ended = seen.withColumn("end_row", end).withColumn("at", F.greatest(F.col("end_row") + 1, F.col("start_row") + 1)).drop("f", "m", "g")
+    after = line.select(*SHEET, F.col("row").alias("next"), "part_mark", "next_filled")
+    marked_at = (F.col("next") == F.col("at")) & F.col("part_mark")
+    nodes = cut(
+        first_from(ended, "at", line, {"next": F.lit(True)})
+        .join(after, [*SHEET, "next"], "left")
+        .withColumn("next", F.when(marked_at, F.col("next_filled")).otherwise(F.col("next")))
+        .drop("part_mark", "next_filled")
+    )
+    opening = nodes.groupBy(*SHEET).agg(F.min("start_row").alias("opening"))
+    led = nodes.join(opening, SHEET)
+    found = chain(led, SHEET, "start_row", "next", F.col("start_row") == F.col("opening"))
+    numbered = number_by(nodes.join(found, [*SHEET, "start_row"]), "start_row", SHEET, "card_idx")
+    return numbered.filter((F.col("max_cards") <= 0) | (F.col("card_idx") <= F.col("max_cards"))).select(
+        *SHEET, *[F.col(c).cast("int").alias(c) for c in ("card_idx", "start_row")], F.col("data").cast("int").alias("data_start"), F.col("end_row").cast("int")
+    )
 
 
 def number_cards(bounds: DataFrame) -> DataFrame:
@@ -631,33 +623,25 @@ def block_bounds(cells: DataFrame) -> DataFrame:
 
 # --- the combined detector ---------------------------------------------------
 
-CHAIN_SCHEMA = "file_id string, sheet_idx int, header_row int, data_end int"
-
-
 def table_chain(tables: DataFrame, extent: DataFrame, min_confidence: float = 0.35, limit: int | None = None) -> DataFrame:
     """Tables kept when read top down, each search starting below the last table (G31 loop).
 
-    Candidates, ends and confidences are computed for all headers beforehand; the walk only
-    chooses among them. ``limit`` bounds the headers looked at; by default all are.
+    Candidates, ends and confidences are computed for all headers beforehand. Each header knows
+    the one that is looked at after it, and those on the way from the first are the chain.
+    ``limit`` bounds the headers looked at; by default all are.
     """
 
-    def walk(sheet: pd.DataFrame) -> pd.DataFrame:
-        sheet = sheet.sort_values("header_row").reset_index(drop=True)
-        heads = sheet["header_row"].tolist()
-        last, at, kept = int(sheet["max_row"].iloc[0]), 1, []
-        for _ in range(len(heads) if limit is None else limit):
-            i = bisect_left(heads, at)
-            if at >= last or i == len(heads):
-                break
-            if sheet["confidence"].iat[i] < min_confidence:
-                at = heads[i] + 1
-                continue
-            kept.append(i)
-            at = int(sheet["data_end"].iat[i]) + 1
-        return sheet.loc[kept, ["file_id", "sheet_idx", "header_row", "data_end"]]
-
     slim = tables.select(*SHEET, "header_row", "data_end", "confidence").join(extent.select(*SHEET, "max_row"), SHEET)
-    return slim.groupBy(*SHEET).applyInPandas(walk, CHAIN_SCHEMA)
+    kept = F.col("confidence") >= min_confidence
+    onward = F.when(kept, F.greatest(F.col("data_end"), F.col("header_row")) + 1).otherwise(F.col("header_row") + 1)
+    heads = cut(slim.filter("max_row > 1").withColumn("at", onward))
+    ahead = first_from(heads, "at", heads, {"next": F.lit(True)}, row="header_row")
+    ahead = ahead.withColumn("next", F.when(F.col("at") < F.col("max_row"), F.col("next")))
+    opening = heads.groupBy(*SHEET).agg(F.min("header_row").alias("opening"))
+    looked = chain(ahead.join(opening, SHEET), SHEET, "header_row", "next", F.col("header_row") == F.col("opening"))
+    if limit is not None:
+        looked = number_by(looked, "header_row", SHEET, "_n").filter(F.col("_n") <= limit).drop("_n")
+    return heads.filter(kept).join(looked, [*SHEET, "header_row"]).select(*SHEET, "header_row", "data_end")
 
 
 def snap_bounds(bounds: DataFrame) -> DataFrame:
@@ -688,7 +672,7 @@ def find_bounds(cells: DataFrame, min_confidence: float = 0.35) -> DataFrame:
     marker = cut(marker_bounds(cells))
     plain = extent.join(marker.select(*SHEET).distinct(), SHEET, "left_anti")
     tables = bound_confidence(cells, cut(table_end(cells, cut(table_candidates(cells)))))
-    chain = cut(table_chain(tables, plain, min_confidence))
+    chained = cut(table_chain(tables, plain, min_confidence))
     inspection, runs = cut(inspection_bounds(cells)), cut(block_bounds(cells))
 
     def count(df: DataFrame, name: str) -> DataFrame:
@@ -706,7 +690,7 @@ def find_bounds(cells: DataFrame, min_confidence: float = 0.35) -> DataFrame:
     ).otherwise(F.col("c_runs")) / F.col("max_row")
     redo = (F.col("max_row") > 200) & ((cover < 0.3) | (size < 3)) & (n["runs"] > size)
     choice = (
-        plain.join(count(chain, "chain"), SHEET, "left")
+        plain.join(count(chained, "chain"), SHEET, "left")
         .join(count(inspection, "inspection"), SHEET, "left")
         .join(count(runs, "runs"), SHEET, "left")
         .withColumn("first", first)
@@ -716,7 +700,7 @@ def find_bounds(cells: DataFrame, min_confidence: float = 0.35) -> DataFrame:
     fields = [*SHEET, "header_row", "data_start", "data_end"]
     options = union_all(
         [
-            chain.select(*SHEET, "header_row", (F.col("header_row") + 1).alias("data_start"), "data_end", F.lit("chain").alias("method")),
+            chained.select(*SHEET, "header_row", (F.col("header_row") + 1).alias("data_start"), "data_end", F.lit("chain").alias("method")),
             inspection.select(*fields, F.lit("inspection").alias("method")),
             runs.select(*fields, F.lit("runs").alias("method")),
         ]

@@ -168,7 +168,7 @@ def compare(
     """Report tables of a job from its BOM side and card lines; each is worked out only when asked for.
 
     Counts come from the summary, which lists nothing of the size configurations times cards; only
-    ``detail``, ``format_sheet`` and ``digest`` list discrepancies. ``errors(file, folder, error, phase)``
+    ``detail`` and ``format_sheet`` list discrepancies. ``errors(file, folder, error, phase)``
     are the files that could not be read.
     """
     qty, configs = bom["qty"], bom["configs"]
@@ -176,26 +176,31 @@ def compare(
         qty, configs = A.select_configs(qty, selected), A.select_configs(configs, selected)
     bom_qty = qty.withColumnRenamed("part_key", "part")
     totals = cut(A.card_totals(cards)).withColumnRenamed("part_key", "part")
-    outcomes = R.outcomes(bom_qty, totals, configs)
-    disc = outcomes.filter(F.col("valid") & F.col("outcome").isin(R.TYPE_RANK))
     summary = R.summarise(bom_qty, totals, configs)
+    # one row per configuration, numbered in order of first use
+    numbered = configs.select("config", F.row_number().over(Window.orderBy("ord", "config")).alias("config_no"))
+    words = R.config_words(numbered)
+    listed, bits = R.split_outcomes(bom_qty, totals, words)
+    reported = F.col("valid") & F.col("outcome").isin(R.TYPE_RANK)
+    disc = listed.unionByName(R.unfold(bits, words).select(*listed.columns)).filter(reported)
     names = bom["names"].withColumnRenamed("part_key", "part")
     originals = bom["parts"].select(F.col("part_key").alias("part"), "original")
     detailed = R.with_details(disc, names, totals, originals)
-    # one row per configuration, numbered in order of first use
-    numbered = configs.select("config", F.row_number().over(Window.orderBy("ord", "config")).alias("config_no"))
+    direct = R.with_details(listed.filter(reported), names, totals, originals)
+    surplus = R.with_details(bits.filter("valid"), names, totals, originals, carry=("word", "lacking"))
+    levels = P.levels(summary)
     return {
-        "totals": P.summed_totals(summary),
+        "totals": P.totals_of(levels),
         "per_config": P.per_config(summary),
         "detail": P.detail(detailed, A.card_numbers(cards)),
         "format_sheet": P.format_sheet(disc),
         "bom_parts": bom["parts"],
         "bom_quantities": qty,
         "bom_matrix": P.matrix_rows(qty, bom["parts"]),
-        "digest": P.digest(detailed, numbered),
+        "digest": P.digest(direct, surplus, numbered),
         "config_digest": P.config_digest(summary, numbered),
         "integrity": R.integrity(summary),
-        "integrity_global": R.integrity_global(disc),
+        "integrity_global": R.integrity_global(P.totals_of(levels), R.count_discrepancies(listed, bits)),
         "load_metrics": A.load_metrics(cards, errors),
     } | ({} if errors is None else {"file_errors": errors})
 

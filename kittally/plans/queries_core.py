@@ -381,7 +381,7 @@ def config_summary(spark, sf):
 def config_summary_listed(spark, sf):
     """The same counts from the listed outcomes."""
     bom, cards = _raw(spark, sf)
-    return R.config_summary(R.outcomes(bom, cards), cards)
+    return R.config_summary(R.outcomes(bom, cards), cards, bom)
 
 
 @query("config_summary_strict_pairs", f"WITH {O.RAW}, {O.outcomes(strict=True)}, {O.SUMMARY} SELECT * FROM summary")
@@ -465,9 +465,16 @@ def integrity(spark, sf):
     return R.integrity(R.summarise(bom, cards))
 
 
-@query("integrity_global", f"{CORE} SELECT count(*) AS total, count(*) AS typed, true AS is_ok FROM disc")
+@query(
+    "integrity_global",
+    f"""{CORE}, by_type AS (SELECT outcome, sum(n) AS n FROM (SELECT unnest(['only_in_bom', 'only_in_cards', 'qty_mismatch', 'fuzzy_match']) AS outcome,
+      unnest([only_in_bom, only_in_cards, qty_mismatch, fuzzy_match]) AS n FROM summary) GROUP BY 1)
+    SELECT *, total = typed AS is_ok FROM (SELECT (SELECT count(*) FROM disc) AS total, (SELECT sum(n) FROM by_type)::BIGINT AS typed)""",
+)
 def integrity_global(spark, sf):
-    return R.integrity_global(_disc(spark, sf))
+    bom, cards = _raw(spark, sf)
+    counted = R.count_discrepancies(*R.split_outcomes(bom, cards, R.config_words(bom)))
+    return R.integrity_global(P.totals_of(P.levels(R.summarise(bom, cards))), counted)
 
 
 @query(
@@ -483,7 +490,17 @@ def run_totals(spark, sf):
 
 @query("report_totals", f"{CORE} SELECT outcome, count(*) AS n FROM disc GROUP BY 1")
 def report_totals(spark, sf):
-    return P.totals(_disc(spark, sf))
+    return P.totals_of(P.levels(R.summarise(*_raw(spark, sf))))
+
+
+@query(
+    "report_levels",
+    f"""{CORE}, cells AS (SELECT config, unnest(['only_in_bom', 'only_in_cards', 'qty_mismatch', 'fuzzy_match']) AS outcome,
+      unnest([only_in_bom, only_in_cards, qty_mismatch, fuzzy_match]) AS n FROM summary)
+    SELECT config, outcome, sum(n)::BIGINT AS n, grouping_id(config, outcome)::INT AS level FROM cells GROUP BY GROUPING SETS ((config, outcome), (config), (outcome), ())""",
+)
+def report_levels(spark, sf):
+    return P.levels(R.summarise(*_raw(spark, sf)))
 
 
 @query(
@@ -556,14 +573,19 @@ NUMBERED = "numbered AS (SELECT config, row_number() OVER (ORDER BY min(ord), co
     "report_digest",
     f"""{CORE}, {DETAILED}, {NUMBERED}, r AS (SELECT * FROM detailed JOIN numbered USING (config) WHERE outcome <> 'fuzzy_match'),
     f AS (SELECT outcome, part_number, qty_bom, qty_cards, row_number() OVER (PARTITION BY outcome, part_number ORDER BY config_no) AS k FROM r),
-    c AS (SELECT outcome, part_number, string_agg(DISTINCT config_no::VARCHAR, ',' ORDER BY config_no::VARCHAR) AS config_nos FROM r GROUP BY 1, 2),
+    c AS (SELECT outcome, part_number, array_to_string(list_sort(list(DISTINCT config_no)), ',') AS config_nos FROM r GROUP BY 1, 2),
     t AS (SELECT outcome, part_number, qty_bom, qty_cards, row_number() OVER (PARTITION BY outcome ORDER BY part_number) AS n, count(*) OVER (PARTITION BY outcome) AS parts FROM f WHERE k = 1),
     e AS (SELECT outcome, count(*) AS entries FROM r GROUP BY 1)
     SELECT outcome, n, part_number, qty_bom, qty_cards, config_nos, entries, greatest(parts - 30, 0) AS more
     FROM t JOIN c USING (outcome, part_number) JOIN e USING (outcome) WHERE n <= 30""",
 )
 def report_digest(spark, sf):
-    return P.digest(_detailed(spark, sf), _numbered(spark, sf))
+    bom, cards = _raw(spark, sf)
+    numbered, names = cut(_numbered(spark, sf)), B.raw_names(spark, sf)
+    listed, bits = R.split_outcomes(bom, cards, R.config_words(numbered))
+    direct = R.with_details(listed.filter(F.col("valid") & F.col("outcome").isin(R.TYPE_RANK)), names, cards)
+    surplus = R.with_details(bits.filter("valid"), names, cards, carry=("word", "lacking"))
+    return P.digest(direct, surplus, numbered)
 
 
 @query(

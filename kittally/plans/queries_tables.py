@@ -14,7 +14,9 @@ from ..operators import mapping as M
 from ..operators import quality as Q
 from ..operators import tables as T
 from ..session import checkpoint_dir, cut
+from ..streaming import jobs_state as JS
 from ..streaming import progress as S
+from ..streaming import snapshot as SN
 from . import bindings as B
 from . import oracle as O
 from . import workbooks as W
@@ -416,6 +418,30 @@ def allocate_names(spark, sf):
     return C.allocate_names(sheets)
 
 
+@query(
+    "allocate_names_clash",
+    """WITH RECURSIVE n AS (SELECT o_orderkey::VARCHAR AS source, 'Sheet ' || o_custkey::VARCHAR || CASE o_orderkey % 5 WHEN 1 THEN '_1' WHEN 2 THEN '_2' WHEN 3 THEN '_1_1' ELSE '' END AS sheet, o_custkey AS family FROM orders),
+    k AS (SELECT *, sheet AS base, row_number() OVER (PARTITION BY family ORDER BY source, sheet) AS k, count(*) OVER (PARTITION BY family) AS n FROM n),
+    walk(family, k, source, sheet, name, taken) AS (
+      SELECT family, 1::BIGINT, source, sheet, base, [base] FROM k WHERE k = 1
+      UNION ALL SELECT family, k, source, sheet, name, list_append(taken, name) FROM (
+        SELECT k.family, k.k, k.source, k.sheet, w.taken, list_filter(list_concat([base], list_transform(range(1, n + 1), lambda i: base || '_' || i)), lambda x: NOT list_contains(w.taken, x))[1] AS name
+        FROM walk w JOIN k ON k.family = w.family AND k.k = w.k + 1))
+    SELECT source, sheet, NULL::VARCHAR AS label, name || '.xlsx' AS name FROM walk""",
+)
+def allocate_names_clash(spark, sf):
+    """Sheets of one customer are one family: its plain name, names with suffixes, and suffixes of these."""
+    tail = F.when(F.col("o_orderkey") % 5 == 1, "_1").when(F.col("o_orderkey") % 5 == 2, "_2").when(F.col("o_orderkey") % 5 == 3, "_1_1").otherwise("")
+    orders = B.table(spark, sf, "orders")
+    return C.allocate_names(
+        orders.select(
+            F.col("o_orderkey").cast("string").alias("source"),
+            F.concat(F.lit("Sheet "), F.col("o_custkey").cast("string"), tail).alias("sheet"),
+            F.lit(None).cast("string").alias("label"),
+        )
+    )
+
+
 @query("split_manifest", f"WITH {O.FILES} SELECT {O.format_group('path')} AS source, {O.basename('path')} AS name FROM files")
 def split_manifest(spark, sf):
     files = B.files(spark, sf)
@@ -692,6 +718,24 @@ def completed_stream(spark, sf):
     return spark.read.schema("job_id long").parquet(f"{scratch}/announced").select("job_id")
 
 
+@query("completion_events", f"WITH {LAST} SELECT * FROM counters WHERE processed + failed = total")
+def completion_events(spark, sf):
+    """Completed jobs with their counters, from state per card and job, without a log."""
+    scratch = _scratch(spark)
+    done = JS.completion_events(_event_stream(spark, sf), shards=4)
+    JS.run_events(done, f"{scratch}/out", f"{scratch}/state")
+    return spark.read.schema(JS.DONE).parquet(f"{scratch}/out").drop("ts")
+
+
+@query("progress_snapshot", f"WITH {LAST} SELECT job_id, card, status FROM last")
+def progress_snapshot(spark, sf):
+    """Last outcome of each card, from the snapshot into which a stream's updates are merged."""
+    scratch, status = _scratch(spark), S.card_status(_event_stream(spark, sf))
+    kept = SN.Snapshot(f"{scratch}/kept", ["job_id", "card"], status.schema, every=1)
+    S.publish(status, kept.sink, f"{scratch}/state").awaitTermination()
+    return kept.rows(spark).select("job_id", "card", F.coalesce("status", F.lit("pending")).alias("status"))
+
+
 @query("progress_stream_deltas", f"WITH {LAST} SELECT * FROM counters")
 def progress_stream_deltas(spark, sf):
     """The same counters as a sum of changes, through custom state per card."""

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions import text as X
 
@@ -203,7 +203,7 @@ def keep_batches(path: str) -> Callable[[DataFrame, int], None]:
 
 def kept(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """All rows of :func:`keep_batches` with their trigger in ``epoch``."""
-    return spark.read.schema(schema.add("epoch", "long")).parquet(path)
+    return spark.read.schema(StructType([*schema.fields, StructField("epoch", LongType())])).parquet(path)
 
 
 def announce(log: str, announced: str) -> Callable[[DataFrame, int], None]:

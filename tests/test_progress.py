@@ -1,7 +1,12 @@
 import datetime as dt
+import os
+import random
 
+import pytest
 
+from kittally.streaming import jobs_state as JS
 from kittally.streaming import progress as S
+from kittally.streaming import snapshot as SN
 
 SCHEMA = "job_id long, card long, status string, ts timestamp, event_id long"
 
@@ -119,3 +124,126 @@ def test_failed_cards_keep_the_message_of_their_last_outcome(spark):
     rows = [(1, 1, "failed", 1, 1, "first"), (1, 1, "failed", 2, 2, "second"), (1, 2, "failed", 1, 3, "x"), (1, 2, "success", 2, 4, None)]
     events = spark.createDataFrame(rows, "job_id long, card long, status string, ts long, event_id long, why string")
     assert [tuple(r) for r in S.failed_cards(events, "why").collect()] == [(1, 1, "second")]
+
+
+ENDS = "job_id long, status string, ts timestamp"
+
+
+class Feed:
+    """Files of card events and job ends, drained by one stream over restarts."""
+
+    def __init__(self, spark, path):
+        self.spark, self.path, self.n = spark, str(path), 0
+
+    def add(self, rows, ends=()):
+        numbered = [(j, c, s, at(60 * hour), self.n + i) for i, (j, c, s, hour) in enumerate(rows)]
+        self.n += len(rows)
+        self.spark.createDataFrame(numbered, SCHEMA).coalesce(1).write.mode("append").parquet(f"{self.path}/events")
+        self.spark.createDataFrame([(j, s, at(60 * hour)) for j, s, hour in ends], ENDS).coalesce(1).write.mode("append").parquet(f"{self.path}/ends")
+        return self.run()
+
+    def run(self):
+        events = self.spark.readStream.schema(SCHEMA).parquet(f"{self.path}/events")
+        ends = self.spark.readStream.schema(ENDS).parquet(f"{self.path}/ends")
+        query = JS.run_events(JS.completion_events(events, ends, shards=3), f"{self.path}/out", f"{self.path}/state")
+        return JS.state_rows(query) if query.lastProgress else None
+
+    def done(self):
+        rows = self.spark.read.schema(JS.DONE).parquet(f"{self.path}/out").collect()
+        return sorted((r.job_id, r.processed, r.failed, r.total) for r in rows)
+
+
+def test_jobs_complete_once_and_expire(spark, tmp_path):
+    feed = Feed(spark, tmp_path)
+    feed.add([(1, 1, "pending", 0), (1, 2, "pending", 0), (1, 1, "success", 1), (2, 1, "pending", 0), (2, 1, "failed", 1)])
+    assert feed.done() == [(2, 0, 1, 1)]
+    full = feed.add([(1, 2, "failed", 2), (1, 1, "failed", 3), (2, 1, "success", 3)], [(1, "done", 4), (2, "error", 4)])
+    assert feed.done() == [(1, 0, 2, 2), (2, 0, 1, 1)]  # a later change of a complete job fires nothing
+    # a day after their end both are gone from the state; job 3 has one card and its counters
+    left = feed.add([(3, 1, "pending", 40)])
+    assert left < full and left <= 3
+    # later than the watermark: neither counted nor brought back
+    assert feed.add([(1, 1, "success", 2), (3, 1, "success", 41)]) <= 3
+    assert feed.done() == [(1, 0, 2, 2), (2, 0, 1, 1), (3, 1, 0, 1)]
+
+
+def test_a_job_that_starts_again_is_announced_anew(spark, tmp_path):
+    feed = Feed(spark, tmp_path)
+    feed.add([(1, 1, "pending", 0), (1, 1, "failed", 1)], [(1, "error", 2)])
+    feed.add([(1, 1, "pending", 3), (1, 2, "pending", 3)])
+    feed.add([(1, 1, "success", 4), (1, 2, "success", 4)])
+    assert feed.done() == [(1, 0, 1, 1), (1, 2, 0, 2)]
+    feed.add([(9, 1, "pending", 40)])
+    assert feed.done() == [(1, 0, 1, 1), (1, 2, 0, 2)]
+
+
+def test_a_replayed_trigger_fires_nothing_twice(spark, tmp_path):
+    feed = Feed(spark, tmp_path)
+    feed.add([(1, 1, "pending", 0), (1, 1, "success", 1), (2, 1, "pending", 0)])
+    before = feed.done()
+    commits = tmp_path / "state" / "commits"  # a crash after the rows of the last trigger, before its commit
+    last = max(int(name) for name in os.listdir(commits) if name.isdigit())
+    for name in (str(last), f".{last}.crc"):
+        os.remove(commits / name)
+    feed.run()
+    assert feed.done() == before == [(1, 1, 0, 1)]
+    feed.add([(2, 1, "failed", 2)])
+    assert feed.done() == [(1, 1, 0, 1), (2, 0, 1, 1)]
+
+
+def test_stream_of_completions_equals_batch(spark, tmp_path):
+    rnd = random.Random(7)
+    rows = [(rnd.randint(1, 12), rnd.randint(1, 5), rnd.choice(["pending", "success", "failed"]), rnd.randint(0, 50)) for _ in range(300)]
+    frame = spark.createDataFrame(events(rows), SCHEMA)
+    frame.repartition(3).write.parquet(str(tmp_path / "in"))
+    stream = JS.completion_events(spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in")))
+    JS.run_events(stream, str(tmp_path / "out"), str(tmp_path / "state"))
+    got = {r.job_id: (r.processed, r.failed, r.total) for r in spark.read.schema(JS.DONE).parquet(str(tmp_path / "out")).collect()}
+    assert got == {j: c for j, c in counters(S.progress(frame)).items() if c[0] + c[1] == c[2]}
+
+
+KEYED = "k long, v long, note string"
+
+
+def test_snapshot_is_bounded_by_keys(spark, tmp_path):
+    kept = SN.Snapshot(str(tmp_path / "s"), ["k"], spark.createDataFrame([], KEYED).schema, buckets=4, every=3)
+    want, sizes = {}, []
+    for epoch in range(13):
+        rows = [(k, epoch, None if k % 3 else f"n{epoch}") for k in range(20) if (k + epoch) % 2]
+        want.update({k: (v, n) for k, v, n in rows})
+        kept.sink(spark.createDataFrame(rows, KEYED), epoch)
+        sizes.append(kept.size(spark))
+        if epoch in (1, 2, 7, 12):
+            assert {r.k: (r.v, r.note) for r in kept.rows(spark).collect()} == want
+    assert max(sizes) <= 2 * 20 + 6 * 10 and sizes[-1] <= max(sizes[:7])
+
+
+def test_snapshot_after_a_crash(spark, tmp_path, monkeypatch):
+    """A trigger that dies between its rows, its buckets and its commit gives the same when it runs again."""
+    kept = SN.Snapshot(str(tmp_path / "s"), ["k"], spark.createDataFrame([], KEYED).schema, buckets=3, every=2)
+    batch = lambda e: spark.createDataFrame([(k, 10 * e + k, f"e{e}") for k in range(e % 3, 9, 2)], KEYED)
+    want = {}
+    for epoch in range(8):
+        want.update({r.k: (r.v, r.note) for r in batch(epoch).collect()})
+        if epoch % 2:
+            kept_clean, crashed = SN.Snapshot._clean, []
+
+            def die(self, *args):
+                crashed.append(1)
+                raise RuntimeError("lost")
+
+            monkeypatch.setattr(SN.Snapshot, "_clean", die)
+            if kept.commits(spark):
+                with pytest.raises(RuntimeError):
+                    kept.sink(batch(epoch), epoch)
+            monkeypatch.setattr(SN.Snapshot, "_clean", kept_clean)
+        kept.sink(batch(epoch), epoch)
+        kept.sink(batch(epoch), epoch)
+        assert {r.k: (r.v, r.note) for r in kept.rows(spark).collect()} == want
+
+
+def test_kept_leaves_a_schema_alone(spark, tmp_path):
+    schema = spark.createDataFrame([], KEYED).schema
+    S.keep_batches(str(tmp_path / "k"))(spark.createDataFrame([(1, 2, "x")], KEYED), 0)
+    assert S.kept(spark, str(tmp_path / "k"), schema).count() == S.kept(spark, str(tmp_path / "k"), schema).count() == 1
+    assert schema.names == ["k", "v", "note"]

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from kittally.operators import reconcile as R
 from kittally.operators import report as P
@@ -29,10 +30,10 @@ def test_two_configs(spark):
         ("舒享版", "P001", "qty_mismatch"), ("舒享版", "P002", "matched"), ("舒享版", "P004", "only_in_cards"),
         ("奢享版", "P001", "matched"), ("奢享版", "P003", "only_in_bom"), ("奢享版", "P002", "only_in_cards"), ("奢享版", "P004", "only_in_cards"),
     }
-    s = {r.config: r for r in R.config_summary(out, c).collect()}
+    s = {r.config: r for r in R.config_summary(out, c, b).collect()}
     assert (s["舒享版"].total_bom_parts, s["舒享版"].matched, s["舒享版"].discrepancies) == (2, 1, 2)
     assert s["奢享版"].total_cards_parts == 3
-    assert all(r.is_ok for r in R.integrity(R.config_summary(out, c)).collect())
+    assert all(r.is_ok for r in R.integrity(R.config_summary(out, c, b)).collect())
 
 
 def test_format_pair_and_exact_wins(spark):
@@ -62,7 +63,7 @@ def test_invalid_parts_count_but_are_not_reported(spark):
     c = cards(spark, [("P001", 1.0), ("无", 2.0)])
     out = R.outcomes(b, c)
     assert R.reconcile(b, c).count() == 0
-    (audit,) = R.integrity(R.config_summary(out, c)).collect()
+    (audit,) = R.integrity(R.config_summary(out, c, b)).collect()
     assert (audit.total_bom_parts, audit.accounted, audit.diff, audit.is_ok) == (2, 1, -1, False)
 
 
@@ -73,7 +74,7 @@ def test_tolerance_is_strict(spark):
 
 
 def test_many_configs_cross_slices(spark, monkeypatch):
-    monkeypatch.setattr(R, "CATALOGUE_SLICE", 4)
+    monkeypatch.setattr(R, "WORD", 4)
     rows = [(f"c{i:03d}", f"P{i % 7:03d}", 1.0) for i in range(50)]
     b, c = bom(spark, rows), cards(spark, [(f"P{i:03d}", 1.0) for i in range(9)])
     got = {(r.config, r.part) for r in R.missing_configs(c, b, b).collect()}
@@ -86,10 +87,79 @@ def test_summary_without_listing(spark, options):
     b = bom(spark, [("A", "AB-12", 1.0), ("A", "板", 1.0), ("B", "P001", 2.0), ("B", "CD-34", 2.0), ("C", "CD 34", 1.0)])
     c = cards(spark, [("AB12", 1.0), ("P001", 2.0), ("无", 1.0), ("CD.34", 5.0), ("P009", 1.0)])
     columns = sorted(R.summarise(b, c, **options).columns)
-    listed = R.config_summary(R.outcomes(b, c, **options), c).select(columns)
+    listed = R.config_summary(R.outcomes(b, c, **options), c, b).select(columns)
     assert sorted(map(tuple, R.summarise(b, c, **options).select(columns).collect())) == sorted(map(tuple, listed.collect()))
 
 
+def test_surplus_in_bits(spark, monkeypatch):
+    """Counts and lowest bits say what the unfolded rows say, over several words, the last one not full."""
+    monkeypatch.setattr(R, "WORD", 4)
+    rows = [(f"c{i:02d}", f"P{p:03d}", 1.0) for i in range(11) for p in range(6) if (i * 7 + p * 3) % 4]
+    b, c = bom(spark, rows), cards(spark, [(f"P{p:03d}", 1.0) for p in range(8)] + [("无", 1.0)])
+    words = R.config_words(b)
+    listed, bits = R.split_outcomes(b, c, words)
+    out = R.outcomes(b, c)
+    surplus = [(r.card_part, r.config) for r in out.filter("outcome = 'only_in_cards'").collect()]
+    per_part = {r.card_part: r.n for r in bits.groupBy("card_part").agg(F.sum(F.bit_count("lacking")).alias("n")).collect()}
+    assert per_part == {p: sum(1 for q, _ in surplus if q == p) for p, _ in surplus}
+    assert R.count_discrepancies(listed, bits).first().total == R.reconcile(b, c).count()
+    assert bits.count() <= 9 * 3
+
+
+def test_bits_of_exactly_full_words(spark):
+    rows = [(f"c{i:03d}", "P001", 1.0) for i in range(2 * R.WORD)]
+    b, c = bom(spark, rows), cards(spark, [("P001", 1.0), ("P002", 1.0)])
+    _, bits = R.split_outcomes(b, c, R.config_words(b))
+    assert [r.n for r in bits.select(F.bit_count("lacking").alias("n")).collect()] == [R.WORD, R.WORD]
+    assert R.reconcile(b, c).count() == 2 * R.WORD
+
+
+def test_global_audit_can_fail(spark):
+    b = bom(spark, [("A", "P001", 2.0), ("B", "P002", 1.0)])
+    c = cards(spark, [("P001", 1.0), ("P003", 1.0)])
+    by_type = P.totals_of(P.levels(R.summarise(b, c)))
+    listed, bits = R.split_outcomes(b, c, R.config_words(b))
+    good = R.integrity_global(by_type, R.count_discrepancies(listed, bits)).first()
+    assert (good.total, good.typed, good.is_ok) == (5, 5, True)
+    odd = listed.withColumn("outcome", F.when(F.col("outcome") == "matched", "other").otherwise(F.col("outcome"))).unionByName(listed.limit(1).withColumn("outcome", F.lit("other")))
+    assert not R.integrity_global(by_type, R.count_discrepancies(odd, bits)).first().is_ok
+    assert not R.integrity_global(by_type.filter("outcome <> 'only_in_cards'"), R.count_discrepancies(listed, bits)).first().is_ok
+
+
+def test_levels_add_up(spark):
+    b = bom(spark, [("A", "P001", 2.0), ("B", "P002", 1.0), ("C", "P001", 1.0)])
+    c = cards(spark, [("P001", 1.0), ("P003", 1.0)])
+    got = {(r.config, r.outcome, r.level): r.n for r in P.levels(R.summarise(b, c)).collect()}
+    disc = [(r.config, r.outcome) for r in R.reconcile(b, c).collect()]
+    assert got[None, None, 3] == len(disc)
+    for config, outcome in set(disc):
+        assert got[config, outcome, 0] == disc.count((config, outcome))
+        assert got[config, None, 1] == sum(1 for x, _ in disc if x == config)
+        assert got[None, outcome, 2] == sum(1 for _, o in disc if o == outcome)
+
+
+def test_digest_from_bits(spark, monkeypatch):
+    monkeypatch.setattr(R, "WORD", 3)
+    monkeypatch.setattr(P, "WORD", 3)
+    rows = [(f"c{i:02d}", f"P{p:03d}", float(p)) for i in range(8) for p in range(5) if (i + p) % 3]
+    b, c = bom(spark, rows), cards(spark, [(f"P{p:03d}", 1.0) for p in range(9)])
+    numbered = spark.createDataFrame([(f"c{i:02d}", 8 - i) for i in range(8)], "config string, config_no int")
+    names = spark.createDataFrame([], "part string, name_cn string, name_en string")
+    listed, bits = R.split_outcomes(b, c, R.config_words(numbered))
+    detail = R.with_details(listed.filter("valid AND outcome <> 'matched'"), names, c)
+    surplus = R.with_details(bits, names, c, carry=("word", "lacking"))
+    got = {(r.outcome, r.part_number): (r.config_nos, r.entries, r.more) for r in P.digest(detail, surplus, numbered, k=4).collect()}
+    number = {f"c{i:02d}": 8 - i for i in range(8)}
+    want = {}
+    for r in R.reconcile(b, c).collect():
+        want.setdefault(r.outcome, {}).setdefault(r.bom_part or r.card_part, set()).add(number[r.config])
+    for outcome, parts in want.items():
+        for part in sorted(parts)[:4]:
+            nos = ",".join(map(str, sorted(parts[part])))
+            assert got.pop((outcome, part)) == (nos, sum(map(len, parts.values())), max(len(parts) - 4, 0))
+    assert not got
+
+
 def test_one_config_and_unknown(spark):
     b = bom(spark, [("A", "P001", 2.0), ("B", "P002", 1.0)])
     c = cards(spark, [("P001", 1.0), ("P-002", 1.0)])
@@ -122,7 +192,8 @@ def test_digest_counts_more(spark):
     rows += [("B", "only_in_bom", "P000", "P000", None, 9.0, 0.0)]
     disc = frame(spark, rows, "config string, outcome string, part_number string, bom_part string, card_part string, qty_bom double, qty_cards double")
     configs = frame(spark, [("A", 1), ("B", 2)], "config string, config_no int")
-    got = {r.part_number: r for r in P.digest(disc, configs).collect()}
+    none = frame(spark, [], "outcome string, part_number string, bom_part string, card_part string, qty_bom double, qty_cards double, word int, lacking long")
+    got = {r.part_number: r for r in P.digest(disc, none, configs).collect()}
     assert len(got) == 30 and got["P000"].config_nos == "1,2" and got["P000"].qty_bom == 1.0
     assert (got["P029"].more, got["P029"].entries) == (10, 41)
 

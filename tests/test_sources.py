@@ -1,4 +1,5 @@
 import json
+import random
 import zipfile
 from io import BytesIO
 
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from kittally.operators import classify as C
 from kittally.operators import mapping as M
 from kittally.operators import quality as Q
+from kittally.operators import scan
 from kittally.plans import jobs as J
 from kittally.plans.workbooks import package
 from kittally.sources import materials as MT
@@ -197,3 +199,47 @@ def test_names_are_unique_under_clashes(spark):
     tasks = [("s1", "x", "a"), ("s2", "x", "a"), ("s3", "x_1", "a"), ("s4", "x_1", "a"), ("s5", "x", "a"), ("s6", "y", None), ("s7", "y", "")]
     got = {r.source: r.name for r in C.allocate_names(spark.createDataFrame(tasks, "source string, sheet string, label string")).collect()}
     assert got == {"s1": "a_x.xlsx", "s2": "a_x_1.xlsx", "s3": "a_x_1_1.xlsx", "s4": "a_x_1_2.xlsx", "s5": "a_x_2.xlsx", "s6": "y.xlsx", "s7": "y_1.xlsx"}
+
+
+def names_one_by_one(tasks):
+    taken, following, out = set(), {}, []
+    for source, sheet, label in sorted(tasks, key=lambda t: (t[0], t[1], t[2] is not None, t[2] or "")):
+        base = f"{label}_{sheet}" if label else sheet
+        name, n = base, following.get(base, 1)
+        while name in taken:
+            name, n = f"{base}_{n}", n + 1
+        following[base] = n
+        taken.add(name)
+        out.append((source, sheet, label, f"{name}.xlsx"))
+    return sorted(out, key=repr)
+
+
+def allocated(spark, tasks):
+    df = spark.createDataFrame(tasks, "source string, sheet string, label string").repartition(4)
+    return sorted(map(tuple, C.allocate_names(df).collect()), key=repr)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_names_like_one_by_one(spark, monkeypatch, seed):
+    """Suffixes of suffixes, suffixes that are none (_0, _01), and pieces far smaller than a family."""
+    monkeypatch.setattr(scan, "BLOCK", 4)
+    monkeypatch.setattr(C, "_CHUNK", 3)
+    monkeypatch.setattr(C, "CLASHES", 6)
+    rnd = random.Random(seed)
+    sheets = ["x", "x_1", "x_2", "x_1_1", "x_3", "x_10", "x_01", "x_0", "y", "x_1_1_1"]
+    tasks = [(f"s{rnd.randint(0, 60):03d}", rnd.choice(sheets), rnd.choice([None, "", "a"])) for _ in range(250)]
+    assert allocated(spark, tasks) == names_one_by_one(tasks)
+
+
+def test_names_of_one_large_family(spark):
+    """Half of the sheets have one name, the other half each have a name that this one runs into, early or late."""
+    rnd = random.Random(3)
+    n = 50_000
+    tasks = [(f"s{rnd.randint(0, 10**6):07d}", "sheet", None) for _ in range(n)]
+    tasks += [(f"s{rnd.randint(0, 10**6):07d}", f"sheet_{i}", None) for i in range(1, n + 1)]
+    assert allocated(spark, tasks) == names_one_by_one(tasks)
+    assert "Pandas" not in C.allocate_names(spark.createDataFrame(tasks[:9], "source string, sheet string, label string"))._jdf.queryExecution().toString()
+
+
+def test_no_names(spark):
+    assert allocated(spark, []) == []
