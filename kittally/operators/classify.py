@@ -109,6 +109,54 @@ def classify_rules(files: DataFrame, rules: dict, path: str = "path", content: s
     )
 
 
+_HIT = (
+    "CASE r.type WHEN 'filename_regex' THEN r.pattern <> '' AND rlike(_name, concat('(?iU)', r.pattern)) "
+    "WHEN 'filename_keyword' THEN exists(r.keywords, w -> contains(_name, lower(w))) "
+    "WHEN 'sheet_keyword' THEN exists(r.keywords, w -> contains(_text, lower(w))) END"
+)
+
+
+def classify_by_rules(files: DataFrame, rules: DataFrame, keys: list[str], path: str = "path", content: str | None = None) -> DataFrame:
+    """:func:`classify_rules` where rules are data: files of many jobs at once, each by the rules of its own job.
+
+    ``rules(*keys, rules)`` as from ``mapping.classification_rules``; a job without rules is classified by keywords
+    (F8), its own or the fixed ones. Each name is judged once per job (and content), by the first rule that hits: a
+    file meets one row of rules, never a row per rule.
+    """
+    name = F.lower(X.stem(path))
+    text = F.lit(None).cast("string") if content is None else F.col(content)
+    own = [*keys, path] + ([content] if content else [])
+    named = files.select(*own).distinct().withColumns({"_name": name, "_text": F.when(F.coalesce(text, F.lit("")) != "", F.lower(text)).otherwise(name)})
+    if keys:
+        judged = named.join(rules.select(*keys, "rules"), keys, "left")
+    else:
+        judged = named.withColumn("rules", rules.agg(F.first("rules")).scalar())
+
+    def words(field: str, fixed: list[str]) -> Column:
+        wanted = F.coalesce(F.col(f"rules.{field}"), F.array(*[F.lit(w) for w in fixed]))
+        return F.exists(wanted, lambda w: F.contains(F.col("_name"), F.lower(w)))
+
+    def first(field: str) -> Column:
+        return F.get(F.expr(f"filter(rules.{field}, r -> coalesce({_HIT}, false))"), F.lit(0))
+
+    some = lambda field: F.coalesce(F.size(f"rules.{field}") > 0, F.lit(False))
+    service, cards = some("service_file_patterns"), some("operational_card_patterns")
+    numbered = _numbered_name(F.col("_name"))
+    judged = judged.withColumns({"_service": first("service_file_patterns"), "_card": first("operational_card_patterns")})
+    kind = (
+        F.when(~service & ~cards & words("service_keywords", K.SERVICE_FILE), "service")
+        .when(~service & ~cards & words("operational_keywords", K.OPERATIONAL_FILE), "operational_card")
+        .when(F.col("_service").isNotNull(), "service")
+        .when(F.col("_card").isNotNull(), "operational_card")
+        .when(~cards & numbered, "operational_card")
+        .otherwise("unknown")
+    )
+    group = F.when(F.col("_service").isNull(), F.col("_card.format_group"))
+    verdicts = judged.select(*own, kind.alias("file_type"), group.alias("format_group"))
+    same = [F.col(f"f.{c}").eqNullSafe(F.col(f"v.{c}")) for c in own]
+    return files.alias("f").join(verdicts.alias("v"), same, "left").select("f.*", "v.file_type", "v.format_group")
+
+
 def content_digest(cells: DataFrame, rows: int = 30, cols: int = 39) -> DataFrame:
     """Text of the top of the first sheet of each file (F10); at most rows x cols values."""
     top = cells.filter(
@@ -128,11 +176,11 @@ def representatives(files: DataFrame, path: str = "path", order: str = "ord") ->
 
 
 def split_manifest(produced: DataFrame) -> DataFrame:
-    """Names produced from each source file, one row per name.
+    """Sorted names produced from each source file, one row per source.
 
-    ``produced(source, name)``. Writers sort by (source, name); see ``sources.materials``.
+    ``produced(source, name)``; sources of one name in different folders share a list, as they do in the manifest.
     """
-    return produced.select("source", "name")
+    return produced.groupBy(X.basename("source").alias("source")).agg(F.array_sort(F.collect_set("name")).alias("names"))
 
 
 NAME_WIDTH = 50

@@ -14,6 +14,8 @@ from ..functions import keywords as K
 from ..functions import text as X
 from .scan import SHEET
 
+LAST_ROW, LAST_COL = 1_048_576, 16_384  # fixed by the file format
+ROW_BLOCK = 1024
 ROLES = ["part_no", "name_cn", "name_en", "qty"]
 HEADER_ROWS = 30  # headers are looked for in these rows, so samples of data end soon after them
 
@@ -28,11 +30,38 @@ def row_spine(cells: DataFrame) -> DataFrame:
     return sheet_extent(cells).select(*SHEET, "max_row", F.explode(F.sequence(F.lit(1), "max_row")).alias("row"))
 
 
-def fill_merged(cells: DataFrame, merges: DataFrame) -> DataFrame:
-    """Empty cells of a merged rectangle take its top-left value (G1)."""
+def clip_merges(cells: DataFrame, merges: DataFrame) -> DataFrame:
+    """Merges of whole columns or rows cut to the sheet's extent.
+
+    A rectangle that reaches the last row or column of the file format covers whole columns or rows. It is taken as
+    far as cells and other merges reach, which is all that anyone reads of it.
+    """
+    endless_rows, endless_cols = F.col("max_row") >= LAST_ROW, F.col("max_col") >= LAST_COL
+    reach = cells.select(*SHEET, F.col("row").alias("_r"), F.col("col").alias("_c")).unionByName(
+        merges.select(*SHEET, F.when(endless_rows, F.col("min_row")).otherwise(F.col("max_row")).alias("_r"), F.when(endless_cols, F.col("min_col")).otherwise(F.col("max_col")).alias("_c"))
+    )
+    extent = reach.groupBy(*SHEET).agg(F.max("_r").alias("_r"), F.max("_c").alias("_c"))
+    return merges.join(extent, SHEET).withColumns(
+        {"max_row": F.when(endless_rows, F.col("_r")).otherwise(F.col("max_row")), "max_col": F.when(endless_cols, F.col("_c")).otherwise(F.col("max_col"))}
+    ).drop("_r", "_c")
+
+
+def fill_merged(cells: DataFrame, merges: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """Empty cells of a merged rectangle take its top-left value (G1).
+
+    ``asked(file_id, sheet_idx, row)`` names the rows that are wanted; by default all rows of a rectangle are. Asked rows
+    meet rectangles by blocks of rows, so a tall rectangle is there once per block, not once per row.
+    """
+    clipped = clip_merges(cells, merges)
+    if asked is None:
+        rows = clipped.withColumn("row", F.explode(F.sequence("min_row", "max_row")))
+    else:
+        block = lambda c: F.floor(F.col(c) / ROW_BLOCK)
+        blocks = clipped.withColumn("_block", F.explode(F.sequence(block("min_row"), block("max_row"))))
+        wanted = asked.select(*SHEET, "row").distinct().withColumn("_block", block("row"))
+        rows = blocks.join(wanted, [*SHEET, "_block"]).filter(F.col("row").between(F.col("min_row"), F.col("max_row")))
     covered = (
-        merges.withColumn("row", F.explode(F.sequence("min_row", "max_row")))
-        .withColumn("col", F.explode(F.sequence("min_col", "max_col")))
+        rows.withColumn("col", F.explode(F.sequence("min_col", "max_col")))
         .filter((F.col("row") != F.col("min_row")) | (F.col("col") != F.col("min_col")))
         .select(*SHEET, "row", "col", "min_row", "min_col")
         .join(cells.select(*SHEET, "row", "col"), [*SHEET, "row", "col"], "left_anti")

@@ -34,6 +34,21 @@ MAPPING_SCHEMA = (
 )
 
 
+RULE = "struct<type:string,pattern:string,keywords:array<string>,format_group:string>"
+RULES_SCHEMA = (
+    f"struct<service_file_patterns:array<{RULE}>,operational_card_patterns:array<{RULE}>,"
+    "service_keywords:array<string>,operational_keywords:array<string>>"
+)
+
+
+def classification_rules(mapped: DataFrame, keys: list[str]) -> DataFrame:
+    """The file classification rules of each mapping as one struct, null where it has none.
+
+    A mapping's rules are few; they stay together in their order, as a first match is looked for in them.
+    """
+    return mapped.select(*keys, F.from_json("mapping.cards.file_classification_rules", RULES_SCHEMA).alias("rules"))
+
+
 def column_index(value: Column) -> Column:
     """Position from a flat or nested column entry, 0 if there is none."""
     nested = F.get_json_object(value, "$.col_index")

@@ -98,21 +98,27 @@ def lines_from_materials(records: DataFrame) -> DataFrame:
     )
 
 
-def _classified(cells: DataFrame, names: DataFrame, rules: dict) -> DataFrame:
-    """Type and format group of files or units. ``names(file_id, name)``."""
-    content = C.content_digest(cells)
-    return C.classify_rules(names.join(content, "file_id", "left"), rules, "name", "content").drop("content")
+def _classified(cells: DataFrame, names: DataFrame, rules: dict | DataFrame, keys: list[str]) -> DataFrame:
+    """Type and format group of files or units. ``names(file_id, name)`` with the keys of the rules where these are data."""
+    shown = names.join(C.content_digest(cells), "file_id", "left")
+    if isinstance(rules, dict):
+        return C.classify_rules(shown, rules, "name", "content").drop("content")
+    return C.classify_by_rules(shown, rules, keys, "name", "content").drop("content")
 
 
-def cards_by_mapping(cells: DataFrame, mapping: DataFrame, rules: dict, dictionary: DataFrame | None = None) -> DataFrame:
+def cards_by_mapping(cells: DataFrame, mapping: DataFrame, rules: dict | None = None, dictionary: DataFrame | None = None) -> DataFrame:
     """Card lines of operational files by their format's layout; detection where that fails.
 
-    ``mapping`` is one parsed mapping row, or with a ``file_id`` column one per card file; ``rules`` its classification part. Only operational
+    ``mapping`` is one parsed mapping row, or with a ``file_id`` column one per card file. Files are classified by the
+    rules that their mapping holds, or by ``rules`` for all of them. Only operational
     files are read. Stacked formats number their cards _part1, _part2, ... where a workbook that
     is read whole holds several.
     """
-    named = cells.select("file_id").distinct().withColumn("name", F.col("file_id"))
-    wanted = _classified(cells, named, rules).filter("file_type = 'operational_card'").select("file_id")
+    keys = ["source"] if "file_id" in mapping.columns else []
+    mapping = mapping.withColumnRenamed("file_id", "source")
+    judged = M.classification_rules(mapping, keys) if rules is None else rules
+    named = cells.select("file_id").distinct().withColumns({"name": F.col("file_id"), "source": F.col("file_id")})
+    wanted = _classified(cells, named, judged, keys).filter("file_type = 'operational_card'").select("file_id")
     units = cut(card_units(cells).join(wanted, "file_id", "left_semi"))
     read = cut(
         cells.join(units, SHEET).select(
@@ -122,9 +128,8 @@ def cards_by_mapping(cells: DataFrame, mapping: DataFrame, rules: dict, dictiona
         )
     )
     whole = units.select(F.col("unit").alias("file_id"), F.col("file_id").alias("source"), F.col("unit_name").alias("name"), "split").distinct()
-    typed = cut(_classified(read, whole, rules))
-    keys = ["source"] if "file_id" in mapping.columns else []
-    formats = M.card_formats(mapping.withColumnRenamed("file_id", "source"), keys)
+    typed = cut(_classified(read, whole, judged, keys))
+    formats = M.card_formats(mapping, keys)
     layout = cut(
         M.resolve_format(typed.filter("file_type = 'operational_card'"), formats, keys)
         .filter("part_col > 0")
@@ -221,14 +226,14 @@ def run_by_mapping(
     bom_cells: DataFrame,
     card_cells: DataFrame,
     mapped: DataFrame,
-    rules: dict,
+    rules: dict | None = None,
     dictionary: DataFrame | None = None,
     selected: DataFrame | None = None,
     merges: DataFrame | None = None,
     errors: DataFrame | None = None,
     card_mapped: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
-    """Mapping job. ``mapped(file_id, mapping)`` for the parts lists.
+    """Mapping job. ``mapped(file_id, mapping)`` for the parts lists; ``rules`` stand in for those of the mappings.
 
     ``card_mapped(file_id, mapping)`` gives each card file its own mapping; without it all cards are read
     by the mapping of the first parts list in order of file_id.

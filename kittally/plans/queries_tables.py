@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from ..operators import mapping as M
 from ..operators import quality as Q
 from ..operators import tables as T
 from ..session import checkpoint_dir, cut
+from ..sources import materials as MT
 from ..streaming import jobs_state as JS
 from ..streaming import progress as S
 from ..streaming import snapshot as SN
@@ -442,10 +444,60 @@ def allocate_names_clash(spark, sf):
     )
 
 
-@query("split_manifest", f"WITH {O.FILES} SELECT {O.format_group('path')} AS source, {O.basename('path')} AS name FROM files")
+@query(
+    "split_manifest",
+    f"WITH {O.FILES} SELECT {O.format_group('path')} AS source, array_to_string(list_sort(list(DISTINCT {O.basename('path')})), '|') AS names FROM files GROUP BY 1",
+)
 def split_manifest(spark, sf):
     files = B.files(spark, sf)
-    return C.split_manifest(files.select(X.format_group("path").alias("source"), X.basename("path").alias("name")))
+    produced = files.select(X.format_group("path").alias("source"), X.basename("path").alias("name"))
+    return C.split_manifest(produced).withColumn("names", F.array_join("names", "|"))
+
+
+@query(
+    "merge_manifest",
+    f"""WITH {O.FILES}, runs AS (SELECT {O.basename('path')} AS source, CASE WHEN ord % 3 = 0 THEN 'b' ELSE 'a' END || '_' || ord::VARCHAR AS name, ord FROM files)
+    SELECT source, array_to_string(list_sort(list(DISTINCT name)), '|') AS names FROM runs GROUP BY 1""",
+)
+def merge_manifest(spark, sf):
+    """Two runs over all files, the first of them replayed after the second, and after names that it no longer gives."""
+    produced = B.files(spark, sf).select(F.col("path").alias("source"), F.concat(F.when(F.col("ord") % 3 == 0, "b").otherwise("a"), F.lit("_"), F.col("ord").cast("string")).alias("name"), "ord")
+    path, first, second = f"{_scratch(spark)}/manifest", produced.filter("ord % 3 <> 0"), produced.filter("ord % 3 = 0")
+    MT.merge_manifest(first.withColumn("name", F.concat("name", F.lit("_old"))), path, "first")
+    MT.merge_manifest(second, path, "second")
+    MT.merge_manifest(first, path, "first")
+    return MT.read_manifest(spark, path).withColumn("names", F.array_join("names", "|"))
+
+
+JOB_RULES = [
+    RULES,
+    {
+        "service_file_patterns": [{"type": "filename_keyword", "keywords": ["作业指导书"]}],
+        "operational_card_patterns": [
+            {"type": "filename_keyword", "keywords": ["Cover"], "format_group": "g1"},
+            {"type": "filename_regex", "pattern": "^ssqrt", "format_group": "g2"},
+        ],
+    },
+    None,
+]
+
+
+@query(
+    "classify_job_rules",
+    f"""WITH {O.FILES}, f AS (SELECT *, ord % 3 AS job_id, {_lname} AS nm FROM files), h AS (SELECT *, regexp_matches(nm, 'cover|обложка') OR contains(nm, 'spam') AS s0,
+      CASE WHEN regexp_matches(nm, '(?i)^SSQRT[a-z0-9_]+-[0-9]+') THEN 'card_format_A' WHEN contains(nm, '作业指导书') THEN 'card_format_B' WHEN regexp_matches(nm, 'bolt|gear') THEN 'card_format_C' END AS g0,
+      contains(nm, '作业指导书') AS s1, CASE WHEN contains(nm, 'cover') THEN 'g1' WHEN starts_with(nm, 'ssqrt') THEN 'g2' END AS g1 FROM f)
+    SELECT job_id, path, CASE job_id WHEN 0 THEN CASE WHEN s0 THEN 'service' WHEN g0 IS NOT NULL THEN 'operational_card' ELSE 'unknown' END
+      WHEN 1 THEN CASE WHEN s1 THEN 'service' WHEN g1 IS NOT NULL THEN 'operational_card' ELSE 'unknown' END
+      ELSE CASE WHEN {O.any_of('nm', K.SERVICE_FILE)} THEN 'service' WHEN {O.any_of('nm', K.OPERATIONAL_FILE)} OR {_numbered.replace(_lname, 'nm')} THEN 'operational_card' ELSE 'unknown' END END AS file_type,
+    CASE WHEN job_id = 0 AND NOT s0 THEN g0 WHEN job_id = 1 AND NOT s1 THEN g1 END AS format_group FROM h""",
+)
+def classify_job_rules(spark, sf):
+    """Files of three jobs in one pass, by rules of their own mappings that disagree; the third job has none."""
+    texts = [(i, json.dumps({"cards": {} if rules is None else {"file_classification_rules": rules}})) for i, rules in enumerate(JOB_RULES)]
+    mapped = M.read_mapping(spark.createDataFrame(texts, "job_id int, mapping_config string"))
+    files = B.files(spark, sf).select((F.col("ord") % 3).cast("int").alias("job_id"), "path")
+    return C.classify_by_rules(files, M.classification_rules(mapped, ["job_id"]), ["job_id"])
 
 
 # --- mappings ----------------------------------------------------------------

@@ -45,3 +45,24 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_dir(df.sparkSession)}/kittally-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def file_system(spark: SparkSession, folder: str):
+    """Spark's own file system and path of a folder, whatever store it is in."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def finished(spark: SparkSession, folder: str, name: str) -> list[int]:
+    """Numbers of the completely written subfolders ``name=N`` of a folder, in order."""
+    fs, path = file_system(spark, folder)
+    if not fs.exists(path):
+        return []
+    found = [s.getPath() for s in fs.listStatus(path) if s.isDirectory() and s.getPath().getName().startswith(f"{name}=")]
+    done = [p for p in found if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return sorted(int(p.getName().split("=")[1]) for p in done)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    fs, path = file_system(spark, folder)
+    fs.delete(path, True)

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as X
+from ..session import finished
+
+MANIFEST = "source string, name string, run string"
 MATERIAL_SCHEMA = (
     "card_no string, sheet_name string, row_index int, part_no string, name_cn string, name_ru string, "
     "qty double, _corrupt string"
@@ -83,3 +87,32 @@ def write_report(tables: dict[str, DataFrame], path: str, fmt: str = "parquet")
         if fmt == "csv":
             writer = writer.option("header", "true")
         writer.format(fmt).save(f"{path}/{name}")
+
+
+def merge_manifest(produced: DataFrame, path: str, run: str) -> int:
+    """Merge the names of one run into the manifest stored under ``path`` (S8); gives the new version.
+
+    A version is a folder that holds all runs and counts once it is finished, so readers see the manifest before or
+    after a run. A run given again takes the place of its earlier names: nothing is listed twice.
+    """
+    spark = produced.sparkSession
+    last = _last_version(spark, path)
+    rows = produced.select(X.basename("source").alias("source"), "name", F.lit(run).alias("run")).distinct()
+    if last is not None:
+        rows = rows.unionByName(spark.read.schema(MANIFEST).parquet(f"{path}/version={last}").filter(F.col("run") != run))
+    version = 0 if last is None else last + 1
+    rows.write.mode("overwrite").parquet(f"{path}/version={version}")
+    return version
+
+
+def read_manifest(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """(source, names) of a version of the manifest, the last one by default; names sorted, each once."""
+    version = _last_version(spark, path) if version is None else version
+    if version is None:
+        return spark.createDataFrame([], "source string, names array<string>")
+    rows = spark.read.schema(MANIFEST).parquet(f"{path}/version={version}")
+    return rows.groupBy("source").agg(F.array_sort(F.collect_set("name")).alias("names"))
+
+
+def _last_version(spark: SparkSession, path: str) -> int | None:
+    return max(finished(spark, path, "version"), default=None)

@@ -18,25 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-
-def _numbers(spark: SparkSession, folder: str, name: str) -> list[int]:
-    """Numbers of the finished subfolders ``name=N`` of a folder, in order."""
-    fs, path = _fs(spark, folder)
-    if not fs.exists(path):
-        return []
-    found = [s.getPath() for s in fs.listStatus(path) if s.isDirectory() and s.getPath().getName().startswith(f"{name}=")]
-    done = [p for p in found if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-    return sorted(int(p.getName().split("=")[1]) for p in done)
-
-
-def _fs(spark: SparkSession, folder: str):
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
-
-
-def _remove(spark: SparkSession, folder: str) -> None:
-    fs, path = _fs(spark, folder)
-    fs.delete(path, True)
+from ..session import file_system, finished, remove
 
 
 @dataclass
@@ -57,7 +39,7 @@ class Snapshot:
             self.compact(batch.sparkSession, epoch)
 
     def commits(self, spark: SparkSession, below: int | None = None) -> list[int]:
-        return [n for n in _numbers(spark, f"{self.path}/commits", "commit") if below is None or n < below]
+        return [n for n in finished(spark, f"{self.path}/commits", "commit") if below is None or n < below]
 
     def _versions(self, spark: SparkSession, commit: int | None) -> dict[int, int]:
         """Bucket to the number it is read at; at most ``buckets`` rows."""
@@ -70,7 +52,7 @@ class Snapshot:
         return StructType([*self.schema.fields, StructField("bucket", IntegerType())])
 
     def _log(self, spark: SparkSession, after: int, upto: int | None = None) -> list[DataFrame]:
-        numbers = [n for n in _numbers(spark, f"{self.path}/log", "epoch") if n > after and (upto is None or n <= upto)]
+        numbers = [n for n in finished(spark, f"{self.path}/log", "epoch") if n > after and (upto is None or n <= upto)]
         return [spark.read.schema(self._stored()).parquet(f"{self.path}/log/epoch={n}").withColumn("epoch", F.lit(n).cast("long")) for n in numbers]
 
     def _merged(self, spark: SparkSession, versions: dict[int, int], log: list[DataFrame]) -> DataFrame:
@@ -99,19 +81,19 @@ class Snapshot:
 
     def _clean(self, spark: SparkSession, last: int, needed: set[tuple[int, int]]) -> None:
         """Remove triggers merged by the commit before this one, and buckets that neither of the two reads."""
-        for n in _numbers(spark, f"{self.path}/log", "epoch"):
+        for n in finished(spark, f"{self.path}/log", "epoch"):
             if n <= last:
-                _remove(spark, f"{self.path}/log/epoch={n}")
-        for version in _numbers(spark, f"{self.path}/rows", "version"):
-            fs, folder = _fs(spark, f"{self.path}/rows/version={version}")
+                remove(spark, f"{self.path}/log/epoch={n}")
+        for version in finished(spark, f"{self.path}/rows", "version"):
+            fs, folder = file_system(spark, f"{self.path}/rows/version={version}")
             held = [int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(folder) if s.isDirectory()]
             unused = [b for b in held if (b, version) not in needed and version <= last]
             for b in unused:
-                _remove(spark, f"{self.path}/rows/version={version}/bucket={b}")
+                remove(spark, f"{self.path}/rows/version={version}/bucket={b}")
             if len(unused) == len(held) and version <= last:
-                _remove(spark, f"{self.path}/rows/version={version}")
+                remove(spark, f"{self.path}/rows/version={version}")
         for n in self.commits(spark, below=last):
-            _remove(spark, f"{self.path}/commits/commit={n}")
+            remove(spark, f"{self.path}/commits/commit={n}")
 
     def rows(self, spark: SparkSession) -> DataFrame:
         """The current row of every key."""
@@ -122,5 +104,5 @@ class Snapshot:
 
     def size(self, spark: SparkSession) -> int:
         """Rows kept on disk, merged or not."""
-        stored = [spark.read.schema("bucket int").parquet(f"{self.path}/{kind}={n}") for folder, kind in (("log", "log/epoch"), ("rows", "rows/version")) for n in _numbers(spark, f"{self.path}/{folder}", kind.split("/")[1])]
+        stored = [spark.read.schema("bucket int").parquet(f"{self.path}/{kind}={n}") for folder, kind in (("log", "log/epoch"), ("rows", "rows/version")) for n in finished(spark, f"{self.path}/{folder}", kind.split("/")[1])]
         return sum(df.count() for df in stored)

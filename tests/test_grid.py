@@ -1,3 +1,5 @@
+import random
+
 from conftest import grid
 from pyspark.sql import functions as F
 
@@ -69,6 +71,35 @@ def test_merged_cells_and_snapshot(make_cells, spark):
     assert G.row_spine(cells).count() == 4
 
 
+MERGE = "file_id string, sheet_idx int, min_row int, max_row int, min_col int, max_col int"
+
+
+def test_whole_columns_end_with_the_sheet(make_cells, spark, monkeypatch):
+    monkeypatch.setattr(G, "ROW_BLOCK", 4)
+    cells = make_cells({("m.xlsx", "S"): {(1, 1): "all", (9, 3): "own", (2, 5): "pair"}})
+    merges = spark.createDataFrame([("m.xlsx", 0, 1, G.LAST_ROW, 1, 2), ("m.xlsx", 0, 2, 11, 5, 6), ("m.xlsx", 0, 9, 9, 3, G.LAST_COL)], MERGE)
+    got = {(r.row, r.col): r.value for r in G.fill_merged(cells, merges).collect()}
+    want = {(r, c): "all" for r in range(1, 12) for c in (1, 2)} | {(r, c): "pair" for r in range(2, 12) for c in (5, 6)} | {(9, 3): "own", (9, 4): "own"}
+    overlap = {(9, 5), (9, 6)}  # two rectangles there
+    assert {k: v for k, v in got.items() if k not in overlap} == {k: v for k, v in want.items() if k not in overlap}
+    assert G.clip_merges(cells, merges).agg(F.max("max_row"), F.max("max_col")).first()[:] == (11, 6)
+
+
+def test_asked_rows_only(make_cells, spark, monkeypatch):
+    """Rows met by blocks give what the exploded rectangles give, on random rectangles."""
+    monkeypatch.setattr(G, "ROW_BLOCK", 3)
+    rnd = random.Random(2)
+    tops = {(r * 10 + 1, c * 4 + 1): f"v{r}{c}" for r in range(4) for c in range(3)}
+    cells = make_cells({("m.xlsx", "S"): tops | {(44, 14): "end"}})
+    merges = spark.createDataFrame([("m.xlsx", 0, r, r + rnd.randint(0, 9), c, c + rnd.randint(0, 3)) for r, c in tops], MERGE)
+    rows = [("m.xlsx", 0, r) for r in range(1, 45, 2)]
+    asked = spark.createDataFrame(rows, "file_id string, sheet_idx int, row int")
+    full = {(r.row, r.col): r.value for r in G.fill_merged(cells, merges).collect()}
+    got = {(r.row, r.col): r.value for r in G.fill_merged(cells, merges, asked).collect()}
+    own = set(tops) | {(44, 14)}
+    assert got == {k: v for k, v in full.items() if k in own or k[0] % 2}
+
+
 def test_side_by_side_blocks(make_cells):
     header = ["零件号", "名称", "数量", None, "零件号", "名称", "数量", "零件号"]
     cells = make_cells({("b.xlsx", "S"): grid([header])})

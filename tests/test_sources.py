@@ -5,6 +5,7 @@ from io import BytesIO
 
 import pandas as pd
 import pytest
+from conftest import grid
 from pyspark.sql import functions as F
 
 from kittally.operators import classify as C
@@ -243,3 +244,59 @@ def test_names_of_one_large_family(spark):
 
 def test_no_names(spark):
     assert allocated(spark, []) == []
+
+
+def test_manifest_over_runs(spark, tmp_path):
+    path, given = str(tmp_path / "m"), lambda *rows: spark.createDataFrame(list(rows), "source string, name string")
+    assert MT.read_manifest(spark, path).count() == 0
+    read = lambda v=None: {r.source: r.names for r in MT.read_manifest(spark, path, v).collect()}
+    MT.merge_manifest(given(("in/a.xlsx", "a_2"), ("in/a.xlsx", "a_1"), ("b.xlsx", "b_1")), path, "r1")
+    MT.merge_manifest(given(("other/a.xlsx", "a_3"), ("c.xlsx", "c_1")), path, "r2")
+    both = {"a.xlsx": ["a_1", "a_2", "a_3"], "b.xlsx": ["b_1"], "c.xlsx": ["c_1"]}
+    assert read() == both
+    MT.merge_manifest(given(("in/a.xlsx", "a_2"), ("in/a.xlsx", "a_1"), ("b.xlsx", "b_1")), path, "r1")  # replayed
+    assert read() == both
+    (tmp_path / "m" / "version=3").mkdir()  # a run that died while it wrote
+    spark.createDataFrame([("x", "half", "r3")], MT.MANIFEST).coalesce(1).write.mode("append").parquet(f"{path}/version=3")
+    (tmp_path / "m" / "version=3" / "_SUCCESS").unlink()
+    assert read() == both
+    MT.merge_manifest(given(("d.xlsx", "d_1")), path, "r3")
+    assert read() == both | {"d.xlsx": ["d_1"]} and read(0) == {"a.xlsx": ["a_1", "a_2"], "b.xlsx": ["b_1"]}
+
+
+RULE_SETS = [
+    {"service_file_patterns": [{"type": "filename_keyword", "keywords": ["封面"]}]},
+    {"operational_card_patterns": [{"type": "filename_regex", "pattern": "^a\\d", "format_group": "x"}, {"type": "sheet_keyword", "keywords": ["WELD"], "format_group": "y"}]},
+    {"service_keywords": ["заметки"], "operational_keywords": ["toc"]},
+    {"service_file_patterns": [{"type": "filename_regex", "pattern": ""}, {"type": "other", "keywords": ["a"]}], "operational_card_patterns": [{"type": "filename_keyword", "keywords": []}]},
+    None,
+]
+
+
+def test_rules_as_data_like_rules_in_the_plan(spark):
+    names = ["封面.xlsx", "工序卡 焊接.xlsx", "A12-x.xlsx", "M1-A-AS-001.xlsx", "заметки.xlsx", "toc 12.xlsx", "weld.xlsx"]
+    files = spark.createDataFrame([(j, n, c) for j in range(len(RULE_SETS)) for n in names for c in (None, "", "the weld shop")], "job int, path string, content string")
+    texts = [(j, json.dumps({"cards": {} if r is None else {"file_classification_rules": r}})) for j, r in enumerate(RULE_SETS)]
+    rules = M.classification_rules(M.read_mapping(spark.createDataFrame(texts, "job int, mapping_config string")), ["job"])
+    got = sorted(map(tuple, C.classify_by_rules(files, rules, ["job"], content="content").select("job", "path", "content", "file_type", "format_group").collect()), key=repr)
+    want = []
+    for j, r in enumerate(RULE_SETS):
+        one = C.classify_rules(files.filter(F.col("job") == j), r or {}, content="content")
+        want += map(tuple, one.select("job", "path", "content", "file_type", "format_group").collect())
+    assert got == sorted(want, key=repr) and len({g[3] for g in got}) == 3
+    single = C.classify_by_rules(files.filter("job = 1"), rules.filter("job = 1").drop("job"), [], content="content")
+    assert sorted(map(tuple, single.select("path", "content", "file_type").collect()), key=repr) == sorted([(g[1], g[2], g[3]) for g in got if g[0] == 1], key=repr)
+
+
+def test_a_mapping_brings_its_own_rules(spark, make_cells):
+    rows = [["Part No", "Name", "Qty"], ["P001", "Plate", 4]]
+    cells = make_cells({("a1.xlsx", "S"): grid(rows), ("b1.xlsx", "S"): grid(rows)})
+    layout = {"columns": {"part_no": 1, "name": 2, "qty": 3}, "table_boundaries": {"header_row": 1, "data_start_row": 2}}
+    mapping = {"cards": {"formats": {"f": {"sheets": [layout]}}, "file_classification_rules": {
+        "service_file_patterns": [{"type": "filename_regex", "pattern": "^b"}],
+        "operational_card_patterns": [{"type": "filename_regex", "pattern": "^a", "format_group": "f"}]}}}
+    mapped = M.read_mapping(spark.createDataFrame([(json.dumps(mapping),)], "mapping_config string"))
+    assert [r.file_id for r in J.cards_by_mapping(cells, mapped).collect()] == ["a1.xlsx"]
+    turned = json.loads(json.dumps(mapping).replace('"^b"', '"^z"').replace('"^a"', '"^b"'))
+    per_file = M.read_mapping(spark.createDataFrame([("a1.xlsx", json.dumps(mapping)), ("b1.xlsx", json.dumps(turned))], "file_id string, mapping_config string"))
+    assert sorted(r.file_id for r in J.cards_by_mapping(cells, per_file).collect()) == ["a1.xlsx", "b1.xlsx"]
