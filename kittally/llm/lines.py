@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from kittally.llm.common import id_text
 from kittally.session import cut
 
-#: Similarity as a fraction; rarity is known for 2 ** RARITY groups of words; bits of the line table; a size
-#: class spans WIDTH times the largest ratio of similar sizes.
-SIMILARITY, RARITY, BITS, WIDTH, SKETCH, RAREST, SHARED = (4, 5), 14, 1 << 23, 4, 8, 9, 2
+#: Similarity as a fraction; rarity is known for 2 ** RARITY groups of words; least and most bits of a table of wanted
+#: rows, as powers of two; a size class spans WIDTH times the largest ratio of similar sizes.
+SIMILARITY, RARITY, BITS, WIDTH, SKETCH, RAREST, SHARED = (4, 5), 14, (16, 26), 4, 8, 9, 2
 TWO = ("low", "high")
 _LOW = 64 - RARITY
 
@@ -104,7 +104,7 @@ def stars(sets: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFram
     one row each.
     """
     num, den = similarity
-    rows = sets.select("id", F.explode(F.slice("prefix", 1, RAREST)).alias("word"))
+    rows = sets.where(F.col("n") * (den - num) >= num).select("id", F.explode(F.slice("prefix", 1, RAREST)).alias("word"))
     first = rows.groupBy("word").agg(F.min("id").alias("early"), F.count("*").alias("sets")).where("sets > 1").drop("sets")
     met = rows.join(cut(first), "word").where("early < id").groupBy(F.col("id").alias("late"), "early").count().where("count > 1")
     for x in ("late", "early"):
@@ -115,9 +115,13 @@ def stars(sets: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFram
     return met.groupBy("late").agg(F.min("early").alias("early"))
 
 
-def candidates(sets: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
+def candidates(sets: DataFrame, similarity: tuple[int, int] = SIMILARITY, few: bool = False) -> DataFrame:
     """Pairs (early, late) of ids of sets that may be similar; loses none whose late set has ``open`` set.
 
+    Where ``few`` sets are open, only rows under keys of open sets are moved. A set of n words has a similar
+    one of other words only from n / (n + 1) >= similarity on, and one of the same size from
+    (n - 1) / (n + 1) >= similarity on; smaller ones are left out.
+
     Prefix filter: SHARED of the longer set's rarest words must be among the rarest of the shorter one. Length
     and positional filter: behind each of these both must have enough words left. Last, the bits. Sets
     are in classes of size, and the class is part of the join key: a set meets longer ones in its own class
@@ -126,7 +130,7 @@ def candidates(sets: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> Dat
     num, den = similarity
     step = WIDTH * math.log(den / num)
     need = lambda n, m: _ceil((n + m) * num, num + den)
-    rows = sets.select("id", *TWO, "n", "open", "prefix", F.floor(F.log("n") / F.lit(step)).cast("int").alias("class"))
+    rows = sets.where(F.col("n") * (den - num) >= num).select("id", *TWO, "n", "open", "prefix", F.floor(F.log("n") / F.lit(step)).cast("int").alias("class"))
     beyond = F.greatest("n", F.floor(F.exp((F.col("class") + 1) * F.lit(step))).cast("int"))  # sizes from the next class on
     goals = F.array(F.struct("class", F.col("n").alias("m")), F.struct((F.col("class") + 1).alias("class"), beyond.alias("m")))
     short = rows.withColumn("goal", F.explode(goals)).where(F.col("goal.m") * num <= F.col("n") * den)
@@ -137,10 +141,16 @@ def candidates(sets: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> Dat
         return some.select(F.hash("word", "class").alias("key"), *(F.col(c).alias(f"{c}_{mark}") for c in ("id", *TWO, "n", "open", "at")))
 
     total, least = F.col("n_a") + F.col("n_b"), need(F.col("n_a"), F.col("n_b"))
+    longer, shorter = side(rows, "a"), side(short, "b")
+    if few:
+        opened = cut(longer.where("open_a").select("key").unionByName(shorter.where("open_b").select("key")).distinct())
+        hashed = opened.select(F.xxhash64("key").alias("h"))
+        longer, shorter = (_among(some, F.xxhash64("key"), hashed) for some in (longer, shorter))
     return (
-        side(rows, "a")
-        .join(side(short, "b"), "key")
+        longer
+        .join(shorter, "key")
         .where("n_b <= n_a")
+        .where((F.col("n_b") < F.col("n_a")) | (F.col("n_a") * (den - num) >= num + den))
         .where(F.col("n_b") * den >= F.col("n_a") * num)
         .where(_differ("a", "b") <= total - 2 * least)
         .where(F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) >= least - (SHARED - 1))
@@ -153,18 +163,26 @@ def candidates(sets: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> Dat
     )
 
 
-def _marked(lines: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The lines whose bit is set among BITS bits over the wanted ones: all of these and few others.
+def _among(rows: DataFrame, of: Column, wanted: DataFrame) -> DataFrame:
+    """The rows whose hash ``of`` may be one of ``wanted(h)``: all that are, and few others.
 
-    The bits are a table of at most BITS / 64 rows, whatever the data, and are sent to all executors.
+    A table of bits, sixteen for each wanted hash up to 2 ** 26 in all (2 ** 20 rows), is sent to all executors. What it
+    lets pass is joined exactly afterwards, so its size decides on rows moved and never on results.
     """
-    place = F.pmod(F.xxhash64("doc_id", "twin", "line_no"), F.lit(BITS))
+    least, most = BITS
+    size = 1 << min(most, max(least, (16 * wanted.count()).bit_length()))
     one = _bit(F.col("place"))
-    bits = wanted.select(place.alias("place")).groupBy(F.shiftright("place", 6).alias("slot")).agg(F.bit_or(one).alias("set"))
-    there = lines.withColumn("place", place).withColumn("slot", F.shiftright("place", 6))
+    bits = wanted.select(F.pmod("h", F.lit(size)).alias("place")).groupBy(F.shiftright("place", 6).alias("slot")).agg(F.bit_or(one).alias("set"))
+    there = rows.withColumn("place", F.pmod(of, F.lit(size))).withColumn("slot", F.shiftright("place", 6))
     return there.join(F.broadcast(bits), "slot").where(F.col("set").bitwiseAND(one) != 0).drop("place", "slot", "set")
 
 
+def _marked(lines: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The wanted lines and few others."""
+    place = F.xxhash64("doc_id", "twin", "line_no")
+    return _among(lines, place, wanted.select(place.alias("h")))
+
+
 def matched(lines: DataFrame, sets: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
     """(late): the ids of sets that an earlier set matches, each verified word by word.
 
@@ -180,7 +198,7 @@ def matched(lines: DataFrame, sets: DataFrame, similarity: tuple[int, int] = SIM
     if failed.isEmpty():
         return settled
     flagged = sets.join(failed, F.col("id") == F.col("late"), "left").withColumn("open", starred).drop("late")
-    pairs = cut(candidates(flagged, similarity))
+    pairs = cut(candidates(flagged, similarity, few=True))
     return settled.unionByName(verified(lines, sets, pairs, similarity))
 
 
