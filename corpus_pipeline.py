@@ -36,9 +36,9 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a passage of a benchmark item go (operator 2)."""
-    leaked = decontam.decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id").distinct()
-    return docs.join(leaked, "doc_id", "left_anti").select(*docs.columns)
+    """Rows that hold a passage of a benchmark item go (operator 2), each judged by its own text."""
+    leaked = decontam.row_leaks(docs, table(spark, sf_dir, "benchmark")).select("row").distinct()
+    return docs.withColumn("row", decontam.row_of("doc_id", "text")).join(leaked, "row", "left_anti").select(*docs.columns)
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

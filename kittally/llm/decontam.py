@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from kittally.llm.common import id_text, values
 from kittally.llm.spans import Rolling
@@ -29,6 +29,7 @@ UNITS = frozenset(
     "degree degrees celsius fahrenheit kelvin percent dollar dollars cent cents euro euros pence watt watts volt volts joule joules newton newtons "
     "meter meters metre metres kilometer kilometers kilometre kilometres mph kmh hz khz mhz kb mb gb".split()
 )
+GLUED = re.compile(r"(\d)(" + "|".join(sorted(UNITS, key=len, reverse=True)) + r")\b", re.IGNORECASE)
 _KINDS = {1: "number", 2: "name", 3: "unit"}
 _SLOT = {k: np.uint64(xxhash.xxh64_intdigest(f"<{name}>") >> 4) for k, name in _KINDS.items()}
 
@@ -61,7 +62,7 @@ class Template:
     """
 
     def __init__(self, text: str | None, lexicon: _Lexicon, opening: int = 8):
-        self.words = (text or "").split()
+        self.words = GLUED.sub(r"\1 \2", text or "").split()  # 120km is 120 km
         packed = np.fromiter(map(lexicon.__getitem__, self.words), np.uint64, len(self.words))
         solid = packed != 0
         flags = (packed & np.uint64(15)).astype(np.int64)
@@ -106,13 +107,19 @@ class Template:
 SHAPE = "id long, at long, n long, hash long, template string, form int, slots array<struct<at: long, kind: string, value: string>>"
 
 
-def template_windows(rows: DataFrame, window: int, bits: np.ndarray | None = None, openings: tuple[int, ...] = (8,)) -> DataFrame:
+def template_windows(
+    rows: DataFrame, window: int, bits: np.ndarray | None = None, openings: tuple[int, ...] = (8,), plain: tuple[list[int], np.ndarray] | None = None
+) -> DataFrame:
     """Windows of rows (doc_id, text) under SHAPE; with ``bits`` only those whose bit is set.
 
+    ``plain`` adds windows of some sizes of words without case and punctuation, as form -1, by bits of their own.
+
     Each different template that ``openings`` give a text is a form of its own; behind another word than the
     end of a sentence its first letter is a capital, so that the first token can be a name.
     """
     shared = rows.sparkSession.sparkContext.broadcast(bits) if bits is not None else None
+    sizes, table = plain or ([], None)
+    others = rows.sparkSession.sparkContext.broadcast(table) if plain else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = _Lexicon()
@@ -130,6 +137,8 @@ def template_windows(rows: DataFrame, window: int, bits: np.ndarray | None = Non
                     which = np.arange(len(hashes)) if shared is None else np.flatnonzero(shared.value[(hashes % np.uint64(BITS)).astype(np.int64)])
                     signed = hashes.view(np.int64)
                     out += [(key, int(i), len(found.at), int(signed[i]), found.plain(i, window), form, found.placed_slots(int(i), window)) for i in which]
+                if sizes:
+                    out += [(key, 0, size, h, words, -1, []) for size, h, words in plain_of(forms[next(iter(forms))], sizes, others.value)]
             if out:
                 slots = pa.array([[{"at": i, "kind": k, "value": v} for i, k, v in r[6]] for r in out], kind)
                 yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(list(zip(*out))[:6], types)), slots], ["id", "at", "n", "hash", "template", "form", "slots"])
@@ -144,9 +153,20 @@ def _bits(hashes: DataFrame) -> np.ndarray:
     return bits
 
 
-def plain_windows(rows: DataFrame, sizes: list[int] | None, bits: np.ndarray | None = None) -> DataFrame:
-    """(id, size, hash, words): different windows of ``sizes`` plain words whose bit is set; whole texts without ``sizes``."""
-    shared = rows.sparkSession.sparkContext.broadcast(bits) if bits is not None else None
+def plain_of(found: Template, sizes: list[int], bits: np.ndarray | None = None) -> set[tuple[int, int, str]]:
+    """(size, hash, words): different windows of some numbers of words, without case and punctuation."""
+    seen = set()
+    n = len(found.cores)
+    for size in sizes:
+        if 0 < size <= n:
+            hashes = Rolling(found.cores, 0).of(np.arange(n - size + 1), size)
+            which = np.arange(len(hashes)) if bits is None else np.flatnonzero(bits[(hashes % np.uint64(BITS)).astype(np.int64)])
+            seen |= {(size, int(h), " ".join(found.words[j].strip(MARKS).lower() for j in found.solid[i : i + size])) for i, h in zip(which, hashes.view(np.int64)[which])}
+    return seen
+
+
+def plain_windows(rows: DataFrame, size: int) -> DataFrame:
+    """(item_id, size, hash, words): windows of ``size`` plain words of rows (doc_id, text), the whole text where it has fewer."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = _Lexicon()
@@ -154,36 +174,34 @@ def plain_windows(rows: DataFrame, sizes: list[int] | None, bits: np.ndarray | N
             out = []
             for key, text in values(batch, "doc_id", "text"):
                 found = Template(text, lexicon)
-                n = len(found.cores)
-                for size in [n] if sizes is None else sizes:
-                    if not 0 < size <= n:
-                        continue
-                    hashes = Rolling(found.cores, 0).of(np.arange(n - size + 1), size)
-                    which = np.arange(len(hashes)) if shared is None else np.flatnonzero(shared.value[(hashes % np.uint64(BITS)).astype(np.int64)])
-                    seen = {(int(h), " ".join(found.words[j].strip(MARKS).lower() for j in found.solid[i : i + size])) for i, h in zip(which, hashes.view(np.int64)[which])}
-                    out += [(key, size, h, w) for h, w in seen]
+                out += [(key, *window) for window in plain_of(found, [min(size, len(found.cores))])]
             if out:
                 types = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], ["id", "size", "hash", "words"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], ["item_id", "size", "hash", "words"])
+
+    return rows.mapInArrow(run, "item_id long, size long, hash long, words string")
 
-    return rows.mapInArrow(run, "id long, size long, hash long, words string")
 
+def row_of(key: str, text: str) -> Column:
+    """Hash of key and text: rows of one key are told apart, also rows without a key."""
+    return F.xxhash64(F.col(key).cast("string"), F.col(text).cast("string"))
 
-def exact_items(docs: DataFrame, short: DataFrame) -> DataFrame | None:
-    """(doc_id, item_id, tokens, exact_slots) for rows short of (doc_id, text, tokens): all their words, in order, anywhere in a text."""
-    whole = cut(plain_windows(short.select("doc_id", "text"), None).withColumnRenamed("id", "item_id").distinct())
-    sizes = sorted(r["size"] for r in whole.select("size").distinct().collect())
-    if not sizes:
-        return None
-    found = plain_windows(docs, sizes, _bits(whole)).withColumnRenamed("id", "doc_id")
-    counts = short.select(F.col("doc_id").alias("item_id"), "tokens").groupBy("item_id").agg(F.max("tokens").alias("tokens"))
-    met = found.join(whole, ["hash", "words"]).select("doc_id", "item_id").distinct()
-    return met.join(counts, "item_id").select("doc_id", "item_id", "tokens", F.lit(True).alias("exact_slots"))
 
+def row_text(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(row, doc_id, text) with ``row`` from :func:`row_of`."""
+    return docs.select(row_of(key, text).alias("row"), F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
-def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id",
-          window: int = WINDOW, run: int = RUN, strict: tuple[str, ...] = ("name", "unit")) -> DataFrame:
-    """(doc_id, item_id, tokens, exact_slots): documents that hold a passage of a benchmark item's template.
+
+def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """(doc_id, item_id, tokens, exact_slots): :func:`row_leaks` by key; rows of one key are taken together."""
+    rows = row_text(docs, key, text).select("row", "doc_id").distinct()
+    found = row_leaks(docs, benchmark, key, text, **options).join(rows, "row")
+    return found.groupBy("doc_id", "item_id").agg(F.max("tokens").alias("tokens"), F.max("exact_slots").alias("exact_slots"))
+
+
+def row_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id",
+              window: int = WINDOW, run: int = RUN, strict: tuple[str, ...] = ("name", "unit")) -> DataFrame:
+    """(row, item_id, tokens, exact_slots): documents that hold a passage of a benchmark item's template.
 
     A passage is a run of following windows that agree with the item's in order, ``run`` or more template
     tokens long (the whole item if it is shorter). Slots must be consistent: one value of the item stands
@@ -193,13 +211,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
     around the passage. Items have a form for each type that the
     word before can give their first one. ``tokens`` is the longest stretch, ``exact_slots`` says that one
     kept all values. Documents only emit windows whose bit is set in a table of BITS bits over the
-    benchmark's windows, so the join sees no others. Items shorter than ``window`` match documents of their
-    template alone, and any document that holds their words in order, without case and punctuation. Null
-    texts have no windows; an empty benchmark gives no leaks.
+    benchmark's windows, so the join sees no others. As a name shows by its capital, copies in other letter case have
+    other templates: beside these, ``run`` words of an item in order, without case and punctuation, are a leak
+    whatever their types, or all words of an item that has fewer. Items shorter than ``window`` match
+    documents of their template alone. Null texts have no windows; an empty benchmark gives no leaks.
     """
-    asked, given = id_text(benchmark, item, "text"), id_text(docs, key, text)
+    rows = row_text(docs, key, text)
+    asked, given = id_text(benchmark, item, "text"), rows.select(F.col("row").alias("doc_id"), "text")
     items = cut(template_windows(asked, window, openings=OPENINGS).withColumnsRenamed({"id": "item_id", "at": "item_at", "n": "item_n", "slots": "item_slots"}))
-    found = cut(template_windows(given, window, _bits(items)).withColumnRenamed("id", "doc_id").drop("form"))
+    words = cut(plain_windows(asked, run).distinct())
+    sizes = sorted(r["size"] for r in words.select("size").distinct().collect())  # at most ``run`` of them
+    seen = cut(template_windows(given, window, _bits(items), plain=(sizes, _bits(words))).withColumnRenamed("id", "doc_id"))
+    found = seen.where("form >= 0").drop("form")
+    verbatim = seen.where("form < 0").select("doc_id", "hash", F.col("template").alias("words")).join(words, ["hash", "words"])
+    verbatim = verbatim.groupBy("doc_id", "item_id").agg(F.max("size").alias("tokens"), F.lit(True).alias("exact_slots"))
     pairs = found.join(items, ["hash", "template"]).where("item_n >= least(n, %d)" % window)
     pairs = pairs.withColumn("shift", F.col("at") - F.col("item_at"))
     order = W.partitionBy("doc_id", "item_id", "form", "shift").orderBy("at")
@@ -225,14 +250,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
     inside = functools.reduce(lambda x, c: x & F.col(c).eqNullSafe(F.col(f"_{c}")), by, (F.col("p") >= F.col("begin")) & (F.col("p") < F.col("hi")))
     kept = stretches.join(changed, inside, "left").groupBy(*by, "begin", "hi", "tokens").agg((F.count("p") == 0).alias("exact_slots"))
     kept = kept.select("doc_id", "item_id", "tokens", "exact_slots")
-    short = items.groupBy("item_id").agg(F.min("item_n").alias("tokens")).where(F.col("tokens") < window).withColumnRenamed("item_id", "doc_id")
-    exact = exact_items(given, cut(asked.join(short, "doc_id")))
-    both = kept if exact is None else kept.unionByName(exact)
-    return both.groupBy("doc_id", "item_id").agg(F.max("tokens").alias("tokens"), F.max("exact_slots").alias("exact_slots"))
+    both = kept.unionByName(verbatim)
+    leaked = both.groupBy("doc_id", "item_id").agg(F.max("tokens").alias("tokens"), F.max("exact_slots").alias("exact_slots"))
+    return leaked.select(F.col("doc_id").alias("row"), "item_id", "tokens", "exact_slots")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """(doc_id, contaminated, n_items, tokens): one row per row of docs; rows with a null key are clean."""
-    found = leaks(docs, benchmark, key, text, **options).groupBy("doc_id").agg(F.count("*").alias("n_items"), F.max("tokens").alias("tokens"))
-    rows = docs.select(F.col(key).cast("long").alias("doc_id")).join(found, "doc_id", "left")
-    return rows.select("doc_id", F.col("n_items").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0)).alias("n_items"), F.coalesce("tokens", F.lit(0)).alias("tokens"))
+    """(doc_id, contaminated, n_items, tokens, row): one row per row of docs, each judged by its own text.
+
+    ``row`` is that of :func:`row_text`, which tells rows of one key apart; rows without a key are judged too.
+    """
+    found = row_leaks(docs, benchmark, key, text, **options).groupBy("row").agg(F.count("*").alias("n_items"), F.max("tokens").alias("tokens"))
+    rows = row_text(docs, key, text).select("row", "doc_id").join(found, "row", "left")
+    return rows.select(
+        "doc_id", F.col("n_items").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0)).alias("n_items"), F.coalesce("tokens", F.lit(0)).alias("tokens"), "row"
+    )

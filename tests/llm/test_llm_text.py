@@ -129,10 +129,10 @@ def test_leaks(spark):
     filler = "some words that stand before and after it in the text of a page"
     frame = docs(spark, f"{filler} {ITEM} {filler}", f"{filler}. {changed} {filler}", torn, filler, None, "", ITEM.upper(), " ".join(ITEM.split()[:9]), filler + " " + " ".join(ITEM.split()[2:20]))
     got = {(r.doc_id, r.item_id): r for r in decontam.leaks(frame, bench).collect()}
-    assert set(got) == {(0, 7), (1, 7), (8, 7)}
+    assert set(got) == {(0, 7), (1, 7), (6, 7), (8, 7)}  # 6: a copy is a copy in capitals too
     assert got[0, 7].exact_slots and not got[1, 7].exact_slots
     done = {r.doc_id: r.contaminated for r in decontam.decontaminate(frame, bench).collect()}
-    assert done == {i: i in (0, 1, 8) for i in range(9)}
+    assert done == {i: i in (0, 1, 6, 8) for i in range(9)}
     assert not decontam.decontaminate(frame, bench.limit(0)).where("contaminated").count()
     assert decontam.decontaminate(frame.limit(0), bench).count() == 0
 
@@ -156,6 +156,57 @@ def test_leaks_split_runs_and_find_short_items(spark):
     assert got[1, 1].tokens > got[0, 1].tokens >= decontam.RUN and got[4, 3].exact_slots and not got[6, 4].exact_slots
 
 
+@pytest.mark.parametrize("change", [str, str.lower, str.upper, str.title, lambda t: t.replace("120 km", "120km"), lambda t: t.replace("120 km", "120KM").swapcase()])
+def test_copies_in_other_letters_are_leaks(spark, change):
+    bench = spark.createDataFrame([(7, ITEM)], "item_id long, text string")
+    frame = docs(spark, f"before it {change(ITEM)} and after it", f"before it {change(' '.join(ITEM.split()[:11]))} and after it")
+    assert [(r.doc_id, r.contaminated) for r in decontam.decontaminate(frame, bench).orderBy("doc_id").collect()] == [(0, True), (1, False)]
+
+
+def test_rows_of_one_key_are_judged_apart(spark):
+    bench = spark.createDataFrame([(7, ITEM)], "item_id long, text string")
+    halves = [" ".join(ITEM.split()[:12]), " ".join(ITEM.split()[12:])]
+    rows = [(1, f"so {ITEM} it is"), (1, "clean text under the same key"), (2, halves[0]), (2, halves[1]), (None, ITEM), (None, "clean too"), (3, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    done = decontam.decontaminate(frame, bench)
+    judged = done.join(decontam.row_text(frame, "doc_id", "text").select("row", "text"), "row").select("text", "contaminated").collect()
+    assert {r.text: r.contaminated for r in judged} == {t: t is not None and ITEM in t for _, t in rows}
+    assert len(judged) == len(rows)
+
+
+def test_leaks_two_sided(spark):
+    """Every copied run is found whatever its case, and what else is found has a run of the item's template."""
+    rng = random.Random(12)
+    names, lexicon = ["Anna", "Bo", "Paris", "Lyon"], decontam._Lexicon()
+    pool = [f"w{i}" for i in range(60)] + names * 4 + ["7", "12", "km", "hours"]
+    items = [(i, " ".join(rng.choice(pool) for _ in range(rng.randint(5, 40)))) for i in range(12)]
+    texts = []
+    for _ in range(120):
+        item = rng.choice(items)[1].split()
+        a = rng.randrange(len(item))
+        part = item[a : a + rng.randint(4, 30)]
+        if rng.random() < 0.3:
+            part = [rng.choice(names) if w in names else w for w in part]
+        body = rng.choice([str, str.lower, str.upper, str.title])(" ".join(part))
+        texts.append(" ".join(rng.choice(pool) for _ in range(rng.randint(0, 20))) + " " + body + " " + " ".join(rng.choice(pool) for _ in range(9)))
+    core = lambda t: [w.strip(decontam.MARKS).lower() for w in t.split()]
+
+    def run_of(seq, whole, least):
+        size = min(least, len(whole))
+        runs = {tuple(whole[i : i + size]) for i in range(len(whole) - size + 1)}
+        return any(tuple(seq[i : i + size]) in runs for i in range(len(seq) - size + 1))
+
+    def template(text, opening=8):
+        return decontam.Template(text, lexicon, opening).tokens.tolist()
+
+    copied = {(d, i) for d, t in enumerate(texts) for i, item in items if run_of(core(t), core(item), decontam.RUN)}
+    alike = {(d, i) for d, t in enumerate(texts) for i, item in items for o in decontam.OPENINGS if run_of(template(t), template(item if o == 8 else item[:1].upper() + item[1:], o), decontam.RUN)}
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.leaks(docs(spark, *texts), bench).collect()}
+    assert copied <= got <= copied | alike
+    assert len(copied) > 20
+
+
 def test_leaks_against_exact_runs(spark, messy):
     """Without slots a leak is a run of 13 equal words (or the whole item)."""
     rows, frame = messy
