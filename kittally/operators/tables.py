@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import keywords as K
 from ..functions import text as X
 from ..session import cut
-from .grid import sheet_extent
+from .grid import operation_name, sheet_extent
 from .scan import SHEET, chain, first_from, next_row, number_by, prev_row, run_ends, union_all, upper_median
 
 
@@ -379,7 +379,7 @@ def marker_bounds(
     cells: DataFrame, marker: str = K.MAKER_MARK, tolerance: int = 5, share: float = 0.6
 ) -> DataFrame:
     """Cards that each begin with a mark in the first nine columns."""
-    extent = sheet_extent(cells).filter("max_row >= 10").select(*SHEET, "max_row", "max_col")
+    extent = sheet_extent(cells).filter("max_row >= 10").select(*SHEET, "max_row")
     marks = _marked_rows(cells, F.contains("value", F.lit(marker)), 9).join(extent, SHEET)
     steady = _stable(marks, F.lit(tolerance), share)
     named = (
@@ -553,7 +553,10 @@ def bound_confidence(cells: DataFrame, tables: DataFrame) -> DataFrame:
 
 
 def block_bounds(cells: DataFrame) -> DataFrame:
-    """Runs of data rows as tables (G29): closed by five rows without data or a title."""
+    """Runs of data rows as tables (G29): closed by five rows without data or a title.
+
+    ``nth`` numbers the runs of a sheet, those of less than three rows included, which are no tables.
+    """
     text = X.strip("value")
     per_row = cells.filter("col <= 8").groupBy(*SHEET, "row").agg(
         F.bool_or(text != "").alias("data"),
@@ -592,7 +595,7 @@ def block_bounds(cells: DataFrame) -> DataFrame:
             ),
         )
     )
-    kept = cut(blocks.filter(F.col("end") - F.col("start") >= 2))
+    kept = cut(number_by(cut(blocks), "start", SHEET, "nth").filter(F.col("end") - F.col("start") >= 2))
     low = _lower()
     keyed = (
         cells.filter((F.col("col") <= 11) & X.has_any(low, K.PART_NO)).select(*SHEET, "row").distinct()
@@ -618,30 +621,43 @@ def block_bounds(cells: DataFrame) -> DataFrame:
         F.col("start").alias("data_start"),
         F.col("end").alias("data_end"),
         F.coalesce("operation_name", F.lit("")).alias("operation_name"),
+        F.col("nth").cast("int").alias("nth"),
     )
 
 
 # --- the combined detector ---------------------------------------------------
 
-def table_chain(tables: DataFrame, extent: DataFrame, min_confidence: float = 0.35, limit: int | None = None) -> DataFrame:
-    """Tables kept when read top down, each search starting below the last table (G31 loop).
+def looked_headers(tables: DataFrame, extent: DataFrame, min_confidence: float = 0.35, limit: int | None = None) -> DataFrame:
+    """Headers looked at when a sheet is read top down, each search starting below the last table.
 
     Candidates, ends and confidences are computed for all headers beforehand. Each header knows
-    the one that is looked at after it, and those on the way from the first are the chain.
-    ``limit`` bounds the headers looked at; by default all are.
+    the one that is looked at after it, and those on the way from the first are the chain; ``nth`` is their number on it
+    and ``kept`` says whether a table was taken. ``limit`` bounds the headers looked at; by default all are.
     """
-
     slim = tables.select(*SHEET, "header_row", "data_end", "confidence").join(extent.select(*SHEET, "max_row"), SHEET)
     kept = F.col("confidence") >= min_confidence
     onward = F.when(kept, F.greatest(F.col("data_end"), F.col("header_row")) + 1).otherwise(F.col("header_row") + 1)
-    heads = cut(slim.filter("max_row > 1").withColumn("at", onward))
+    heads = cut(slim.filter("max_row > 1").withColumns({"at": onward, "kept": kept}))
     ahead = first_from(heads, "at", heads, {"next": F.lit(True)}, row="header_row")
     ahead = ahead.withColumn("next", F.when(F.col("at") < F.col("max_row"), F.col("next")))
     opening = heads.groupBy(*SHEET).agg(F.min("header_row").alias("opening"))
     looked = chain(ahead.join(opening, SHEET), SHEET, "header_row", "next", F.col("header_row") == F.col("opening"))
+    numbered = number_by(looked, "header_row", SHEET, "nth")
     if limit is not None:
-        looked = number_by(looked, "header_row", SHEET, "_n").filter(F.col("_n") <= limit).drop("_n")
-    return heads.filter(kept).join(looked, [*SHEET, "header_row"]).select(*SHEET, "header_row", "data_end")
+        numbered = numbered.filter(F.col("nth") <= limit)
+    return heads.join(numbered, [*SHEET, "header_row"]).select(*SHEET, "header_row", "data_end", "kept", F.col("nth").cast("int").alias("nth"))
+
+
+def table_chain(tables: DataFrame, extent: DataFrame, min_confidence: float = 0.35, limit: int | None = None) -> DataFrame:
+    """Tables taken from the headers of :func:`looked_headers` (G31 loop)."""
+    return looked_headers(tables, extent, min_confidence, limit).filter("kept").select(*SHEET, "header_row", "data_end")
+
+
+def card_label(nth: Column, name: Column) -> Column:
+    """Label of the nth table of a sheet: its number and the start of its operation's name, else Op and the number."""
+    number = F.format_string("%03d", nth)
+    named = F.concat(number, F.lit("_"), F.substring(X.safe_filename(name), 1, 30))
+    return F.when(F.coalesce(name, F.lit("")) != "", named).otherwise(F.concat(F.lit("Op"), number))
 
 
 def snap_bounds(bounds: DataFrame) -> DataFrame:
@@ -666,13 +682,15 @@ def find_bounds(cells: DataFrame, min_confidence: float = 0.35) -> DataFrame:
     """Table boundaries of every sheet by the best method that applies to it.
 
     Marked cards first; then the chain of tables; inspection blocks or data runs where that
-    finds nothing; data runs again where a long sheet is poorly covered. ``method`` tells.
+    finds nothing; data runs again where a long sheet is poorly covered. ``method`` tells. Each table has its
+    ``operation_name`` (empty if none is found) and ``card_label``.
     """
     extent = sheet_extent(cells).filter("max_row >= 3").select(*SHEET, "max_row")
     marker = cut(marker_bounds(cells))
     plain = extent.join(marker.select(*SHEET).distinct(), SHEET, "left_anti")
     tables = bound_confidence(cells, cut(table_end(cells, cut(table_candidates(cells)))))
-    chained = cut(table_chain(tables, plain, min_confidence))
+    found = looked_headers(tables, plain, min_confidence).filter("kept").drop("kept")
+    chained = cut(found.join(operation_name(cells, found), [*SHEET, "header_row"], "left"))
     inspection, runs = cut(inspection_bounds(cells)), cut(block_bounds(cells))
 
     def count(df: DataFrame, name: str) -> DataFrame:
@@ -698,12 +716,17 @@ def find_bounds(cells: DataFrame, min_confidence: float = 0.35) -> DataFrame:
         .select(*SHEET, F.when(redo, "runs").otherwise(F.col("first")).alias("method"))
     )
     fields = [*SHEET, "header_row", "data_start", "data_end"]
+
+    def labelled(df: DataFrame, method: str) -> DataFrame:
+        name = F.coalesce("operation_name", F.lit(""))
+        return df.select(*fields, name.alias("operation_name"), card_label(F.col("nth").cast("int"), name).alias("card_label"), F.lit(method).alias("method"))
+
     options = union_all(
         [
-            chained.select(*SHEET, "header_row", (F.col("header_row") + 1).alias("data_start"), "data_end", F.lit("chain").alias("method")),
-            inspection.select(*fields, F.lit("inspection").alias("method")),
-            runs.select(*fields, F.lit("runs").alias("method")),
+            labelled(chained.withColumn("data_start", F.col("header_row") + 1), "chain"),
+            labelled(number_by(inspection, "data_start", SHEET, "nth"), "inspection"),
+            labelled(runs, "runs"),
         ]
     )
-    chosen = reject_unstable(cut(snap_bounds(options.join(choice, [*SHEET, "method"], "left_semi").select(*fields, "method"))))
-    return chosen.unionByName(marker.select(*fields, F.lit("marker").alias("method")))
+    chosen = reject_unstable(cut(snap_bounds(options.join(choice, [*SHEET, "method"], "left_semi"))))
+    return chosen.unionByName(labelled(number_by(marker, "header_row", SHEET, "nth"), "marker"))

@@ -48,6 +48,17 @@ def bom_side(cells: DataFrame, sheets: DataFrame, merges: DataFrame | None = Non
     }
 
 
+def with_fallback(cells: DataFrame, sheets: DataFrame) -> DataFrame:
+    """Parts lists as mapped, or, of workbooks in which the mapping finds no part with a quantity, as their headers show.
+
+    The second try takes any sheet whose first rows name a part and a quantity column (G21).
+    """
+    read = A.decoded(BM.bom_lines(cells, sheets)).select("file_id").distinct()
+    other = cells.join(read, "file_id", "left_anti")
+    shown = G.auto_bom_sheets(other).drop("data_rows").withColumn("config_columns", F.array().cast("array<struct<col_index:int,header:string>>"))
+    return sheets.join(read, "file_id", "left_semi").unionByName(shown, allowMissingColumns=True)
+
+
 def with_card_fields(lines: DataFrame, card_no: DataFrame, dictionary: DataFrame | None) -> DataFrame:
     """Card lines with card number, order and translated name."""
     numbered = lines.join(card_no, "file_id").withColumn("ord", F.struct("file_id", "sheet_idx", "row"))
@@ -168,13 +179,17 @@ def cards_by_detection(cells: DataFrame, dictionary: DataFrame | None = None) ->
 
 
 def compare(
-    bom: dict[str, DataFrame], cards: DataFrame, selected: DataFrame | None = None, errors: DataFrame | None = None
+    bom: dict[str, DataFrame],
+    cards: DataFrame,
+    selected: DataFrame | None = None,
+    errors: DataFrame | None = None,
+    damaged: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
     """Report tables of a job from its BOM side and card lines; each is worked out only when asked for.
 
     Counts come from the summary, which lists nothing of the size configurations times cards; only
     ``detail`` and ``format_sheet`` list discrepancies. ``errors(file, folder, error, phase)``
-    are the files that could not be read.
+    are the files that could not be read, ``damaged(path)`` those that could not be split; the table ``file_errors`` has both.
     """
     qty, configs = bom["qty"], bom["configs"]
     if selected is not None:
@@ -207,7 +222,15 @@ def compare(
         "integrity": R.integrity(summary),
         "integrity_global": R.integrity_global(P.totals_of(levels), R.count_discrepancies(listed, bits)),
         "load_metrics": A.load_metrics(cards, errors),
-    } | ({} if errors is None else {"file_errors": errors})
+    } | _file_errors(errors, damaged)
+
+
+def _file_errors(errors: DataFrame | None, damaged: DataFrame | None) -> dict[str, DataFrame]:
+    given = errors if errors is not None else damaged
+    if given is None:
+        return {}
+    none = given.sparkSession.createDataFrame([], "file string, folder string, error string, phase string, path string")
+    return {"file_errors": P.file_errors(none.drop("path") if errors is None else errors, none if damaged is None else damaged)}
 
 
 def run_by_detection(
@@ -216,10 +239,11 @@ def run_by_detection(
     selected: DataFrame | None = None,
     merges: DataFrame | None = None,
     errors: DataFrame | None = None,
+    damaged: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
     """Detection job: parts lists and cards without any configuration."""
     side = bom_side(bom_cells, cut(BM.detected_sheets(bom_cells)), merges)
-    return compare(side, cut(cards_by_detection(card_cells)), selected, errors)
+    return compare(side, cut(cards_by_detection(card_cells)), selected, errors, damaged)
 
 
 def run_by_mapping(
@@ -232,14 +256,17 @@ def run_by_mapping(
     merges: DataFrame | None = None,
     errors: DataFrame | None = None,
     card_mapped: DataFrame | None = None,
+    damaged: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
     """Mapping job. ``mapped(file_id, mapping)`` for the parts lists; ``rules`` stand in for those of the mappings.
 
     ``card_mapped(file_id, mapping)`` gives each card file its own mapping; without it all cards are read
     by the mapping of the first parts list in order of file_id.
     """
-    sheets = cut(BM.mapped_sheets(bom_cells, mapped))
+    if merges is not None:
+        bom_cells = cut(G.fill_merged(bom_cells, merges))
+    sheets = cut(with_fallback(bom_cells, BM.mapped_sheets(bom_cells, mapped)))
     if card_mapped is None:
         card_mapped = mapped.agg(F.min_by("mapping", "file_id").alias("mapping"))
     cards = cut(cards_by_mapping(card_cells, card_mapped, rules, dictionary))
-    return compare(bom_side(bom_cells, sheets, merges), cards, selected, errors)
+    return compare(bom_side(bom_cells, sheets), cards, selected, errors, damaged)

@@ -413,12 +413,13 @@ def order_discrepancies(spark, sf):
 
 
 LOOKUP = f"""WITH {O.BOM_LINES}, {O.DECODED}, {NAMES}, q AS (SELECT config, part_key, sum(qty) AS qty FROM decoded WHERE qty > 0 GROUP BY 1, 2),
-  own AS (SELECT part_key, '' AS name_cn, max(name_en) AS name_en FROM bom_lines WHERE config = 'R' GROUP BY 1)"""
+  own AS (SELECT part_key, '' AS name_cn, max(name_en) AS name_en FROM bom_lines GROUP BY 1 HAVING bool_or(config = 'R'))"""
 
 
 def _own_names(spark, sf):
-    r = B.bom_lines(spark, sf).filter("config = 'R'")
-    return r.groupBy("part_key").agg(F.lit("").alias("name_cn"), F.max("name_en").alias("name_en"))
+    """Names over all lines of a part, for parts that configuration R has."""
+    named = B.bom_lines(spark, sf).groupBy("part_key").agg(F.max("name_en").alias("name_en"), F.bool_or(F.col("config") == "R").alias("own"))
+    return named.filter("own").select("part_key", F.lit("").alias("name_cn"), "name_en")
 
 
 @query(
@@ -569,6 +570,21 @@ def report_file_errors(spark, sf):
 NUMBERED = "numbered AS (SELECT config, row_number() OVER (ORDER BY min(ord), config) AS config_no FROM bom_lines GROUP BY config)"
 
 
+@query(
+    "report_matrix_rows",
+    f"""WITH {O.BOM_LINES}, {O.DECODED}, q AS (SELECT config, part_key, sum(qty) AS qty FROM decoded WHERE qty > 0 GROUP BY 1, 2),
+    p AS (SELECT part_key, arg_min(raw, ord) AS original, coalesce(arg_min({O.clean_cell('name_cn')}, ord) FILTER ({O.clean_cell('name_cn')} <> ''), '') AS name_cn,
+      coalesce(arg_min({O.clean_cell('name_en')}, ord) FILTER ({O.clean_cell('name_en')} <> ''), '') AS name_en FROM bom_lines GROUP BY 1)
+    SELECT part_key, original, name_cn, name_en, config, {O.short_label('config', 25)} AS config_label, qty FROM q JOIN p USING (part_key)""",
+)
+def report_matrix_rows(spark, sf):
+    """Every part and configuration with its number as written, names and label."""
+    lines = cut(B.bom_lines(spark, sf))
+    first = lambda n: F.coalesce(F.min_by(X.clean_cell(n), F.when(X.clean_cell(n) != "", F.col("ord"))), F.lit("")).alias(n)
+    parts = lines.groupBy("part_key").agg(F.min_by("raw", "ord").alias("original"), first("name_cn"), first("name_en"))
+    return P.matrix_rows(A.bom_quantities(lines), parts)
+
+
 @query(
     "report_digest",
     f"""{CORE}, {DETAILED}, {NUMBERED}, r AS (SELECT * FROM detailed JOIN numbered USING (config) WHERE outcome <> 'fuzzy_match'),

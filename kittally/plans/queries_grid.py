@@ -320,16 +320,19 @@ def bom_candidates(spark, sf):
 _elem = f"contains(t, '{K.OPERATION_ELEMENT}')"
 
 
+OFFERED = f"""op_near AS (SELECT {S}, row, col, {O.strip('value')} AS t, {TRUTHY} AS full_cell FROM cells WHERE row < 15 AND col <= 10),
+    op_beside AS (SELECT * FROM op_near WHERE full_cell AND length(t) > 1 AND NOT {_elem}),
+    op_titles AS (SELECT * FROM op_near WHERE length(t) > 3 AND {O.rx('t', X.CJK)} AND NOT {O.any_of('t', K.OPERATION_SKIP)}),
+    op_offered AS (SELECT t.file_id, t.sheet_idx, t.row, t.col, CASE WHEN contains(t.t, '{K.OPERATION_ELEMENT}') THEN coalesce(a.t, b.t) ELSE t.t END AS name FROM op_titles t
+      LEFT JOIN op_beside a ON a.file_id = t.file_id AND a.sheet_idx = t.sheet_idx AND a.row = t.row AND a.col = t.col + 1
+      LEFT JOIN op_beside b ON b.file_id = t.file_id AND b.sheet_idx = t.sheet_idx AND b.row = t.row AND b.col = t.col + 2)"""
+
+
 @query(
     "operation_name",
-    f"""WITH {CELLS}, {HEADERS}, near AS (SELECT {S}, row, col, {O.strip('value')} AS t, {TRUTHY} AS full_cell FROM cells WHERE row < 15 AND col <= 10),
-    beside AS (SELECT * FROM near WHERE full_cell AND length(t) > 1 AND NOT {_elem}),
-    titles AS (SELECT * FROM near WHERE length(t) > 3 AND {O.rx('t', X.CJK)} AND NOT {O.any_of('t', K.OPERATION_SKIP)}),
-    offered AS (SELECT t.file_id, t.sheet_idx, t.row, t.col, CASE WHEN contains(t.t, '{K.OPERATION_ELEMENT}') THEN coalesce(a.t, b.t) ELSE t.t END AS name FROM titles t
-      LEFT JOIN beside a ON a.file_id = t.file_id AND a.sheet_idx = t.sheet_idx AND a.row = t.row AND a.col = t.col + 1
-      LEFT JOIN beside b ON b.file_id = t.file_id AND b.sheet_idx = t.sheet_idx AND b.row = t.row AND b.col = t.col + 2)
+    f"""WITH {CELLS}, {HEADERS}, {OFFERED}
     SELECT s.file_id, s.sheet_idx, s.header_row, coalesce(arg_min(name, o.row * 1000 + o.col) FILTER (name IS NOT NULL AND o.row < least(header_row, 15)), '') AS operation_name
-    FROM span s LEFT JOIN offered o ON o.file_id = s.file_id AND o.sheet_idx = s.sheet_idx GROUP BY ALL""",
+    FROM span s LEFT JOIN op_offered o ON o.file_id = s.file_id AND o.sheet_idx = s.sheet_idx GROUP BY ALL""",
 )
 def operation_name(spark, sf):
     cells, headers = _headers(spark, sf)
@@ -407,12 +410,12 @@ def content_digest(spark, sf):
 
 @query(
     "drop_struck",
-    f"""WITH {CELLS} SELECT file_id, sheet_idx, row, value AS raw FROM cells c WHERE col = 2 AND NOT EXISTS (
-      SELECT 1 FROM cells s WHERE s.strike AND s.file_id = c.file_id AND s.sheet_idx = c.sheet_idx AND s.row = c.row AND s.col IN (2, 7, 1))""",
+    f"""WITH {CELLS} SELECT file_id, sheet_idx, row, col, value AS raw FROM cells c WHERE NOT EXISTS (
+      SELECT 1 FROM cells s WHERE s.strike AND s.file_id = c.file_id AND s.sheet_idx = c.sheet_idx AND s.row = c.row AND s.col IN (c.col, 7, 1))""",
 )
 def drop_struck(spark, sf):
     cells = W.stored_cells(spark, sf)
-    rows = cells.filter("col = 2").select(
-        "file_id", "sheet_idx", "row", F.col("value").alias("raw"), F.lit(2).alias("part_col"), F.lit(7).alias("config_col"), F.lit(1).alias("first_col")
+    rows = cells.select(
+        "file_id", "sheet_idx", "row", "col", F.col("value").alias("raw"), F.col("col").alias("part_col"), F.lit(7).alias("config_col"), F.lit(1).alias("first_col")
     )
-    return A.drop_struck(rows, cells, ["part_col", "config_col", "first_col"]).select("file_id", "sheet_idx", "row", "raw")
+    return A.drop_struck(rows, cells, ["part_col", "config_col", "first_col"]).select("file_id", "sheet_idx", "row", "col", "raw")

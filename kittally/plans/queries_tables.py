@@ -22,7 +22,7 @@ from ..streaming import snapshot as SN
 from . import bindings as B
 from . import oracle as O
 from . import workbooks as W
-from .queries_grid import AUTO_CARD
+from .queries_grid import AUTO_CARD, OFFERED
 from .registry import query
 
 SH = "file_id, sheet_idx"
@@ -241,10 +241,10 @@ BLOCKS = f"""bm AS (SELECT {SH}, row, max_row, bool_or(col <= 3 AND {O.rx('value
   bi AS (SELECT *, sum(CASE WHEN pd IS NULL OR row - pd > 5 OR coalesce(pt > pd, false) THEN 1 ELSE 0 END) OVER (PARTITION BY {SH} ORDER BY row) AS island FROM bd WHERE NOT title),
   bg AS (SELECT {SH}, island, min(row) AS s, max(row) AS e, any_value(max_row) AS max_row FROM bi GROUP BY {SH}, island),
   bl AS (SELECT {SH}, max(island) AS li FROM bg GROUP BY ALL), bt AS (SELECT {SH}, max(row) FILTER (title) AS lt FROM bm GROUP BY ALL),
-  bk AS (SELECT {SH}, s, CASE WHEN island = li AND NOT (coalesce(lt > e, false) OR max_row - e >= 5) THEN max_row ELSE e END AS e FROM bg JOIN bl USING (file_id, sheet_idx) JOIN bt USING (file_id, sheet_idx)),
+  bk AS (SELECT {SH}, s, CASE WHEN island = li AND NOT (coalesce(lt > e, false) OR max_row - e >= 5) THEN max_row ELSE e END AS e, row_number() OVER (PARTITION BY {SH} ORDER BY s)::INT AS nth FROM bg JOIN bl USING (file_id, sheet_idx) JOIN bt USING (file_id, sheet_idx)),
   bh AS (SELECT b.*, coalesce((SELECT min(c.row) FROM cells c WHERE c.file_id = b.file_id AND c.sheet_idx = b.sheet_idx AND c.col <= 11 AND c.row BETWEEN b.s - 5 AND b.s - 1 AND {O.any_of(f"lower({O.strip('c.value')})", K.PART_NO)}), b.s) AS header_row FROM bk b WHERE e - s >= 2),
   bn AS (SELECT {SH}, row, coalesce(arg_min({O.strip('value')}, col) FILTER (length({O.strip('value')}) > 3), arg_max({O.strip('value')}, col)) AS t FROM cells WHERE col <= 7 AND {O.rx('value', X.CJK)} GROUP BY ALL),
-  blocks AS (SELECT {SH}, header_row, s AS data_start, e AS data_end, coalesce((SELECT arg_min(n.t, n.row) FROM bn n WHERE n.file_id = bh.file_id AND n.sheet_idx = bh.sheet_idx AND n.row BETWEEN bh.header_row - 3 AND bh.header_row - 1), '') AS operation_name FROM bh)"""
+  blocks AS (SELECT {SH}, header_row, s AS data_start, e AS data_end, coalesce((SELECT arg_min(n.t, n.row) FROM bn n WHERE n.file_id = bh.file_id AND n.sheet_idx = bh.sheet_idx AND n.row BETWEEN bh.header_row - 3 AND bh.header_row - 1), '') AS operation_name, nth FROM bh)"""
 
 
 @query("marker_bounds", f"WITH {CELLS}, {MARKER} SELECT * FROM marker")
@@ -314,10 +314,15 @@ def table_chain(spark, sf):
 
 @query(
     "find_bounds",
-    f"""WITH RECURSIVE {CELLS}, {CANDIDATES}, {TABLE_END}, {CONFIDENCE}, {CHAIN}, {MARKER}, {INSPECTION}, {BLOCKS},
+    f"""WITH RECURSIVE {CELLS}, {CANDIDATES}, {TABLE_END}, {CONFIDENCE}, {CHAIN}, {MARKER}, {INSPECTION}, {BLOCKS}, {OFFERED},
     chain AS (SELECT DISTINCT * FROM rchain), plain AS (SELECT {SH}, max_row FROM extent WHERE max_row >= 3 AND (file_id, sheet_idx) NOT IN (SELECT (file_id, sheet_idx) FROM marker)),
-    opts AS (SELECT {SH}, header_row, header_row + 1 AS data_start, data_end, 'chain' AS method FROM chain UNION ALL SELECT {SH}, header_row, data_start, data_end, 'inspection' FROM inspection
-      UNION ALL SELECT {SH}, header_row, data_start, data_end, 'runs' FROM blocks),
+    cname AS (SELECT c.file_id, c.sheet_idx, c.header_row, c.data_end, coalesce(arg_min(name, o.row * 1000 + o.col) FILTER (name IS NOT NULL AND o.row < least(c.header_row, 15)), '') AS operation_name
+      FROM chain c LEFT JOIN op_offered o ON o.file_id = c.file_id AND o.sheet_idx = c.sheet_idx GROUP BY ALL),
+    cnth AS (SELECT c.*, (SELECT count(*) FROM confident t WHERE t.file_id = c.file_id AND t.sheet_idx = c.sheet_idx AND t.header_row <= c.header_row
+      AND NOT EXISTS (SELECT 1 FROM chain k WHERE k.file_id = t.file_id AND k.sheet_idx = t.sheet_idx AND k.header_row < t.header_row AND t.header_row <= k.data_end)) AS nth FROM cname c),
+    opts AS (SELECT {SH}, header_row, header_row + 1 AS data_start, data_end, 'chain' AS method, operation_name, nth FROM cnth
+      UNION ALL SELECT {SH}, header_row, data_start, data_end, 'inspection', operation_name, row_number() OVER (PARTITION BY {SH} ORDER BY data_start) FROM inspection
+      UNION ALL SELECT {SH}, header_row, data_start, data_end, 'runs', operation_name, nth FROM blocks),
     cnt AS (SELECT {SH}, max_row, count(*) FILTER (method = 'chain') AS nc, count(*) FILTER (method = 'inspection') AS ni, count(*) FILTER (method = 'runs') AS nr,
       coalesce(sum(data_end - header_row) FILTER (method = 'chain'), 0) AS cc, coalesce(sum(data_end - header_row) FILTER (method = 'inspection'), 0) AS ci, coalesce(sum(data_end - header_row) FILTER (method = 'runs'), 0) AS cr
       FROM plain JOIN opts USING (file_id, sheet_idx) GROUP BY ALL),
@@ -325,10 +330,11 @@ def table_chain(spark, sf):
     sz AS (SELECT *, CASE f WHEN 'chain' THEN nc WHEN 'inspection' THEN ni ELSE nr END AS n, CASE f WHEN 'chain' THEN cc WHEN 'inspection' THEN ci ELSE cr END::DOUBLE / max_row AS cover FROM fst WHERE f IS NOT NULL),
     choice AS (SELECT {SH}, CASE WHEN max_row > 200 AND (cover < 0.3 OR n < 3) AND nr > n THEN 'runs' ELSE f END AS method FROM sz),
     picked AS (SELECT o.* FROM opts o JOIN choice USING (file_id, sheet_idx, method)),
-    snapped AS (SELECT {SH}, header_row, data_start, greatest(data_end, coalesce((SELECT min(n.header_row) - 1 FROM picked n WHERE n.file_id = p.file_id AND n.sheet_idx = p.sheet_idx AND n.header_row > p.header_row), data_end)) AS data_end, method FROM picked p),
-    smk AS (SELECT {SH}, header_row AS row, lead(header_row) OVER (PARTITION BY {SH} ORDER BY header_row) AS following FROM snapped), {_steady('smk', 'median * 0.5', 0.5, 'ssteady')}
-    SELECT * FROM snapped s WHERE (file_id, sheet_idx) IN (SELECT (file_id, sheet_idx) FROM ssteady) OR (SELECT count(*) FROM snapped n WHERE n.file_id = s.file_id AND n.sheet_idx = s.sheet_idx) < 3
-    UNION ALL SELECT {SH}, header_row, data_start, data_end, 'marker' FROM marker""",
+    snapped AS (SELECT {SH}, header_row, data_start, greatest(data_end, coalesce((SELECT min(n.header_row) - 1 FROM picked n WHERE n.file_id = p.file_id AND n.sheet_idx = p.sheet_idx AND n.header_row > p.header_row), data_end)) AS data_end, method, operation_name, nth FROM picked p),
+    smk AS (SELECT {SH}, header_row AS row, lead(header_row) OVER (PARTITION BY {SH} ORDER BY header_row) AS following FROM snapped), {_steady('smk', 'median * 0.5', 0.5, 'ssteady')},
+    named AS (SELECT * FROM snapped s WHERE (file_id, sheet_idx) IN (SELECT (file_id, sheet_idx) FROM ssteady) OR (SELECT count(*) FROM snapped n WHERE n.file_id = s.file_id AND n.sheet_idx = s.sheet_idx) < 3
+    UNION ALL SELECT {SH}, header_row, data_start, data_end, 'marker', operation_name, row_number() OVER (PARTITION BY {SH} ORDER BY header_row) FROM marker)
+    SELECT * EXCLUDE (nth), CASE WHEN operation_name <> '' THEN printf('%03d', nth) || '_' || substr({O.safe_filename('operation_name')}, 1, 30) ELSE 'Op' || printf('%03d', nth) END AS card_label FROM named""",
 )
 def find_bounds(spark, sf):
     return T.find_bounds(W.stored_cells(spark, sf))
@@ -613,12 +619,12 @@ def check_content(spark, sf):
 
 @query(
     "check_semantic",
-    f"""WITH {CELLS}, shown AS (SELECT * FROM cells WHERE row > 8) SELECT file_id, 'semantic' AS level, 'warning' AS severity, 'Sheet ''' || sheet || ''' contains no data' AS message
+    f"""WITH {CELLS}, shown AS (SELECT * REPLACE (row + 8 AS row) FROM cells) SELECT file_id, 'semantic' AS level, 'warning' AS severity, 'Sheet ''' || sheet || ''' contains no data' AS message
     FROM extent e WHERE NOT EXISTS (SELECT 1 FROM shown c WHERE c.file_id = e.file_id AND c.sheet_idx = e.sheet_idx AND row <= 10 AND col <= 10)""",
 )
 def check_semantic(spark, sf):
     cells = W.stored_cells(spark, sf)
-    return Q.check_semantic(G.sheet_extent(cells), cells.filter("row > 8"))
+    return Q.check_semantic(G.sheet_extent(cells), cells.withColumn("row", F.col("row") + 8))  # all of a sheet, eight rows lower
 
 
 @query(

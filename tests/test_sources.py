@@ -8,6 +8,7 @@ import pytest
 from conftest import grid
 from pyspark.sql import functions as F
 
+from kittally.operators import bom as BM
 from kittally.operators import classify as C
 from kittally.operators import mapping as M
 from kittally.operators import quality as Q
@@ -300,3 +301,28 @@ def test_a_mapping_brings_its_own_rules(spark, make_cells):
     turned = json.loads(json.dumps(mapping).replace('"^b"', '"^z"').replace('"^a"', '"^b"'))
     per_file = M.read_mapping(spark.createDataFrame([("a1.xlsx", json.dumps(mapping)), ("b1.xlsx", json.dumps(turned))], "file_id string, mapping_config string"))
     assert sorted(r.file_id for r in J.cards_by_mapping(cells, per_file).collect()) == ["a1.xlsx", "b1.xlsx"]
+
+
+def test_a_mapping_that_does_not_fit_falls_back(spark, make_cells):
+    rows = [["序号", "零件号", "零件名称", "用量"], [1, "P001", "板", 10], [2, "P002", "栓", 20]]
+    cells = make_cells({("fits.xlsx", "BOM"): grid(rows), ("other.xlsx", "Sheet9"): grid(rows), ("none.xlsx", "S"): grid([["x", "y"], ["z", 1]])})
+    sheet = {"sheet_name": "BOM", "sheet_type": "bom_data", "header_rows": [1], "columns": {"part_no": 2, "name_cn": 3, "qty": 4}}
+    mapped = M.read_mapping(spark.createDataFrame([(f, json.dumps({"bom": {"sheets": [sheet]}})) for f in ("fits.xlsx", "other.xlsx", "none.xlsx")], "file_id string, mapping_config string"))
+    sheets = J.with_fallback(cells, BM.mapped_sheets(cells, mapped))
+    assert sorted((r.file_id, r.sheet, r.part_col, r.qty_col) for r in sheets.collect()) == [("fits.xlsx", "BOM", 2, 4), ("other.xlsx", "Sheet9", 2, 4)]
+    side = J.bom_side(cells, sheets)
+    assert sorted((r.config, r.part_key, r.qty) for r in side["qty"].collect()) == [("BOM", "P001", 10.0), ("BOM", "P002", 20.0), ("Sheet9", "P001", 10.0), ("Sheet9", "P002", 20.0)]
+
+
+def test_a_job_reports_all_damaged_files(spark):
+    bom = {"qty": spark.createDataFrame([("A", "P001", 1.0)], "config string, part_key string, qty double"),
+           "configs": spark.createDataFrame([("A", 1)], "config string, ord int"),
+           "names": spark.createDataFrame([], "part_key string, name_cn string, name_en string"),
+           "parts": spark.createDataFrame([("P001", "P-001", "", "")], "part_key string, original string, name_cn string, name_en string")}
+    cards = spark.createDataFrame([], "file_id string, card_no string, sheet string, row int, raw string, part_key string, name_cn string, name_ru string, qty double, ord struct<file_id: string, sheet_idx: int, row: int>")
+    errors = spark.createDataFrame([("a.xlsx", "in", "not a zip", "parse")], "file string, folder string, error string, phase string")
+    damaged = spark.createDataFrame([("in/a.xlsx",), ("in/deep/b.xlsx",)], "path string")
+    both = J.compare(bom, cards, errors=errors, damaged=damaged)["file_errors"].collect()
+    assert sorted(map(tuple, both)) == [("a.xlsx", "in", "not a zip", "parse"), ("b.xlsx", "in/deep", "", "split")]
+    assert [r.file for r in J.compare(bom, cards, damaged=damaged)["file_errors"].orderBy("file").collect()] == ["a.xlsx", "b.xlsx"]
+    assert "file_errors" not in J.compare(bom, cards)

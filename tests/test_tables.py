@@ -229,6 +229,25 @@ def test_marked_cards(make_cells):
     assert got == {"m.xlsx": [(2, 11, ""), (12, 21, "焊接工序"), (22, 32, ""), (33, 40, "")]}
 
 
+def test_tables_have_names_and_labels(make_cells):
+    marked = {(r, 1): "鑫源汽车" if r in (2, 12, 22, 33) else "x" for r in range(1, 41)} | {(12, 3): "焊接/工序"}
+    titled = {(2, 1): "前门总成焊接"} | {(4, c): v for c, v in enumerate(("零件号", "零件名称", "数量"), 1)}
+    titled |= {(r, c): v for r in range(5, 12) for c, v in enumerate((f"P{r:03d}", "bolt", 2), 1)}
+    got = by_file(T.find_bounds(make_cells({("m.xlsx", "S"): marked, ("t.xlsx", "S"): titled})), "header_row", "operation_name", "card_label", "method")
+    assert got == {
+        "m.xlsx": [(2, "", "Op001", "marker"), (12, "焊接/工序", "002_" + "焊接_工序", "marker"), (22, "", "Op003", "marker"), (33, "", "Op004", "marker")],
+        "t.xlsx": [(4, "前门总成焊接", "001_前门总成焊接", "chain")],
+    }
+
+
+def test_refused_headers_count_in_labels(spark):
+    tables = spark.createDataFrame([("a", 0, 2, 5, 0.9), ("a", 0, 4, 6, 0.9), ("a", 0, 7, 9, 0.1), ("a", 0, 12, 15, 0.5), ("a", 0, 20, 21, 0.9)], "file_id string, sheet_idx int, header_row int, data_end int, confidence double")
+    extent = spark.createDataFrame([("a", 0, 18)], "file_id string, sheet_idx int, max_row int")
+    looked = T.looked_headers(tables, extent).collect()
+    assert sorted((r.nth, r.header_row, r.kept) for r in looked) == [(1, 2, True), (2, 7, False), (3, 12, True), (4, 20, True)]
+    assert by_file(T.table_chain(tables, extent, limit=2), "header_row") == {"a": [(2,)]}
+
+
 def test_irregular_boundaries_are_dropped(spark):
     rows = [("a", 0, h, h + 1) for h in (1, 11, 21, 31)] + [("b", 0, h, h + 1) for h in (1, 2, 12, 92, 122)] + [("c", 0, 1, 2), ("c", 0, 90, 95)]
     bounds = spark.createDataFrame(rows, "file_id string, sheet_idx int, header_row int, data_end int")
