@@ -48,4 +48,4 @@ def test_stages(spark):
 def test_names():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality classifier", "line dedup", "SimHash near-dedup", "benchmark decontamination", "BPE encoding and decoding"]
     mine = [q for q in entry.queries() if q.startswith("op") and q[2:].split("_")[0].isdigit()]
-    assert sorted(int(q[2:].split("_")[0]) for q in mine) == list(range(1, 11)) and "pipeline" in entry.queries()
+    assert sorted(int(q[2:].split("_")[0]) for q in mine) == list(range(1, 14)) and "pipeline" in entry.queries()
