@@ -54,9 +54,8 @@ def config_words(configs: DataFrame) -> DataFrame:
     distinct = configs.select(*order).distinct().withColumn("_all", F.lit(0))
     placed = cut(distinct.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_pos", F.monotonically_increasing_id()))
     at = F.col("_n") - 1
-    return cut(
-        number_by(placed, "_pos", ["_all"], "_n").select("config", F.floor(at / WORD).cast("int").alias("word"), (at % WORD).cast("int").alias("bit"))
-    )
+    numbered = number_by(placed, "_pos", ["_all"], "_n")
+    return numbered.select("config", F.floor(at / WORD).cast("int").alias("word"), (at % WORD).cast("int").alias("bit"))
 
 
 def held_bits(parts: DataFrame, bom_qty: DataFrame, words: DataFrame) -> DataFrame:
